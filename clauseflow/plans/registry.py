@@ -201,3 +201,206 @@ def q_semantic_dedup_tfidf(spark, sf):
     d = dd.semantic_dedup_tfidf(predictions(spark, sf), ["contract_id"], "clause_idx",
                                 F.struct(F.col("clause_idx")))
     return d.select("contract_id", "clause_idx", "label")
+
+
+# =============================================================================================
+# Embeddings: stratified split, linear head, metrics, D3, kNN, correctness band
+# =============================================================================================
+def embeddings(spark, sf):
+    return fx.read_table(spark, sf, "embeddings")
+
+
+def emb_split(spark, sf):
+    return cl.stratified_split(embeddings(spark, sf), F.col("vec_id"), label="label")
+
+
+def emb_scored(spark, sf):
+    split = emb_split(spark, sf).cache()
+    head = cl.fit_centroid_head(split.filter(F.col("split") == "train"))
+    return cl.apply_linear_head(split, head)
+
+
+EMB_CTES = [
+    O.label_dim_cte(),
+    "e_split AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(vec_id AS VARCHAR)), vec_id) "
+    "<= round(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split FROM embeddings)",
+    "e_cell AS (SELECT label AS label_id, pos, avg(CAST(v AS DOUBLE)) AS w FROM (SELECT label, unnest(embedding) AS v, "
+    "unnest(generate_series(1, len(embedding))) AS pos FROM e_split WHERE split = 'train') GROUP BY label, pos)",
+    "e_head AS (SELECT label_id, list(w ORDER BY pos) AS wv FROM e_cell GROUP BY label_id)",
+    "e_z AS (SELECT s.vec_id, s.label, s.split, h.label_id, list_dot_product(CAST(s.embedding AS DOUBLE[]), h.wv) / 0.1 AS z "
+    "FROM e_split s CROSS JOIN e_head h)",
+    "e_zz AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM e_z)",
+    "e_p AS (SELECT vec_id, label, split, label_id, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e_zz)",
+    "e_rank AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, label_id) AS k FROM e_p)",
+    "e_pred AS (SELECT vec_id, label, split, label_id AS pred_id, p AS confidence FROM e_rank WHERE k = 1)",
+]
+
+
+@register("stratified_split", O.with_ctes(EMB_CTES, "SELECT vec_id, label, split FROM e_split"))
+def q_stratified_split(spark, sf):
+    return emb_split(spark, sf).select("vec_id", "label", "split")
+
+
+@register("linear_head_softmax", O.with_ctes(EMB_CTES, "SELECT vec_id, label_id, round(p, 6) AS prob FROM e_p"))
+def q_linear_head_softmax(spark, sf):
+    d = emb_scored(spark, sf).select("vec_id", F.explode("probs").alias("p"))
+    return d.select("vec_id", F.col("p.label_id").alias("label_id"), r6(F.col("p.score")).alias("prob"))
+
+
+@register("top_k_labels", O.with_ctes(EMB_CTES, (
+    "SELECT vec_id, CAST(k AS INTEGER) AS k_rank, label_id, round(p, 6) AS score FROM e_rank WHERE k <= 3")))
+def q_top_k_labels(spark, sf):
+    d = emb_scored(spark, sf).select("vec_id", F.posexplode(cl.top_k_scores(F.col("probs"))).alias("k", "p"))
+    return d.select("vec_id", (F.col("k") + 1).cast("int").alias("k_rank"), F.col("p.label_id").alias("label_id"),
+                    r6(F.col("p.score")).alias("score"))
+
+
+@register("centroid_predict", O.with_ctes(EMB_CTES, (
+    "SELECT p.vec_id, p.label, p.pred_id, d.label AS pred_label, round(p.confidence, 6) AS confidence, "
+    f"CASE WHEN p.confidence < {lx.UNCERTAIN_BELOW} THEN 'uncertain' ELSE d.label END AS final_label "
+    "FROM e_pred p LEFT JOIN label_dim d ON d.label_id = p.pred_id")))
+def q_centroid_predict(spark, sf):
+    d = emb_scored(spark, sf).withColumn("_top", F.col("probs"))
+    d = d.withColumn("_t1", cl.top_k_scores(F.col("probs"), 1)[0])
+    d = d.select("vec_id", "label", F.col("_t1.label_id").alias("pred_id"), F.col("_t1.score").alias("confidence"))
+    d = cl.with_label_names(d, "pred_id", "pred_label")
+    return d.select("vec_id", "label", "pred_id", "pred_label", r6("confidence").alias("confidence"),
+                    cl.threshold_label(F.col("pred_label"), F.col("confidence")).alias("final_label"))
+
+
+def _test_pairs(spark, sf):
+    d = emb_scored(spark, sf).filter(F.col("split") == "test")
+    return d.select(F.col("label"), cl.top_k_scores(F.col("probs"), 1)[0]["label_id"].alias("pred"))
+
+
+_METRIC_CTES = [
+    "m_cm AS (SELECT label, pred, count(*) AS n FROM m_pairs GROUP BY label, pred)",
+    "m_cls AS (SELECT label AS cls FROM m_cm UNION SELECT pred FROM m_cm)",
+    "m_c AS (SELECT c.cls, coalesce((SELECT sum(n) FROM m_cm WHERE label = c.cls AND pred = c.cls), 0) AS tp, "
+    "coalesce((SELECT sum(n) FROM m_cm WHERE pred = c.cls), 0) AS npred, coalesce((SELECT sum(n) FROM m_cm WHERE label = c.cls), 0) AS support FROM m_cls c)",
+    "m_prf AS (SELECT cls, tp, support, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS precision, "
+    "CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM m_c)",
+    "m_f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m_prf)",
+]
+_SUMMARY = ("SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 6) AS accuracy, "
+            "round(sum(f1 * support) / sum(support), 6) AS weighted_f1, round(avg(f1), 6) AS macro_f1 FROM m_f")
+
+
+def _summary(df):
+    return df.select(F.col("n").cast("long").alias("n"), r6("accuracy").alias("accuracy"),
+                     r6("weighted_f1").alias("weighted_f1"), r6("macro_f1").alias("macro_f1"))
+
+
+@register("accuracy_weighted_f1", O.with_ctes(
+    EMB_CTES + ["m_pairs AS (SELECT label, pred_id AS pred FROM e_pred WHERE split = 'test')"] + _METRIC_CTES, _SUMMARY))
+def q_accuracy_weighted_f1(spark, sf):
+    return _summary(cl.accuracy_weighted_f1(_test_pairs(spark, sf)))
+
+
+@register("classification_report", O.with_ctes(
+    EMB_CTES + ["m_pairs AS (SELECT label, pred_id AS pred FROM e_pred WHERE split = 'test')"] + _METRIC_CTES, (
+        "SELECT CAST(cls AS VARCHAR) AS row_name, round(precision, 6) AS precision, round(recall, 6) AS recall, "
+        "round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM m_f UNION ALL "
+        "SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM m_f UNION ALL "
+        "SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), "
+        "round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m_f UNION ALL "
+        "SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m_f")))
+def q_classification_report(spark, sf):
+    d = cl.classification_report(_test_pairs(spark, sf))
+    return d.select("row_name", r6("precision").alias("precision"), r6("recall").alias("recall"),
+                    r6("f1").alias("f1"), "support")
+
+
+@register("majority_baseline", O.with_ctes(
+    EMB_CTES + [
+        "m_major AS (SELECT label FROM e_split WHERE split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)",
+        "m_pairs AS (SELECT s.label, (SELECT label FROM m_major) AS pred FROM e_split s WHERE s.split = 'test')",
+    ] + _METRIC_CTES, _SUMMARY))
+def q_majority_baseline(spark, sf):
+    split = emb_split(spark, sf)
+    maj = cl.majority_label(split.filter(F.col("split") == "train"))
+    pairs = split.filter(F.col("split") == "test").select("label", F.lit(maj).cast("int").alias("pred"))
+    return _summary(cl.accuracy_weighted_f1(pairs))
+
+
+def _dedup_emb_sql(threshold=lx.SEMANTIC_DEDUP_THRESHOLD):
+    return [
+        "d_n AS (SELECT vec_id AS id, label AS lab, CAST(embedding AS DOUBLE[]) AS v, "
+        "row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings)",
+        f"d_nbr AS (SELECT b.lab, b.r, list(a.r) AS nbrs FROM d_n a JOIN d_n b ON a.lab = b.lab AND a.r < b.r "
+        f"WHERE list_dot_product(a.v, b.v) >= {threshold} GROUP BY b.lab, b.r)",
+        "d_o AS (SELECT n.lab, n.r, n.id, coalesce(x.nbrs, []::BIGINT[]) AS nbrs FROM d_n n LEFT JOIN d_nbr x ON x.lab = n.lab AND x.r = n.r)",
+        "d_walk AS (SELECT lab, r, [r] AS kept FROM d_o WHERE r = 1 UNION ALL SELECT w.lab, o.r, CASE WHEN list_has_any(w.kept, o.nbrs) "
+        "THEN w.kept ELSE list_append(w.kept, o.r) END FROM d_walk w JOIN d_o o ON o.lab = w.lab AND o.r = w.r + 1)",
+        "d_kept AS (SELECT lab, unnest(arg_max(kept, r)) AS r FROM d_walk GROUP BY lab)",
+    ]
+
+
+@register("semantic_dedup_embedding", O.with_ctes(_dedup_emb_sql(), (
+    "SELECT n.id AS vec_id, n.lab AS label FROM d_n n JOIN d_kept k ON k.lab = n.lab AND k.r = n.r")))
+def q_semantic_dedup_embedding(spark, sf):
+    d = dd.semantic_dedup_embedding(embeddings(spark, sf), ["label"], "vec_id", "vec_id")
+    return d.select("vec_id", "label")
+
+
+_KNN_SQL = (
+    "k_d AS (SELECT q.vec_id AS query_id, c.vec_id AS clause_id, "
+    "list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance "
+    "FROM e_split q JOIN e_split c ON q.split = 'test' AND c.split = 'train')",
+    "k_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, clause_id) AS rank FROM k_d)",
+)
+
+
+def _knn(spark, sf):
+    from clauseflow.operators import retrieve as rv
+    split = emb_split(spark, sf).cache()
+    q = split.filter(F.col("split") == "test").select(F.col("vec_id").alias("query_id"), "embedding")
+    c = split.filter(F.col("split") == "train").select(F.col("vec_id").alias("clause_id"), "embedding")
+    return rv.knn_exact(q, c, lx.RETRIEVAL_K)
+
+
+@register("knn_exact", O.with_ctes(EMB_CTES + list(_KNN_SQL), (
+    f"SELECT query_id, CAST(rank AS INTEGER) AS rank, clause_id, round(distance, 6) AS distance FROM k_r WHERE rank <= {lx.RETRIEVAL_K}")))
+def q_knn_exact(spark, sf):
+    d = _knn(spark, sf)
+    return d.select("query_id", F.col("rank").cast("int").alias("rank"), "clause_id", r6("distance").alias("distance"))
+
+
+@register("retrieval_hits", O.with_ctes(EMB_CTES + list(_KNN_SQL), (
+    f"SELECT q.vec_id AS query_id, coalesce(h.hit_ids, '') AS hit_ids, coalesce(h.hit_labels, '') AS hit_labels, "
+    f"CAST(coalesce(h.n_hits, 0) AS INTEGER) AS n_hits FROM e_split q LEFT JOIN (SELECT k.query_id, "
+    f"string_agg(CAST(k.clause_id AS VARCHAR), '|' ORDER BY k.rank) AS hit_ids, "
+    f"string_agg(CAST(c.label AS VARCHAR), '|' ORDER BY k.rank) AS hit_labels, count(*) AS n_hits "
+    f"FROM k_r k JOIN e_split c ON c.vec_id = k.clause_id WHERE k.rank <= {lx.RETRIEVAL_K} GROUP BY k.query_id) h "
+    "ON h.query_id = q.vec_id")))
+def q_retrieval_hits(spark, sf):
+    from clauseflow.operators import retrieve as rv
+    split = emb_split(spark, sf)
+    hits = _knn(spark, sf)
+    meta = split.select(F.col("vec_id").alias("clause_id"), F.col("label").alias("hit_label"))
+    out = rv.assemble_hits(split.select(F.col("vec_id").alias("query_id")), hits, meta)
+    return out.select("query_id",
+                      F.array_join(F.transform("hits", lambda h: h["clause_id"].cast("string")), "|").alias("hit_ids"),
+                      F.array_join(F.transform("hits", lambda h: h["hit_label"].cast("string")), "|").alias("hit_labels"),
+                      F.size("hits").cast("int").alias("n_hits"))
+
+
+@register("correctness_band", O.with_ctes(EMB_CTES + [
+    "c_all AS (SELECT label AS label_id, pos, avg(CAST(v AS DOUBLE)) AS w FROM (SELECT label, unnest(embedding) AS v, "
+    "unnest(generate_series(1, len(embedding))) AS pos FROM embeddings) GROUP BY label, pos)",
+    "c_head AS (SELECT label_id, list(w ORDER BY pos) AS wv FROM c_all GROUP BY label_id)",
+    "c_sim AS (SELECT e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), h.wv) AS sim FROM embeddings e "
+    "JOIN c_head h ON h.label_id = e.label)",
+], (
+    "SELECT vec_id, round(sim, 6) AS similarity, CASE WHEN sim > 0.90 THEN 5 WHEN sim >= 0.85 THEN 4 WHEN sim >= 0.75 THEN 3 "
+    "WHEN sim >= 0.65 THEN 2 ELSE 1 END AS correctness FROM c_sim")))
+def q_correctness_band(spark, sf):
+    from clauseflow.operators import evaluate as ev
+    e = embeddings(spark, sf)
+    cent = (e.select("label", F.posexplode("embedding").alias("pos", "v")).groupBy("label", "pos")
+            .agg(F.avg(F.col("v").cast("double")).alias("w"))
+            .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("ws"))
+            .select("label", F.transform("ws", lambda s: s["w"]).alias("centroid")))
+    d = e.join(F.broadcast(cent), "label")   # one row per label: bounded by the class count
+    sim = ev.cosine(F.col("embedding"), F.col("centroid"))
+    return d.select("vec_id", r6(sim).alias("similarity"), ev.correctness_band(sim).alias("correctness"))

@@ -89,7 +89,7 @@ def fx_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     question = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0,
                       F.concat(F.lit("Mark any text about "), lab, F.lit(" here.")))\
         .otherwise(F.concat(F.lit('Mark the parts (if any) of this contract about "'),
-                            F.initcap(lab), F.lit('" that a reviewer should see.')))
+                            F.upper(lab), F.lit('" that a reviewer should see.')))
     prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     answers = F.array(
         F.struct(F.col("text").alias("text")),
