@@ -41,10 +41,14 @@ EPS = 1e-9
 
 
 # -- D1 ------------------------------------------------------------------------
-def exact_dedup(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Keep the first row (by ``order``) of every distinct ``keys`` tuple."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def exact_dedup(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Keep the first row (smallest ``order`` tuple, ascending) of every distinct
+    ``keys`` tuple.  An aggregate of min(struct(order..., rest...)) — map-side
+    combined, so one very large group of copies never lands on one task."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    first = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_first")
+    out = df.groupBy(*keys).agg(first)
+    return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order + rest])
 
 
 # -- shared helpers -------------------------------------------------------------

@@ -64,6 +64,32 @@ def one_sided_contracts(contracts: DataFrame, classifier=None) -> DataFrame:
     return one_sided_high_risk(classify_contracts(contracts, classifier))
 
 
+def build_training_set(qa_docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """S5 flatten -> T5 label (unquoted questions dropped) -> T1 normalise ->
+    F2 filters -> D1 keep first (text, label) in document order."""
+    from clauseflow.sources import readers as rd
+    keep = keep or []
+    flat = rd.flatten_qa(qa_docs, keep)
+    d = (flat.filter(tc.has_quoted(F.col("question")))
+         .withColumn("label", tc.quoted_label(F.col("question")))
+         .filter(F.col("answer").isNotNull() & (F.col("answer") != "")))
+    d = tc.normalize_clause_text(d, "answer", "text")
+    d = (d.withColumn("n_words", tc.word_count("text")).withColumn("n_chars", F.length("text"))
+         .filter((F.col("text") != "") & (F.col("n_words") >= lx.TRAIN_MIN_WORDS)
+                 & F.col("n_chars").between(lx.TRAIN_MIN_CHARS, lx.TRAIN_MAX_CHARS)))
+    order = [*keep, "d_idx", "p_idx", "q_idx", "a_idx"]
+    return dd.exact_dedup(d.select("text", "label", *order), ["text", "label"], order)
+
+
+def build_corpus(lines: DataFrame, value: str = "value", line_no: str = "line_no") -> DataFrame:
+    """P5 (first half): S6 parse (bad lines skipped) -> T2 clean -> F1 20..300 words."""
+    from clauseflow.sources import readers as rd
+    p = rd.parse_provision_lines(lines, value).filter("ok")
+    p = p.withColumn("clause", tc.clean_text("provision")).withColumn("n_words", tc.word_count("clause"))
+    p = p.filter(F.col("n_words").between(lx.CORPUS_MIN_WORDS, lx.CORPUS_MAX_WORDS))
+    return p.select(F.col(line_no).cast("long").alias("clause_id"), "clause", "source", "label", "n_words")
+
+
 PREDICTION_COLS = ["contract_id", "clause_idx", "text", "label", "confidence", "top_k"]
 
 

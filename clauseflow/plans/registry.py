@@ -404,3 +404,250 @@ def q_correctness_band(spark, sf):
     d = e.join(F.broadcast(cent), "label")   # one row per label: bounded by the class count
     sim = ev.cosine(F.col("embedding"), F.col("centroid"))
     return d.select("vec_id", r6(sim).alias("similarity"), ev.correctness_band(sim).alias("correctness"))
+
+
+# =============================================================================================
+# Training set (P6): QA flatten, label extraction, filters, keep-first dedup, encoding, counts
+# =============================================================================================
+def qa_docs(spark, sf):
+    return fx.fx_qa(spark, sf)
+
+
+def training_set(spark, sf):
+    return P.build_training_set(qa_docs(spark, sf), keep=["conv_id"])
+
+
+_LBL = O.L(lx.LABELS)
+QA_CTES = [
+    "qa_c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, "
+    "CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS q_idx, "
+    f"{_LBL}[(conv_id * 3 + turn * 5) % 41 + 1] AS lab FROM conversations)",
+    "qa_q AS (SELECT conv_id, q_idx, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'Mark any text about ' || lab || ' here.' "
+    "ELSE 'Mark the parts (if any) of this contract about \"' || upper(lab) || '\" that a reviewer should see.' END AS question, "
+    "[text, coalesce(prev, text), '', 'Too short to keep here'] AS answers FROM qa_c)",
+    "qa_flat AS (SELECT conv_id, CAST(0 AS INTEGER) AS d_idx, CAST(0 AS INTEGER) AS p_idx, q_idx, "
+    "CAST(unnest(generate_series(0, 3)) AS INTEGER) AS a_idx, question, unnest(answers) AS answer FROM qa_q)",
+    "qa_lab AS (SELECT *, regexp_matches(question, '\"([^\"]+)\"') AS has_q, "
+    f"lower({O.STRIP(chr(34).join(['regexp_extract(question, ' + chr(39), '([^', ']+)', chr(39) + ', 1)']))}) AS label FROM qa_flat)",
+    f"qa_norm AS (SELECT *, {O.CLEAN(chr(39).join(['regexp_replace(answer, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))} AS ntext "
+    "FROM qa_lab WHERE has_q AND answer IS NOT NULL AND answer <> '')",
+    f"qa_len AS (SELECT *, {O.WC('ntext')} AS n_words, CAST(length(ntext) AS INTEGER) AS n_chars FROM qa_norm)",
+    f"qa_keep AS (SELECT * FROM qa_len WHERE ntext <> '' AND n_words >= {lx.TRAIN_MIN_WORDS} "
+    f"AND n_chars BETWEEN {lx.TRAIN_MIN_CHARS} AND {lx.TRAIN_MAX_CHARS})",
+    "qa_train AS (SELECT ntext AS text, label, conv_id, d_idx, p_idx, q_idx, a_idx FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY ntext, label ORDER BY conv_id, d_idx, p_idx, q_idx, a_idx) AS rn FROM qa_keep) WHERE rn = 1)",
+]
+
+
+@register("qa_flatten", O.with_ctes(QA_CTES, "SELECT conv_id, d_idx, p_idx, q_idx, a_idx, question, answer FROM qa_flat"))
+def q_qa_flatten(spark, sf):
+    from clauseflow.sources import readers as rd
+    return rd.flatten_qa(qa_docs(spark, sf), ["conv_id"])
+
+
+@register("quoted_label_extract", O.with_ctes(QA_CTES, (
+    "SELECT conv_id, q_idx, has_q AS has_quotes, label FROM qa_lab WHERE a_idx = 0")))
+def q_quoted_label_extract(spark, sf):
+    from clauseflow.sources import readers as rd
+    d = rd.flatten_qa(qa_docs(spark, sf), ["conv_id"]).filter("a_idx = 0")
+    return d.select("conv_id", "q_idx", tc.has_quoted(F.col("question")).alias("has_quotes"),
+                    tc.quoted_label(F.col("question")).alias("label"))
+
+
+@register("training_clause_filter", O.with_ctes(QA_CTES, (
+    f"SELECT conv_id, q_idx, a_idx, n_words, n_chars, (ntext <> '' AND n_words >= {lx.TRAIN_MIN_WORDS} "
+    f"AND n_chars BETWEEN {lx.TRAIN_MIN_CHARS} AND {lx.TRAIN_MAX_CHARS}) AS keep FROM qa_len")))
+def q_training_clause_filter(spark, sf):
+    from clauseflow.sources import readers as rd
+    d = rd.flatten_qa(qa_docs(spark, sf), ["conv_id"])
+    d = d.filter(tc.has_quoted(F.col("question")) & F.col("answer").isNotNull() & (F.col("answer") != ""))
+    d = tc.normalize_clause_text(d, "answer", "text")
+    d = d.withColumn("n_words", tc.word_count("text")).withColumn("n_chars", F.length("text"))
+    keep = ((F.col("text") != "") & (F.col("n_words") >= lx.TRAIN_MIN_WORDS)
+            & F.col("n_chars").between(lx.TRAIN_MIN_CHARS, lx.TRAIN_MAX_CHARS))
+    return d.select("conv_id", "q_idx", "a_idx", "n_words", "n_chars", keep.alias("keep"))
+
+
+@register("exact_dedup", O.with_ctes(QA_CTES, "SELECT text, label, conv_id, q_idx, a_idx FROM qa_train"))
+def q_exact_dedup(spark, sf):
+    return training_set(spark, sf).select("text", "label", "conv_id", "q_idx", "a_idx")
+
+
+@register("label_encode", O.with_ctes(QA_CTES, (
+    "SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM (SELECT DISTINCT label FROM qa_train)")))
+def q_label_encode(spark, sf):
+    return cl.label_encode(training_set(spark, sf).select("label").distinct())
+
+
+@register("label_top10", O.with_ctes(QA_CTES + [
+    "lt AS (SELECT label, count(*) AS n, min(conv_id * 100000 + q_idx * 10 + a_idx) AS first_pos FROM qa_train GROUP BY label)",
+], "SELECT label, n, CAST(rank AS INTEGER) AS rank FROM (SELECT label, n, row_number() OVER (ORDER BY n DESC, first_pos) AS rank FROM lt) WHERE rank <= 10"))
+def q_label_top10(spark, sf):
+    from clauseflow.operators import report as rp
+    t = training_set(spark, sf).withColumn("_pos", F.struct("conv_id", "d_idx", "p_idx", "q_idx", "a_idx"))
+    return rp.top_labels(t, 10, "label", "_pos")
+
+
+@register("training_summary", O.with_ctes(QA_CTES, (
+    "SELECT count(*) AS n_rows, count(DISTINCT label) AS n_labels FROM qa_train")))
+def q_training_summary(spark, sf):
+    return training_set(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("label").alias("n_labels"))
+
+
+# =============================================================================================
+# Corpus (P5): provisions parse, clean + length filter, deterministic sample
+# =============================================================================================
+PROV_CTES = [
+    "pv AS (SELECT doc_id AS line_no, CASE WHEN doc_id % 50 = 7 THEN '{\"provision\": \"' || left(source, 5) "
+    "WHEN doc_id % 50 = 9 THEN to_json({'provision': NULL::VARCHAR, 'source': source, 'label': [lang]})::VARCHAR "
+    "ELSE to_json({'provision': text, 'source': source, 'label': [lang]})::VARCHAR END AS value FROM documents)",
+    "pv_v AS (SELECT line_no, CASE WHEN json_valid(value) THEN value END AS js FROM pv)",
+    "pv_p AS (SELECT line_no, js IS NOT NULL AND json_extract_string(js, '$.provision') IS NOT NULL AS ok, js FROM pv_v)",
+    "pv_f AS (SELECT line_no, ok, CASE WHEN ok THEN json_extract_string(js, '$.provision') END AS provision, "
+    "CASE WHEN ok THEN coalesce(json_extract_string(js, '$.source'), '') END AS source, "
+    "CASE WHEN ok THEN coalesce(array_to_string(from_json(json_extract(js, '$.label'), '[\"VARCHAR\"]'), '|'), '') END AS label FROM pv_p)",
+    f"pv_c AS (SELECT line_no AS clause_id, {O.CLEAN('provision')} AS clause, source, label FROM pv_f WHERE ok)",
+    f"corpus AS (SELECT clause_id, clause, source, label, {O.WC('clause')} AS n_words FROM pv_c "
+    f"WHERE {O.WC('clause')} BETWEEN {lx.CORPUS_MIN_WORDS} AND {lx.CORPUS_MAX_WORDS})",
+]
+
+
+def provisions(spark, sf):
+    from clauseflow.sources import readers as rd
+    return rd.parse_provision_lines(fx.fx_provisions(spark, sf))
+
+
+def corpus(spark, sf):
+    return P.build_corpus(fx.fx_provisions(spark, sf))
+
+
+@register("provision_parse", O.with_ctes(PROV_CTES, (
+    f"SELECT line_no, ok, source, label, CASE WHEN ok THEN {O.WC(O.CLEAN('provision'))} END AS n_words FROM pv_f")))
+def q_provision_parse(spark, sf):
+    d = provisions(spark, sf)
+    return d.select("line_no", "ok", F.when(F.col("ok"), F.col("source")).alias("source"),
+                    F.when(F.col("ok"), F.array_join("label", "|")).alias("label"),
+                    F.when(F.col("ok"), tc.word_count(tc.clean_text("provision"))).alias("n_words"))
+
+
+@register("corpus_length_filter", O.with_ctes(PROV_CTES, "SELECT * FROM corpus"))
+def q_corpus_length_filter(spark, sf):
+    return corpus(spark, sf).withColumn("label", F.array_join("label", "|"))
+
+
+@register("deterministic_sample", O.with_ctes(PROV_CTES, (
+    f"SELECT clause_id, clause FROM corpus ORDER BY md5('42|' || CAST(clause_id AS VARCHAR)), clause_id LIMIT {lx.CORPUS_SAMPLE_SIZE}")))
+def q_deterministic_sample(spark, sf):
+    from clauseflow.operators import retrieve as rv
+    return rv.deterministic_sample(corpus(spark, sf), "clause_id").select("clause_id", "clause")
+
+
+# =============================================================================================
+# Admission
+# =============================================================================================
+def uploads(spark, sf):
+    d = fx.read_table(spark, sf, "documents")
+    ext = (F.when(F.col("lang") == "en", ".txt").when(F.col("lang") == "fr", ".DOCX")
+           .when(F.col("lang") == "de", ".pdf").otherwise(".rtf"))
+    return d.select("doc_id", F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), ext).alias("filename"),
+                    F.when(F.col("lang") == "de", F.col("text")).otherwise(F.lit("")).alias("form_text"),
+                    F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("file_text"))
+
+
+@register("admission_check", O.with_ctes([
+    "up AS (SELECT doc_id, source || '_' || CAST(doc_id AS VARCHAR) || CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.DOCX' "
+    "WHEN 'de' THEN '.pdf' ELSE '.rtf' END AS filename, CASE WHEN lang = 'de' THEN text ELSE '' END AS form_text, "
+    "CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, text AS file_text FROM documents)",
+    "up2 AS (SELECT *, lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) AS ext, " + O.STRIP("form_text") + " AS pasted FROM up)",
+], (
+    "SELECT doc_id, ext, CASE WHEN pasted <> '' THEN 'text' WHEN ext NOT IN ('.pdf', '.docx', '.txt') OR n_bytes = 0 "
+    f"OR n_bytes > {lx.MAX_UPLOAD_BYTES} THEN NULL WHEN ext = '.txt' THEN 'txt' ELSE substr(ext, 2) END AS route, "
+    "CASE WHEN pasted <> '' THEN NULL WHEN ext NOT IN ('.pdf', '.docx', '.txt') THEN 'unsupported_format' "
+    f"WHEN n_bytes = 0 THEN 'empty_file' WHEN n_bytes > {lx.MAX_UPLOAD_BYTES} THEN 'too_large' "
+    f"WHEN ext = '.txt' AND {O.STRIP('file_text')} = '' THEN 'no_text' END AS reject_reason, "
+    "CAST(length(CASE WHEN pasted <> '' THEN pasted WHEN ext = '.txt' AND n_bytes > 0 THEN file_text END) AS INTEGER) AS n_chars FROM up2")))
+def q_admission_check(spark, sf):
+    from clauseflow.sources import readers as rd
+    d = rd.admission(uploads(spark, sf))
+    return d.select("doc_id", "ext", "route", "reject_reason", F.length("analysis_text").cast("int").alias("n_chars"))
+
+
+# =============================================================================================
+# Rewrite scoring (E2-E4, K7) over derived rewrites: original = a clause, rewrite = the next one
+# =============================================================================================
+def rewrites(spark, sf):
+    c = clauses(spark, sf)
+    nxt = c.select("contract_id", (F.col("clause_idx") - 1).alias("clause_idx"), F.col("text").alias("rewritten"))
+    r = c.select("contract_id", "clause_idx", F.col("text").alias("original")).join(nxt, ["contract_id", "clause_idx"], "left")
+    k = F.col("contract_id") + F.col("clause_idx")
+    scores = F.struct(F.lit(None).cast("int").alias("correctness"), F.lit(None).cast("int").alias("fairness"),
+                      F.when(k % 3 == 0, (k % 5 + 1).cast("int")).alias("clarity"))
+    return r.withColumn("scores", scores)
+
+
+RW_CTES = BASE + [
+    "rw AS (SELECT a.contract_id, a.clause_idx, a.text AS original, b.text AS rewritten, "
+    "CASE WHEN (a.contract_id + a.clause_idx) % 3 = 0 THEN CAST((a.contract_id + a.clause_idx) % 5 + 1 AS INTEGER) END AS clarity "
+    "FROM fx_clauses a LEFT JOIN fx_clauses b ON b.contract_id = a.contract_id AND b.clause_idx = a.clause_idx + 1)",
+    f"rw_s AS (SELECT *, {O.STRIP('coalesce(original, ' + chr(39) * 2 + ')')} <> '' AND {O.STRIP('coalesce(rewritten, ' + chr(39) * 2 + ')')} <> '' AS processed, "
+    f"CAST({O.NHITS('lower(original)', lx.FAIRNESS_HARMFUL_PHRASES)} AS INTEGER) AS n_harmful, "
+    f"CAST({O.NHITS('lower(rewritten)', lx.FAIRNESS_BALANCED_PHRASES)} AS INTEGER) AS n_balanced FROM rw)",
+    "rw_f AS (SELECT *, n_balanced - n_harmful AS delta, CASE WHEN n_balanced - n_harmful >= 2 THEN 5 WHEN n_balanced - n_harmful = 1 THEN 4 "
+    "WHEN n_balanced - n_harmful = 0 THEN 3 WHEN n_balanced - n_harmful = -1 THEN 2 ELSE 1 END AS fairness FROM rw_s)",
+]
+
+
+@register("fairness_band", O.with_ctes(RW_CTES, (
+    "SELECT contract_id, clause_idx, n_harmful, n_balanced, delta, fairness FROM rw_f WHERE processed")))
+def q_fairness_band(spark, sf):
+    from clauseflow.operators import evaluate as ev
+    r = rewrites(spark, sf).filter(F.col("rewritten").isNotNull())
+    h = tc.count_phrases(F.lower("original"), lx.FAIRNESS_HARMFUL_PHRASES)
+    b = tc.count_phrases(F.lower("rewritten"), lx.FAIRNESS_BALANCED_PHRASES)
+    d = ev.fairness_delta(F.col("original"), F.col("rewritten"))
+    return r.select("contract_id", "clause_idx", h.alias("n_harmful"), b.alias("n_balanced"), d.alias("delta"),
+                    ev.fairness_band(d).alias("fairness"))
+
+
+@register("rewrite_scores", O.with_ctes(RW_CTES, (
+    "SELECT contract_id, clause_idx, processed, CASE WHEN processed THEN 1 END AS correctness, "
+    "CASE WHEN processed THEN fairness END AS fairness, clarity FROM rw_f")))
+def q_rewrite_scores(spark, sf):
+    from clauseflow.operators import evaluate as ev
+    s = ev.score_rewrites(rewrites(spark, sf))
+    return s.select("contract_id", "clause_idx", "processed", F.col("scores.correctness").alias("correctness"),
+                    F.col("scores.fairness").alias("fairness"), F.col("scores.clarity").alias("clarity"))
+
+
+@register("rewrite_score_summary", O.with_ctes(RW_CTES, (
+    "SELECT count(*) AS processed, round(avg(1), 6) AS avg_correctness, round(avg(fairness), 6) AS avg_fairness "
+    "FROM rw_f WHERE processed")))
+def q_rewrite_score_summary(spark, sf):
+    from clauseflow.operators import evaluate as ev
+    s = ev.rewrite_summary(ev.score_rewrites(rewrites(spark, sf)))
+    return s.select("processed", r6("avg_correctness").alias("avg_correctness"), r6("avg_fairness").alias("avg_fairness"))
+
+
+# =============================================================================================
+# Text normalisation on the raw tables
+# =============================================================================================
+@register("text_normalize_html", (
+    "SELECT page_id, " + O.CLEAN("regexp_replace(html, '<[^>]+>', ' ', 'g')") + " AS clean_text FROM pages"))
+def q_text_normalize_html(spark, sf):
+    p = fx.read_table(spark, sf, "pages").select("page_id", "html")
+    return tc.normalize_clause_text(p, "html", "clean_text").select("page_id", "clean_text")
+
+
+@register("text_normalize_similarity", f"SELECT doc_id, {O.SIMNORM('text')} AS norm_text FROM documents")
+def q_text_normalize_similarity(spark, sf):
+    d = fx.read_table(spark, sf, "documents")
+    return d.select("doc_id", tc.similarity_norm(F.col("text")).alias("norm_text"))
+
+
+@register("word_char_counts", (
+    f"SELECT doc_id, {O.WC('text')} AS n_words, CAST(length(text) AS INTEGER) AS n_chars, "
+    f"CAST(length({O.CLEAN('text')}) AS INTEGER) AS clean_chars FROM documents"))
+def q_word_char_counts(spark, sf):
+    d = fx.read_table(spark, sf, "documents")
+    return d.select("doc_id", tc.word_count("text").alias("n_words"), F.length("text").alias("n_chars"),
+                    F.length(tc.clean_text("text")).alias("clean_chars"))
