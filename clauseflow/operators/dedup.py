@@ -38,6 +38,7 @@ from clauseflow.functions import lexicon as lx
 from clauseflow.functions import textcols as tc
 
 EPS = 1e-9
+MAX_FOLD_GROUP = 2048   # open nodes per group settled by one in-aggregate fold
 
 
 # -- D1 ------------------------------------------------------------------------
@@ -60,10 +61,10 @@ def _ckpt(df: DataFrame) -> DataFrame:
 
 
 def resolve_greedy(nodes: DataFrame, edges: DataFrame, gk: list[str], max_rounds: int = 10_000) -> DataFrame:
-    """nodes(gk..., id, st in K/D/U), edges(gk..., i, j) with i earlier than j.
-
-    Returns nodes with every st in K/D following the ordered greedy rule.
-    """
+    """Iterative form.  nodes(gk..., id, st in K/D/U), edges(gk..., i, j) with i
+    earlier than j.  Returns nodes with every st in K/D (ordered greedy rule).
+    Each round is one join + aggregate; the status table is checkpointed so the
+    lineage does not grow with the number of rounds."""
     edges = _ckpt(edges.select(*gk, "i", "j"))
     status = nodes.select(*gk, "id", "st")
     for _ in range(max_rounds):
@@ -85,6 +86,41 @@ def resolve_greedy(nodes: DataFrame, edges: DataFrame, gk: list[str], max_rounds
     return status
 
 
+def resolve(nodes: DataFrame, edges: DataFrame, gk: list[str], max_group: int | None = None) -> DataFrame:
+    """Kept ids (gk..., id) under the ordered greedy rule.
+
+    nodes(gk..., id, _ok, st): st is K (settled kept), D (settled dropped) or U
+    (open); edges(gk..., i, j): i earlier than j, both open.  Groups with at most
+    ``max_group`` open nodes are settled in one pass: their neighbour lists are
+    folded in scan order inside one aggregate (bounded work per group).  Larger
+    groups go through ``resolve_greedy`` rounds, so no unbounded group is ever
+    collected into one task.
+    """
+    max_group = MAX_FOLD_GROUP if max_group is None else max_group
+    open_ = nodes.filter(F.col("st") == "U")
+    sizes = open_.groupBy(*gk).agg(F.count(F.lit(1)).alias("_gn"))
+    small_g = sizes.filter(F.col("_gn") <= max_group).select(*gk)
+    small = open_.join(small_g, gk, "left_semi")
+    nbrs = (edges.join(small_g, gk, "left_semi").groupBy(*gk, "j")
+            .agg(F.collect_list("i").alias("nbrs")).withColumnRenamed("j", "id"))
+    items = (small.select(*gk, "id", "_ok").join(nbrs, [*gk, "id"], "left")
+             .groupBy(*gk)
+             .agg(F.array_sort(F.collect_list(F.struct("_ok", "id", F.coalesce("nbrs", F.array().cast("array<long>"))
+                                                       .alias("nbrs")))).alias("items")))
+    kept_arr = F.aggregate("items", F.array().cast("array<long>"),
+                           lambda acc, x: F.when(F.arrays_overlap(acc, x["nbrs"]), acc)
+                           .otherwise(F.array_append(acc, x["id"])))
+    kept = items.select(*gk, F.explode(kept_arr).alias("id"))
+    kept = kept.unionByName(nodes.filter(F.col("st") == "K").select(*gk, "id"))
+    if sizes.filter(F.col("_gn") > max_group).limit(1).count() > 0:
+        large_g = sizes.filter(F.col("_gn") > max_group).select(*gk)
+        large_nodes = open_.join(large_g, gk, "left_semi").select(*gk, "id", "st")
+        large_edges = edges.join(large_g, gk, "left_semi")
+        status = resolve_greedy(large_nodes, large_edges, gk)
+        kept = kept.unionByName(status.filter(F.col("st") == "K").select(*gk, "id"))
+    return kept
+
+
 # -- D2: TF-IDF ---------------------------------------------------------------------
 def tfidf_unit_vectors(base: DataFrame, gk: list[str], norm: str = "_norm") -> DataFrame:
     """(gk..., id, tok, u, dfreq, prefix_mass) — L2-normalised tf-idf per clause,
@@ -114,7 +150,7 @@ def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: C
     ``order_key`` (a comparable struct) gives the scan order, ``id_col`` is
     unique inside ``gk``.
     """
-    src = _ckpt(df)
+    src = df.persist()
     cg = [*gk, "_label"]
     base = src.select(*gk, F.col(id_col).alias("id"), F.col(label).cast("string").alias("_label"),
                       order_key.alias("_ok"), tc.similarity_norm(F.col(text)).alias("_norm"))
@@ -125,11 +161,11 @@ def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: C
     base = base.join(reps, [*cg, "_norm"], "left")
     base = base.withColumn("st", F.when(~F.col("_has_tok"), F.lit("K"))
                            .when(F.col("id") == F.col("_rep_id"), F.lit("U")).otherwise(F.lit("D")))
-    base = _ckpt(base.drop("_rep_id"))
+    base = base.drop("_rep_id").persist()
     live = base.filter(F.col("st") == "U")
     # 2. edges among representatives
     vec = tfidf_unit_vectors(base.select(*gk, "id", "_norm"), gk)
-    vec = _ckpt(vec.join(live.select(*gk, "id", "_label", "_ok"), [*gk, "id"], "inner"))
+    vec = vec.join(live.select(*gk, "id", "_label", "_ok"), [*gk, "id"], "inner").persist()
     pre = vec.filter(F.col("tail_mass") >= threshold * threshold - EPS).select(*cg, "tok", "id", "_ok")
     a, b = pre.alias("a"), pre.alias("b")
     cand = (a.join(b, [*cg, "tok"]).filter(F.col("a._ok") < F.col("b._ok"))
@@ -143,8 +179,9 @@ def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: C
     edges = (cand.join(mi, [*gk, "i"]).join(mj, [*gk, "j"])
              .filter(cos >= F.lit(threshold)).select(*cg, "i", "j"))
     # 3. greedy
-    status = resolve_greedy(base.select(*cg, "id", "st"), edges, cg)
-    kept = status.filter(F.col("st") == "K").select(*gk, F.col("id").alias(id_col))
+    kept = resolve(base.select(*cg, F.col("id").cast("long").alias("id"), "_ok", "st"),
+                   edges.select(*cg, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")), cg)
+    kept = kept.select(*gk, F.col("id").cast(src.schema[id_col].dataType).alias(id_col))
     return src.join(kept, [*gk, id_col], "left_semi")
 
 
@@ -205,10 +242,11 @@ def semantic_dedup_embedding(df: DataFrame, gk: list[str], id_col: str, order_co
                              vec: str = "embedding", threshold: float = lx.SEMANTIC_DEDUP_THRESHOLD,
                              block_rows: int = 1024) -> DataFrame:
     """D3: ordered greedy dedup on unit embeddings inside ``gk`` groups."""
-    src = _ckpt(df)
+    src = df.persist()
     nodes = src.select(*gk, F.col(id_col).cast("long").alias("id"), F.col(order_col).alias("_o"), vec)
     edges = dense_edges(nodes, gk, vec, "_o", threshold, block_rows)
-    status = resolve_greedy(nodes.withColumn("st", F.lit("U")), edges, gk)
-    kept = status.filter(F.col("st") == "K").select(*gk, F.col("id").alias(id_col))
+    kept = resolve(nodes.select(*gk, "id", F.struct(F.col("_o").cast("long"), F.col("id")).alias("_ok"),
+                                F.lit("U").alias("st")), edges, gk)
+    kept = kept.select(*gk, F.col("id").alias(id_col))
     return src.join(kept.withColumn(id_col, F.col(id_col).cast(src.schema[id_col].dataType)),
                     [*gk, id_col], "left_semi")
