@@ -171,13 +171,24 @@ def truncate_tokens(tokens, n: int = lx.MAX_TOKENS) -> Column:
 
 
 # -- G3 ----------------------------------------------------------------------
-def is_valid_clause(col) -> Column:
-    """5..120 words, first character upper case, a modal/obligation keyword."""
-    s = strip_ws(col)
-    wc = word_count(s)
+def word_count_stripped(s) -> Column:
+    """``len(text.split())`` for text that is already stripped."""
+    s = _c(s)
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{U}{WS}+")))
+
+
+def is_valid_clause(col, stripped: bool = False) -> Column:
+    """5..120 words, first character upper case, a modal/obligation keyword.
+
+    Conjuncts are ordered cheapest first (substring tests before the word-count
+    split) and short-circuit; pass ``stripped=True`` for text that is already
+    stripped (inside array lambdas there is no common-subexpression reuse).
+    """
+    s = _c(col) if stripped else strip_ws(col)
+    wc = word_count_stripped(s)
     return (
         (s != "")
-        & (wc >= lx.CLAUSE_MIN_WORDS) & (wc <= lx.CLAUSE_MAX_WORDS)
-        & s.rlike(r"^\p{IsUppercase}")
         & any_phrase(F.lower(s), lx.CLAUSE_KEYWORDS)
+        & F.substring(s, 1, 1).rlike(r"^\p{IsUppercase}")
+        & (wc >= lx.CLAUSE_MIN_WORDS) & (wc <= lx.CLAUSE_MAX_WORDS)
     )

@@ -86,59 +86,76 @@ def resolve_greedy(nodes: DataFrame, edges: DataFrame, gk: list[str], max_rounds
     return status
 
 
-def resolve(nodes: DataFrame, edges: DataFrame, gk: list[str], max_group: int | None = None) -> DataFrame:
-    """Kept ids (gk..., id) under the ordered greedy rule.
+def resolve_dropped(nodes: DataFrame, edges: DataFrame, gk: list[str], max_group: int | None = None) -> DataFrame:
+    """Ids (gk..., id) dropped by the ordered greedy rule.
 
     nodes(gk..., id, _ok, st): st is K (settled kept), D (settled dropped) or U
-    (open); edges(gk..., i, j): i earlier than j, both open.  Groups with at most
-    ``max_group`` open nodes are settled in one pass: their neighbour lists are
-    folded in scan order inside one aggregate (bounded work per group).  Larger
-    groups go through ``resolve_greedy`` rounds, so no unbounded group is ever
-    collected into one task.
+    (open); edges(gk..., i, j): i earlier than j, both open.  Only groups that
+    contain an edge need work.  Those with at most ``max_group`` open nodes are
+    settled in one pass: neighbour lists folded in scan order inside one
+    aggregate (bounded work per group).  Larger groups go through
+    ``resolve_greedy`` rounds, so no unbounded group is collected into one task.
     """
     max_group = MAX_FOLD_GROUP if max_group is None else max_group
-    open_ = nodes.filter(F.col("st") == "U")
-    sizes = open_.groupBy(*gk).agg(F.count(F.lit(1)).alias("_gn"))
+    edges = _ckpt(edges)
+    dropped = nodes.filter(F.col("st") == "D").select(*gk, "id")
+    busy = edges.select(*gk).distinct()
+    open_ = nodes.filter(F.col("st") == "U").join(busy, gk, "left_semi")
+    sizes = _ckpt(open_.groupBy(*gk).agg(F.count(F.lit(1)).alias("_gn")))
     small_g = sizes.filter(F.col("_gn") <= max_group).select(*gk)
-    small = open_.join(small_g, gk, "left_semi")
     nbrs = (edges.join(small_g, gk, "left_semi").groupBy(*gk, "j")
             .agg(F.collect_list("i").alias("nbrs")).withColumnRenamed("j", "id"))
-    items = (small.select(*gk, "id", "_ok").join(nbrs, [*gk, "id"], "left")
+    items = (open_.join(small_g, gk, "left_semi").select(*gk, "id", "_ok").join(nbrs, [*gk, "id"], "left")
              .groupBy(*gk)
              .agg(F.array_sort(F.collect_list(F.struct("_ok", "id", F.coalesce("nbrs", F.array().cast("array<long>"))
                                                        .alias("nbrs")))).alias("items")))
     kept_arr = F.aggregate("items", F.array().cast("array<long>"),
                            lambda acc, x: F.when(F.arrays_overlap(acc, x["nbrs"]), acc)
                            .otherwise(F.array_append(acc, x["id"])))
-    kept = items.select(*gk, F.explode(kept_arr).alias("id"))
-    kept = kept.unionByName(nodes.filter(F.col("st") == "K").select(*gk, "id"))
+    all_ids = F.transform("items", lambda x: x["id"])
+    dropped = dropped.unionByName(items.select(*gk, F.explode(F.array_except(all_ids, kept_arr)).alias("id")))
     if sizes.filter(F.col("_gn") > max_group).limit(1).count() > 0:
         large_g = sizes.filter(F.col("_gn") > max_group).select(*gk)
         large_nodes = open_.join(large_g, gk, "left_semi").select(*gk, "id", "st")
         large_edges = edges.join(large_g, gk, "left_semi")
         status = resolve_greedy(large_nodes, large_edges, gk)
-        kept = kept.unionByName(status.filter(F.col("st") == "K").select(*gk, "id"))
-    return kept
+        dropped = dropped.unionByName(status.filter(F.col("st") == "D").select(*gk, "id"))
+    return dropped
 
 
 # -- D2: TF-IDF ---------------------------------------------------------------------
-def tfidf_unit_vectors(base: DataFrame, gk: list[str], norm: str = "_norm") -> DataFrame:
-    """(gk..., id, tok, u, dfreq, prefix_mass) — L2-normalised tf-idf per clause,
-    idf = ln((1 + n) / (1 + df)) + 1 with n, df counted over the ``gk`` group."""
-    toks = base.select(*gk, "id", F.explode(tc.uni_bi_grams(norm)).alias("tok"))
-    tf = toks.groupBy(*gk, "id", "tok").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy(*gk, "tok").agg(F.count(F.lit(1)).alias("dfreq"))
+def tfidf_vectors(base: DataFrame, gk: list[str], threshold: float, norm: str = "_norm",
+                  carry: list[str] | None = None) -> DataFrame:
+    """One row per clause: (gk..., id, carry..., vec array<struct<dfreq, tok, u, pre>>)
+    with u the L2-normalised tf-idf weight (idf = ln((1 + n) / (1 + df)) + 1, n and df
+    over the ``gk`` group), entries in rarest-first order, and ``pre`` marking the
+    prefix tokens (tail mass from the token on >= threshold^2).
+
+    Shuffles: df per (gk, tok) and its join back, then one regroup per clause.
+    """
+    carry = carry or []
+    toks = base.withColumn("_st", F.array_sort(tc.uni_bi_grams(norm))).withColumn("_rev", F.reverse("_st"))
+    pairs = F.transform(F.array_distinct("_st"), lambda t: F.struct(
+        t.alias("tok"),
+        (F.size("_st") - F.array_position(F.col("_rev"), t) - F.array_position(F.col("_st"), t) + 2).alias("tf")))
+    rows = toks.select(*gk, "id", F.explode(pairs).alias("p")).select(*gk, "id", "p.tok", "p.tf")
+    dfreq = rows.groupBy(*gk, "tok").agg(F.count(F.lit(1)).alias("dfreq"))
     n = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("n_docs"))
-    w = (tf.join(dfreq, [*gk, "tok"]).join(n, gk)
+    w = (rows.join(dfreq, [*gk, "tok"]).join(n, gk)
          .withColumn("w", F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("dfreq"))) + 1)))
-    # rarest tokens first; the tail (most common) is what the prefix may drop
-    win_all = Window.partitionBy(*gk, "id").orderBy(F.col("dfreq").desc(), F.col("tok").desc())
-    w = (w.withColumn("_n2", F.sum(F.col("w") * F.col("w")).over(
-            win_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-         .withColumn("_tail", F.sum(F.col("w") * F.col("w")).over(
-            win_all.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    return w.select(*gk, "id", "tok", (F.col("w") / F.sqrt("_n2")).alias("u"),
-                    (F.col("_tail") / F.col("_n2")).alias("tail_mass"))
+    per = (w.groupBy(*gk, "id")
+           .agg(F.array_sort(F.collect_list(F.struct("dfreq", "tok", "w"))).alias("_v")))
+    n2 = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
+    per = per.withColumn("_n2", n2)
+    t2 = threshold * threshold - EPS
+    vec = F.transform("_v", lambda x, k: F.struct(
+        x["dfreq"].alias("dfreq"), x["tok"].alias("tok"), (x["w"] / F.sqrt(F.col("_n2"))).alias("u"),
+        (F.aggregate(F.slice(F.col("_v"), k + 1, F.size("_v") - k), F.lit(0.0),
+                     lambda a, y: a + y["w"] * y["w"]) / F.col("_n2") >= F.lit(t2)).alias("pre")))
+    out = per.select(*gk, "id", vec.alias("vec"))
+    if carry:
+        out = out.join(base.select(*gk, "id", *carry), [*gk, "id"])
+    return out
 
 
 def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: Column,
@@ -150,39 +167,37 @@ def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: C
     ``order_key`` (a comparable struct) gives the scan order, ``id_col`` is
     unique inside ``gk``.
     """
-    src = df.persist()
+    src = _ckpt(df)          # cut the (long, lambda-heavy) lineage: every later plan stays small
     cg = [*gk, "_label"]
-    base = src.select(*gk, F.col(id_col).alias("id"), F.col(label).cast("string").alias("_label"),
+    base = src.select(*gk, F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("_label"),
                       order_key.alias("_ok"), tc.similarity_norm(F.col(text)).alias("_norm"))
     base = base.withColumn("_has_tok", F.size(tc.unigrams("_norm")) > 0)
-    # 1. collapse copies
+    # 1. collapse copies: every copy after the first of a (gk, label, text) is dropped
     reps = (base.filter("_has_tok").groupBy(*cg, "_norm")
             .agg(F.min(F.struct("_ok", "id")).alias("_rep")).select(*cg, "_norm", F.col("_rep.id").alias("_rep_id")))
     base = base.join(reps, [*cg, "_norm"], "left")
     base = base.withColumn("st", F.when(~F.col("_has_tok"), F.lit("K"))
                            .when(F.col("id") == F.col("_rep_id"), F.lit("U")).otherwise(F.lit("D")))
-    base = base.drop("_rep_id").persist()
-    live = base.filter(F.col("st") == "U")
-    # 2. edges among representatives
-    vec = tfidf_unit_vectors(base.select(*gk, "id", "_norm"), gk)
-    vec = vec.join(live.select(*gk, "id", "_label", "_ok"), [*gk, "id"], "inner").persist()
-    pre = vec.filter(F.col("tail_mass") >= threshold * threshold - EPS).select(*cg, "tok", "id", "_ok")
+    base = _ckpt(base.drop("_rep_id"))
+    # 2. vectors (idf over every clause of the group), candidates through prefix tokens
+    vecs = tfidf_vectors(base, gk, threshold, carry=["_label", "_ok", "st"])
+    vecs = _ckpt(vecs.filter(F.col("st") == "U"))
+    pre = vecs.select(*cg, "id", "_ok", F.explode(F.filter("vec", lambda x: x["pre"])).alias("x")) \
+              .select(*cg, "id", "_ok", F.col("x.tok").alias("tok"))
     a, b = pre.alias("a"), pre.alias("b")
     cand = (a.join(b, [*cg, "tok"]).filter(F.col("a._ok") < F.col("b._ok"))
             .select(*cg, F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct())
-    maps = vec.groupBy(*gk, "id").agg(F.map_from_entries(F.collect_list(F.struct("tok", "u"))).alias("m"))
-    mi = maps.select(*gk, F.col("id").alias("i"), F.col("m").alias("mi"))
-    mj = maps.select(*gk, F.col("id").alias("j"), F.col("m").alias("mj"))
-    cos = F.aggregate(F.map_entries("mj"), F.lit(0.0),
-                      lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("mi"), e["key"]),
-                                                                  F.lit(0.0)))
-    edges = (cand.join(mi, [*gk, "i"]).join(mj, [*gk, "j"])
-             .filter(cos >= F.lit(threshold)).select(*cg, "i", "j"))
+    vi = vecs.select(*gk, F.col("id").alias("i"),
+                     F.map_from_arrays(F.transform("vec", lambda x: x["tok"]),
+                                       F.transform("vec", lambda x: x["u"])).alias("mi"))
+    vj = vecs.select(*gk, F.col("id").alias("j"), F.col("vec").alias("vj"))
+    cos = F.aggregate("vj", F.lit(0.0),
+                      lambda acc, e: acc + e["u"] * F.coalesce(F.try_element_at(F.col("mi"), e["tok"]), F.lit(0.0)))
+    edges = cand.join(vi, [*gk, "i"]).join(vj, [*gk, "j"]).filter(cos >= F.lit(threshold)).select(*cg, "i", "j")
     # 3. greedy
-    kept = resolve(base.select(*cg, F.col("id").cast("long").alias("id"), "_ok", "st"),
-                   edges.select(*cg, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")), cg)
-    kept = kept.select(*gk, F.col("id").cast(src.schema[id_col].dataType).alias(id_col))
-    return src.join(kept, [*gk, id_col], "left_semi")
+    dropped = resolve_dropped(base.select(*cg, "id", "_ok", "st"), edges, cg)
+    dropped = dropped.select(*gk, F.col("id").cast(src.schema[id_col].dataType).alias(id_col))
+    return src.join(dropped, [*gk, id_col], "left_anti")
 
 
 # -- D3: dense embeddings ---------------------------------------------------------
@@ -242,11 +257,10 @@ def semantic_dedup_embedding(df: DataFrame, gk: list[str], id_col: str, order_co
                              vec: str = "embedding", threshold: float = lx.SEMANTIC_DEDUP_THRESHOLD,
                              block_rows: int = 1024) -> DataFrame:
     """D3: ordered greedy dedup on unit embeddings inside ``gk`` groups."""
-    src = df.persist()
+    src = _ckpt(df)
     nodes = src.select(*gk, F.col(id_col).cast("long").alias("id"), F.col(order_col).alias("_o"), vec)
     edges = dense_edges(nodes, gk, vec, "_o", threshold, block_rows)
-    kept = resolve(nodes.select(*gk, "id", F.struct(F.col("_o").cast("long"), F.col("id")).alias("_ok"),
-                                F.lit("U").alias("st")), edges, gk)
-    kept = kept.select(*gk, F.col("id").alias(id_col))
-    return src.join(kept.withColumn(id_col, F.col(id_col).cast(src.schema[id_col].dataType)),
-                    [*gk, id_col], "left_semi")
+    dropped = resolve_dropped(nodes.select(*gk, "id", F.struct(F.col("_o").cast("long"), F.col("id")).alias("_ok"),
+                                           F.lit("U").alias("st")), edges, gk)
+    dropped = dropped.select(*gk, F.col("id").cast(src.schema[id_col].dataType).alias(id_col))
+    return src.join(dropped, [*gk, id_col], "left_anti")

@@ -67,7 +67,7 @@ def encode_with_model(df: DataFrame, encode, text: str = "text", out: str = "emb
 
 
 # -- V3: exact kNN by squared L2 --------------------------------------------------------
-def _block_scorer(bq, k: int, corpus_id: str, vec: str, chunk: int = 128):
+def _block_scorer(bq, k: int, corpus_id: str, vec: str, round_decimals: int | None = None, chunk: int = 128):
     def run(batches):
         q_ids, q_mat = bq.value
         for pdf in batches:
@@ -81,6 +81,8 @@ def _block_scorer(bq, k: int, corpus_id: str, vec: str, chunk: int = 128):
             for s in range(0, C.shape[0], chunk):
                 diff = q_mat[:, None, :] - C[None, s:s + chunk, :]
                 D[:, s:s + chunk] = np.einsum("ijk,ijk->ij", diff, diff)
+            if round_decimals is not None:
+                D = np.round(D, round_decimals)
             kk = min(k, D.shape[1])
             order = np.lexsort((np.broadcast_to(cid, D.shape), D), axis=1)[:, :kk]
             yield pd.DataFrame({"query_id": np.repeat(q_ids, kk), "clause_id": cid[order].reshape(-1),
@@ -89,7 +91,8 @@ def _block_scorer(bq, k: int, corpus_id: str, vec: str, chunk: int = 128):
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, query_id: str = "query_id",
-              corpus_id: str = "clause_id", vec: str = "embedding") -> DataFrame:
+              corpus_id: str = "clause_id", vec: str = "embedding",
+              round_decimals: int | None = None) -> DataFrame:
     """V3: (query_id, rank 1..k, clause_id, distance) by squared L2, ties by clause_id.
 
     Queries travel in blocks bounded by MAX_QUERY_BLOCK_BYTES (their size is
@@ -117,7 +120,7 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, qu
         q_ids = np.array([r["_qid"] for r in rows], dtype=np.int64)
         q_mat = np.array([r["_v"] for r in rows], dtype=np.float64)
         bq = spark.sparkContext.broadcast((q_ids, q_mat))
-        scorer = _block_scorer(bq, k, corpus_id, vec)
+        scorer = _block_scorer(bq, k, corpus_id, vec, round_decimals)
         parts.append(corpus_sel.mapInPandas(scorer, out_schema))
     partial = parts[0]
     for p in parts[1:]:

@@ -57,7 +57,7 @@ def clause_structs(text) -> Column:
 
 def valid_clause_structs(text) -> Column:
     """Candidates that pass G3, in document order."""
-    return F.filter(clause_structs(text), lambda x: tc.is_valid_clause(x["text"]))
+    return F.filter(clause_structs(text), lambda x: tc.is_valid_clause(x["text"], stripped=True))
 
 
 # -- DataFrame forms ----------------------------------------------------------
@@ -74,7 +74,7 @@ def split_clause_parts(df: DataFrame, key: str = "contract_id", text: str = "tex
     """Every non-blank clause candidate with positions and its validity flag."""
     out = df.select(key, F.explode(clause_structs(text)).alias("c"))
     return out.select(key, "c.section_idx", "c.part_idx", F.col("c.text").alias("text"),
-                      tc.is_valid_clause(F.col("c.text")).alias("is_valid"))
+                      tc.is_valid_clause(F.col("c.text"), stripped=True).alias("is_valid"))
 
 
 def split_into_clauses(df: DataFrame, key: str = "contract_id", text: str = "text",

@@ -651,3 +651,147 @@ def q_word_char_counts(spark, sf):
     d = fx.read_table(spark, sf, "documents")
     return d.select("doc_id", tc.word_count("text").alias("n_words"), F.length("text").alias("n_chars"),
                     F.length(tc.clean_text("text")).alias("clean_chars"))
+
+
+# =============================================================================================
+# Reports (A5, A6, A7)
+# =============================================================================================
+TOP20_CTES = O.important_ctes() + O.dedup_ctes("fx_imp", IMP_ORDER_SQL, "fx_kept") + [
+    f"top20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY {IMP_ORDER_SQL}) AS rank "
+    f"FROM fx_kept) WHERE rank <= {lx.TOP_CLAUSES_PER_CONTRACT})"]
+
+
+@register("contract_report", O.with_ctes(
+    BASE + TOP20_CTES + O.one_sided_ctes() + O.dedup_ctes("fx_os", "bias_score DESC, confidence DESC, clause_idx", "fx_okept"),
+    "SELECT c.contract_id, CAST(length(c.text) AS INTEGER) AS text_chars, coalesce(a.n, 0) AS n_clauses, "
+    "coalesce(b.n, 0) AS important_count, coalesce(b.nl, 0) AS important_labels, coalesce(d.n, 0) AS one_sided_count "
+    "FROM fx_contracts c LEFT JOIN (SELECT contract_id, count(*) AS n FROM fx_clauses GROUP BY 1) a USING (contract_id) "
+    "LEFT JOIN (SELECT contract_id, count(*) AS n, count(DISTINCT label) AS nl FROM top20 GROUP BY 1) b USING (contract_id) "
+    "LEFT JOIN (SELECT contract_id, count(*) AS n FROM fx_okept GROUP BY 1) d USING (contract_id)"))
+def q_contract_report(spark, sf):
+    from clauseflow.operators import report as rp
+    c = contracts(spark, sf).persist()
+    cls = sg.split_into_clauses(c)
+    pred = cl.rule_classifier(cls)
+    imp = rk.top_n_per_contract(P.important_clauses(pred), rk.important_order())
+    ones = P.one_sided_high_risk(pred)
+    return rp.contract_report(c, cls, imp, ones)
+
+
+@register("risk_rollup", O.with_ctes(BASE + [f"rl AS ({O.risk_select('fx_pred')})"], (
+    "SELECT risk, label, count(*) AS n, CAST(GROUPING(risk, label) AS INTEGER) AS gid FROM rl GROUP BY ROLLUP (risk, label)")))
+def q_risk_rollup(spark, sf):
+    from clauseflow.operators import report as rp
+    return rp.risk_rollup(rk.with_risk(predictions(spark, sf)))
+
+
+# =============================================================================================
+# Review assembly (V2 encoder + V3 over the corpus, W1-W3, W5, W7)
+# =============================================================================================
+def _vec_sql(text: str) -> str:
+    toks = O.UNIGRAMS(O.SIMNORM(text))
+    buckets = f"list_transform({toks}, lambda t: ('0x' || substr(md5(t), 1, 6))::BIGINT % 64)"
+    counts = f"list_transform(range(0, 64), lambda b: CAST(len(list_filter({buckets}, lambda x: x = b)) AS DOUBLE))"
+    return f"{counts}"
+
+
+REVIEW_CTES = BASE + TOP20_CTES + PROV_CTES + [
+    f"rq0 AS (SELECT contract_id, clause_idx, text, label, contract_id * 100000 + clause_idx AS qid, {_vec_sql('text')} AS cnt FROM top20)",
+    "rq AS (SELECT *, CASE WHEN sqrt(list_sum(list_transform(cnt, lambda v: v * v))) > 0 THEN "
+    "list_transform(cnt, lambda v: v / sqrt(list_sum(list_transform(cnt, lambda w: w * w)))) ELSE cnt END AS v FROM rq0)",
+    f"cv0 AS (SELECT clause_id, clause, label AS lab_str, {_vec_sql('clause')} AS cnt FROM corpus)",
+    "cv AS (SELECT *, CASE WHEN sqrt(list_sum(list_transform(cnt, lambda v: v * v))) > 0 THEN "
+    "list_transform(cnt, lambda v: v / sqrt(list_sum(list_transform(cnt, lambda w: w * w)))) ELSE cnt END AS v FROM cv0)",
+    "kd AS (SELECT q.qid, c.clause_id, round(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d "
+    "FROM rq q CROSS JOIN cv c)",
+    f"kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, clause_id) AS rank FROM kd) WHERE rank <= {lx.RETRIEVAL_K})",
+    "refs AS (SELECT kr.qid, string_agg(chr(10) || CAST(kr.rank AS VARCHAR) || '. \"' || cv.clause || '\"' || chr(10) || '   (Label: ' "
+    "|| replace(cv.lab_str, '|', ', ') || ')' || chr(10), '' ORDER BY kr.rank) AS refs, count(*) AS n FROM kr JOIN cv USING (clause_id) GROUP BY kr.qid)",
+]
+
+
+def _review_inputs(spark, sf):
+    from clauseflow.operators import retrieve as rv
+    top = P.review_contracts(contracts(spark, sf)).persist()
+    q = top.select((F.col("contract_id") * 100000 + F.col("clause_idx")).alias("query_id"),
+                   rv.hashed_bow_vector(F.col("text")).alias("embedding"), "contract_id", "clause_idx")
+    corp = corpus(spark, sf).withColumn("embedding", rv.hashed_bow_vector(F.col("clause"))).persist()
+    hits = rv.knn_exact(q, corp, lx.RETRIEVAL_K, vec="embedding", round_decimals=9)
+    packed = rv.assemble_hits(q.select("query_id"), hits, corp.select("clause_id", "clause", "label"))
+    packed = packed.join(q.select("query_id", "contract_id", "clause_idx"), "query_id").drop("query_id")
+    return top, packed
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@register("rewrite_requests", O.with_ctes(REVIEW_CTES, (
+    "SELECT t.contract_id, t.clause_idx, CAST(coalesce(r.n, 0) AS INTEGER) AS n_refs, md5(coalesce(r.refs, '')) AS refs_md5, "
+    "CAST(length(" + __import__("clauseflow.operators.rewrite", fromlist=["x"]).REWRITE_INSTRUCTION.join(["'", "'"]).replace("''", "'")
+    + " || chr(10) || chr(10) || 'Original Clause:' || chr(10) || t.text || chr(10) || chr(10) || 'Similar Reference Clauses:' || chr(10) "
+    "|| coalesce(r.refs, '') || chr(10) || chr(10) || 'Rewritten Clause:' || chr(10)) AS INTEGER) AS request_chars "
+    "FROM rq t LEFT JOIN refs r ON r.qid = t.qid")))
+def q_rewrite_requests(spark, sf):
+    from clauseflow.operators import rewrite as rw
+    top, packed = _review_inputs(spark, sf)
+    d = top.join(packed, ["contract_id", "clause_idx"], "left")
+    d = d.withColumn("hits", F.coalesce("hits", F.array().cast(packed.schema["hits"].dataType)))
+    return d.select("contract_id", "clause_idx", F.size("hits").cast("int").alias("n_refs"),
+                    F.md5(rw.reference_block(F.col("hits"))).alias("refs_md5"),
+                    F.length(rw.rewrite_request(F.col("text"), F.col("hits"))).cast("int").alias("request_chars"))
+
+
+@register("explain_requests", O.with_ctes(BASE + TOP20_CTES, (
+    "SELECT contract_id, clause_idx, md5(" + _sql_lit(__import__("clauseflow.operators.rewrite", fromlist=["x"]).EXPLAIN_INSTRUCTION)
+    + " || chr(10) || chr(10) || 'Clause Type: ' || label || chr(10) || chr(10) || 'Original Clause:' || chr(10) || '\"' || text || '\"' "
+    "|| chr(10) || chr(10) || 'Rewritten Clause:' || chr(10) || '\"' || '' || '\"' || chr(10) || chr(10) || 'Changes:') AS explain_md5 FROM top20")))
+def q_explain_requests(spark, sf):
+    from clauseflow.operators import rewrite as rw
+    top = P.review_contracts(contracts(spark, sf))
+    return top.select("contract_id", "clause_idx",
+                      F.md5(rw.explain_request(F.col("text"), F.lit(""), F.col("label"))).alias("explain_md5"))
+
+
+@register("review_status", O.with_ctes(BASE + TOP20_CTES, (
+    "SELECT contract_id, count(*) AS n_clauses, 'missing_api_token' AS status FROM top20 GROUP BY contract_id")))
+def q_review_status(spark, sf):
+    from clauseflow.operators import rewrite as rw
+    top, packed = _review_inputs(spark, sf)
+    review = rw.build_review(top, packed, completer=None)
+    return review.groupBy("contract_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.first("status").alias("status"))
+
+
+# =============================================================================================
+# Rows-only checks (no SQL formulation: model fitting, LSH, NFKC, streaming)
+# =============================================================================================
+@register("classify_ml")
+def q_classify_ml(spark, sf):
+    t = cl.label_encode(training_set(spark, sf))
+    t = cl.stratified_split(t, F.concat(F.col("label"), F.lit("|"), F.col("text")), label="label")
+    model = cl.fit_text_classifier(t.filter("split = 'train'"), num_features=1 << 14, max_iter=20)
+    pred = model.transform(t.filter("split = 'test'").withColumn("label_id", F.col("label_id").cast("double")))
+    return pred.select("text", F.col("label_id").cast("int").alias("label_id"),
+                       F.col("prediction").cast("int").alias("pred_id"))
+
+
+@register("knn_lsh")
+def q_knn_lsh(spark, sf):
+    from clauseflow.operators import retrieve as rv
+    split = emb_split(spark, sf).cache()
+    q = split.filter(F.col("split") == "test").select(F.col("vec_id").alias("query_id"), "embedding")
+    c = split.filter(F.col("split") == "train").select(F.col("vec_id").alias("clause_id"), "embedding")
+    return rv.knn_lsh(q, c, lx.RETRIEVAL_K).select("query_id", "rank", "clause_id", r6("distance").alias("distance"))
+
+
+@register("nfkc_normalize")
+def q_nfkc_normalize(spark, sf):
+    c = fx.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return tc.with_nfkc(c, "text", "text_nfkc").select("conv_id", "turn", "text_nfkc")
+
+
+@register("stream_review")
+def q_stream_review(spark, sf):
+    from clauseflow.streaming import stream as st
+    out = st.run_review_stream(spark, sf, fx.contracts_from_documents)
+    return out.select("contract_id", "clause_idx", "label", "risk", r6("confidence").alias("confidence"), "rank")

@@ -53,7 +53,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fx_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contracts(contract_id, path, extension, n_bytes, text) from ``documents``."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contracts_from_documents(read_table(spark, sf_dir, "documents"))
+
+
+def contracts_from_documents(docs: DataFrame) -> DataFrame:
+    """One contract per document row (works on batch and streaming frames)."""
+    docs = docs.select("doc_id", "text")
     sent = tc.lx.lit_array(SENTENCES)
     d = F.col("doc_id")
 
