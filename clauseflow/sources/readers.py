@@ -60,7 +60,7 @@ def extension_of(path: Column) -> Column:
 def read_text_contracts(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
     """One row per .txt file (whole text, universal newlines).  Whole-text
     files are unsplittable, so the result is spread round-robin afterwards."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     df = raw.select(F.col("_metadata.file_path").alias("path"),
                     F.col("_metadata.file_size").alias("n_bytes"),
                     F.regexp_replace("value", "\r\n?", "\n").alias("text"))
