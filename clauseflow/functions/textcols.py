@@ -1,8 +1,9 @@
 """Column functions for clause text (no actions, no UDFs on the hot path).
 
-Whitespace follows Python's ``str.split()`` / ``\\s`` (Unicode White_Space plus
-the four ASCII separators 0x1C-0x1F): Java's ``\\s`` is ASCII-only, so every
-pattern is compiled with ``(?U)`` and the extra range.
+Whitespace follows Python's ``str.split()`` / ``\\s``: Java's ``\\s`` is
+ASCII-only, so patterns use an explicit class holding exactly the characters
+for which ``str.isspace()`` is true (a plain range check, much cheaper than
+Java's Unicode-class mode).
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql.types import StringType
 
 from clauseflow.functions import lexicon as lx
 
-WS = r"[\s\x1c-\x1f]"          # one Python-style whitespace character (use with (?U))
-U = "(?U)"
+# FIXED VALUES: the characters Python treats as whitespace (str.isspace / re \s).
+WS_CHARS = r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{WS_CHARS}]"     # one Python-style whitespace character
+U = ""                    # no Unicode-class mode needed with the explicit class
 
 
 def _c(col) -> Column:
@@ -76,14 +79,20 @@ def normalize_clause_text(df: DataFrame, col: str, out: str) -> DataFrame:
 def similarity_norm(col) -> Column:
     """Lower, anything but [a-z0-9] / whitespace to a space, collapse, strip."""
     lowered = F.lower(_c(col))
-    return clean_text(F.regexp_replace(lowered, f"{U}[^a-z0-9\\s\\x1c-\\x1f]", " "))
+    return clean_text(F.regexp_replace(lowered, f"[^a-z0-9{WS_CHARS}]", " "))
 
 
 # -- T4 ----------------------------------------------------------------------
 def word_count(col) -> Column:
-    """``len(text.split())`` (Spark's split of '' returns one element)."""
-    s = strip_ws(col)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{U}{WS}+")))
+    """``len(text.split())``: number of maximal non-whitespace runs."""
+    return F.coalesce(F.regexp_count(_c(col), F.lit(f"[^{WS_CHARS}]+")), F.lit(0))
+
+
+def word_count_clean(col) -> Column:
+    """Word count of text already passed through ``clean_text`` (single spaces,
+    stripped): spaces + 1, no regex."""
+    c = _c(col)
+    return F.when(c == "", F.lit(0)).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
 
 
 def char_len(col) -> Column:
@@ -173,8 +182,7 @@ def truncate_tokens(tokens, n: int = lx.MAX_TOKENS) -> Column:
 # -- G3 ----------------------------------------------------------------------
 def word_count_stripped(s) -> Column:
     """``len(text.split())`` for text that is already stripped."""
-    s = _c(s)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{U}{WS}+")))
+    return word_count(s)
 
 
 def is_valid_clause(col, stripped: bool = False) -> Column:

@@ -17,14 +17,15 @@ from clauseflow.functions import textcols as tc
 U, WS = tc.U, tc.WS
 MARK = "\u0001"
 # A section opens at "<digits>.<digits>" followed by whitespace.
-SECTION_OPEN = f"{U}(\\d+\\.\\d+{WS}+)"
-SECTION_HEAD = f"{U}^(\\d+\\.\\d+){WS}+"
-CLAUSE_SPLIT = f"{U};{WS}+|\\.{WS}+"
+D = r"\p{Nd}"   # Python's \d: any Unicode decimal digit
+SECTION_OPEN = f"({D}+\\.{D}+{WS}+)"
+SECTION_HEAD = f"^({D}+\\.{D}+){WS}+"
+CLAUSE_SPLIT = f";{WS}+|\\.{WS}+"
 
 
 def _section_text(part: Column) -> Column:
     """"<no><ws><body>" -> "<no> <stripped body>"."""
-    no = F.regexp_extract(part, f"{U}^(\\d+\\.\\d+)", 1)
+    no = F.regexp_extract(part, f"^({D}+\\.{D}+)", 1)
     body = F.regexp_replace(part, SECTION_HEAD, "")
     return F.concat(no, F.lit(" "), tc.strip_ws(body))
 
@@ -66,7 +67,7 @@ def split_sections(df: DataFrame, key: str = "contract_id", text: str = "text")
     out = df.select(key, F.posexplode(sections_array(text)).alias("section_idx", "section_text"))
     return out.withColumn(
         "section_no",
-        F.nullif(F.regexp_extract("section_text", f"{U}^(\\d+\\.\\d+) ", 1), F.lit("")),
+        F.nullif(F.regexp_extract("section_text", f"^({D}+\\.{D}+) ", 1), F.lit("")),
     ).select(key, "section_idx", "section_no", "section_text")
 
 

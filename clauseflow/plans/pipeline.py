@@ -85,7 +85,7 @@ def build_corpus(lines: DataFrame, value: str = "value", line_no: str = "line_no
     """P5 (first half): S6 parse (bad lines skipped) -> T2 clean -> F1 20..300 words."""
     from clauseflow.sources import readers as rd
     p = rd.parse_provision_lines(lines, value).filter("ok")
-    p = p.withColumn("clause", tc.clean_text("provision")).withColumn("n_words", tc.word_count("clause"))
+    p = p.withColumn("clause", tc.clean_text("provision")).withColumn("n_words", tc.word_count_clean("clause"))
     p = p.filter(F.col("n_words").between(lx.CORPUS_MIN_WORDS, lx.CORPUS_MAX_WORDS))
     return p.select(F.col(line_no).cast("long").alias("clause_id"), "clause", "source", "label", "n_words")
 

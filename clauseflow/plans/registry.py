@@ -518,7 +518,7 @@ def provisions(spark, sf):
 
 
 def corpus(spark, sf):
-    return P.build_corpus(fx.fx_provisions(spark, sf))
+    return P.build_corpus(P.spread(fx.fx_provisions(spark, sf)))
 
 
 @register("provision_parse", O.with_ctes(PROV_CTES, (
