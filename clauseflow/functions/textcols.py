@@ -1,9 +1,16 @@
 """Column functions for clause text (no actions, no UDFs on the hot path).
 
 Whitespace follows Python's ``str.split()`` / ``\\s``: Java's ``\\s`` is
-ASCII-only, so patterns use an explicit class holding exactly the characters
-for which ``str.isspace()`` is true (a plain range check, much cheaper than
-Java's Unicode-class mode).
+ASCII-only, so patterns use ``(?U)`` (Unicode White_Space) plus the four ASCII
+separators 0x1C-0x1F, which together are exactly the characters for which
+``str.isspace()`` is true.  (An explicit list of the same characters is
+measurably slower in Java: a chain of range predicates instead of one
+property test.)
+
+Filters on columns derived from long texts are written against the raw column
+where the value is the same (e.g. the word count of cleaned text equals that of
+the raw text): Catalyst pushes a filter below a projection by inlining the
+alias, which would re-evaluate the expensive expression in the predicate.
 """
 
 from __future__ import annotations
@@ -17,16 +24,27 @@ from pyspark.sql.types import StringType
 
 from clauseflow.functions import lexicon as lx
 
-# FIXED VALUES: the characters Python treats as whitespace (str.isspace / re \s).
-WS_CHARS = r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS = f"[{WS_CHARS}]"     # one Python-style whitespace character
-U = ""                    # no Unicode-class mode needed with the explicit class
+WS_CHARS = r"\s\x1c-\x1f"   # inside a class, with (?U): Python's whitespace set
+WS = f"[{WS_CHARS}]"          # one Python-style whitespace character (use with U)
+U = "(?U)"
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def with_computed(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add expensive derived columns so that they are evaluated once.
+
+    ``withColumn`` + ``filter`` lets Catalyst push the filter below the
+    projection by inlining the expression, so it runs again in the predicate.
+    Columns produced by a generator cannot be inlined: a one-element ``inline``
+    pins them (the filter stays above, the expression is computed once).
+    """
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in cols.items()]))))
+
+
 # -- T2 / whitespace ---------------------------------------------------------
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
@@ -79,13 +97,13 @@ def normalize_clause_text(df: DataFrame, col: str, out: str) -> DataFrame:
 def similarity_norm(col) -> Column:
     """Lower, anything but [a-z0-9] / whitespace to a space, collapse, strip."""
     lowered = F.lower(_c(col))
-    return clean_text(F.regexp_replace(lowered, f"[^a-z0-9{WS_CHARS}]", " "))
+    return clean_text(F.regexp_replace(lowered, f"{U}[^a-z0-9{WS_CHARS}]", " "))
 
 
 # -- T4 ----------------------------------------------------------------------
 def word_count(col) -> Column:
     """``len(text.split())``: number of maximal non-whitespace runs."""
-    return F.coalesce(F.regexp_count(_c(col), F.lit(f"[^{WS_CHARS}]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(_c(col), F.lit(f"{U}[^{WS_CHARS}]+")), F.lit(0))
 
 
 def word_count_clean(col) -> Column:

@@ -24,12 +24,11 @@ def _label_lookup(df: DataFrame, label_col: str = "_label_canon") -> DataFrame:
 
 def with_risk(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Adds risk, risk_score, reason (phrases beat labels; see lexicon)."""
-    d = (df.withColumn("_label_canon", tc.canon_label(label))
-         .withColumn("_lower", F.lower(tc.strip_ws(F.coalesce(F.col(text), F.lit(""))))))
+    d = df.withColumn("_label_canon", tc.canon_label(label))
+    lowered = F.lower(tc.strip_ws(F.coalesce(F.col(text), F.lit(""))))
+    d = tc.with_computed(d, {"_hi": tc.first_match(lowered, lx.HIGH_RISK_PHRASES),
+                             "_med": tc.first_match(lowered, lx.MEDIUM_RISK_PHRASES)})
     d = _label_lookup(d)
-    hi = tc.first_match("_lower", lx.HIGH_RISK_PHRASES)
-    med = tc.first_match("_lower", lx.MEDIUM_RISK_PHRASES)
-    d = d.withColumn("_hi", hi).withColumn("_med", med)
     lab = F.col("_label_canon")
     tier = F.coalesce(F.col("_tier"), F.lit("LOW"))
     risk = (F.when(F.col("_hi").isNotNull(), F.lit("HIGH"))
@@ -48,7 +47,7 @@ def with_risk(df: DataFrame, text: str = "text", label: str = "label") -> DataFr
               .otherwise(label_reason))
     d = d.withColumn("risk", risk).withColumn("reason", reason)
     d = d.withColumn("risk_score", risk_score(F.col("risk")))
-    return d.drop("_label_canon", "_lower", "_tier", "_desc", "_hi", "_med")
+    return d.drop("_label_canon", "_tier", "_desc", "_hi", "_med")
 
 
 def risk_order(risk: Column) -> Column:
@@ -83,7 +82,7 @@ def bias_struct(text, fix_word_boundaries: bool = False) -> Column:
 
 
 def with_bias(df: DataFrame, text: str = "text", fix_word_boundaries: bool = False) -> DataFrame:
-    return (df.withColumn("_bias", bias_struct(text, fix_word_boundaries))
+    return (tc.with_computed(df, {"_bias": bias_struct(text, fix_word_boundaries)})
             .withColumn("is_one_sided", F.col("_bias.is_one_sided"))
             .withColumn("bias_score", F.col("_bias.bias_score"))
             .withColumn("triggers", F.col("_bias.triggers")).drop("_bias"))
@@ -91,7 +90,7 @@ def with_bias(df: DataFrame, text: str = "text", fix_word_boundaries: bool = Fal
 
 def _common_filters(df: DataFrame, min_confidence: float) -> DataFrame:
     """F6 + F3 (cheap predicates first; NULL confidence counts as 0, NaN passes)."""
-    return (df.withColumn("text", tc.strip_ws(F.coalesce(F.col("text"), F.lit(""))))
+    return (tc.with_computed(df, {"text": tc.strip_ws(F.coalesce(F.col("text"), F.lit("")))})
             .filter(F.col("text") != "")
             .withColumn("confidence", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)))
             .filter(F.col("confidence") >= F.lit(min_confidence)))

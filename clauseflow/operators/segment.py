@@ -18,9 +18,9 @@ U, WS = tc.U, tc.WS
 MARK = "\u0001"
 # A section opens at "<digits>.<digits>" followed by whitespace.
 D = r"\p{Nd}"   # Python's \d: any Unicode decimal digit
-SECTION_OPEN = f"({D}+\\.{D}+{WS}+)"
-SECTION_HEAD = f"^({D}+\\.{D}+){WS}+"
-CLAUSE_SPLIT = f";{WS}+|\\.{WS}+"
+SECTION_OPEN = f"{U}({D}+\\.{D}+{WS}+)"
+SECTION_HEAD = f"{U}^({D}+\\.{D}+){WS}+"
+CLAUSE_SPLIT = f"{U};{WS}+|\\.{WS}+"
 
 
 def _section_text(part: Column) -> Column:

@@ -74,7 +74,8 @@ def build_training_set(qa_docs: DataFrame, keep: list[str] | None = None) -> Dat
          .withColumn("label", tc.quoted_label(F.col("question")))
          .filter(F.col("answer").isNotNull() & (F.col("answer") != "")))
     d = tc.normalize_clause_text(d, "answer", "text")
-    d = (d.withColumn("n_words", tc.word_count("text")).withColumn("n_chars", F.length("text"))
+    d = (tc.with_computed(d, {"text": F.col("text")})
+         .withColumn("n_words", tc.word_count("text")).withColumn("n_chars", F.length("text"))
          .filter((F.col("text") != "") & (F.col("n_words") >= lx.TRAIN_MIN_WORDS)
                  & F.col("n_chars").between(lx.TRAIN_MIN_CHARS, lx.TRAIN_MAX_CHARS)))
     order = [*keep, "d_idx", "p_idx", "q_idx", "a_idx"]
@@ -85,8 +86,10 @@ def build_corpus(lines: DataFrame, value: str = "value", line_no: str = "line_no
     """P5 (first half): S6 parse (bad lines skipped) -> T2 clean -> F1 20..300 words."""
     from clauseflow.sources import readers as rd
     p = rd.parse_provision_lines(lines, value).filter("ok")
-    p = p.withColumn("clause", tc.clean_text("provision")).withColumn("n_words", tc.word_count_clean("clause"))
+    # cleaning keeps the word count, so filter on the raw text (one regex pass)
+    p = p.withColumn("n_words", tc.word_count("provision"))
     p = p.filter(F.col("n_words").between(lx.CORPUS_MIN_WORDS, lx.CORPUS_MAX_WORDS))
+    p = p.withColumn("clause", tc.clean_text("provision"))
     return p.select(F.col(line_no).cast("long").alias("clause_id"), "clause", "source", "label", "n_words")
 
 

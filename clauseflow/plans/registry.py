@@ -696,15 +696,15 @@ def _vec_sql(text: str) -> str:
 
 
 REVIEW_CTES = BASE + TOP20_CTES + PROV_CTES + [
-    f"rq0 AS (SELECT contract_id, clause_idx, text, label, contract_id * 100000 + clause_idx AS qid, {_vec_sql('text')} AS cnt FROM top20)",
-    "rq AS (SELECT *, CASE WHEN sqrt(list_sum(list_transform(cnt, lambda v: v * v))) > 0 THEN "
+    f"rq0 AS MATERIALIZED (SELECT contract_id, clause_idx, text, label, contract_id * 100000 + clause_idx AS qid, {_vec_sql('text')} AS cnt FROM top20)",
+    "rq AS MATERIALIZED (SELECT *, CASE WHEN sqrt(list_sum(list_transform(cnt, lambda v: v * v))) > 0 THEN "
     "list_transform(cnt, lambda v: v / sqrt(list_sum(list_transform(cnt, lambda w: w * w)))) ELSE cnt END AS v FROM rq0)",
-    f"cv0 AS (SELECT clause_id, clause, label AS lab_str, {_vec_sql('clause')} AS cnt FROM corpus)",
-    "cv AS (SELECT *, CASE WHEN sqrt(list_sum(list_transform(cnt, lambda v: v * v))) > 0 THEN "
+    f"cv0 AS MATERIALIZED (SELECT clause_id, clause, label AS lab_str, {_vec_sql('clause')} AS cnt FROM corpus)",
+    "cv AS MATERIALIZED (SELECT *, CASE WHEN sqrt(list_sum(list_transform(cnt, lambda v: v * v))) > 0 THEN "
     "list_transform(cnt, lambda v: v / sqrt(list_sum(list_transform(cnt, lambda w: w * w)))) ELSE cnt END AS v FROM cv0)",
-    "kd AS (SELECT q.qid, c.clause_id, round(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d "
+    "kd AS MATERIALIZED (SELECT q.qid, c.clause_id, round(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d "
     "FROM rq q CROSS JOIN cv c)",
-    f"kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, clause_id) AS rank FROM kd) WHERE rank <= {lx.RETRIEVAL_K})",
+    f"kr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, clause_id) AS rank FROM kd) WHERE rank <= {lx.RETRIEVAL_K})",
     "refs AS (SELECT kr.qid, string_agg(chr(10) || CAST(kr.rank AS VARCHAR) || '. \"' || cv.clause || '\"' || chr(10) || '   (Label: ' "
     "|| replace(cv.lab_str, '|', ', ') || ')' || chr(10), '' ORDER BY kr.rank) AS refs, count(*) AS n FROM kr JOIN cv USING (clause_id) GROUP BY kr.qid)",
 ]
