@@ -181,15 +181,18 @@ def unigrams(norm_col) -> Column:
     return F.filter(F.split(_c(norm_col), " "), lambda w: F.length(w) >= 2)
 
 
+def bigrams_of(toks) -> Column:
+    """Bigrams of consecutive tokens; ``toks`` should be a column reference
+    (array functions re-evaluate expression arguments, never columns)."""
+    t = _c(toks)
+    m = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, 1, m), F.slice(t, 2, m), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def uni_bi_grams(norm_col) -> Column:
     """Unigrams followed by bigrams of consecutive kept unigrams."""
     toks = unigrams(norm_col)
-    bigrams = F.when(
-        F.size(toks) >= 2,
-        F.transform(F.sequence(F.lit(0), F.size(toks) - 2),
-                    lambda i: F.concat(F.get(toks, i), F.lit(" "), F.get(toks, i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(toks, bigrams)
+    return F.concat(toks, bigrams_of(toks))
 
 
 def truncate_tokens(tokens, n: int = lx.MAX_TOKENS) -> Column:

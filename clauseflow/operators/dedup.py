@@ -52,6 +52,11 @@ def exact_dedup(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order + rest])
 
 
+def unseen(new: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """J8 incremental form: rows of ``new`` whose keys are not in ``seen``."""
+    return new.join(seen.select(*keys).distinct(), keys, "left_anti")
+
+
 # -- shared helpers -------------------------------------------------------------
 def _ckpt(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into spark.checkpoint.dir (survives executor loss)."""
@@ -134,7 +139,9 @@ def tfidf_vectors(base: DataFrame, gk: list[str], threshold: float, norm: str =
     Shuffles: df per (gk, tok) and its join back, then one regroup per clause.
     """
     carry = carry or []
-    toks = base.withColumn("_st", F.array_sort(tc.uni_bi_grams(norm))).withColumn("_rev", F.reverse("_st"))
+    toks = tc.with_computed(base, {"_uni": tc.unigrams(norm)})
+    toks = tc.with_computed(toks, {"_st": F.array_sort(F.concat("_uni", tc.bigrams_of("_uni")))})
+    toks = toks.withColumn("_rev", F.reverse("_st"))
     pairs = F.transform(F.array_distinct("_st"), lambda t: F.struct(
         t.alias("tok"),
         (F.size("_st") - F.array_position(F.col("_rev"), t) - F.array_position(F.col("_st"), t) + 2).alias("tf")))

@@ -38,16 +38,24 @@ def deterministic_sample(df: DataFrame, key: str, n: int = lx.CORPUS_SAMPLE_SIZE
 
 
 # -- V2: built-in encoder ------------------------------------------------------------
-def hashed_bow_vector(text: Column, dim: int = 64) -> Column:
-    """Built-in text encoder: unigram counts of the similarity-normalised text
-    hashed into ``dim`` buckets by md5, L2-normalised (array<double>)."""
-    toks = tc.unigrams(tc.similarity_norm(text))
-    buckets = F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long"),
-                                                 F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(norm > 0, F.transform(counts, lambda v: v / norm)).otherwise(counts)
+def with_hashed_vector(df: DataFrame, text: str, out: str = "embedding", dim: int = 64) -> DataFrame:
+    """Built-in text encoder (V2 default): unigram counts of the similarity-
+    normalised text hashed into ``dim`` buckets by md5, L2-normalised.
+    The sorted bucket list is materialised once per row; each bucket's count is
+    its last minus first position (native array search, no per-bucket scan)."""
+    toks = tc.unigrams(tc.similarity_norm(F.col(text)))
+    bk = F.array_sort(F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long"),
+                                                         F.lit(dim))))
+    d = tc.with_computed(df, {"_bk": bk}).withColumn("_bkr", F.reverse("_bk"))
+    counts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda b: F.when(
+        F.array_contains(F.col("_bk"), b),
+        F.size("_bk") - F.array_position(F.col("_bkr"), b) - F.array_position(F.col("_bk"), b) + 2)
+        .otherwise(F.lit(0)).cast("double"))
+    d = tc.with_computed(d, {"_cnt": counts})
+    norm = F.sqrt(F.aggregate("_cnt", F.lit(0.0), lambda a, v: a + v * v))
+    d = tc.with_computed(d, {"_nrm": norm})
+    vec = F.when(F.col("_nrm") > 0, F.transform("_cnt", lambda v: v / F.col("_nrm"))).otherwise(F.col("_cnt"))
+    return d.withColumn(out, vec).drop("_bk", "_bkr", "_cnt", "_nrm")
 
 
 def encode_with_model(df: DataFrame, encode, text: str = "text", out: str = "embedding",

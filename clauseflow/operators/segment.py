@@ -61,6 +61,11 @@ def valid_clause_structs(text) -> Column:
     return F.filter(clause_structs(text), lambda x: tc.is_valid_clause(x["text"], stripped=True))
 
 
+def split_by_section_numbers(text) -> Column:
+    """Same as ``sections_array`` (blank input already gives no sections)."""
+    return sections_array(text)
+
+
 # -- DataFrame forms ----------------------------------------------------------
 def split_sections(df: DataFrame, key: str = "contract_id", text: str = "text") -> DataFrame:
     """sections(contract_id, section_idx, section_no, section_text)."""

@@ -93,6 +93,79 @@ def build_corpus(lines: DataFrame, value: str = "value", line_no: str = "line_no
     return p.select(F.col(line_no).cast("long").alias("clause_id"), "clause", "source", "label", "n_words")
 
 
+def analyze(requests: DataFrame, classifier=None, completer=None, corpus: DataFrame | None = None,
+            encoder_dim: int = 64) -> dict[str, DataFrame]:
+    """Admission (S11/S12) -> P1 -> R3 top 20 -> review (W5) -> status.
+
+    ``requests`` carries (request_id, form_text, filename, n_bytes, file_text).
+    Returns DataFrames: accepted/rejected requests, all clause predictions, the
+    important clauses, and the review rows (with per-row status).
+    """
+    from clauseflow.operators import retrieve as rv
+    from clauseflow.operators import rewrite as rw
+    from clauseflow.sources import readers as rd
+    adm = rd.admission(requests)
+    rejected = adm.filter(F.col("reject_reason").isNotNull() | F.col("analysis_text").isNull()
+                          | tc.is_blank("analysis_text"))
+    accepted = (adm.filter(F.col("reject_reason").isNull() & ~tc.is_blank("analysis_text"))
+                .select(F.col("request_id").alias("contract_id"), F.col("analysis_text").alias("text")))
+    all_clauses = classify_contracts(spread(accepted), classifier)
+    important = rk.top_n_per_contract(important_clauses(all_clauses), rk.important_order())
+    if corpus is not None:
+        q = rv.with_hashed_vector(important, "text", dim=encoder_dim).select(
+            (F.col("contract_id") * 100000 + F.col("clause_idx")).alias("query_id"), "embedding",
+            "contract_id", "clause_idx")
+        corp = rv.with_hashed_vector(corpus, "clause", dim=encoder_dim)
+        hits = rv.knn_exact(q, corp, lx.RETRIEVAL_K)
+        packed = rv.assemble_hits(q.select("query_id"), hits, corp.select("clause_id", "clause", "label"))
+        packed = packed.join(q.select("query_id", "contract_id", "clause_idx"), "query_id").drop("query_id")
+    else:
+        schema = "contract_id long, clause_idx int, hits array<struct<rank:int,clause_id:long,clause:string," \
+                 "label:array<string>,distance:double>>"
+        packed = important.sparkSession.createDataFrame([], schema)
+    review = rw.build_review(important, packed, completer)
+    return {"rejected": rejected, "all_clauses": all_clauses, "clauses": important, "review": review}
+
+
+def build_corpus_index(lines: DataFrame, encode=None, sample_size: int = lx.CORPUS_SAMPLE_SIZE,
+                       dim: int = 64) -> DataFrame:
+    """P5: corpus build -> deterministic sample (only if larger) -> vectors.
+    ``encode`` is a caller-supplied encoder (list[str] -> (n, d)); without one
+    the built-in hashed bag-of-words vector is used."""
+    from clauseflow.operators import retrieve as rv
+    corp = rv.deterministic_sample(build_corpus(lines), "clause_id", sample_size)
+    if encode is not None:
+        return rv.encode_with_model(corp, encode, text="clause")
+    return rv.with_hashed_vector(corp, "clause", dim=dim)
+
+
+def train_and_evaluate(labelled: DataFrame, num_features: int = 1 << 18, max_iter: int = 50) -> dict:
+    """C7 encode -> C8 stratified split -> C9 fit -> C10/C11 metrics, plus the
+    majority-class baseline (C13)."""
+    enc = cl.label_encode(labelled)
+    split = cl.stratified_split(enc, F.concat(F.col("label"), F.lit("|"), F.col("text")), label="label").persist()
+    model = cl.fit_text_classifier(split.filter("split = 'train'"), num_features=num_features, max_iter=max_iter)
+    test = split.filter("split = 'test'")
+    pred = model.transform(test.withColumn("label_id", F.col("label_id").cast("double")))
+    pairs = pred.select(F.col("label_id").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
+    maj = cl.majority_label(split.filter("split = 'train'").select(F.col("label_id").alias("label")))
+    base_pairs = test.select(F.col("label_id").alias("label"), F.lit(maj).cast("int").alias("pred"))
+    return {"model": model, "split_sizes": split.groupBy("split").count(),
+            "metrics": cl.accuracy_weighted_f1(pairs), "report": cl.classification_report(pairs),
+            "baseline": cl.accuracy_weighted_f1(base_pairs)}
+
+
+def score_rewrites_file(spark, path: str, out_path: str | None = None, similarity=None) -> DataFrame:
+    """S10 read -> F7/E1/E2/E3 score -> K7 write a new version -> E4 summary."""
+    from clauseflow.operators import evaluate as ev
+    from clauseflow.sources import readers as rd
+    from clauseflow.sources import sinks as sk
+    scored = ev.score_rewrites(rd.read_rewrites(spark, path), similarity)
+    if out_path:
+        sk.write_scored_rewrites(scored.drop("processed"), out_path)
+    return ev.rewrite_summary(scored)
+
+
 PREDICTION_COLS = ["contract_id", "clause_idx", "text", "label", "confidence", "top_k"]
 
 

@@ -241,6 +241,11 @@ def q_stratified_split(spark, sf):
     return emb_split(spark, sf).select("vec_id", "label", "split")
 
 
+@register("split_sizes", O.with_ctes(EMB_CTES, "SELECT split, count(*) AS n FROM e_split GROUP BY split"))
+def q_split_sizes(spark, sf):
+    return emb_split(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("linear_head_softmax", O.with_ctes(EMB_CTES, "SELECT vec_id, label_id, round(p, 6) AS prob FROM e_p"))
 def q_linear_head_softmax(spark, sf):
     d = emb_scored(spark, sf).select("vec_id", F.explode("probs").alias("p"))
@@ -542,6 +547,14 @@ def q_deterministic_sample(spark, sf):
     return rv.deterministic_sample(corpus(spark, sf), "clause_id").select("clause_id", "clause")
 
 
+@register("sample_preview", O.with_ctes(QA_CTES, (
+    "SELECT text, label FROM qa_train ORDER BY md5('42|' || label || '|' || text), label, text LIMIT 5")))
+def q_sample_preview(spark, sf):
+    from clauseflow.operators import retrieve as rv
+    t = training_set(spark, sf).withColumn("_k", F.concat(F.col("label"), F.lit("|"), F.col("text")))
+    return rv.deterministic_sample(t, "_k", 5).select("text", "label")
+
+
 # =============================================================================================
 # Admission
 # =============================================================================================
@@ -712,10 +725,10 @@ REVIEW_CTES = BASE + TOP20_CTES + PROV_CTES + [
 
 def _review_inputs(spark, sf):
     from clauseflow.operators import retrieve as rv
-    top = P.review_contracts(contracts(spark, sf)).persist()
-    q = top.select((F.col("contract_id") * 100000 + F.col("clause_idx")).alias("query_id"),
-                   rv.hashed_bow_vector(F.col("text")).alias("embedding"), "contract_id", "clause_idx")
-    corp = corpus(spark, sf).withColumn("embedding", rv.hashed_bow_vector(F.col("clause"))).persist()
+    top = dd._ckpt(P.review_contracts(contracts(spark, sf)))
+    q = rv.with_hashed_vector(top, "text").select(
+        (F.col("contract_id") * 100000 + F.col("clause_idx")).alias("query_id"), "embedding", "contract_id", "clause_idx")
+    corp = dd._ckpt(rv.with_hashed_vector(corpus(spark, sf), "clause"))
     hits = rv.knn_exact(q, corp, lx.RETRIEVAL_K, vec="embedding", round_decimals=9)
     packed = rv.assemble_hits(q.select("query_id"), hits, corp.select("clause_id", "clause", "label"))
     packed = packed.join(q.select("query_id", "contract_id", "clause_idx"), "query_id").drop("query_id")
@@ -753,6 +766,20 @@ def q_explain_requests(spark, sf):
                       F.md5(rw.explain_request(F.col("text"), F.lit(""), F.col("label"))).alias("explain_md5"))
 
 
+@register("review_sheet", O.with_ctes(REVIEW_CTES, (
+    "SELECT t.contract_id, t.clause_idx, t.label AS clause_type, CAST(coalesce(h.n, 0) AS INTEGER) AS n_similar, "
+    "coalesce(h.prefixes, '') AS similar_clauses_used FROM rq t LEFT JOIN (SELECT kr.qid, count(*) AS n, "
+    "string_agg(left(cv.clause, 150), '|' ORDER BY kr.rank) AS prefixes FROM kr JOIN cv USING (clause_id) GROUP BY kr.qid) h "
+    "ON h.qid = t.qid")))
+def q_review_sheet(spark, sf):
+    from clauseflow.operators import rewrite as rw
+    top, packed = _review_inputs(spark, sf)
+    sheet = rw.review_sheet(rw.build_review(top, packed, completer=None))
+    return sheet.select("contract_id", "clause_idx", "clause_type",
+                        F.size("similar_clauses_used").cast("int").alias("n_similar"),
+                        F.array_join("similar_clauses_used", "|").alias("similar_clauses_used"))
+
+
 @register("review_status", O.with_ctes(BASE + TOP20_CTES, (
     "SELECT contract_id, count(*) AS n_clauses, 'missing_api_token' AS status FROM top20 GROUP BY contract_id")))
 def q_review_status(spark, sf):
