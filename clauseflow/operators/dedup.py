@@ -59,10 +59,18 @@ def unseen(new: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- shared helpers -------------------------------------------------------------
 def _ckpt(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into spark.checkpoint.dir (survives executor loss)."""
+    """Reliable checkpoint into spark.checkpoint.dir (survives executor loss).
+
+    The plan is persisted first: the checkpoint write is a second job over the
+    same RDD and would otherwise recompute the whole input a second time."""
+    from pyspark import StorageLevel
+
     from clauseflow.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
 
 
 def resolve_greedy(nodes: DataFrame, edges: DataFrame, gk: list[str], max_rounds: int = 10_000) -> DataFrame:

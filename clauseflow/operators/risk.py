@@ -25,9 +25,10 @@ def _label_lookup(df: DataFrame, label_col: str = "_label_canon") -> DataFrame:
 def with_risk(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Adds risk, risk_score, reason (phrases beat labels; see lexicon)."""
     d = df.withColumn("_label_canon", tc.canon_label(label))
-    lowered = F.lower(tc.strip_ws(F.coalesce(F.col(text), F.lit(""))))
-    d = tc.with_computed(d, {"_hi": tc.first_match(lowered, lx.HIGH_RISK_PHRASES),
-                             "_med": tc.first_match(lowered, lx.MEDIUM_RISK_PHRASES)})
+    # lambdas re-evaluate expression arguments per element: pin the lowered text first
+    d = tc.with_computed(d, {"_lw": F.lower(tc.strip_ws(F.coalesce(F.col(text), F.lit(""))))})
+    d = tc.with_computed(d, {"_hi": tc.first_match("_lw", lx.HIGH_RISK_PHRASES),
+                             "_med": tc.first_match("_lw", lx.MEDIUM_RISK_PHRASES)})
     d = _label_lookup(d)
     lab = F.col("_label_canon")
     tier = F.coalesce(F.col("_tier"), F.lit("LOW"))
@@ -47,7 +48,7 @@ def with_risk(df: DataFrame, text: str = "text", label: str = "label") -> DataFr
               .otherwise(label_reason))
     d = d.withColumn("risk", risk).withColumn("reason", reason)
     d = d.withColumn("risk_score", risk_score(F.col("risk")))
-    return d.drop("_label_canon", "_tier", "_desc", "_hi", "_med")
+    return d.drop("_label_canon", "_lw", "_tier", "_desc", "_hi", "_med")
 
 
 def risk_order(risk: Column) -> Column:
@@ -60,10 +61,12 @@ def risk_score(risk: Column) -> Column:
     return F.when(risk == "HIGH", 2).when(risk == "MEDIUM", 1).otherwise(0)
 
 
-def bias_struct(text, fix_word_boundaries: bool = False) -> Column:
-    """R2: struct<is_one_sided, bias_score, triggers> for one clause text."""
-    cleaned = tc.strip_ws(F.coalesce(tc._c(text), F.lit("")))
-    lowered = F.lower(cleaned)
+def bias_struct(text, fix_word_boundaries: bool = False, lowered=None) -> Column:
+    """R2: struct<is_one_sided, bias_score, triggers> for one clause text.
+    Pass ``lowered`` (a column holding lower(strip(text))) to avoid recomputing it
+    inside the phrase lambdas."""
+    lowered = F.lower(tc.strip_ws(F.coalesce(tc._c(text), F.lit("")))) if lowered is None else tc._c(lowered)
+    cleaned = lowered
     hits = tc.weighted_hits(lowered, lx.ONE_SIDED_PHRASES)
     weight = F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["weight"])
     balanced = F.when(tc.any_phrase(lowered, lx.BIAS_BALANCED_PHRASES), -2).otherwise(0)
@@ -82,7 +85,9 @@ def bias_struct(text, fix_word_boundaries: bool = False) -> Column:
 
 
 def with_bias(df: DataFrame, text: str = "text", fix_word_boundaries: bool = False) -> DataFrame:
-    return (tc.with_computed(df, {"_bias": bias_struct(text, fix_word_boundaries)})
+    d = tc.with_computed(df, {"_blw": F.lower(tc.strip_ws(F.coalesce(F.col(text), F.lit(""))))})
+    return (tc.with_computed(d, {"_bias": bias_struct(text, fix_word_boundaries, lowered="_blw")})
+            .drop("_blw")
             .withColumn("is_one_sided", F.col("_bias.is_one_sided"))
             .withColumn("bias_score", F.col("_bias.bias_score"))
             .withColumn("triggers", F.col("_bias.triggers")).drop("_bias"))
