@@ -21,10 +21,15 @@ from clauseflow.operators import risk as rk
 from clauseflow.operators import segment as sg
 
 
-def spread(df: DataFrame, per_task_hint: int | None = None) -> DataFrame:
-    """Round-robin contracts over the cluster's default parallelism."""
-    n = per_task_hint or max(df.sparkSession.sparkContext.defaultParallelism * 2, 1)
-    return df.repartition(n)
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Round-robin contracts over the cluster only when the scan produced too few
+    splits to occupy it (a few large files / row groups).  A large input already
+    has many splits and is left alone: re-shuffling all text would cost a full
+    network pass of the corpus for no gain."""
+    target = target or max(df.sparkSession.sparkContext.defaultParallelism * 2, 1)
+    if df.rdd.getNumPartitions() >= target // 2:
+        return df
+    return df.repartition(target)
 
 
 def classify_contracts(contracts: DataFrame, classifier: Callable[[DataFrame], DataFrame] | None = None,

@@ -59,14 +59,15 @@ def extension_of(path: Column) -> Column:
 
 def read_text_contracts(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
     """One row per .txt file (whole text, universal newlines).  Whole-text
-    files are unsplittable, so the result is spread round-robin afterwards."""
+    files are unsplittable; when they yield too few partitions the rows are
+    spread round-robin afterwards."""
     raw = spark.read.text(path, wholetext=True)
     df = raw.select(F.col("_metadata.file_path").alias("path"),
                     F.col("_metadata.file_size").alias("n_bytes"),
                     F.regexp_replace("value", "\r\n?", "\n").alias("text"))
     df = df.withColumn("contract_id", F.xxhash64("path")).withColumn("extension", extension_of(F.col("path")))
-    n = min_partitions or spark.sparkContext.defaultParallelism * 2
-    return df.select("contract_id", "path", "extension", "n_bytes", "text").repartition(n)
+    from clauseflow.plans.pipeline import spread
+    return spread(df.select("contract_id", "path", "extension", "n_bytes", "text"), min_partitions)
 
 
 # -- S2 ----------------------------------------------------------------------------
