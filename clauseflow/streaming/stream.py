@@ -3,8 +3,9 @@
 New contract files are picked up once each (file-source log in the checkpoint),
 segmented and scored statelessly, and the per-contract review (dedup + top-n,
 which only needs the rows of one contract) runs inside ``foreachBatch`` on
-each micro-batch.  Output is appended to a table in the shared checkpoint
-folder; re-running resumes from the checkpoint (exactly-once per file).
+each micro-batch.  Each micro-batch is written to its own ``epoch_id=N`` directory with overwrite,
+so a replayed batch replaces rather than duplicates its output; re-running
+resumes from the checkpoint (each file processed once).
 """
 
 from __future__ import annotations
@@ -17,16 +18,12 @@ from pyspark.sql import functions as F
 from clauseflow.session import ensure_checkpoint_dir
 
 
-def review_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                  to_contracts, glob: str = "*.parquet", schema=None, dedup_resubmits: bool = False):
-    """Start an availableNow stream: source files -> contracts -> P2 -> parquet.
-
-    ``to_contracts(df) -> contracts DataFrame`` maps the raw rows to
-    (contract_id, path, extension, n_bytes, text).  With ``dedup_resubmits`` a
-    contract whose text hash was already seen within the watermark is skipped
-    (X2, ``dropDuplicatesWithinWatermark``)."""
-    from clauseflow.plans import pipeline as P
-
+def contract_stream(spark: SparkSession, source_dir: str, to_contracts, glob: str = "*.parquet", schema=None,
+                    dedup_resubmits: bool = False) -> DataFrame:
+    """Streaming contracts from new files.  ``to_contracts(df)`` maps raw rows to
+    (contract_id, ..., text).  With ``dedup_resubmits`` a contract whose text
+    hash was already seen within the watermark is skipped (X2,
+    ``dropDuplicatesWithinWatermark``; state is bounded by the watermark)."""
     reader = spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1)
     if schema is not None:
         reader = reader.schema(schema)
@@ -38,11 +35,20 @@ def review_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint
                      .withWatermark("_seen_at", "1 day")
                      .dropDuplicatesWithinWatermark(["_text_sha"])
                      .drop("_seen_at", "_text_sha"))
+    return contracts
+
+
+def review_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
+                  to_contracts, glob: str = "*.parquet", schema=None, dedup_resubmits: bool = False):
+    """Start an availableNow stream: source files -> contracts -> P2 -> parquet."""
+    from clauseflow.plans import pipeline as P
+
+    contracts = contract_stream(spark, source_dir, to_contracts, glob, schema, dedup_resubmits)
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
+        # idempotent per epoch: a replayed micro-batch rewrites its own directory
         review = P.review_contracts(batch)
-        (review.withColumn("epoch_id", F.lit(epoch_id))
-         .write.mode("append").parquet(out_dir))
+        review.write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch_id={epoch_id}"))
 
     return (contracts.writeStream.foreachBatch(each_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -50,7 +56,7 @@ def review_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint
 
 def run_review_stream(spark: SparkSession, sf_dir: str, to_contracts, table: str = "documents") -> DataFrame:
     """Drive the stream over ``<sf_dir>/<table>.parquet`` to completion and return
-    the appended review table."""
+    the review table (all epochs)."""
     base = ensure_checkpoint_dir(spark)
     run = os.path.join(base, f"stream-review-{os.getpid()}-{abs(hash(sf_dir)) % 10**8}")
     out_dir, ckpt = os.path.join(run, "out"), os.path.join(run, "checkpoint")
