@@ -160,9 +160,10 @@ def predict_with_model(df: DataFrame, predict_proba: Callable[[list[str]], np.nd
 def label_encode(df: DataFrame, label: str = "label", out: str = "label_id") -> DataFrame:
     """Alphabetical label -> 0..n-1.  The window runs over the distinct
     label set only (bounded by the number of classes), then is joined back."""
+    from clauseflow.session import broadcast_if_small
     codes = (df.select(label).distinct()
              .withColumn(out, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int")))
-    return df.join(F.broadcast(codes), on=label, how="inner")
+    return df.join(broadcast_if_small(codes), on=label, how="inner")
 
 
 def stratified_split(df: DataFrame, key: Column, label: str = "label", test_fraction: float = 0.2,

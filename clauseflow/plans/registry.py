@@ -406,7 +406,8 @@ def q_correctness_band(spark, sf):
             .agg(F.avg(F.col("v").cast("double")).alias("w"))
             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("ws"))
             .select("label", F.transform("ws", lambda s: s["w"]).alias("centroid")))
-    d = e.join(F.broadcast(cent), "label")   # one row per label: bounded by the class count
+    from clauseflow.session import broadcast_if_small
+    d = e.join(broadcast_if_small(cent, 100_000), "label")   # one row per label, size checked
     sim = ev.cosine(F.col("embedding"), F.col("centroid"))
     return d.select("vec_id", r6(sim).alias("similarity"), ev.correctness_band(sim).alias("correctness"))
 

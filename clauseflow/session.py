@@ -57,3 +57,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
+
+
+def broadcast_if_small(df, max_rows: int = 1_000_000):
+    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows;
+    otherwise leave the join to a shuffle (or to AQE's runtime size check)."""
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
