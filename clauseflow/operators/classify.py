@@ -167,15 +167,30 @@ def label_encode(df: DataFrame, label: str = "label", out: str = "label_id") ->
 
 
 def stratified_split(df: DataFrame, key: Column, label: str = "label", test_fraction: float = 0.2,
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, prefix_hex: int = 3) -> DataFrame:
     """Exactly round(test_fraction * n_label) rows per label go to 'test',
-    chosen by md5(seed || key) order (deterministic at any partitioning)."""
+    the ones first in md5(seed|key) order (deterministic at any partitioning).
+
+    Skew-safe form of "row_number() over (partition by label order by md5)":
+    rows are bucketed by the first ``prefix_hex`` hex digits of the hash (md5
+    order is bucket order first), bucket sizes come from a combinable
+    aggregate, their running totals from a window over the small
+    (label, bucket) table, and rows are ranked only inside their bucket —
+    a very large label is spread over 16^prefix_hex ranking tasks.
+    """
+    from clauseflow.session import broadcast_if_small
     h = F.md5(F.concat(F.lit(str(seed)), F.lit("|"), key.cast("string")))
-    w = Window.partitionBy(label).orderBy(h, key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    d = df.withColumn("_h_rank", F.row_number().over(w)).withColumn("_n", n)
-    return (d.withColumn("split", F.when(F.col("_h_rank") <= F.round(F.col("_n") * test_fraction), "test")
-                         .otherwise("train")).drop("_h_rank", "_n"))
+    d = df.withColumn("_h", h).withColumn("_key", key).withColumn("_b", F.substring("_h", 1, prefix_hex))
+    sizes = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_nb"))
+    wl = Window.partitionBy(label).orderBy("_b")
+    sizes = (sizes.withColumn("_before", F.coalesce(F.sum("_nb").over(
+                wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("_n", F.sum("_nb").over(Window.partitionBy(label)))
+             .withColumn("_k", F.round(F.col("_n") * test_fraction)))
+    d = d.join(broadcast_if_small(sizes.select(label, "_b", "_before", "_k")), [label, "_b"])
+    r = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", "_key"))
+    d = d.withColumn("split", F.when(F.col("_before") + r <= F.col("_k"), "test").otherwise("train"))
+    return d.drop("_h", "_key", "_b", "_before", "_k")
 
 
 # -- metrics (C10, C11, C13) ---------------------------------------------------
