@@ -94,18 +94,25 @@ def split_into_clauses(df: DataFrame, key: str = "contract_id", text: str = "tex
 
 
 def merge_fragments(clauses: DataFrame, key: str = "contract_id", order: str = "clause_idx",
-                    text: str = "text", min_words: int = 12) -> DataFrame:
+                    text: str = "text", min_words: int = 12, block: int = 1024) -> DataFrame:
     """Consecutive short clauses (< min_words) are joined with a space into one
     row emitted before the next long clause; long clauses pass through.
 
-    Gaps-and-islands: island id = number of long clauses seen so far; a short run
-    and the long clause that ends it share an island but stay separate rows.
-    The running sum is a window per contract (ordered, sequential by nature).
+    Gaps-and-islands: island id = number of long clauses before the clause.  The
+    running count is two-level so no task holds a whole contract: long-clause
+    counts per (contract, block of ``block`` positions) come from an aggregate,
+    block offsets from a window over that small table, and the running sum
+    inside a block from a window per (contract, block).
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = (clauses.withColumn("_t", tc.strip_ws(text)).filter(F.col("_t") != "")
          .withColumn("_long", (tc.word_count("_t") >= min_words).cast("int"))
-         .withColumn("_island", F.sum("_long").over(w) - F.col("_long")))
+         .withColumn("_blk", F.floor(F.col(order) / block)))
+    per_blk = c.groupBy(key, "_blk").agg(F.sum("_long").alias("_nl"))
+    per_blk = per_blk.withColumn("_off", F.coalesce(F.sum("_nl").over(
+        Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = c.join(per_blk.select(key, "_blk", "_off"), [key, "_blk"])
+    w = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("_island", F.col("_off") + F.sum("_long").over(w) - F.col("_long"))
     long_rows = c.filter("_long = 1").select(key, F.col(order).alias("first_idx"),
                                              F.col("_t").alias("text"), F.lit(1).alias("n_parts"))
     short_rows = (c.filter("_long = 0").groupBy(key, "_island")

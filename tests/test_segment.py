@@ -60,10 +60,14 @@ def test_numbered_first_sentence_is_dropped(spark):
     assert got == ["Seller shall ship the goods today"]
 
 
-def test_merge_fragments(spark):
+import pytest
+
+
+@pytest.mark.parametrize("block", [1024, 2, 1])
+def test_merge_fragments(spark, block):
     rows = [(1, 0, "Short one shall"), (1, 1, "Another short one"),
             (1, 2, "This clause is long enough to count as a long clause for merging purposes here"),
             (1, 3, "Tail fragment shall")]
     df = spark.createDataFrame(rows, "contract_id long, clause_idx int, text string")
-    got = sorted((r["first_idx"], r["text"], r["n_parts"]) for r in sg.merge_fragments(df).collect())
+    got = sorted((r["first_idx"], r["text"], r["n_parts"]) for r in sg.merge_fragments(df, block=block).collect())
     assert got == [(0, "Short one shall Another short one", 2), (2, rows[2][2], 1), (3, "Tail fragment shall", 1)]
