@@ -26,13 +26,11 @@ contract) reaches the threshold.  Done in three distributed steps:
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from clauseflow.functions import lexicon as lx
 from clauseflow.functions import textcols as tc
