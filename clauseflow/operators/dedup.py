@@ -182,7 +182,9 @@ def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: C
     """
     src = _ckpt(df)          # cut the (long, lambda-heavy) lineage: every later plan stays small
     cg = [*gk, "_label"]
-    base = src.select(*gk, F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("_label"),
+    # NULL labels form their own group (a sentinel keeps them joinable)
+    base = src.select(*gk, F.col(id_col).cast("long").alias("id"),
+                      F.coalesce(F.col(label).cast("string"), F.lit("\u0000")).alias("_label"),
                       order_key.alias("_ok"), tc.similarity_norm(F.col(text)).alias("_norm"))
     base = base.withColumn("_has_tok", F.size(tc.unigrams("_norm")) > 0)
     # 1. collapse copies: every copy after the first of a (gk, label, text) is dropped

@@ -55,6 +55,14 @@ def test_tfidf_dedup_matches_brute_force(spark, max_group, monkeypatch):
     assert sorted(r["clause_idx"] for r in out.collect()) == brute_tfidf_keep(TEXTS, LABELS)
 
 
+def test_tfidf_dedup_null_labels_are_a_group(spark):
+    rows = [(1, 0, "Buyer shall pay the fee now", None), (1, 1, "Buyer shall pay the fee now", None),
+            (1, 2, "Buyer shall pay the fee now", "x")]
+    df = spark.createDataFrame(rows, "contract_id long, clause_idx int, text string, label string")
+    out = dd.semantic_dedup_tfidf(df, ["contract_id"], "clause_idx", F.struct(F.col("clause_idx")))
+    assert sorted(r["clause_idx"] for r in out.collect()) == [0, 2]
+
+
 def test_dense_chain_keeps_a_and_c(spark):
     # A~B (0.71), B~C (0.71), A!~C (0.0): greedy keeps A and C
     a = [1.0, 0.0, 0.0]

@@ -53,3 +53,16 @@ def test_fairness_band_and_merge(spark):
     assert [r["scores"]["clarity"] for r in out] == [1, None, 4]
     s = ev.rewrite_summary(ev.score_rewrites(df)).first()
     assert s["processed"] == 2 and s["avg_fairness"] == 3.5 and s["avg_correctness"] == 1.0
+
+
+def test_lsh_recall_against_exact(spark):
+    """V6 is approximate: measure recall@5 against the exact scan on the embeddings table."""
+    from clauseflow.operators import classify as cl
+    emb = cl.stratified_split(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"), F.col("vec_id"))
+    q = emb.filter("split = 'test'").select(F.col("vec_id").alias("query_id"), "embedding")
+    c = emb.filter("split = 'train'").select(F.col("vec_id").alias("clause_id"), "embedding")
+    exact = {(r["query_id"], r["clause_id"]) for r in rv.knn_exact(q, c, 5).collect()}
+    approx = {(r["query_id"], r["clause_id"]) for r in rv.knn_lsh(q, c, 5).collect()}
+    recall = len(exact & approx) / max(1, len(exact))
+    print(f"LSH recall@5 vs exact: {recall:.3f}")
+    assert 0.0 < recall <= 1.0
