@@ -23,7 +23,7 @@ from clauseflow.functions import lexicon as lx
 from clauseflow.functions import textcols as tc
 
 MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024   # broadcast bound per query block
-MAX_QUERIES_PER_BLOCK = 2048                # bounds the per-batch distance matrix
+QUERY_CHUNK = 2048                          # queries scored together (bounds the distance matrix)
 
 
 # -- V1 ---------------------------------------------------------------------------
@@ -75,26 +75,29 @@ def encode_with_model(df: DataFrame, encode, text: str = "text", out: str = "emb
 
 
 # -- V3: exact kNN by squared L2 --------------------------------------------------------
-def _block_scorer(bq, k: int, corpus_id: str, vec: str, round_decimals: int | None = None, chunk: int = 128):
+def _block_scorer(bq, k: int, corpus_id: str, vec: str, round_decimals: int | None = None, chunk: int = 128,
+                  q_chunk: int = 2048):
     def run(batches):
-        q_ids, q_mat = bq.value
+        q_ids_all, q_all = bq.value
         for pdf in batches:
             if pdf.empty:
                 continue
             C = np.stack(pdf[vec].to_numpy()).astype(np.float64)
             cid = pdf[corpus_id].to_numpy().astype(np.int64)
-            # squared L2 as a sum of squared differences (flat-index arithmetic),
-            # in corpus chunks so the difference tensor stays small
-            D = np.empty((q_mat.shape[0], C.shape[0]))
-            for s in range(0, C.shape[0], chunk):
-                diff = q_mat[:, None, :] - C[None, s:s + chunk, :]
-                D[:, s:s + chunk] = np.einsum("ijk,ijk->ij", diff, diff)
-            if round_decimals is not None:
-                D = np.round(D, round_decimals)
-            kk = min(k, D.shape[1])
-            order = np.lexsort((np.broadcast_to(cid, D.shape), D), axis=1)[:, :kk]
-            yield pd.DataFrame({"query_id": np.repeat(q_ids, kk), "clause_id": cid[order].reshape(-1),
-                                "distance": np.take_along_axis(D, order, axis=1).reshape(-1)})
+            for qs in range(0, q_all.shape[0], q_chunk):       # bounded distance matrix
+                q_mat, q_ids = q_all[qs:qs + q_chunk], q_ids_all[qs:qs + q_chunk]
+                # squared L2 as a sum of squared differences (flat-index arithmetic),
+                # in corpus chunks so the difference tensor stays small
+                D = np.empty((q_mat.shape[0], C.shape[0]))
+                for s in range(0, C.shape[0], chunk):
+                    diff = q_mat[:, None, :] - C[None, s:s + chunk, :]
+                    D[:, s:s + chunk] = np.einsum("ijk,ijk->ij", diff, diff)
+                if round_decimals is not None:
+                    D = np.round(D, round_decimals)
+                kk = min(k, D.shape[1])
+                order = np.lexsort((np.broadcast_to(cid, D.shape), D), axis=1)[:, :kk]
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, kk), "clause_id": cid[order].reshape(-1),
+                                    "distance": np.take_along_axis(D, order, axis=1).reshape(-1)})
     return run
 
 
@@ -104,7 +107,8 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, qu
     """V3: (query_id, rank 1..k, clause_id, distance) by squared L2, ties by clause_id.
 
     Queries travel in blocks bounded by MAX_QUERY_BLOCK_BYTES (their size is
-    measured first); each block is one pass over the corpus.  Missing hits
+    measured first); each block is one pass over the corpus, scored in chunks of
+    QUERY_CHUNK queries so a task's distance matrix stays bounded.  Missing hits
     (k larger than the corpus) simply give fewer rows (no -1 ids).
     """
     stats = queries.select(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
@@ -113,7 +117,7 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, qu
     spark = queries.sparkSession
     if n_q == 0:
         return spark.createDataFrame([], out_schema + ", rank int")
-    per_block = max(1, min(MAX_QUERIES_PER_BLOCK, MAX_QUERY_BLOCK_BYTES // max(1, dim * 8 + 16)))
+    per_block = max(1, MAX_QUERY_BLOCK_BYTES // max(1, dim * 8 + 16))
     n_blocks = (n_q + per_block - 1) // per_block
     keyed = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(vec).alias("_v"))
     if n_blocks > 1:
@@ -128,7 +132,7 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, qu
         q_ids = np.array([r["_qid"] for r in rows], dtype=np.int64)
         q_mat = np.array([r["_v"] for r in rows], dtype=np.float64)
         bq = spark.sparkContext.broadcast((q_ids, q_mat))
-        scorer = _block_scorer(bq, k, corpus_id, vec, round_decimals)
+        scorer = _block_scorer(bq, k, corpus_id, vec, round_decimals, q_chunk=QUERY_CHUNK)
         parts.append(corpus_sel.mapInPandas(scorer, out_schema))
     partial = parts[0]
     for p in parts[1:]:

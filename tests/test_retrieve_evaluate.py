@@ -20,6 +20,18 @@ def test_knn_exact_matches_numpy(spark):
         assert [c for _, c in sorted(got[i])] == want
 
 
+def test_knn_query_chunks_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    Q, C = rng.normal(size=(9, 4)), rng.normal(size=(30, 4))
+    qdf = spark.createDataFrame([(i, Q[i].tolist()) for i in range(9)], "query_id long, embedding array<double>")
+    cdf = spark.createDataFrame([(j, C[j].tolist()) for j in range(30)], "clause_id long, embedding array<double>")
+    base = sorted(tuple(r) for r in rv.knn_exact(qdf, cdf, 3).select("query_id", "rank", "clause_id").collect())
+    monkeypatch.setattr(rv, "QUERY_CHUNK", 2)
+    monkeypatch.setattr(rv, "MAX_QUERY_BLOCK_BYTES", 4 * (4 * 8 + 16))   # 4 queries per block
+    got = sorted(tuple(r) for r in rv.knn_exact(qdf, cdf, 3).select("query_id", "rank", "clause_id").collect())
+    assert got == base and len(got) == 27
+
+
 def test_knn_k_larger_than_corpus(spark):
     qdf = spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, embedding array<double>")
     cdf = spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 2.0])], "clause_id long, embedding array<double>")
