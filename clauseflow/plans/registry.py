@@ -692,6 +692,17 @@ def q_contract_report(spark, sf):
     return rp.contract_report(c, cls, imp, ones)
 
 
+@register("contract_report_grouped", O.with_ctes(BASE + TOP20_CTES, (
+    "SELECT contract_id, label, CAST(count(*) AS INTEGER) AS n_clauses, "
+    "string_agg(CAST(clause_idx AS VARCHAR), '|' ORDER BY clause_idx) AS clause_ids FROM top20 GROUP BY contract_id, label")))
+def q_contract_report_grouped(spark, sf):
+    from clauseflow.operators import report as rp
+    g = rp.grouped_important(P.review_contracts(contracts(spark, sf)))
+    e = g.select("contract_id", F.explode("important_clauses_grouped").alias("label", "clauses"))
+    return e.select("contract_id", "label", F.size("clauses").cast("int").alias("n_clauses"),
+                    F.array_join(F.transform("clauses", lambda c: c["clause_idx"].cast("string")), "|").alias("clause_ids"))
+
+
 @register("risk_rollup", O.with_ctes(BASE + [f"rl AS ({O.risk_select('fx_pred')})"], (
     "SELECT risk, label, count(*) AS n, CAST(GROUPING(risk, label) AS INTEGER) AS gid FROM rl GROUP BY ROLLUP (risk, label)")))
 def q_risk_rollup(spark, sf):
