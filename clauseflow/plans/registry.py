@@ -16,6 +16,7 @@ from clauseflow.functions import lexicon as lx
 from clauseflow.functions import textcols as tc
 from clauseflow.operators import classify as cl
 from clauseflow.operators import dedup as dd
+from clauseflow.operators import rewrite as rw
 from clauseflow.operators import risk as rk
 from clauseflow.operators import segment as sg
 from clauseflow.plans import oracle as O
@@ -753,12 +754,11 @@ def _sql_lit(s: str) -> str:
 
 @register("rewrite_requests", O.with_ctes(REVIEW_CTES, (
     "SELECT t.contract_id, t.clause_idx, CAST(coalesce(r.n, 0) AS INTEGER) AS n_refs, md5(coalesce(r.refs, '')) AS refs_md5, "
-    "CAST(length(" + __import__("clauseflow.operators.rewrite", fromlist=["x"]).REWRITE_INSTRUCTION.join(["'", "'"]).replace("''", "'")
+    "CAST(length(" + _sql_lit(rw.REWRITE_INSTRUCTION)
     + " || chr(10) || chr(10) || 'Original Clause:' || chr(10) || t.text || chr(10) || chr(10) || 'Similar Reference Clauses:' || chr(10) "
     "|| coalesce(r.refs, '') || chr(10) || chr(10) || 'Rewritten Clause:' || chr(10)) AS INTEGER) AS request_chars "
     "FROM rq t LEFT JOIN refs r ON r.qid = t.qid")))
 def q_rewrite_requests(spark, sf):
-    from clauseflow.operators import rewrite as rw
     top, packed = _review_inputs(spark, sf)
     d = top.join(packed, ["contract_id", "clause_idx"], "left")
     d = d.withColumn("hits", F.coalesce("hits", F.array().cast(packed.schema["hits"].dataType)))
@@ -768,11 +768,10 @@ def q_rewrite_requests(spark, sf):
 
 
 @register("explain_requests", O.with_ctes(BASE + TOP20_CTES, (
-    "SELECT contract_id, clause_idx, md5(" + _sql_lit(__import__("clauseflow.operators.rewrite", fromlist=["x"]).EXPLAIN_INSTRUCTION)
+    "SELECT contract_id, clause_idx, md5(" + _sql_lit(rw.EXPLAIN_INSTRUCTION)
     + " || chr(10) || chr(10) || 'Clause Type: ' || label || chr(10) || chr(10) || 'Original Clause:' || chr(10) || '\"' || text || '\"' "
     "|| chr(10) || chr(10) || 'Rewritten Clause:' || chr(10) || '\"' || '' || '\"' || chr(10) || chr(10) || 'Changes:') AS explain_md5 FROM top20")))
 def q_explain_requests(spark, sf):
-    from clauseflow.operators import rewrite as rw
     top = P.review_contracts(contracts(spark, sf))
     return top.select("contract_id", "clause_idx",
                       F.md5(rw.explain_request(F.col("text"), F.lit(""), F.col("label"))).alias("explain_md5"))
@@ -784,7 +783,6 @@ def q_explain_requests(spark, sf):
     "string_agg(left(cv.clause, 150), '|' ORDER BY kr.rank) AS prefixes FROM kr JOIN cv USING (clause_id) GROUP BY kr.qid) h "
     "ON h.qid = t.qid")))
 def q_review_sheet(spark, sf):
-    from clauseflow.operators import rewrite as rw
     top, packed = _review_inputs(spark, sf)
     sheet = rw.review_sheet(rw.build_review(top, packed, completer=None))
     return sheet.select("contract_id", "clause_idx", "clause_type",
@@ -795,7 +793,6 @@ def q_review_sheet(spark, sf):
 @register("review_status", O.with_ctes(BASE + TOP20_CTES, (
     "SELECT contract_id, count(*) AS n_clauses, 'missing_api_token' AS status FROM top20 GROUP BY contract_id")))
 def q_review_status(spark, sf):
-    from clauseflow.operators import rewrite as rw
     top, packed = _review_inputs(spark, sf)
     review = rw.build_review(top, packed, completer=None)
     return review.groupBy("contract_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.first("status").alias("status"))
