@@ -151,12 +151,13 @@ def tfidf_vectors(base: DataFrame, gk: list[str], threshold: float, norm: str =
     pairs = F.transform(F.array_distinct("_st"), lambda t: F.struct(
         t.alias("tok"),
         (F.size("_st") - F.array_position(F.col("_rev"), t) - F.array_position(F.col("_st"), t) + 2).alias("tf")))
-    rows = toks.select(*gk, "id", F.explode(pairs).alias("p")).select(*gk, "id", "p.tok", "p.tf")
+    rows = toks.select(*gk, "id", *carry, F.explode(pairs).alias("p")).select(*gk, "id", *carry, "p.tok", "p.tf")
     dfreq = rows.groupBy(*gk, "tok").agg(F.count(F.lit(1)).alias("dfreq"))
     n = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("n_docs"))
     w = (rows.join(dfreq, [*gk, "tok"]).join(n, gk)
          .withColumn("w", F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("dfreq"))) + 1)))
-    per = (w.groupBy(*gk, "id")
+    # carried columns depend on the clause only: grouping by them avoids a join back
+    per = (w.groupBy(*gk, "id", *carry)
            .agg(F.array_sort(F.collect_list(F.struct("dfreq", "tok", "w"))).alias("_v")))
     n2 = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
     per = per.withColumn("_n2", n2)
@@ -165,10 +166,7 @@ def tfidf_vectors(base: DataFrame, gk: list[str], threshold: float, norm: str =
         x["dfreq"].alias("dfreq"), x["tok"].alias("tok"), (x["w"] / F.sqrt(F.col("_n2"))).alias("u"),
         (F.aggregate(F.slice(F.col("_v"), k + 1, F.size("_v") - k), F.lit(0.0),
                      lambda a, y: a + y["w"] * y["w"]) / F.col("_n2") >= F.lit(t2)).alias("pre")))
-    out = per.select(*gk, "id", vec.alias("vec"))
-    if carry:
-        out = out.join(base.select(*gk, "id", *carry), [*gk, "id"])
-    return out
+    return per.select(*gk, "id", *carry, vec.alias("vec"))
 
 
 def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: Column,
