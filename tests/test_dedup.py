@@ -74,8 +74,10 @@ def test_dense_chain_keeps_a_and_c(spark):
     assert sorted(r["vec_id"] for r in out.collect()) == [1, 3]
 
 
-def test_dense_dedup_independent_of_partitioning(spark):
+@pytest.mark.parametrize("max_group", [2048, 1])
+def test_dense_dedup_independent_of_partitioning(spark, max_group, monkeypatch):
     import random
+    monkeypatch.setattr(dd, "MAX_FOLD_GROUP", max_group)
     rnd = random.Random(3)
     rows = []
     for i in range(60):
