@@ -40,8 +40,11 @@ def rule_classifier(df: DataFrame, key: str = "contract_id", order: str = "claus
     """
     labels = lx.lit_array(lx.LABELS)
     t = F.col(text)
-    lid = ((F.ascii(F.substring(t, 1, 1)) * 7 + F.ascii(F.substring(t, 3, 1)) + F.col(key)) % 41)
-    conf = ((F.col(key) * 37 + F.col(order) * 29) % 100) / F.lit(100.0)
+    # ids may be 64-bit hashes: reduce first so the arithmetic cannot overflow
+    # (identity for ids below 2^31 - 1)
+    k = F.pmod(F.col(key).cast("long"), F.lit(2 ** 31 - 1))
+    lid = ((F.ascii(F.substring(t, 1, 1)) * 7 + F.ascii(F.substring(t, 3, 1)) + k) % 41)
+    conf = ((k * 37 + F.col(order).cast("long") * 29) % 100) / F.lit(100.0)
     top_k = F.array(*[
         F.struct(F.element_at(labels, ((lid + i) % 41 + 1).cast("int")).alias("label"),
                  (conf / F.lit(float(2 ** i))).alias("score")) for i in range(lx.DEFAULT_TOP_K)])

@@ -117,9 +117,11 @@ def analyze(requests: DataFrame, classifier=None, completer=None, corpus: DataFr
     all_clauses = classify_contracts(spread(accepted), classifier)
     important = rk.top_n_per_contract(important_clauses(all_clauses), rk.important_order())
     if corpus is not None:
-        q = rv.with_hashed_vector(important, "text", dim=encoder_dim).select(
-            (F.col("contract_id") * 100000 + F.col("clause_idx")).alias("query_id"), "embedding",
-            "contract_id", "clause_idx")
+        # query ids are assigned once and frozen by a checkpoint (ids stay stable on recompute)
+        keyed = dd._ckpt(important.select("contract_id", "clause_idx", "text")
+                         .withColumn("query_id", F.monotonically_increasing_id()))
+        q = rv.with_hashed_vector(keyed, "text", dim=encoder_dim).select(
+            "query_id", "embedding", "contract_id", "clause_idx")
         corp = rv.with_hashed_vector(corpus, "clause", dim=encoder_dim)
         hits = rv.knn_exact(q, corp, lx.RETRIEVAL_K)
         packed = rv.assemble_hits(q.select("query_id"), hits, corp.select("clause_id", "clause", "label"))

@@ -69,3 +69,28 @@ def test_score_rewrites_file(spark):
     back = {r["id"]: r for r in spark.read.json(os.path.join(d, "out")).collect()}
     assert back[1]["scores"]["clarity"] == 4 and back[1]["scores"]["fairness"] == 4
     assert back[2]["scores"]["fairness"] is None
+
+
+def test_text_files_to_review(spark):
+    """S1 -> P2: whole-text files (CRLF newlines) through segmentation, scoring, dedup, top-n."""
+    from clauseflow.sources import readers as rd
+    d = tempfile.mkdtemp(prefix="cf-txt-")
+    body = ("Intro line.\r\n1.1 Heading. Supplier may end the order without notice at its sole discretion; "
+            "Supplier may end the order without notice at its sole discretion.\r\n"
+            "1.2 Heading. Vendor must allow an audit of its books at any time")
+    for i in range(3):
+        with open(os.path.join(d, f"c{i}.txt"), "w", newline="") as fh:
+            fh.write(body)
+    contracts = rd.read_text_contracts(spark, os.path.join(d, "*.txt"))
+    clauses = P.classify_contracts(contracts)
+    assert clauses.count() == 9                     # 3 valid clauses per file
+    review = P.review_contracts(contracts, min_confidence=0.0).collect()
+    per = {}
+    for r in review:
+        per.setdefault(r["contract_id"], []).append(r)
+    assert len(per) == 3
+    for rows in per.values():
+        texts = [r["text"] for r in sorted(rows, key=lambda r: r["rank"])]
+        # the exact copy (same label) is removed by dedup; ranks are 1..n
+        assert len(texts) == len(set(texts)) and [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == \
+            list(range(1, len(rows) + 1))
