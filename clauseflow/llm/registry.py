@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> (module, function, name of its SQL or None)
 _TABLE = {
+    "op3_license_scan": ("license_scan", "op3", "OP3_SQL"),
+    "op6_secret_scan": ("secret_scan", "op6", "OP6_SQL"),
     "op9_weighted_fair_mix": ("mixing", "op9", "OP9_SQL"),
 }
 
@@ -21,4 +23,5 @@ def _lazy(module: str, function: str) -> Callable[[SparkSession, str], DataFrame
 
 QUERIES = {name: _lazy(module, function) for name, (module, function, _) in _TABLE.items()}
 ORACLE = {name: getattr(import_module(f"clauseflow.llm.{module}"), sql)
-          for name, (module, _, sql) in _TABLE.items() if sql}
+          for name, (module, _, sql) in _TABLE.items()
+          if sql and getattr(import_module(f"clauseflow.llm.{module}"), sql)}
