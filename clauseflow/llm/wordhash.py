@@ -152,8 +152,8 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray
         out[dst] = total[src]
     for r in np.flatnonzero((count > 0) & ~full):
         h = np.full(1, _U(1000 + count[r]), _U)
-        for w in hashes[starts[r]:starts[r + 1]]:
-            h = mix(h + w * _U(3))
+        for k in range(starts[r], starts[r + 1]):
+            h = mix(h + hashes[k:k + 1] * _U(3))
         out[out_at[r]] = h[0]
     return out, out_at
 
