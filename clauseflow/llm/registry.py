@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> (module, function, name of its SQL or None)
 _TABLE = {
+    "op1_packed_ids": ("packing", "op1", None),
     "op3_license_scan": ("license_scan", "op3", "OP3_SQL"),
     "op5_benchmark_leaks": ("decontaminate", "op5", "OP5_SQL"),
     "op6_secret_scan": ("secret_scan", "op6", "OP6_SQL"),
     "op7_warc_round_trip": ("warc", "op7", "OP7_SQL"),
+    "op8_quality": ("quality", "op8", None),
     "op9_weighted_fair_mix": ("mixing", "op9", "OP9_SQL"),
 }
 
