@@ -3,8 +3,9 @@ two-layer network with calibrated probabilities.
 
 Random indexing: every token (hashed to one of ``BUCKETS``) has a sparse random
 index vector; a token's word vector is the sum of its neighbours' index vectors
-over the whole corpus, weighted down for frequent tokens' own mass by
-normalising.  A document is the mean and the spread of its tokens' vectors.
+over the whole corpus, log-scaled and normalised.  A document is the mean and the spread
+of its tokens' vectors, the share of tokens that repeat the one before, and the
+log of their number.
 The network (numpy) is fitted on a bounded sample of labelled rows; a
 temperature, fitted on rows kept aside, calibrates its probabilities.
 """
@@ -24,6 +25,8 @@ BUCKETS, DIM = 1 << 14, 32
 SEEDS = 2
 #: Labelled rows that the network is fitted on, at most.
 MOST_ROWS = 20_000
+#: Values per document.
+WIDTH = 2 * DIM + 2
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +66,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """``docs`` (doc_id, text, ...) as (doc_id, features): mean and standard
-    deviation of the token vectors, 2 x DIM floats; zeros without tokens."""
+    deviation of the token vectors, repeated share and log count, WIDTH floats;
+    zeros without tokens."""
     table = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(vectors.T))
 
     def run(batches):
@@ -73,9 +77,13 @@ def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
                 token, at = _tokens(part.column("text"))
                 size = np.diff(at)
                 full = np.flatnonzero(size)
-                out = np.zeros((len(size), 2 * DIM), np.float32)
+                out = np.zeros((len(size), WIDTH), np.float32)
+                out[:, -1] = np.log1p(size)
                 if len(full):
                     start, n = at[:-1][full], size[full]
+                    again = np.append(False, token[1:] == token[:-1])
+                    again[start] = False
+                    out[full, -2] = np.add.reduceat(again, start, dtype=np.float64) / n
                     for d in range(DIM):
                         x = by_dim[d][token]
                         mean = np.add.reduceat(x, start, dtype=np.float64) / n
@@ -106,8 +114,8 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, batch: int = 256, rate: float = 3e-3,
-        decay: float = 1e-4, seed: int = 7) -> Network:
+def fit(x: np.ndarray, y: np.ndarray, hidden: int = 64, epochs: int = 60, batch: int = 256, rate: float = 3e-3,
+        decay: float = 1e-3, seed: int = 7) -> Network:
     """Adam on the logistic loss over four fifths of the rows, temperature on
     the rest.  Without rows, or with one class only, the network is constant:
     the smoothed share of label 1."""
@@ -157,7 +165,7 @@ def _sample(features: DataFrame, labels: DataFrame, most_rows: int) -> tuple[np.
              .groupBy("__id").agg(F.min("__quality").alias("__quality")))
     rows = (features.join(known, features["doc_id"] == known["__id"]).select("doc_id", "features", "__quality")
             .orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most_rows).collect())
-    x = np.array([np.frombuffer(r["features"], np.float32) for r in rows], float).reshape(len(rows), 2 * DIM)
+    x = np.array([np.frombuffer(r["features"], np.float32) for r in rows], float).reshape(len(rows), WIDTH)
     return x, np.array([r["__quality"] for r in rows], float)
 
 

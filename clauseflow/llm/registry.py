@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _TABLE = {
     "op1_packed_ids": ("packing", "op1", None),
     "op3_license_scan": ("license_scan", "op3", "OP3_SQL"),
+    "op4_vector_links": ("vector_links", "op4", "OP4_SQL"),
     "op5_benchmark_leaks": ("decontaminate", "op5", "OP5_SQL"),
     "op6_secret_scan": ("secret_scan", "op6", "OP6_SQL"),
     "op7_warc_round_trip": ("warc", "op7", "OP7_SQL"),
