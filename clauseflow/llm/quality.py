@@ -64,32 +64,35 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """``docs`` (doc_id, text, ...) as (doc_id, features): mean and standard
-    deviation of the token vectors, repeated share and log count, WIDTH floats;
-    zeros without tokens."""
-    table = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(vectors.T))
-
+def _features(column: pa.Array, by_dim: np.ndarray) -> np.ndarray:
+    """Mean and standard deviation of the token vectors, share of tokens that
+    repeat the one before, log count: WIDTH floats a row, zeros without tokens."""
+    token, at = _tokens(column)
+    size = np.diff(at)
+    full = np.flatnonzero(size)
+    out = np.zeros((len(size), WIDTH), np.float32)
+    out[:, -1] = np.log1p(size)
+    if len(full):
+        start, n = at[:-1][full], size[full]
+        again = np.append(False, token[1:] == token[:-1])
+        again[start] = False
+        out[full, -2] = np.add.reduceat(again, start, dtype=np.float64) / n
+        for d in range(DIM):
+            x = by_dim[d][token]
+            mean = np.add.reduceat(x, start, dtype=np.float64) / n
+            square = np.add.reduceat(x * x, start, dtype=np.float64) / n
+            out[full, d] = mean
+            out[full, DIM + d] = np.sqrt(np.maximum(square - mean * mean, 0))
+    return out
+
+
+def pooled(docs: DataFrame, table) -> DataFrame:
+    """``docs`` (doc_id, text, ...) as (doc_id, features); ``table`` is the
+    broadcast of the word vectors, one row per dimension."""
     def run(batches):
-        by_dim = table.value
         for batch in batches:
             for part in wordhash.slices(batch, "text", 1 << 20):
-                token, at = _tokens(part.column("text"))
-                size = np.diff(at)
-                full = np.flatnonzero(size)
-                out = np.zeros((len(size), WIDTH), np.float32)
-                out[:, -1] = np.log1p(size)
-                if len(full):
-                    start, n = at[:-1][full], size[full]
-                    again = np.append(False, token[1:] == token[:-1])
-                    again[start] = False
-                    out[full, -2] = np.add.reduceat(again, start, dtype=np.float64) / n
-                    for d in range(DIM):
-                        x = by_dim[d][token]
-                        mean = np.add.reduceat(x, start, dtype=np.float64) / n
-                        square = np.add.reduceat(x * x, start, dtype=np.float64) / n
-                        out[full, d] = mean
-                        out[full, DIM + d] = np.sqrt(np.maximum(square - mean * mean, 0))
+                out = _features(part.column("text"), table.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "features"])
 
@@ -169,6 +172,13 @@ def _sample(features: DataFrame, labels: DataFrame, most_rows: int) -> tuple[np.
     return x, np.array([r["__quality"] for r in rows], float)
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, most_rows: int):
+    """Written features of all rows, the broadcast word vectors and the network."""
+    table = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(word_vectors(docs).T))
+    features = common.stash(pooled(docs, table), "quality-features")
+    return features, table, fit(*_sample(features, labels, most_rows))
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows: int = MOST_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
@@ -177,8 +187,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows:
     count as its smallest; null or other labels are not learned from.  A null
     doc_id is not held out (it has no label either).  Without usable labels
     every score is the same."""
-    features = common.stash(pooled(docs, word_vectors(docs)), "quality-features")
-    net = fit(*_sample(features, labels, most_rows))
+    features, _, net = _fitted(docs, labels, most_rows)
 
     def run(batches):
         for batch in batches:
@@ -191,5 +200,17 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows: int = MOST_ROWS) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, all columns."""
+    _, table, net = _fitted(docs, labels, most_rows)
+
+    def run(batches):
+        for batch in batches:
+            for part in wordhash.slices(batch, "text", 1 << 20):
+                good = net.scores(_features(part.column("text"), table.value).astype(float)) >= threshold
+                yield part.filter(pa.array(good))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))

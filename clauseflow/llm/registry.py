@@ -17,6 +17,7 @@ _TABLE = {
     "op7_warc_round_trip": ("warc", "op7", "OP7_SQL"),
     "op8_quality": ("quality", "op8", None),
     "op9_weighted_fair_mix": ("mixing", "op9", "OP9_SQL"),
+    "op10_jaccard_join": ("jaccard_join", "op10", "OP10_SQL"),
 }
 
 
