@@ -4,16 +4,35 @@ sums of fixed-size arrays over all partitions, and connected components."""
 from __future__ import annotations
 
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import clauseflow
 from clauseflow.session import ensure_checkpoint_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python
+    workers import it, and need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_clauseflow_shipped", False):
+        return
+    top = Path(clauseflow.__file__).resolve().parent
+    archive = Path(context._temp_dir) / "clauseflow_package.zip"  # the application's own folder; Spark serves it from there
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._clauseflow_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +47,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
     every later use reads only the columns it needs."""
+    ship(df.sparkSession)
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -41,6 +61,7 @@ def sum_arrays(df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], np.ndar
     ``length`` is a parameter of the caller and does not depend on the data, so
     the array that reaches the driver is bounded.  Each partition emits its
     array in blocks; blocks meet by key and are added up as they stream by."""
+    ship(df.sparkSession)
     n_blocks = -(-length // block)
     schema = "block int, payload binary"
 

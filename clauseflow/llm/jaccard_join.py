@@ -1,15 +1,17 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents are sets of word shingles ("tokens" below).  Equal sets are one class.
-Classes are put into groups of similar ones: candidates that share a MinHash
-value are verified against the most typical member, and connected classes form
-a group.  The token-group matrix holds, per token, the groups whose members
-have it among their rarest tokens.  A class queries it with its own rarest
-tokens: two sets that are similar enough share ``slack`` of these at least, so
-the number of matching tokens bounds the overlap with every member of a group,
-and only groups that reach the bound are opened, member by member, and verified
-exactly.  A group of copies is one column of the matrix, so it costs rows in
-proportion to its size.
+Classes that share a MinHash value are candidates for a star: each is verified
+against the most typical of them, so a family of copies is linked by one pair a
+class.  Classes of one such head and of nearly one size are a group, those that
+are linked apart from the loose ones.  The token-group matrix holds, per token,
+the groups whose members have it among their rarest tokens.  A class queries it
+with its own rarest tokens: how many of them a similar set must share follows
+from the sizes, so the number of matching tokens bounds the overlap with every
+member of a group, and only groups that reach the bound are opened.  Classes
+that open each other's group and are not linked yet are verified exactly.  A
+group of copies is one column of the matrix, so it costs rows in proportion to
+its size.
 
 Rarity is the number of occurrences of all tokens in a token's hash bucket,
 over all documents; any order would give the same result.
@@ -28,6 +30,8 @@ _U = np.uint64
 RARITY_BITS = 18
 #: MinHash values per document, used to form groups only.
 SKETCH = 4
+#: Sizes in a group differ by this factor (1 + BAND) at most.
+BAND = 0.004
 _SEEDS = wordhash.mix(np.arange(1, SKETCH + 1, dtype=_U) * _U(0x8CB92BA72F3D8DD7))
 _PROFILE = ("doc_id long, t long, n long, f1 long, f2 long, rare array<long>, sketch array<long>, common double")
 _SETS = "doc_id long, n long, f1 long, f2 long, tokens array<long>"
@@ -82,7 +86,7 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, slack: int) -> DataFr
                     f1, f2 = _fingerprint(own) if size else (0, 0)
                     for k, v in zip(out, (size, f1, f2, own[take].view(np.int64),
                                           np.array([(wordhash.mix(own ^ s)).min() for s in _SEEDS] if size else [], _U).view(np.int64),
-                                          float(seen.mean()) if size else 0.0)):
+                                          float(np.log1p(seen).mean()) if size else 0.0)):
                         out[k].append(v)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("t"), pa.array(out["n"], pa.int64()),
@@ -119,6 +123,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             .filter(F.col("both") * den >= (F.size("ta") + F.size("tb") - F.col("both")) * num).select("a", "b"))
 
 
+def _need(n: Column, smallest: Column, largest: Column, num: int, den: int, slack: int) -> Column:
+    """How many rare tokens a class of ``n`` tokens shares at least with a
+    similar one of ``smallest`` to ``largest`` tokens.
+
+    If sets of a and b tokens have x in common, the first x - (a - p) of these
+    in the order of rarity are among the p rarest of the one, and likewise for
+    the other.  x grows with the other's size and the rest of its bound is
+    concave in it, so the ends of the range decide; within a range, 1 is taken
+    off for rounding."""
+    low = F.greatest(smallest, F.ceil(n * num / den))
+    high = F.least(largest, F.floor(n * den / num))
+
+    def common_with(m):
+        return F.ceil((n + m) * num / (num + den))
+
+    def spare(m):  # p - size: how far the rare tokens fall short of all
+        return F.least(F.lit(0), slack - F.ceil(m * num / den))
+    least = F.least(spare(n) + common_with(low), spare(low) + common_with(low), spare(high) + common_with(high))
+    return F.greatest(F.lit(1), least - (low < high).cast("int"))
+
+
+def _candidates(entries: DataFrame, num: int, den: int, slack: int) -> DataFrame:
+    """(a, b) to verify, from ``entries(token, node, n, own, part, loose)``:
+    classes of different parts (not yet linked) of which each opens the other's
+    group.  ``own`` is a class's group, ``loose`` that its members are no part."""
+    entries = common.stash(entries, "jaccard-entries")
+    matrix = entries.groupBy("token", F.col("own").alias("other")).agg(F.count("*").alias("holders"))
+    sizes = entries.groupBy(F.col("own").alias("other")).agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    matrix = matrix.join(sizes, "other")
+    meets = ((F.col("other") != F.col("own")) | F.col("loose") & (F.col("holders") > 1)) \
+        & (F.col("largest") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("smallest") * num)
+    one = entries.withColumnRenamed("token", "t")
+    opened = (one.join(matrix, (one["t"] == matrix["token"]) & meets)
+              .groupBy("node", "n", "own", "part", "other", "smallest", "largest").agg(F.count("*").alias("matching"))
+              .filter(F.col("matching") >= _need(F.col("n"), F.col("smallest"), F.col("largest"), num, den, slack))
+              .select("node", "n", "own", "part", "other"))
+    opened = common.stash(opened, "jaccard-opened")
+    # groups that open each other, by parts: a large linked part is one row
+    cell = opened.select("own", "other", "part").distinct()
+    back = cell.select(F.col("own").alias("other"), F.col("other").alias("own"), F.col("part").alias("part_b"))
+    cells = cell.join(back, ["own", "other"]).filter("part < part_b")
+    two = opened.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("other"),
+                        F.col("other").alias("own"), F.col("part").alias("part_b"))
+    return (cells.join(opened, ["own", "other", "part"]).join(two, ["own", "other", "part_b"])
+            .filter(_similar_sizes(F.col("n"), F.col("nb"), num, den))
+            .select(F.col("node").alias("a"), "b").distinct())
+
+
 def members(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slack: int = 4) -> DataFrame:
     """One row per row of ``docs``: doc_id, t (hash of the text), n_shingles,
     root (a number for each component; null for a text without words) and
@@ -150,30 +202,27 @@ def members(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slack: i
     sets = _sets(texts, n).join(active.select("node", *key), key).select("node", "n", "tokens").dropDuplicates(["node"])
     sets = common.stash(sets, "jaccard-sets")
 
-    # groups: the most typical class of each MinHash value and those similar to it
+    # stars: of the classes that share a MinHash value, the most typical one and those similar to it
     sketch = (classes.join(active.select("node"), "node", "left_semi")
               .select("node", "n", "common", F.posexplode("sketch").alias("k", "h")))
     head = (sketch.groupBy("k", "h").agg(F.max(F.struct("common", "n", "node")).alias("head"), F.count("*").alias("members"))
             .filter("members > 1").select("k", "h", "head"))
-    stars = (sketch.join(head, ["k", "h"]).filter(F.col("node") != F.col("head.node"))
+    headed = common.stash(sketch.join(head, ["k", "h"]).select("node", "n", "head"), "jaccard-heads")
+    stars = (headed.filter(F.col("node") != F.col("head.node"))
              .filter(_similar_sizes(F.col("n"), F.col("head.n"), num, den))
              .select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct())
     links = common.stash(_verified(stars, sets, num, den), "jaccard-stars")
-    grouped = common.connected_components(links)
-    group = F.coalesce("root", "node").alias("group")
-    member = active.select("node", "n").join(grouped, "node", "left").select("node", "n", group)
-
-    # the matrix, queried with every class's rare tokens; a group asks those of higher numbers
-    entries = rare.join(grouped, "node", "left").select("token", "node", "n", group)
-    mixed = (entries.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
-             .filter("lo < hi").select("token"))
-    entries = common.stash(entries.join(mixed, "token"), "jaccard-entries")
-    matrix = entries.select("token", F.col("group").alias("other")).distinct()
-    need = F.least(F.lit(slack), F.ceil(F.col("n") * num / den))
-    opened = (entries.join(matrix, "token").filter("other > group")
-              .groupBy("node", "n", "other").agg(F.count("*").alias("matching")).filter(F.col("matching") >= need))
-    pairs = (opened.join(member.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("other")), "other")
-             .filter(_similar_sizes(F.col("n"), F.col("nb"), num, den)).select(F.col("node").alias("a"), "b"))
+    linked = common.connected_components(links)
+
+    # groups: the most typical head that a class has, a band of sizes, and the linked part or none
+    anchor = headed.groupBy("node").agg(F.max("head")["node"].alias("anchor"))
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.0 + BAND)))
+    member = common.stash(
+        active.select("node", "n").join(anchor, "node", "left").join(linked, "node", "left")
+        .select("node", "n", F.xxhash64(F.coalesce("anchor", "node"), band, "root").alias("own"),
+                F.coalesce("root", "node").alias("part"), F.col("root").isNull().alias("loose")),
+        "jaccard-groups")
+    pairs = _candidates(rare.select("token", "node").join(member, "node"), num, den, slack)
     links = links.unionByName(_verified(pairs, sets, num, den))
 
     roots = common.connected_components(links)
