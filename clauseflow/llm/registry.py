@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> (module, function, name of its SQL or None)
 _TABLE = {
     "op1_packed_ids": ("packing", "op1", None),
+    "op2_fuzzy_lines": ("fuzzy_lines", "op2", None),
     "op3_license_scan": ("license_scan", "op3", "OP3_SQL"),
     "op4_vector_links": ("vector_links", "op4", "OP4_SQL"),
     "op5_benchmark_leaks": ("decontaminate", "op5", "OP5_SQL"),
