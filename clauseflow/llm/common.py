@@ -53,6 +53,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_up_to(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df``, a few numbers a row from a written table, with a broadcast hint if
+    it has at most ``most_rows`` rows; beyond that joins shuffle it."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def sum_arrays(df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int,
                block: int = 4096) -> np.ndarray:
     """Element-wise sum, over all partitions of ``df``, of the fixed-length

@@ -34,7 +34,8 @@ SKETCH = 4
 BAND = 0.004
 _SEEDS = wordhash.mix(np.arange(1, SKETCH + 1, dtype=_U) * _U(0x8CB92BA72F3D8DD7))
 _PROFILE = ("doc_id long, t long, n long, f1 long, f2 long, rare array<long>, sketch array<long>, common double")
-_SETS = "doc_id long, n long, f1 long, f2 long, tokens array<long>"
+#: What tells classes apart: the size and 128 bits of a set.
+_KEY = ["n", "f1", "f2"]
 
 
 def _tokens(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,12 +43,6 @@ def _tokens(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     return wordhash.shingles(hashes, starts, n)
 
 
-def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, by sums over its members."""
-    return (int(wordhash.mix(tokens ^ _U(0x243F6A8885A308D3)).sum(dtype=_U).astype(np.int64)),
-            int(wordhash.mix(tokens + _U(0x13198A2E03707344)).sum(dtype=_U).astype(np.int64)))
-
-
 def rarity(docs: DataFrame, n: int) -> np.ndarray:
     """Occurrences of all tokens of all documents by the top bits of their hash."""
     shift = _U(64 - RARITY_BITS)
@@ -67,84 +62,122 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _profiles(docs: DataFrame, n: int, num: int, den: int, slack: int) -> DataFrame:
-    counts = docs.sparkSession.sparkContext.broadcast(rarity(docs, n))
+def _distinct_rows(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct tokens of each row, and where they start; sorts in place."""
+    for i in range(len(at) - 1):
+        token[at[i]:at[i + 1]].sort()
+    new = np.append(True, token[1:] != token[:-1])[:len(token)]
+    new[at[:-1][at[:-1] < len(token)]] = True
+    return token[new], np.append(0, np.cumsum(new))[at] if len(token) else at
+
+
+def _prints(token: np.ndarray, full: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """128 bits for each row's set, by sums over its members; 0 for no tokens."""
+    out = []
+    for salted in (token ^ _U(0x243F6A8885A308D3), token + _U(0x13198A2E03707344)):
+        sums = np.zeros(size, _U)
+        if len(full):
+            sums[full] = np.add.reduceat(wordhash.mix(salted), at[:-1][full])
+        out.append(sums.view(np.int64))
+    return out
+
+
+def _profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    counts = rarity(docs, n)
+    #: occurrences on a logarithmic scale, as the high bits of an order of tokens
+    scale = docs.sparkSession.sparkContext.broadcast((np.log2(counts + 1.0) * 64).astype(_U) << _U(52))
     shift = _U(64 - RARITY_BITS)
 
     def run(batches):
-        count_of = counts.value
         for batch in batches:
             for part in wordhash.slices(batch, "text"):
-                token, at = _tokens(part, n)
-                out = {k: [] for k in ("n", "f1", "f2", "rare", "sketch", "common")}
-                for i in range(part.num_rows):
-                    own = wordhash.distinct(token[at[i]:at[i + 1]])
-                    size = len(own)
-                    seen = count_of[(own >> shift).astype(np.int64)]
-                    least = -(-num * size // den)  # the overlap that any similar set has with this one
-                    take = np.argsort(seen, kind="stable")[:size - least + slack]
-                    f1, f2 = _fingerprint(own) if size else (0, 0)
-                    for k, v in zip(out, (size, f1, f2, own[take].view(np.int64),
-                                          np.array([(wordhash.mix(own ^ s)).min() for s in _SEEDS] if size else [], _U).view(np.int64),
-                                          float(np.log1p(seen).mean()) if size else 0.0)):
-                        out[k].append(v)
+                token, at = _distinct_rows(*_tokens(part, n))
+                size = np.diff(at)
+                full = np.flatnonzero(size)
+                seen = scale.value[(token >> shift).astype(np.int64)]
+                order = seen | token >> _U(12)
+                least = -(-num * size // den)  # the overlap that any similar set has with this one
+                most = np.minimum(size, size - least + 4 + size // 24)
+                rare = []
+                for i in range(len(size)):
+                    own = slice(at[i], at[i + 1])
+                    keep = token[own] if most[i] == size[i] else token[own][np.argpartition(order[own], most[i])[:most[i]]]
+                    rare.append(keep.view(np.int64))
+                f1, f2 = _prints(token, full, at, len(size))
+                common_ = np.zeros(len(size))
+                sketch = np.zeros((len(size), SKETCH), np.int64)
+                if len(full):
+                    common_[full] = np.add.reduceat((seen >> _U(52)).astype(float), at[:-1][full]) / size[full]
+                    for k, seed in enumerate(_SEEDS):
+                        sketch[full, k] = np.minimum.reduceat(wordhash.mix(token ^ seed), at[:-1][full]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("t"), pa.array(out["n"], pa.int64()),
-                     pa.array(out["f1"], pa.int64()), pa.array(out["f2"], pa.int64()), _lists(out["rare"]),
-                     _lists(out["sketch"]), pa.array(out["common"], pa.float64())], names=["doc_id", "t", *out])
+                    [part.column("doc_id"), part.column("t"), pa.array(size.astype(np.int64)), pa.array(f1), pa.array(f2),
+                     _lists(rare), _lists(list(sketch)), pa.array(common_)],
+                    names=["doc_id", "t", "n", "f1", "f2", "rare", "sketch", "common"])
     return common.stash(docs.withColumn("t", F.xxhash64("text")).mapInArrow(run, _PROFILE), "jaccard-profiles")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Whole token sets of ``docs``."""
+def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(node, tokens) of the classes ``wanted(node)``, from the text of each
+    class's first document.  Only these documents' texts are read into sets;
+    where there are few of them, no other text is shuffled."""
+    place = common.stash(classes.select("node", "first", "t", *_KEY).join(wanted, "node"), "jaccard-wanted")
+    ids = common.broadcast_up_to(place.select("first").distinct())
+    some = docs.withColumn("t", F.xxhash64("text"))
+    some = some.join(ids, some["doc_id"].eqNullSafe(ids["first"]), "left_semi")
+
     def run(batches):
         for batch in batches:
             for part in wordhash.slices(batch, "text"):
-                token, at = _tokens(part, n)
-                own = [wordhash.distinct(token[at[i]:at[i + 1]]) for i in range(part.num_rows)]
-                prints = [_fingerprint(x) if len(x) else (0, 0) for x in own]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()),
-                     pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()),
-                     _lists([x.view(np.int64) for x in own])], names=["doc_id", "n", "f1", "f2", "tokens"])
-    return docs.mapInArrow(run, _SETS)
+                token, at = _distinct_rows(*_tokens(part, n))
+                size = np.diff(at)
+                f1, f2 = _prints(token, np.flatnonzero(size), at, len(size))
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(token.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(size.astype(np.int64)), pa.array(f1), pa.array(f2), lists],
+                                                 names=[*_KEY, "tokens"])
+    found = some.mapInArrow(run, "n long, f1 long, f2 long, tokens array<long>")
+    names = common.broadcast_up_to(place.select("node", *_KEY))
+    return common.stash(found.join(names, _KEY).select("node", "tokens").dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _similar_sizes(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets are similar enough."""
+    pairs = common.stash(pairs, "jaccard-pairs")
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, n)
     one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return (pairs.join(one, "a").join(two, "b").withColumn("both", both)
-            .filter(F.col("both") * den >= (F.size("ta") + F.size("tb") - F.col("both")) * num).select("a", "b"))
+    return common.stash(
+        pairs.join(one, "a").join(two, "b").withColumn("both", both)
+        .filter(F.col("both") * den >= (F.size("ta") + F.size("tb") - F.col("both")) * num).select("a", "b"), "jaccard-links")
 
 
-def _need(n: Column, smallest: Column, largest: Column, num: int, den: int, slack: int) -> Column:
+def _need(n: Column, smallest: Column, largest: Column, num: int, den: int) -> Column:
     """How many rare tokens a class of ``n`` tokens shares at least with a
     similar one of ``smallest`` to ``largest`` tokens.
 
     If sets of a and b tokens have x in common, the first x - (a - p) of these
     in the order of rarity are among the p rarest of the one, and likewise for
     the other.  x grows with the other's size and the rest of its bound is
-    concave in it, so the ends of the range decide; within a range, 1 is taken
-    off for rounding."""
+    concave in it up to rounding, so the ends of the range decide; within a
+    range, 2 are taken off for rounding."""
     low = F.greatest(smallest, F.ceil(n * num / den))
     high = F.least(largest, F.floor(n * den / num))
 
     def common_with(m):
         return F.ceil((n + m) * num / (num + den))
 
-    def spare(m):  # p - size: how far the rare tokens fall short of all
-        return F.least(F.lit(0), slack - F.ceil(m * num / den))
-    least = F.least(spare(n) + common_with(low), spare(low) + common_with(low), spare(high) + common_with(high))
-    return F.greatest(F.lit(1), least - (low < high).cast("int"))
+    def missing(m):  # p - size: how far the rare tokens fall short of all
+        return F.least(F.lit(0), F.floor(m / 24) + 4 - F.ceil(m * num / den))
+    least = F.least(missing(n) + common_with(low), missing(low) + common_with(low), missing(high) + common_with(high))
+    return F.greatest(F.lit(1), least - F.when(low < high, 2).otherwise(0))
 
 
-def _candidates(entries: DataFrame, num: int, den: int, slack: int) -> DataFrame:
+def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) to verify, from ``entries(token, node, n, own, part, loose)``:
     classes of different parts (not yet linked) of which each opens the other's
     group.  ``own`` is a class's group, ``loose`` that its members are no part."""
@@ -157,7 +190,7 @@ def _candidates(entries: DataFrame, num: int, den: int, slack: int) -> DataFrame
     one = entries.withColumnRenamed("token", "t")
     opened = (one.join(matrix, (one["t"] == matrix["token"]) & meets)
               .groupBy("node", "n", "own", "part", "other", "smallest", "largest").agg(F.count("*").alias("matching"))
-              .filter(F.col("matching") >= _need(F.col("n"), F.col("smallest"), F.col("largest"), num, den, slack))
+              .filter(F.col("matching") >= _need(F.col("n"), F.col("smallest"), F.col("largest"), num, den))
               .select("node", "n", "own", "part", "other"))
     opened = common.stash(opened, "jaccard-opened")
     # groups that open each other, by parts: a large linked part is one row
@@ -171,7 +204,7 @@ def _candidates(entries: DataFrame, num: int, den: int, slack: int) -> DataFrame
             .select(F.col("node").alias("a"), "b").distinct())
 
 
-def members(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slack: int = 4) -> DataFrame:
+def members(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: doc_id, t (hash of the text), n_shingles,
     root (a number for each component; null for a text without words) and
     component_id.
@@ -183,51 +216,51 @@ def members(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slack: i
     that repeat a doc_id are compared each by its own text.  A component's id
     is its smallest doc_id that is not null."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    profiles = _profiles(docs, n, num, den, slack)
-    key = ["n", "f1", "f2"]
+    profiles = _profiles(docs, n, num, den)
+    key = _KEY
     classes = common.stash(
         profiles.filter("n > 0").groupBy(*key)
-        .agg(F.min("doc_id").alias("first"), F.first("rare").alias("rare"), F.first("sketch").alias("sketch"),
-             F.first("common").alias("common"))
-        .withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+        .agg(F.min(F.struct("doc_id", "t")).alias("p"), F.min("doc_id").alias("least"), F.first("rare").alias("rare"),
+             F.first("sketch").alias("sketch"), F.first("common").alias("common"))
+        .select(*key, F.col("p.doc_id").alias("first"), F.col("p.t").alias("t"), "least", "rare", "sketch", "common",
+                F.monotonically_increasing_id().alias("node")), "jaccard-classes")
 
-    # rare tokens that several classes have, and the whole sets of those classes
+    # rare tokens that several classes have, of classes that have enough of them
     rare = classes.select("node", "n", F.explode("rare").alias("token")).repartition("token")
     shared = rare.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
     rare = common.stash(rare.join(shared, "token").select("token", "node", "n"), "jaccard-rare")
-    active = rare.select("node").distinct().join(classes.select("node", "first", *key), "node")
-    active = common.stash(active, "jaccard-active")
-    wanted = active.select(F.col("first").alias("id")).distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]), "left_semi")
-    sets = _sets(texts, n).join(active.select("node", *key), key).select("node", "n", "tokens").dropDuplicates(["node"])
-    sets = common.stash(sets, "jaccard-sets")
+    enough = (rare.groupBy("node", "n").agg(F.count("*").alias("matching"))
+              .filter(F.col("matching") >= _need(F.col("n"), F.lit(1), F.lit(1 << 62), num, den)).select("node"))
+    rare = common.stash(rare.join(enough, "node").select("token", "node", "n"), "jaccard-rare")
+    active = rare.select("node", "n").distinct()
 
     # stars: of the classes that share a MinHash value, the most typical one and those similar to it
-    sketch = (classes.join(active.select("node"), "node", "left_semi")
-              .select("node", "n", "common", F.posexplode("sketch").alias("k", "h")))
+    sketch = classes.join(active.select("node"), "node", "left_semi").select("node", "n", "common", F.posexplode("sketch").alias("k", "h"))
     head = (sketch.groupBy("k", "h").agg(F.max(F.struct("common", "n", "node")).alias("head"), F.count("*").alias("members"))
             .filter("members > 1").select("k", "h", "head"))
     headed = common.stash(sketch.join(head, ["k", "h"]).select("node", "n", "head"), "jaccard-heads")
     stars = (headed.filter(F.col("node") != F.col("head.node"))
              .filter(_similar_sizes(F.col("n"), F.col("head.n"), num, den))
-             .select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct())
-    links = common.stash(_verified(stars, sets, num, den), "jaccard-stars")
+             .select(F.col("node").alias("a"), "n", F.col("head.node").alias("b"), F.col("head.n").alias("nb")).distinct())
+    stars = (stars.join(rare.select(F.col("node").alias("a"), "token"), "a")
+             .join(rare.select(F.col("node").alias("b"), "token"), ["b", "token"])
+             .groupBy("a", "b", "n", "nb").agg(F.count("*").alias("matching"))
+             .filter(F.col("matching") >= _need(F.col("n"), F.col("nb"), F.col("nb"), num, den)).select("a", "b"))
+    links = _verified(stars, docs, classes, n, num, den)
     linked = common.connected_components(links)
 
     # groups: the most typical head that a class has, a band of sizes, and the linked part or none
     anchor = headed.groupBy("node").agg(F.max("head")["node"].alias("anchor"))
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.0 + BAND)))
-    member = common.stash(
-        active.select("node", "n").join(anchor, "node", "left").join(linked, "node", "left")
-        .select("node", "n", F.xxhash64(F.coalesce("anchor", "node"), band, "root").alias("own"),
-                F.coalesce("root", "node").alias("part"), F.col("root").isNull().alias("loose")),
-        "jaccard-groups")
-    pairs = _candidates(rare.select("token", "node").join(member, "node"), num, den, slack)
-    links = links.unionByName(_verified(pairs, sets, num, den))
+    member = (active.join(anchor, "node", "left").join(linked, "node", "left")
+              .select("node", F.xxhash64(F.coalesce("anchor", "node"), band, "root").alias("own"),
+                      F.coalesce("root", "node").alias("part"), F.col("root").isNull().alias("loose")))
+    pairs = _candidates(rare.join(member, "node"), num, den)
+    links = links.unionByName(_verified(pairs, docs, classes, n, num, den))
 
     roots = common.connected_components(links)
-    per = classes.select("node", "first", *key).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = per.groupBy("root").agg(F.min("first").alias("component_id"))
+    per = classes.select("node", "least", *key).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = per.groupBy("root").agg(F.min("least").alias("component_id"))
     per = per.join(ids, "root").select(*[F.col(k).alias(f"c_{k}") for k in key], "root", "component_id")
     rows = profiles.select("doc_id", "t", *key)
     same = (F.col("n") == F.col("c_n")) & (F.col("f1") == F.col("c_f1")) & (F.col("f2") == F.col("c_f2"))
