@@ -9,6 +9,6 @@ plans/      composite pipelines and the driver query registry
 streaming/  incremental (Structured Streaming) contract scoring
 """
 
-from clauseflow.session import get_spark, checkpoint_dir  # noqa: F401
+from clauseflow.session import get_spark  # noqa: F401
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark"]

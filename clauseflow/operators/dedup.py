@@ -20,8 +20,8 @@ contract) reaches the threshold.  Done in three distributed steps:
    numpy; only edges above the threshold are emitted.
 3. **Greedy resolution.**  A clause is dropped if some earlier neighbour is
    kept and kept if every earlier neighbour is dropped; rounds of one join +
-   aggregate settle clauses until none is open (lineage cut by reliable
-   checkpoints).  No group is ever folded inside a single task.
+   aggregate settle clauses until none is open (each round is a written table).
+   No group is ever folded inside a single task.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from clauseflow.functions import lexicon as lx
 from clauseflow.functions import textcols as tc
+from clauseflow.session import remove_written, written
 
 EPS = 1e-9
-MAX_FOLD_GROUP = 2048   # open nodes per group settled by one in-aggregate fold
 
 
 # -- D1 ------------------------------------------------------------------------
@@ -57,81 +57,46 @@ def unseen(new: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- shared helpers -------------------------------------------------------------
 def _ckpt(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into spark.checkpoint.dir (survives executor loss).
-
-    The plan is persisted first: the checkpoint write is a second job over the
-    same RDD and would otherwise recompute the whole input a second time."""
-    from pyspark import StorageLevel
-
-    from clauseflow.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist(blocking=False)
-    return out
-
-
-def resolve_greedy(nodes: DataFrame, edges: DataFrame, gk: list[str], max_rounds: int = 10_000) -> DataFrame:
-    """Iterative form.  nodes(gk..., id, st in K/D/U), edges(gk..., i, j) with i
-    earlier than j.  Returns nodes with every st in K/D (ordered greedy rule).
-    Each round is one join + aggregate; the status table is checkpointed so the
-    lineage does not grow with the number of rounds."""
-    edges = _ckpt(edges.select(*gk, "i", "j"))
-    status = nodes.select(*gk, "id", "st")
-    for _ in range(max_rounds):
-        open_ = status.filter(F.col("st") == "U").select(*gk, F.col("id").alias("j"))
-        inc = (edges.join(open_, [*gk, "j"], "left_semi")
-               .join(status.select(*gk, F.col("id").alias("i"), F.col("st").alias("st_i")), [*gk, "i"])
-               .groupBy(*gk, "j")
-               .agg(F.max((F.col("st_i") == "K").cast("int")).alias("any_k"),
-                    F.min((F.col("st_i") == "D").cast("int")).alias("all_d")))
-        status = (status.join(inc.withColumnRenamed("j", "id"), [*gk, "id"], "left")
-                  .select(*gk, "id",
-                          F.when(F.col("st") != "U", F.col("st"))
-                          .when(F.col("any_k") == 1, F.lit("D"))
-                          .when(F.col("all_d").isNull() | (F.col("all_d") == 1), F.lit("K"))
-                          .otherwise(F.lit("U")).alias("st")))
-        status = _ckpt(status)
-        if status.filter(F.col("st") == "U").limit(1).count() == 0:
-            break
-    return status
-
-
-def resolve_dropped(nodes: DataFrame, edges: DataFrame, gk: list[str], max_group: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder (lineage cut, survives executor loss)."""
+    return written(df, "dedup")[0]
+
+
+def resolve_dropped(nodes: DataFrame, edges: DataFrame, gk: list[str]) -> DataFrame:
     """Ids (gk..., id) dropped by the ordered greedy rule.
 
-    nodes(gk..., id, _ok, st): st is K (settled kept), D (settled dropped) or U
-    (open); edges(gk..., i, j): i earlier than j, both open.  Only groups that
-    contain an edge need work.  Those with at most ``max_group`` open nodes are
-    settled in one pass: neighbour lists folded in scan order inside one
-    aggregate (bounded work per group).  Larger groups go through
-    ``resolve_greedy`` rounds, so no unbounded group is collected into one task.
-    """
-    max_group = MAX_FOLD_GROUP if max_group is None else max_group
-    edges = _ckpt(edges)
+    nodes(gk..., id, st): st is K (settled kept), D (settled dropped) or U (open);
+    edges(gk..., i, j): i earlier than j, both open.  Only nodes with an edge take
+    part.  A round is one join and aggregate: an open node is dropped once an
+    earlier neighbour is kept, and kept once all of them are dropped.  The first
+    open node of a group is settled in every round, so rounds go on until none
+    is open, however long the chains are; a round that settles nothing is an
+    error.  The status table is written each round and the one before deleted."""
+    spark = nodes.sparkSession
     dropped = nodes.filter(F.col("st") == "D").select(*gk, "id")
-    busy = edges.select(*gk).distinct()
-    open_ = nodes.filter(F.col("st") == "U").join(busy, gk, "left_semi")
-    sizes = _ckpt(open_.groupBy(*gk).agg(F.count(F.lit(1)).alias("_gn")))
-    small_g = sizes.filter(F.col("_gn") <= max_group).select(*gk)
-    nbrs = (edges.join(small_g, gk, "left_semi").groupBy(*gk, "j")
-            .agg(F.collect_list("i").alias("nbrs")).withColumnRenamed("j", "id"))
-    items = (open_.join(small_g, gk, "left_semi").select(*gk, "id", "_ok").join(nbrs, [*gk, "id"], "left")
-             .groupBy(*gk)
-             .agg(F.array_sort(F.collect_list(F.struct("_ok", "id", F.coalesce("nbrs", F.array().cast("array<long>"))
-                                                       .alias("nbrs")))).alias("items")))
-    kept_arr = F.aggregate("items", F.array().cast("array<long>"),
-                           lambda acc, x: F.when(F.arrays_overlap(acc, x["nbrs"]), acc)
-                           .otherwise(F.array_append(acc, x["id"])))
-    all_ids = F.transform("items", lambda x: x["id"])
-    dropped = dropped.unionByName(items.select(*gk, F.explode(F.array_except(all_ids, kept_arr)).alias("id")))
-    if sizes.filter(F.col("_gn") > max_group).limit(1).count() > 0:
-        large_g = sizes.filter(F.col("_gn") > max_group).select(*gk)
-        large_nodes = open_.join(large_g, gk, "left_semi").select(*gk, "id", "st")
-        large_edges = edges.join(large_g, gk, "left_semi")
-        status = resolve_greedy(large_nodes, large_edges, gk)
-        dropped = dropped.unionByName(status.filter(F.col("st") == "D").select(*gk, "id"))
-    return dropped
+    edges, edges_path = written(edges.select(*gk, "i", "j"), "dedup-edges")
+    ends = edges.select(*gk, F.col("i").alias("id")).unionByName(edges.select(*gk, F.col("j").alias("id"))).distinct()
+    status, path = written(ends.withColumn("st", F.lit("U")), "dedup-status")
+    still = status.count()
+    while still:
+        open_ = status.filter(F.col("st") == "U").select(*gk, F.col("id").alias("j"))
+        earlier = status.select(*gk, F.col("id").alias("i"), F.col("st").alias("st_i"))
+        seen = (edges.join(open_, [*gk, "j"], "left_semi").join(earlier, [*gk, "i"]).groupBy(*gk, "j")
+                .agg(F.max((F.col("st_i") == "K").cast("int")).alias("any_k"),
+                     F.min((F.col("st_i") == "D").cast("int")).alias("all_d")))
+        after = (status.join(seen.withColumnRenamed("j", "id"), [*gk, "id"], "left")
+                 .select(*gk, "id",
+                         F.when(F.col("st") != "U", F.col("st"))
+                         .when(F.col("any_k") == 1, F.lit("D"))
+                         .when(F.col("all_d").isNull() | (F.col("all_d") == 1), F.lit("K"))
+                         .otherwise(F.lit("U")).alias("st")))
+        before, (status, new_path) = path, written(after, "dedup-status")
+        remove_written(spark, before)
+        path, left = new_path, status.filter(F.col("st") == "U").count()
+        if left >= still:
+            raise RuntimeError(f"a dedup round settled none of {still} open rows; are the edges ordered?")
+        still = left
+    remove_written(spark, edges_path)
+    return dropped.unionByName(status.filter(F.col("st") == "D").select(*gk, "id"))
 
 
 # -- D2: TF-IDF ---------------------------------------------------------------------
@@ -208,35 +173,39 @@ def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: C
                       lambda acc, e: acc + e["u"] * F.coalesce(F.try_element_at(F.col("mi"), e["tok"]), F.lit(0.0)))
     edges = cand.join(vi, [*gk, "i"]).join(vj, [*gk, "j"]).filter(cos >= F.lit(threshold)).select(*cg, "i", "j")
     # 3. greedy
-    dropped = resolve_dropped(base.select(*cg, "id", "_ok", "st"), edges, cg)
+    dropped = resolve_dropped(base.select(*cg, "id", "st"), edges, cg)
     dropped = dropped.select(*gk, F.col("id").cast(src.schema[id_col].dataType).alias(id_col))
     return src.join(dropped, [*gk, id_col], "left_anti")
 
 
 # -- D3: dense embeddings ---------------------------------------------------------
-def _tile_edges(threshold: float):
+def _tile_edges(threshold: float, n_order: int):
+    """Edges of one tile; rows are ordered by (_o0, _o1, ..., id)."""
+    order = [*[f"_o{k}" for k in range(n_order)], "id"]
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["_side"] == "L"]
-        right = pdf[pdf["_side"] == "R"]
-        if left.empty or right.empty:
+        right = (pdf["_side"] == "R").to_numpy()
+        if right.all() or not right.any():
             return pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64")})
-        A = np.stack(left["_v"].to_numpy()).astype(np.float64)
-        B = np.stack(right["_v"].to_numpy()).astype(np.float64)
-        S = A @ B.T
-        oa = left["_o"].to_numpy()
-        ob = right["_o"].to_numpy()
-        ia, jb = np.nonzero((S >= threshold) & (oa[:, None] < ob[None, :]))
-        ia2, jb2 = np.nonzero((S >= threshold) & (ob[None, :] < oa[:, None]))
-        i = np.concatenate([left["id"].to_numpy()[ia], right["id"].to_numpy()[jb2]])
-        j = np.concatenate([right["id"].to_numpy()[jb], left["id"].to_numpy()[ia2]])
-        out = pd.DataFrame({"i": i.astype("int64"), "j": j.astype("int64")})
-        return out.drop_duplicates()
+        # one rank for each distinct (order, id): in a tile of one block every row is there twice
+        keys = [pdf[c].to_numpy() if c == "id" else pdf[c].fillna(np.inf).to_numpy() for c in order]
+        place = np.lexsort(keys[::-1])
+        rank = np.empty(len(pdf), np.int64)
+        rank[place] = np.cumsum(np.append(False, np.any([k[place][1:] != k[place][:-1] for k in keys], axis=0)))
+        vectors, ids = np.stack(pdf["_v"].to_numpy()).astype(np.float64), pdf["id"].to_numpy().astype("int64")
+        a, b = np.nonzero(vectors[~right] @ vectors[right].T >= threshold)
+        left_rank, right_rank, left_ids, right_ids = rank[~right][a], rank[right][b], ids[~right][a], ids[right][b]
+        first = left_rank < right_rank
+        other = left_rank != right_rank
+        i, j = np.where(first, left_ids, right_ids)[other], np.where(first, right_ids, left_ids)[other]
+        return pd.DataFrame({"i": i, "j": j}).drop_duplicates()
     return fn
 
 
-def dense_edges(df: DataFrame, gk: list[str], vec: str, order_col: str,
+def dense_edges(df: DataFrame, gk: list[str], vec: str, order: list[str],
                 threshold: float = lx.SEMANTIC_DEDUP_THRESHOLD, block_rows: int = 1024) -> DataFrame:
-    """Pairs (i earlier than j) in the same ``gk`` group with dot >= threshold.
+    """Pairs (i earlier than j by ``order``, ties by id) in the same ``gk`` group
+    with dot >= threshold.  ``order`` are numeric columns; nulls come last.
 
     Rows are hashed into ceil(n_group / block_rows) blocks; tile (b1, b2), b1 <= b2,
     is one applyInPandas group holding at most 2 * block_rows vectors.
@@ -245,16 +214,15 @@ def dense_edges(df: DataFrame, gk: list[str], vec: str, order_col: str,
     d = (df.join(sizes, gk)
          .withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int"))
          .withColumn("_b", F.pmod(F.xxhash64(F.col("id")), F.col("_nb")).cast("int")))
-    as_left = d.select(*gk, "id", F.col(vec).alias("_v"), F.col(order_col).cast("long").alias("_o"),
-                       F.col("_b").alias("_t1"), F.explode(F.sequence(F.col("_b"), F.col("_nb") - 1)).alias("_t2"),
+    base = [*gk, "id", F.col(vec).alias("_v"), *[F.col(c).cast("double").alias(f"_o{k}") for k, c in enumerate(order)]]
+    as_left = d.select(*base, F.col("_b").alias("_t1"), F.explode(F.sequence(F.col("_b"), F.col("_nb") - 1)).alias("_t2"),
                        F.lit("L").alias("_side"))
-    as_right = d.select(*gk, "id", F.col(vec).alias("_v"), F.col(order_col).cast("long").alias("_o"),
-                        F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_t1"), F.col("_b").alias("_t2"),
+    as_right = d.select(*base, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_t1"), F.col("_b").alias("_t2"),
                         F.lit("R").alias("_side"))
     tiles = as_left.unionByName(as_right)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*gk).schema.fields]
                        + ["i long", "j long"])
-    fn = _tile_edges(threshold)
+    fn = _tile_edges(threshold, len(order))
 
     def with_keys(key, pdf):
         out = fn(pdf)
@@ -266,14 +234,16 @@ def dense_edges(df: DataFrame, gk: list[str], vec: str, order_col: str,
         lambda key, pdf: with_keys(key[:len(gk)], pdf), schema)
 
 
-def semantic_dedup_embedding(df: DataFrame, gk: list[str], id_col: str, order_col: str,
+def semantic_dedup_embedding(df: DataFrame, gk: list[str], id_col: str, order: list[Column | str] | str,
                              vec: str = "embedding", threshold: float = lx.SEMANTIC_DEDUP_THRESHOLD,
                              block_rows: int = 1024) -> DataFrame:
-    """D3: ordered greedy dedup on unit embeddings inside ``gk`` groups."""
+    """D3: ordered greedy dedup on unit embeddings inside ``gk`` groups.  ``order``
+    are numeric columns, smaller first; rows that tie in all of them go by id."""
     src = _ckpt(df)
-    nodes = src.select(*gk, F.col(id_col).cast("long").alias("id"), F.col(order_col).alias("_o"), vec)
-    edges = dense_edges(nodes, gk, vec, "_o", threshold, block_rows)
-    dropped = resolve_dropped(nodes.select(*gk, "id", F.struct(F.col("_o").cast("long"), F.col("id")).alias("_ok"),
-                                           F.lit("U").alias("st")), edges, gk)
+    order = [F.col(c) if isinstance(c, str) else c for c in ([order] if isinstance(order, str) else order)]
+    names = [f"_ord{k}" for k in range(len(order))]
+    nodes = src.select(*gk, F.col(id_col).cast("long").alias("id"), *[c.alias(n) for c, n in zip(order, names)], vec)
+    edges = dense_edges(nodes, gk, vec, names, threshold, block_rows)
+    dropped = resolve_dropped(nodes.select(*gk, "id", F.lit("U").alias("st")), edges, gk)
     dropped = dropped.select(*gk, F.col("id").cast(src.schema[id_col].dataType).alias(id_col))
     return src.join(dropped, [*gk, id_col], "left_anti")

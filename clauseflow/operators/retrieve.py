@@ -1,13 +1,11 @@
 """V1-V6: sampling, built-in encoder and exact / approximate k-nearest search.
 
-Exact kNN (V3) is a flat scan like a brute-force vector index: every query is
-compared with every corpus vector — the cost is inherent to exact search.  It
-runs as one pass over the corpus: queries are shipped to the tasks in blocks
-whose byte size is checked before broadcasting, each corpus Arrow batch is
-scored with one numpy matrix product, and only the k best per query per batch
-leave the task; a final group-limit keeps the global k.  No pair table is
-ever materialised.  V6 (LSH) is the approximate alternative for corpora past
-brute force.
+Exact kNN (V3) compares every query with every corpus vector, like a flat
+index: the cost is inherent to exact search.  Both sides are cut into blocks of
+a bounded size and a task compares one block of each with numpy; only the k best
+per query leave a task and a final group-limit keeps the global k.  No pair
+table is made and nothing is collected.  V6 partitions the corpus by nearest
+centre and sends each query to a few cells only, for corpora past brute force.
 """
 
 from __future__ import annotations
@@ -22,19 +20,28 @@ from pyspark.sql.window import Window
 from clauseflow.functions import lexicon as lx
 from clauseflow.functions import textcols as tc
 
-MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024   # broadcast bound per query block
-QUERY_CHUNK = 2048                          # queries scored together (bounds the distance matrix)
-
 
 # -- V1 ---------------------------------------------------------------------------
 def md5_rank_key(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def deterministic_sample(df: DataFrame, key: str, n: int = lx.CORPUS_SAMPLE_SIZE, seed: int = 42) -> DataFrame:
+def deterministic_sample(df: DataFrame, key: str, n: int = lx.CORPUS_SAMPLE_SIZE, seed: int = 42,
+                         prefix_hex: int = 3) -> DataFrame:
     """Fixed-size sample: the n rows with the smallest md5(seed|key); all rows if
-    there are fewer.  Planned as TakeOrderedAndProject (n rows per task)."""
-    return df.orderBy(md5_rank_key(F.col(key), seed), F.col(key)).limit(n)
+    there are fewer.  Counts per hash prefix (16^prefix_hex at most) find the
+    bucket that the cut falls in, so only that bucket is sorted."""
+    d = df.withColumn("_h", md5_rank_key(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, prefix_hex))
+    before, cut = 0, None
+    for r in d.groupBy("_b").count().orderBy(F.col("_b").asc_nulls_last()).collect():
+        if before + r["count"] > n:
+            cut = r["_b"]
+            break
+        before += r["count"]
+    if cut is None:
+        return d.drop("_h", "_b")
+    edge = d.filter(F.col("_b") == cut).orderBy("_h", key).limit(n - before)
+    return d.filter(F.col("_b") < cut).unionByName(edge).drop("_h", "_b")
 
 
 # -- V2: built-in encoder ------------------------------------------------------------
@@ -75,71 +82,67 @@ def encode_with_model(df: DataFrame, encode, text: str = "text", out: str = "emb
 
 
 # -- V3: exact kNN by squared L2 --------------------------------------------------------
-def _block_scorer(bq, k: int, corpus_id: str, vec: str, round_decimals: int | None = None, chunk: int = 128,
-                  q_chunk: int = 2048):
-    def run(batches):
-        q_ids_all, q_all = bq.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            C = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            cid = pdf[corpus_id].to_numpy().astype(np.int64)
-            for qs in range(0, q_all.shape[0], q_chunk):       # bounded distance matrix
-                q_mat, q_ids = q_all[qs:qs + q_chunk], q_ids_all[qs:qs + q_chunk]
-                # squared L2 as a sum of squared differences (flat-index arithmetic),
-                # in corpus chunks so the difference tensor stays small
-                D = np.empty((q_mat.shape[0], C.shape[0]))
-                for s in range(0, C.shape[0], chunk):
-                    diff = q_mat[:, None, :] - C[None, s:s + chunk, :]
-                    D[:, s:s + chunk] = np.einsum("ijk,ijk->ij", diff, diff)
-                if round_decimals is not None:
-                    D = np.round(D, round_decimals)
-                kk = min(k, D.shape[1])
-                order = np.lexsort((np.broadcast_to(cid, D.shape), D), axis=1)[:, :kk]
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, kk), "clause_id": cid[order].reshape(-1),
-                                    "distance": np.take_along_axis(D, order, axis=1).reshape(-1)})
+def _best_in_tile(k: int, round_decimals: int | None, chunk: int = 128):
+    """(queries, corpus) of one tile -> the k best per query."""
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "clause_id": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64")})
+        left, right = (np.stack(x["_v"].to_numpy()).astype(np.float64) for x in (q, c))
+        ids, out = c["_id"].to_numpy(), []
+        kk = min(k, len(ids))
+        for at in range(0, len(left), chunk):  # a bounded distance matrix
+            part = left[at:at + chunk]
+            d = np.empty((len(part), len(right)))
+            for s in range(0, len(right), chunk):  # squared differences summed up, as a flat index does
+                diff = part[:, None, :] - right[None, s:s + chunk, :]
+                d[:, s:s + chunk] = np.einsum("ijk,ijk->ij", diff, diff)
+            if round_decimals is not None:
+                d = np.round(d, round_decimals)
+            near = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :kk]
+            out.append(pd.DataFrame({"query_id": np.repeat(q["_id"].to_numpy()[at:at + chunk], kk), "clause_id": ids[near].ravel(),
+                                     "distance": np.take_along_axis(d, near, axis=1).ravel()}))
+        return pd.concat(out)
     return run
 
 
+def _tiled_knn(queries: DataFrame, corpus: DataFrame, k: int, round_decimals: int | None, block_rows: int) -> DataFrame:
+    """k best per query over (_cell, _id, _v) rows that meet in a cell.
+
+    Both sides of a cell are cut into blocks of about ``block_rows`` by a hash of
+    the id; a task compares one block of each.  Nothing passes through the
+    driver; the number of blocks per cell comes from counts joined by cell."""
+    n_q = queries.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nq"))
+    n_c = corpus.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nc"))
+    blocks = n_q.join(n_c, "_cell")
+
+    def dealt(df, own, other, mine, theirs):
+        d = df.join(blocks, "_cell").withColumn(mine, F.pmod(F.xxhash64("_id"), F.col(own)).cast("int"))
+        return d.select("_cell", "_id", "_v", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs))
+    tile = ["_cell", "_bq", "_bc"]
+    q = dealt(queries, "_nq", "_nc", "_bq", "_bc").groupBy(*tile)
+    c = dealt(corpus, "_nc", "_nq", "_bc", "_bq").groupBy(*tile)
+    best = q.cogroup(c).applyInPandas(_best_in_tile(k, round_decimals), "query_id long, clause_id long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "clause_id")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _side(df: DataFrame, id_col: str, vec: str, cell) -> DataFrame:
+    return df.filter(F.col(vec).isNotNull()).select(cell.alias("_cell"), F.col(id_col).cast("long").alias("_id"),
+                                                    F.col(vec).cast("array<double>").alias("_v"))
+
+
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, query_id: str = "query_id",
               corpus_id: str = "clause_id", vec: str = "embedding",
-              round_decimals: int | None = None) -> DataFrame:
+              round_decimals: int | None = None, block_rows: int = 4096) -> DataFrame:
     """V3: (query_id, rank 1..k, clause_id, distance) by squared L2, ties by clause_id.
 
-    Queries travel in blocks bounded by MAX_QUERY_BLOCK_BYTES (their size is
-    measured first); each block is one pass over the corpus, scored in chunks of
-    QUERY_CHUNK queries so a task's distance matrix stays bounded.  Missing hits
-    (k larger than the corpus) simply give fewer rows (no -1 ids).
-    """
-    stats = queries.select(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
-    n_q, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
-    out_schema = "query_id long, clause_id long, distance double"
-    spark = queries.sparkSession
-    if n_q == 0:
-        return spark.createDataFrame([], out_schema + ", rank int")
-    per_block = max(1, MAX_QUERY_BLOCK_BYTES // max(1, dim * 8 + 16))
-    n_blocks = (n_q + per_block - 1) // per_block
-    keyed = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(vec).alias("_v"))
-    if n_blocks > 1:
-        keyed = keyed.withColumn("_blk", F.pmod(F.xxhash64("_qid"), F.lit(n_blocks)))
-    corpus_sel = corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(vec).alias(vec))
-    parts = []
-    for b in range(n_blocks):
-        blk = keyed if n_blocks == 1 else keyed.filter(F.col("_blk") == b)
-        rows = blk.select("_qid", "_v").collect()            # <= MAX_QUERY_BLOCK_BYTES by construction
-        if not rows:
-            continue
-        q_ids = np.array([r["_qid"] for r in rows], dtype=np.int64)
-        q_mat = np.array([r["_v"] for r in rows], dtype=np.float64)
-        bq = spark.sparkContext.broadcast((q_ids, q_mat))
-        scorer = _block_scorer(bq, k, corpus_id, vec, round_decimals, q_chunk=QUERY_CHUNK)
-        parts.append(corpus_sel.mapInPandas(scorer, out_schema))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy("distance", "clause_id")
-    return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumnRenamed("query_id", query_id))
+    Every query block meets every corpus block, the cost of exact search; only
+    the k best per query leave a tile.  Missing hits (k larger than the corpus)
+    simply give fewer rows (no -1 ids)."""
+    one = F.lit(0)
+    found = _tiled_knn(_side(queries, query_id, vec, one), _side(corpus, corpus_id, vec, one), k, round_decimals, block_rows)
+    return found.withColumnsRenamed({"query_id": query_id, "clause_id": corpus_id})
 
 
 # -- V4 / V5 -----------------------------------------------------------------------------
@@ -156,20 +159,51 @@ def assemble_hits(queries: DataFrame, hits: DataFrame, meta: DataFrame, query_id
 
 
 # -- V6 -------------------------------------------------------------------------------------
-def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, query_id: str = "query_id",
-            corpus_id: str = "clause_id", vec: str = "embedding", bucket_length: float = 2.0,
-            num_tables: int = 4, threshold: float = 2.0) -> DataFrame:
-    """Approximate neighbours: random-projection LSH join, exact re-rank by
-    squared L2, k per query.  Recall is measured against ``knn_exact``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), array_to_vector(F.col(vec)).alias("features"))
-    c = corpus.select(F.col(corpus_id).cast("long").alias("cid"), array_to_vector(F.col(vec)).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=42).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="dist")
-    d = pairs.select(F.col("datasetA.qid").alias(query_id), F.col("datasetB.cid").alias(corpus_id),
-                     (F.col("dist") * F.col("dist")).alias("distance"))
-    w = Window.partitionBy(query_id).orderBy("distance", corpus_id)
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def coarse_centres(corpus: DataFrame, vec: str, n_cells: int, most_rows: int = 20_000, rounds: int = 8, seed: int = 42) -> np.ndarray:
+    """Cell centres: k-means over a bounded sample (the first rows by a hash of
+    the vector)."""
+    got = corpus.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"))
+    rows = got.orderBy(F.xxhash64("v")).limit(min(most_rows, 64 * n_cells)).collect()
+    if not rows:
+        return np.empty((0, 0))
+    x = np.array([r["v"] for r in rows], float)
+    rng = np.random.default_rng(seed)
+    centres = x[rng.permutation(len(x))[:n_cells]]
+    for _ in range(rounds):
+        near = ((x ** 2).sum(1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(1)).argmin(axis=1)
+        for c in range(len(centres)):
+            if (near == c).any():
+                centres[c] = x[near == c].mean(axis=0)
+    return centres
+
+
+def knn_cells(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, query_id: str = "query_id",
+              corpus_id: str = "clause_id", vec: str = "embedding", n_cells: int = 16, n_probe: int = 4,
+              block_rows: int = 4096) -> DataFrame:
+    """V6: approximate neighbours for corpora past brute force.  The corpus is
+    partitioned by nearest centre, a query visits its ``n_probe`` nearest cells,
+    and the candidates there are ranked by exact squared L2.  The share of pairs
+    compared is about n_probe / n_cells; recall is measured against
+    ``knn_exact``, and n_probe = n_cells is exact."""
+    spark = corpus.sparkSession
+    centres = coarse_centres(corpus, vec, n_cells)
+    if not len(centres):
+        return knn_exact(queries, corpus, k, query_id, corpus_id, vec, block_rows=block_rows)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def nearest(n):
+        @F.pandas_udf("array<int>")
+        def cells(v: pd.Series) -> pd.Series:
+            if v.empty:
+                return pd.Series([], dtype=object)
+            x = np.stack(v.to_numpy()).astype(np.float64)
+            c = shared.value
+            d = -2 * x @ c.T + (c ** 2).sum(1)
+            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)))
+        return cells
+
+    def celled(df, id_col, n):
+        d = df.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
+        return d.select(F.explode(nearest(n)("_v")).alias("_cell"), "_id", "_v")
+    found = _tiled_knn(celled(queries, query_id, min(n_probe, len(centres))), celled(corpus, corpus_id, 1), k, None, block_rows)
+    return found.withColumnsRenamed({"query_id": query_id, "clause_id": corpus_id})

@@ -50,7 +50,7 @@ def clauses(spark, sf):
 
 
 def predictions(spark, sf):
-    return cl.rule_classifier(clauses(spark, sf))
+    return fx.rule_classifier(clauses(spark, sf))
 
 
 BASE = O.base_ctes()
@@ -179,7 +179,7 @@ def q_important_clauses(spark, sf):
     f"SELECT * FROM (SELECT {_IMP_OUT}, CAST(row_number() OVER (PARTITION BY contract_id ORDER BY {IMP_ORDER_SQL}) AS INTEGER) AS rank "
     f"FROM fx_kept) WHERE rank <= {lx.TOP_CLAUSES_PER_CONTRACT}"))
 def q_top20(spark, sf):
-    d = P.review_contracts(contracts(spark, sf))
+    d = P.review_contracts(contracts(spark, sf), fx.rule_classifier)
     return d.select("contract_id", "clause_idx", "text", "label", "risk", "risk_score",
                     r6("confidence").alias("confidence"), "reason", F.col("rank").cast("int").alias("rank"))
 
@@ -216,7 +216,7 @@ def emb_split(spark, sf):
 
 
 def emb_scored(spark, sf):
-    split = emb_split(spark, sf).cache()
+    split = dd._ckpt(emb_split(spark, sf))
     head = cl.fit_centroid_head(split.filter(F.col("split") == "train"))
     return cl.apply_linear_head(split, head)
 
@@ -359,7 +359,7 @@ _KNN_SQL = (
 
 def _knn(spark, sf):
     from clauseflow.operators import retrieve as rv
-    split = emb_split(spark, sf).cache()
+    split = dd._ckpt(emb_split(spark, sf))
     q = split.filter(F.col("split") == "test").select(F.col("vec_id").alias("query_id"), "embedding")
     c = split.filter(F.col("split") == "train").select(F.col("vec_id").alias("clause_id"), "embedding")
     return rv.knn_exact(q, c, lx.RETRIEVAL_K)
@@ -507,12 +507,15 @@ def q_training_summary(spark, sf):
 PROV_CTES = [
     "pv AS (SELECT doc_id AS line_no, CASE WHEN doc_id % 50 = 7 THEN '{\"provision\": \"' || left(source, 5) "
     "WHEN doc_id % 50 = 9 THEN to_json({'provision': NULL::VARCHAR, 'source': source, 'label': [lang]})::VARCHAR "
+    "WHEN doc_id % 50 = 11 THEN to_json({'provision': doc_id, 'source': source, 'label': [lang]})::VARCHAR "
+    "WHEN doc_id % 50 = 13 THEN to_json({'provision': text, 'source': source, 'label': lang})::VARCHAR "
     "ELSE to_json({'provision': text, 'source': source, 'label': [lang]})::VARCHAR END AS value FROM documents)",
     "pv_v AS (SELECT line_no, CASE WHEN json_valid(value) THEN value END AS js FROM pv)",
-    "pv_p AS (SELECT line_no, js IS NOT NULL AND json_extract_string(js, '$.provision') IS NOT NULL AS ok, js FROM pv_v)",
+    "pv_p AS (SELECT line_no, js IS NOT NULL AND coalesce(json_type(js, '$.provision') = 'VARCHAR', false) AS ok, js FROM pv_v)",
     "pv_f AS (SELECT line_no, ok, CASE WHEN ok THEN json_extract_string(js, '$.provision') END AS provision, "
     "CASE WHEN ok THEN coalesce(json_extract_string(js, '$.source'), '') END AS source, "
-    "CASE WHEN ok THEN coalesce(array_to_string(from_json(json_extract(js, '$.label'), '[\"VARCHAR\"]'), '|'), '') END AS label FROM pv_p)",
+    "CASE WHEN ok AND json_type(js, '$.label') = 'ARRAY' THEN coalesce(array_to_string(from_json(json_extract(js, '$.label'), '[\"VARCHAR\"]'), '|'), '') "
+    "WHEN ok AND json_type(js, '$.label') = 'VARCHAR' THEN json_extract_string(js, '$.label') WHEN ok THEN '' END AS label FROM pv_p)",
     f"pv_c AS (SELECT line_no AS clause_id, {O.CLEAN('provision')} AS clause, source, label FROM pv_f WHERE ok)",
     f"corpus AS (SELECT clause_id, clause, source, label, {O.WC('clause')} AS n_words FROM pv_c "
     f"WHERE {O.WC('clause')} BETWEEN {lx.CORPUS_MIN_WORDS} AND {lx.CORPUS_MAX_WORDS})",
@@ -685,9 +688,9 @@ TOP20_CTES = O.important_ctes() + O.dedup_ctes("fx_imp", IMP_ORDER_SQL, "fx_kept
     "LEFT JOIN (SELECT contract_id, count(*) AS n FROM fx_okept GROUP BY 1) d USING (contract_id)"))
 def q_contract_report(spark, sf):
     from clauseflow.operators import report as rp
-    c = contracts(spark, sf).persist()
-    cls = sg.split_into_clauses(c)
-    pred = cl.rule_classifier(cls)
+    c = contracts(spark, sf)
+    cls = dd._ckpt(sg.split_into_clauses(c))
+    pred = fx.rule_classifier(cls)
     imp = rk.top_n_per_contract(P.important_clauses(pred), rk.important_order())
     ones = P.one_sided_high_risk(pred)
     return rp.contract_report(c, cls, imp, ones)
@@ -698,7 +701,7 @@ def q_contract_report(spark, sf):
     "string_agg(CAST(clause_idx AS VARCHAR), '|' ORDER BY clause_idx) AS clause_ids FROM top20 GROUP BY contract_id, label")))
 def q_contract_report_grouped(spark, sf):
     from clauseflow.operators import report as rp
-    g = rp.grouped_important(P.review_contracts(contracts(spark, sf)))
+    g = rp.grouped_important(P.review_contracts(contracts(spark, sf), fx.rule_classifier))
     e = g.select("contract_id", F.explode("important_clauses_grouped").alias("label", "clauses"))
     return e.select("contract_id", "label", F.size("clauses").cast("int").alias("n_clauses"),
                     F.array_join(F.transform("clauses", lambda c: c["clause_idx"].cast("string")), "|").alias("clause_ids"))
@@ -738,7 +741,7 @@ REVIEW_CTES = BASE + TOP20_CTES + PROV_CTES + [
 
 def _review_inputs(spark, sf):
     from clauseflow.operators import retrieve as rv
-    top = dd._ckpt(P.review_contracts(contracts(spark, sf)))
+    top = dd._ckpt(P.review_contracts(contracts(spark, sf), fx.rule_classifier))
     q = rv.with_hashed_vector(top, "text").select(
         (F.col("contract_id") * 100000 + F.col("clause_idx")).alias("query_id"), "embedding", "contract_id", "clause_idx")
     corp = dd._ckpt(rv.with_hashed_vector(corpus(spark, sf), "clause"))
@@ -772,7 +775,7 @@ def q_rewrite_requests(spark, sf):
     + " || chr(10) || chr(10) || 'Clause Type: ' || label || chr(10) || chr(10) || 'Original Clause:' || chr(10) || '\"' || text || '\"' "
     "|| chr(10) || chr(10) || 'Rewritten Clause:' || chr(10) || '\"' || '' || '\"' || chr(10) || chr(10) || 'Changes:') AS explain_md5 FROM top20")))
 def q_explain_requests(spark, sf):
-    top = P.review_contracts(contracts(spark, sf))
+    top = P.review_contracts(contracts(spark, sf), fx.rule_classifier)
     return top.select("contract_id", "clause_idx",
                       F.md5(rw.explain_request(F.col("text"), F.lit(""), F.col("label"))).alias("explain_md5"))
 
@@ -795,29 +798,29 @@ def q_review_sheet(spark, sf):
 def q_review_status(spark, sf):
     top, packed = _review_inputs(spark, sf)
     review = rw.build_review(top, packed, completer=None)
-    return review.groupBy("contract_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.first("status").alias("status"))
+    return review.groupBy("contract_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.max(F.struct(F.when(F.col("status") == "completed", 0).otherwise(1), "status"))["status"].alias("status"))
 
 
 # =============================================================================================
-# Rows-only checks (no SQL formulation: model fitting, LSH, NFKC, streaming)
+# Rows-only checks (no SQL formulation: model fitting, approximate search, NFKC, streaming)
 # =============================================================================================
 @register("classify_ml")
 def q_classify_ml(spark, sf):
-    t = cl.label_encode(training_set(spark, sf))
+    t = dd._ckpt(cl.label_encode(training_set(spark, sf)))
     t = cl.stratified_split(t, F.concat(F.col("label"), F.lit("|"), F.col("text")), label="label")
-    model = cl.fit_text_classifier(t.filter("split = 'train'"), num_features=1 << 14, max_iter=20)
+    model = cl.fit_text_classifier(t.filter("split = 'train'"))
     pred = model.transform(t.filter("split = 'test'").withColumn("label_id", F.col("label_id").cast("double")))
     return pred.select("text", F.col("label_id").cast("int").alias("label_id"),
                        F.col("prediction").cast("int").alias("pred_id"))
 
 
-@register("knn_lsh")
-def q_knn_lsh(spark, sf):
+@register("knn_cells")
+def q_knn_cells(spark, sf):
     from clauseflow.operators import retrieve as rv
-    split = emb_split(spark, sf).cache()
+    split = dd._ckpt(emb_split(spark, sf))
     q = split.filter(F.col("split") == "test").select(F.col("vec_id").alias("query_id"), "embedding")
     c = split.filter(F.col("split") == "train").select(F.col("vec_id").alias("clause_id"), "embedding")
-    return rv.knn_lsh(q, c, lx.RETRIEVAL_K).select("query_id", "rank", "clause_id", r6("distance").alias("distance"))
+    return rv.knn_cells(q, c, lx.RETRIEVAL_K).select("query_id", "rank", "clause_id", r6("distance").alias("distance"))
 
 
 @register("nfkc_normalize")
@@ -829,5 +832,5 @@ def q_nfkc_normalize(spark, sf):
 @register("stream_review")
 def q_stream_review(spark, sf):
     from clauseflow.streaming import stream as st
-    out = st.run_review_stream(spark, sf, fx.contracts_from_documents)
+    out = st.run_review_stream(spark, sf, fx.contracts_from_documents, fx.rule_classifier)
     return out.select("contract_id", "clause_idx", "label", "risk", r6("confidence").alias("confidence"), "rank")

@@ -1,17 +1,18 @@
 """SparkSession helpers.
 
-The library never creates machine-local scratch space on a cluster: lineage is
-cut with ``DataFrame.checkpoint()`` into the shared folder named by the
-cluster's ``spark.checkpoint.dir``.  Only when that setting is absent (local
-tests, the bench) do we pick a directory of our own.
+Intermediate tables go to the shared folder that the cluster names in
+``spark.checkpoint.dir``.  Only a local session (tests, the bench) gets a folder
+of its own where the setting is absent; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -43,11 +44,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; set a local one only if unset."""
+    """Use the cluster's shared checkpoint folder.  Where none is set, a local
+    session gets a folder of its own; on a cluster that is an error, as the
+    executors would not see it."""
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
     if not configured:
         configured = spark.sparkContext.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors of {master} share")
         configured = tempfile.mkdtemp(prefix="clauseflow-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, configured)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -55,13 +61,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    return ensure_checkpoint_dir(spark)
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read back, and its path.
+
+    Cuts the lineage with one job; a lost executor costs a re-read.  Unlike a
+    checkpoint, a later reader takes only the columns it needs."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove_written(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``written`` made, once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_if_small(df, max_rows: int = 1_000_000):
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows;
     otherwise leave the join to a shuffle (or to AQE's runtime size check)."""
-    from pyspark.sql import functions as F
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

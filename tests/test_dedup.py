@@ -1,4 +1,4 @@
-"""Greedy dedup against brute force; fold path equals round path."""
+"""Greedy dedup against brute force."""
 import math
 from collections import Counter
 
@@ -46,9 +46,7 @@ TEXTS = [
 LABELS = ["x", "x", "x", "y", "y", "x", "x", "z"]
 
 
-@pytest.mark.parametrize("max_group", [2048, 1])
-def test_tfidf_dedup_matches_brute_force(spark, max_group, monkeypatch):
-    monkeypatch.setattr(dd, "MAX_FOLD_GROUP", max_group)
+def test_tfidf_dedup_matches_brute_force(spark):
     rows = [(7, i, t, l) for i, (t, l) in enumerate(zip(TEXTS, LABELS))]
     df = spark.createDataFrame(rows, "contract_id long, clause_idx int, text string, label string")
     out = dd.semantic_dedup_tfidf(df, ["contract_id"], "clause_idx", F.struct(F.col("clause_idx")))
@@ -74,10 +72,8 @@ def test_dense_chain_keeps_a_and_c(spark):
     assert sorted(r["vec_id"] for r in out.collect()) == [1, 3]
 
 
-@pytest.mark.parametrize("max_group", [2048, 1])
-def test_dense_dedup_independent_of_partitioning(spark, max_group, monkeypatch):
+def test_dense_dedup_independent_of_partitioning(spark):
     import random
-    monkeypatch.setattr(dd, "MAX_FOLD_GROUP", max_group)
     rnd = random.Random(3)
     rows = []
     for i in range(60):
@@ -101,6 +97,26 @@ def test_dense_dedup_independent_of_partitioning(spark, max_group, monkeypatch):
     assert a == b == sorted(kept)
 
 
+def test_dense_dedup_ties_and_fractions(spark):
+    """Equal vectors ordered by a falling confidence; ties go by id."""
+    rows = [(1, 5, 0.7, [1.0, 0.0]), (1, 3, 0.9, [1.0, 0.0]), (1, 4, 0.8, [1.0, 0.0]),
+            (2, 9, 0.5, [0.0, 1.0]), (2, 8, 0.5, [0.0, 1.0]), (2, 7, None, [0.0, 1.0]), (3, 1, 0.1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "contract_id long, clause_idx int, confidence double, embedding array<double>")
+    out = dd.semantic_dedup_embedding(df, ["contract_id"], "clause_idx", [-F.col("confidence")])
+    assert sorted((r["contract_id"], r["clause_idx"]) for r in out.collect()) == [(1, 3), (2, 8), (3, 1)]
+
+
+def test_rounds_follow_chains_of_any_length(spark):
+    n = 23
+    nodes = spark.createDataFrame([(1, i, "U") for i in range(n)] + [(2, 0, "U"), (2, 1, "D")], "g int, id long, st string")
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(n - 1)], "g int, i long, j long")
+    got = sorted((r["g"], r["id"]) for r in dd.resolve_dropped(nodes, edges, ["g"]).collect())
+    assert got == [(1, i) for i in range(1, n, 2)] + [(2, 1)]
+    circle = spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "g int, i long, j long")
+    with pytest.raises(RuntimeError):
+        dd.resolve_dropped(nodes, circle, ["g"])
+
+
 def test_exact_dedup_keeps_first(spark):
     rows = [("t", "l", 3), ("t", "l", 1), ("t", "m", 2), ("u", "l", 5)]
     df = spark.createDataFrame(rows, "text string, label string, pos int")

@@ -15,7 +15,7 @@ def plan(df):
 
 
 def test_risk_uses_broadcast_join_and_no_python(spark):
-    pred = P.classify_contracts(fx.fx_contracts(spark, SF))
+    pred = P.classify_contracts(fx.fx_contracts(spark, SF), fx.rule_classifier)
     p = plan(rk.with_risk(pred))
     assert "BroadcastHashJoin" in p
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p

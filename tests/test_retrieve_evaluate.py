@@ -20,16 +20,17 @@ def test_knn_exact_matches_numpy(spark):
         assert [c for _, c in sorted(got[i])] == want
 
 
-def test_knn_query_chunks_and_blocks(spark, monkeypatch):
+def test_knn_blocks_do_not_change_the_result(spark):
     rng = np.random.default_rng(1)
     Q, C = rng.normal(size=(9, 4)), rng.normal(size=(30, 4))
-    qdf = spark.createDataFrame([(i, Q[i].tolist()) for i in range(9)], "query_id long, embedding array<double>")
-    cdf = spark.createDataFrame([(j, C[j].tolist()) for j in range(30)], "clause_id long, embedding array<double>")
+    qdf = spark.createDataFrame([(i, Q[i].tolist()) for i in range(9)] + [(99, None)], "query_id long, embedding array<double>")
+    cdf = spark.createDataFrame([(j, C[j].tolist()) for j in range(30)] + [(98, None)], "clause_id long, embedding array<double>")
     base = sorted(tuple(r) for r in rv.knn_exact(qdf, cdf, 3).select("query_id", "rank", "clause_id").collect())
-    monkeypatch.setattr(rv, "QUERY_CHUNK", 2)
-    monkeypatch.setattr(rv, "MAX_QUERY_BLOCK_BYTES", 4 * (4 * 8 + 16))   # 4 queries per block
-    got = sorted(tuple(r) for r in rv.knn_exact(qdf, cdf, 3).select("query_id", "rank", "clause_id").collect())
+    got = sorted(tuple(r) for r in rv.knn_exact(qdf, cdf, 3, block_rows=4).select("query_id", "rank", "clause_id").collect())
     assert got == base and len(got) == 27
+    every_cell = rv.knn_cells(qdf, cdf, 3, n_cells=5, n_probe=5, block_rows=4)
+    assert sorted(tuple(r) for r in every_cell.select("query_id", "rank", "clause_id").collect()) == base
+    assert rv.knn_cells(qdf, cdf.limit(0), 3).count() == rv.knn_exact(qdf.limit(0), cdf, 3).count() == 0
 
 
 def test_knn_k_larger_than_corpus(spark):
@@ -44,6 +45,10 @@ def test_deterministic_sample_is_stable(spark):
     b = sorted(r["k"] for r in rv.deterministic_sample(df.repartition(9), "k", 50).collect())
     assert a == b and len(a) == 50
     assert rv.deterministic_sample(df, "k", 5000).count() == 1000
+    import hashlib
+    want = sorted(range(1000), key=lambda k: hashlib.md5(f"42|{k}".encode()).hexdigest())
+    for n, prefix in ((50, 3), (333, 1), (0, 2), (999, 1), (1000, 2)):
+        assert sorted(r["k"] for r in rv.deterministic_sample(df, "k", n, prefix_hex=prefix).collect()) == sorted(want[:n])
 
 
 def test_correctness_band_edges(spark):
@@ -67,14 +72,28 @@ def test_fairness_band_and_merge(spark):
     assert s["processed"] == 2 and s["avg_fairness"] == 3.5 and s["avg_correctness"] == 1.0
 
 
-def test_lsh_recall_against_exact(spark):
-    """V6 is approximate: measure recall@5 against the exact scan on the embeddings table."""
-    from clauseflow.operators import classify as cl
-    emb = cl.stratified_split(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"), F.col("vec_id"))
-    q = emb.filter("split = 'test'").select(F.col("vec_id").alias("query_id"), "embedding")
-    c = emb.filter("split = 'train'").select(F.col("vec_id").alias("clause_id"), "embedding")
-    exact = {(r["query_id"], r["clause_id"]) for r in rv.knn_exact(q, c, 5).collect()}
-    approx = {(r["query_id"], r["clause_id"]) for r in rv.knn_lsh(q, c, 5).collect()}
-    recall = len(exact & approx) / max(1, len(exact))
-    print(f"LSH recall@5 vs exact: {recall:.3f}")
-    assert 0.0 < recall <= 1.0
+def test_cell_search_recall_and_work(spark):
+    """V6: recall@5 against the exact search, on clustered vectors and on the
+    embeddings table, and the share of pairs that is compared."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    C = centres[rng.integers(40, size=3000)] + 0.25 * rng.normal(size=(3000, 16))
+    Q = centres[rng.integers(40, size=200)] + 0.25 * rng.normal(size=(200, 16))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(Q)], "query_id long, embedding array<double>")
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(C)], "clause_id long, embedding array<double>")
+
+    def found(df):
+        return {(r["query_id"], r["clause_id"]) for r in df.collect()}
+    exact = found(rv.knn_exact(q, c, 5))
+    assert len(exact & found(rv.knn_cells(q, c, 5, n_cells=32, n_probe=4))) >= 0.9 * len(exact)
+
+    near = rv.coarse_centres(c, "embedding", 32)
+    cell = lambda x, n: np.argsort(((x[:, None, :] - near) ** 2).sum(2), axis=1)[:, :n]
+    sizes = np.bincount(cell(C, 1)[:, 0], minlength=32)
+    assert sizes[cell(Q, 4)].sum() < 0.3 * len(Q) * len(C)
+
+    t = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q, c = t.filter("vec_id % 5 = 0"), t.filter("vec_id % 5 <> 0")
+    q, c = q.withColumnRenamed("vec_id", "query_id"), c.withColumnRenamed("vec_id", "clause_id")
+    exact = found(rv.knn_exact(q, c, 5))
+    assert len(exact & found(rv.knn_cells(q, c, 5, n_cells=8, n_probe=6))) >= 0.9 * len(exact)

@@ -70,14 +70,70 @@ def test_docx_and_text_sources(spark):
     assert txt["text"] == "Line one\nLine two\nthree" and txt["extension"] == ".txt"
 
 
+def test_docx_tabs_and_breaks(spark):
+    body = ('<w:p><w:pPr><w:tabs><w:tab w:val="left" w:pos="720"/></w:tabs></w:pPr><w:r><w:t>1.1</w:t><w:tab/><w:t>Buyer shall pay</w:t>'
+            '<w:br/><w:t>each invoice</w:t></w:r></w:p>')
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'
+                   f"<w:body>{body}</w:body></w:document>")
+    assert rd.docx_text(buf.getvalue()) == "1.1\tBuyer shall pay\neach invoice\n"
+
+
+def test_every_json_sink_is_read_back_by_its_reader(spark):
+    """Several files and several rows a file."""
+    d = tempfile.mkdtemp(prefix="cf-json-")
+    corpus = spark.range(100).selectExpr("concat('clause ', id, ' é\n') as clause", "'s' as source", "array('a', 'b') as label").repartition(3)
+    sk.write_corpus_json(corpus, os.path.join(d, "corpus"))
+    back = rd.read_corpus_json(spark, os.path.join(d, "corpus"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, corpus.collect()))
+    rewrites = spark.range(50).selectExpr(
+        "cast(id as int) as id", "'t' as clause_type", "concat('o', id) as original", "'r' as rewritten", "'e' as explanation",
+        "array('x') as similar_clauses_used", "named_struct('correctness', 1, 'fairness', 2, 'clarity', cast(null as int)) as scores").repartition(2)
+    for name, write in (("k7", sk.write_scored_rewrites), ("k6", sk.write_reports)):
+        write(rewrites, os.path.join(d, name))
+        assert sorted(map(tuple, rd.read_rewrites(spark, os.path.join(d, name)).collect())) == sorted(map(tuple, rewrites.collect()))
+    vectors = spark.createDataFrame([(1, [1.0, 2.0], "x"), (2, [3.0, 4.0], "y")], "clause_id long, embedding array<float>, label string")
+    sk.write_vectors(vectors, os.path.join(d, "v"), partition_by="label")
+    assert sorted(map(tuple, spark.read.parquet(os.path.join(d, "v")).select("clause_id", "embedding", "label").collect())) == \
+        sorted(map(tuple, vectors.collect()))
+    array = os.path.join(d, "array.json")
+    with open(array, "w") as fh:
+        json.dump([{"clause": "c1", "source": "s", "label": ["l"]}, {"clause": "c2", "source": "s", "label": []}], fh)
+    assert rd.read_corpus_json(spark, array, array=True).count() == 2
+    qa = os.path.join(d, "qa.json")
+    with open(qa, "w") as fh:
+        json.dump({"data": [{"paragraphs": [{"qas": [{"question": "q", "answers": [{"text": "a"}, {"text": "b"}]}]}]}]}, fh, indent=1)
+    assert [r["answer"] for r in rd.flatten_qa(rd.read_qa_json(spark, qa)).collect()] == ["a", "b"]
+
+
+def test_provision_line_numbers_do_not_depend_on_splits(spark):
+    d = tempfile.mkdtemp(prefix="cf-prov-")
+    path = os.path.join(d, "p.jsonl")
+    with open(path, "w") as fh:
+        for i in range(200):
+            fh.write(json.dumps({"provision": f"text {i}", "source": "s", "label": ["l"]}) + "\n")
+        fh.write('{"provision": 5}\n{"provision": "x", "label": "one"}\n{"provision": "y", "label": 7}\nnot json\n[1]\n')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = []
+    for split in (size, "500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got.append(sorted((r["line_no"], r["ok"], r["provision"], r["label"]) for r in rd.read_provisions(spark, path).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got[0] == got[1] and sum(r[1] for r in got[0]) == 202
+    assert {(r[2], tuple(r[3])) for r in got[0] if r[2] in ("x", "y")} == {("x", ("one",)), ("y", ())}
+
+
 def test_label_map_validation(spark):
-    with pytest.raises(ValueError):
-        lx.validate_label_mapping([1, 2])
-    with pytest.raises(ValueError):
-        lx.validate_label_mapping({"a": "1"})
-    with pytest.raises(ValueError):
-        lx.validate_label_mapping({})
     d = tempfile.mkdtemp(prefix="cf-lm-")
+    for k, (text, problem) in enumerate([("[1, 2]", "not an object"), ('{"a": "1"}', "id is no whole number"),
+                                         ('{"a": 1.5}', "id is no whole number"), ('{"a": true}', "id is no whole number"),
+                                         ("{}", "no entries"), ("{", "not JSON"), ('{"a": 1, "b": null}', "id is no whole number")]):
+        bad = os.path.join(d, f"bad{k}.json")
+        with open(bad, "w") as fh:
+            fh.write(text)
+        with pytest.raises(ValueError, match=problem):
+            rd.read_label_map(spark, bad)
     p = os.path.join(d, "m.json")
     with open(p, "w") as fh:
         json.dump({lab: i for i, lab in enumerate(lx.LABELS)}, fh)

@@ -9,8 +9,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stream_equals_batch(spark):
-    streamed = st.run_review_stream(spark, SF, fx.contracts_from_documents)
-    batch = P.review_contracts(fx.fx_contracts(spark, SF))
+    streamed = st.run_review_stream(spark, SF, fx.contracts_from_documents, fx.rule_classifier)
+    batch = P.review_contracts(fx.fx_contracts(spark, SF), fx.rule_classifier)
     cols = ["contract_id", "clause_idx", "label", "risk", "rank"]
     a = sorted(tuple(r) for r in streamed.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
