@@ -76,16 +76,12 @@ def strip_tags_and_clean(col) -> Column:
 
 
 def with_nfkc(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """NFKC-normalise ``col`` touching Python only for rows that are not ASCII.
-
-    A Python UDF inside CASE WHEN is still evaluated for every input row, so the
-    rows are split with a filter: ASCII text (NFKC-invariant) stays in the JVM.
-    """
+    """NFKC-normalise ``col`` in one pass.  ASCII text is NFKC as it is: the
+    Python function gets null for it, so only other texts leave the JVM."""
     out = out or col
     non_ascii = F.coalesce(_c(col).rlike(r"[^\x00-\x7f]"), F.lit(False))
-    ascii_rows = df.filter(~non_ascii).withColumn(out, _c(col))
-    other_rows = df.filter(non_ascii).withColumn(out, nfkc_udf(_c(col)))
-    return ascii_rows.unionByName(other_rows)
+    done = df.withColumn("_nfkc", nfkc_udf(F.when(non_ascii, _c(col))))
+    return done.withColumn(out, F.coalesce("_nfkc", _c(col))).drop("_nfkc")
 
 
 def normalize_clause_text(df: DataFrame, col: str, out: str) -> DataFrame:

@@ -39,6 +39,21 @@ def grouped_important(important: DataFrame, key: str = "contract_id") -> DataFra
                                       .alias("important_clauses_grouped"))
 
 
+def full_report(contracts: DataFrame, clauses: DataFrame, important: DataFrame, one_sided: DataFrame,
+                key: str = "contract_id") -> DataFrame:
+    """A5: the counts of ``contract_report``, the important clauses grouped by
+    label (a map) and the one-sided high-risk clauses (an ordered list), one row
+    per contract; contracts without any have an empty map and list."""
+    fields = ["clause_idx", "text", "label", "confidence", "risk", "bias_score", "reason"]
+    rows = (one_sided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("one_sided_high_risk_clauses")))
+    grouped = grouped_important(important, key)
+    out = contract_report(contracts, clauses, important, one_sided, key).join(grouped, key, "left").join(rows, key, "left")
+    empty_map = F.from_json(F.lit("{}"), grouped.schema["important_clauses_grouped"].dataType.simpleString())
+    empty_list = F.array().cast(rows.schema["one_sided_high_risk_clauses"].dataType)
+    return (out.withColumn("important_clauses_grouped", F.coalesce("important_clauses_grouped", empty_map))
+            .withColumn("one_sided_high_risk_clauses", F.coalesce("one_sided_high_risk_clauses", empty_list)))
+
+
 def risk_rollup(scored: DataFrame) -> DataFrame:
     """Rollup of risk x label with grouping id."""
     return (scored.rollup("risk", "label")

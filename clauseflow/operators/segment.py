@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauseflow.functions import textcols as tc
+from clauseflow.session import written
 
 U, WS = tc.U, tc.WS
 MARK = "\u0001"
@@ -104,9 +105,10 @@ def merge_fragments(clauses: DataFrame, key: str = "contract_id", order: str = "
     block offsets from a window over that small table, and the running sum
     inside a block from a window per (contract, block).
     """
-    c = (clauses.withColumn("_t", tc.strip_ws(text)).filter(F.col("_t") != "")
-         .withColumn("_long", (tc.word_count("_t") >= min_words).cast("int"))
-         .withColumn("_blk", F.floor(F.col(order) / block)))
+    # written once: the clauses feed four branches below, whatever made them
+    c = written(clauses.select(key, order, tc.strip_ws(text).alias("_t")).filter(F.col("_t") != "")
+                .withColumn("_long", (tc.word_count("_t") >= min_words).cast("int"))
+                .withColumn("_blk", F.floor(F.col(order) / block)), "fragments")[0]
     per_blk = c.groupBy(key, "_blk").agg(F.sum("_long").alias("_nl"))
     per_blk = per_blk.withColumn("_off", F.coalesce(F.sum("_nl").over(
         Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -159,7 +159,7 @@ def analyze(requests: DataFrame, classifier: Classifier, completer=None, corpus:
         schema = "contract_id long, clause_idx int, hits array<struct<rank:int,clause_id:long,clause:string," \
                  "label:array<string>,distance:double>>"
         packed = important.sparkSession.createDataFrame([], schema)
-    review = rw.build_review(important, packed, completer)
+    review = rw.build_review(important, packed, completer, need_hits=corpus is not None)
     return {"rejected": rejected, "all_clauses": all_clauses, "clauses": important, "review": review}
 
 

@@ -834,3 +834,91 @@ def q_stream_review(spark, sf):
     from clauseflow.streaming import stream as st
     out = st.run_review_stream(spark, sf, fx.contracts_from_documents, fx.rule_classifier)
     return out.select("contract_id", "clause_idx", "label", "risk", r6("confidence").alias("confidence"), "rank")
+
+
+# =============================================================================================
+# Dedup by embeddings (D3/D4), label map (S9), incremental training rows (J8), report rows (A5),
+# sinks read back by their readers
+# =============================================================================================
+@register("important_clauses_embedding", O.with_ctes(BASE + O.important_ctes() + [
+    "ie0 AS MATERIALIZED (SELECT contract_id, clause_idx, label, row_number() OVER (PARTITION BY contract_id, label "
+    f"ORDER BY {IMP_ORDER_SQL}) AS r, {_vec_sql('text')} AS cnt FROM fx_imp)",
+    "ie AS MATERIALIZED (SELECT *, list_transform(cnt, lambda v: v / sqrt(list_sum(list_transform(cnt, lambda w: w * w)))) AS v FROM ie0)",
+    "ie_nbr AS (SELECT b.contract_id, b.label, b.r, list(a.r) AS nbrs FROM ie a JOIN ie b ON a.contract_id = b.contract_id AND a.label = b.label "
+    f"AND a.r < b.r WHERE list_dot_product(a.v, b.v) >= {lx.SEMANTIC_DEDUP_THRESHOLD} GROUP BY ALL)",
+    "ie_o AS (SELECT n.contract_id, n.label, n.r, coalesce(x.nbrs, []::BIGINT[]) AS nbrs FROM ie n LEFT JOIN ie_nbr x USING (contract_id, label, r))",
+    "ie_walk AS (SELECT contract_id, label, r, [r] AS kept FROM ie_o WHERE r = 1 UNION ALL SELECT o.contract_id, o.label, o.r, "
+    "CASE WHEN list_has_any(w.kept, o.nbrs) THEN w.kept ELSE list_append(w.kept, o.r) END FROM ie_walk w JOIN ie_o o "
+    "ON o.contract_id = w.contract_id AND o.label = w.label AND o.r = w.r + 1)",
+    "ie_kept AS (SELECT contract_id, label, unnest(arg_max(kept, r)) AS r FROM ie_walk GROUP BY contract_id, label)",
+], "SELECT n.contract_id, n.clause_idx, n.label FROM ie n JOIN ie_kept k USING (contract_id, label, r)"))
+def q_important_clauses_embedding(spark, sf):
+    d = P.important_clauses(predictions(spark, sf), method="embedding")
+    return d.select("contract_id", "clause_idx", "label")
+
+
+@register("label_map_check", (
+    "SELECT lang, CASE WHEN lang IN ('en', 'fr') THEN source END AS label, CASE WHEN lang = 'en' THEN CAST(count(*) AS INTEGER) END AS label_id, "
+    "CASE lang WHEN 'en' THEN NULL WHEN 'fr' THEN 'id is no whole number' WHEN 'de' THEN 'not an object' ELSE 'no entries' END AS problem "
+    "FROM documents GROUP BY lang, source QUALIFY lang IN ('en', 'fr') OR row_number() OVER (PARTITION BY lang) = 1"))
+def q_label_map_check(spark, sf):
+    from clauseflow.sources import readers as rd
+    counts = fx.read_table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    entries = F.map_from_entries(F.collect_list(F.struct("source", "n")))
+    texts = F.map_from_entries(F.collect_list(F.struct("source", F.col("n").cast("string").alias("n"))))
+    maps = counts.groupBy("lang").agg(F.to_json(entries).alias("good"), F.to_json(texts).alias("quoted"))
+    value = (F.when(F.col("lang") == "en", F.col("good")).when(F.col("lang") == "fr", F.col("quoted"))
+             .when(F.col("lang") == "de", F.lit("[1]")).otherwise(F.lit("{}")))
+    return rd.label_map_entries(maps.select("lang", value.alias("value")), ["lang"])
+
+
+@register("unseen_training_rows", O.with_ctes(QA_CTES, (
+    "SELECT DISTINCT ntext AS text, label FROM qa_keep n WHERE conv_id % 2 = 1 AND NOT EXISTS "
+    "(SELECT 1 FROM qa_keep s WHERE s.conv_id % 2 = 0 AND s.ntext = n.ntext AND s.label = n.label)")))
+def q_unseen_training_rows(spark, sf):
+    seen, new = (P.build_training_set(qa_docs(spark, sf).filter(F.col("conv_id") % 2 == k), keep=["conv_id"]) for k in (0, 1))
+    return dd.unseen(new, seen, ["text", "label"]).select("text", "label")
+
+
+@register("contract_report_full", O.with_ctes(
+    BASE + TOP20_CTES + O.one_sided_ctes() + O.dedup_ctes("fx_os", "bias_score DESC, confidence DESC, clause_idx", "fx_okept"),
+    "SELECT c.contract_id, CAST(length(c.text) AS INTEGER) AS text_chars, coalesce(b.labels, '') AS labels, coalesce(d.one_sided, '') AS one_sided "
+    "FROM fx_contracts c LEFT JOIN (SELECT contract_id, string_agg(DISTINCT label, '|' ORDER BY label) AS labels FROM top20 GROUP BY 1) b "
+    "USING (contract_id) LEFT JOIN (SELECT contract_id, string_agg(CAST(clause_idx AS VARCHAR) || ':' || CAST(bias_score AS VARCHAR), '|' "
+    "ORDER BY clause_idx) AS one_sided FROM fx_okept GROUP BY 1) d USING (contract_id)"))
+def q_contract_report_full(spark, sf):
+    from clauseflow.operators import report as rp
+    c = contracts(spark, sf)
+    pred = dd._ckpt(predictions(spark, sf))
+    imp = rk.top_n_per_contract(P.important_clauses(pred), rk.important_order())
+    d = rp.full_report(c, pred, imp, P.one_sided_high_risk(pred))
+    pairs = F.transform("one_sided_high_risk_clauses", lambda x: F.concat_ws(":", x["clause_idx"].cast("string"), x["bias_score"].cast("string")))
+    return d.select("contract_id", "text_chars", F.array_join(F.array_sort(F.map_keys("important_clauses_grouped")), "|").alias("labels"),
+                    F.array_join(pairs, "|").alias("one_sided"))
+
+
+def _folder(spark, name):
+    import uuid
+
+    from clauseflow.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("corpus_roundtrip", O.with_ctes(PROV_CTES, "SELECT clause, source, label FROM corpus"))
+def q_corpus_roundtrip(spark, sf):
+    from clauseflow.sources import readers as rd
+    from clauseflow.sources import sinks as sk
+    path = _folder(spark, "corpus-json")
+    sk.write_corpus_json(corpus(spark, sf), path)
+    return rd.read_corpus_json(spark, path).select("clause", "source", F.array_join("label", "|").alias("label"))
+
+
+@register("scored_rewrites_roundtrip", O.with_ctes(RW_CTES, (
+    "SELECT original, rewritten, CASE WHEN processed THEN 1 END AS correctness, CASE WHEN processed THEN fairness END AS fairness, clarity FROM rw_f")))
+def q_scored_rewrites_roundtrip(spark, sf):
+    from clauseflow.operators import evaluate as ev
+    from clauseflow.sources import readers as rd
+    from clauseflow.sources import sinks as sk
+    path = _folder(spark, "scored-json")
+    sk.write_scored_rewrites(ev.score_rewrites(rewrites(spark, sf)).drop("processed"), path)
+    return rd.read_rewrites(spark, path).select("original", "rewritten", "scores.correctness", "scores.fairness", "scores.clarity")
