@@ -167,5 +167,32 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
 
 
-#: The same places by plain positions: n-grams of the words compared as lists.
-OP3_SQL = None
+def _template_sql(number: int, t: Template) -> str:
+    return f"({number}, '{t.label}', {str(t.base).lower()}, CAST({t.coverage} AS DOUBLE), {t.drift}, {t.gram}, string_split('{t.text}', ' '))"
+
+
+#: The same steps on lists of words, with grams compared as text.
+OP3_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+tm(template, label, base, coverage, drift, gram, tw) AS (VALUES {', '.join(_template_sql(k, t) for k, t in enumerate(TEMPLATES))}),
+tg AS (SELECT *, len(tw) - gram + 1 AS n_grams, unnest(range(0, len(tw) - gram + 1)) AS tpos FROM tm),
+tk AS MATERIALIZED (SELECT * EXCLUDE (tw), array_to_string(tw[tpos + 1 : tpos + gram], ' ') AS g FROM tg),
+wp AS (SELECT rid, ws, unnest(range(0, len(ws))) AS pos FROM d),
+wg AS (SELECT rid, pos, 2 AS gram, array_to_string(ws[pos + 1 : pos + 2], ' ') AS g FROM wp WHERE pos + 2 <= len(ws)
+       UNION ALL SELECT rid, pos, 4, array_to_string(ws[pos + 1 : pos + 4], ' ') FROM wp WHERE pos + 4 <= len(ws)),
+v AS (SELECT rid, template, label, base, coverage, drift, n_grams, tpos, pos - tpos AS diagonal FROM wg JOIN tk USING (gram, g)),
+dd AS (SELECT DISTINCT rid, template, drift, diagonal FROM v),
+dl AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > drift, true) AS far FROM dd),
+dr AS (SELECT *, sum(CAST(far AS INTEGER)) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM dl),
+sp AS (SELECT v.rid, v.template, any_value(label) AS label, any_value(base) AS base, min(v.diagonal) AS first, max(v.diagonal) AS last,
+              count(DISTINCT tpos) / any_value(n_grams) AS covered, count(DISTINCT tpos) / any_value(n_grams) >= any_value(coverage) AS ok
+       FROM v JOIN dr USING (rid, template, diagonal) GROUP BY v.rid, v.template, run)
+SELECT doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, count(*) FILTER (WHERE ok AND base) AS n_base,
+       CAST(min(first) FILTER (WHERE ok AND base) AS BIGINT) AS first_word, CAST(max(last) FILTER (WHERE ok AND base) AS BIGINT) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE ok AND base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE ok), '') AS labels,
+       coalesce(max(covered), 0.0) AS score, count(*) FILTER (WHERE ok) AS n_spans
+FROM d LEFT JOIN sp USING (rid) GROUP BY rid, doc_id
+"""

@@ -225,5 +225,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
 
 
-# Positions by the lengths of the pieces between matches; base columns and spans alike.
-OP6_SQL = None
+def _rule_sql(number: int, rule: Rule) -> str:
+    """Matches, group and the pieces between matches of one rule; letters in
+    either case are spelt out, as SQL's case folding knows more than ASCII."""
+    pattern = rule.pattern
+    if rule.ignore_case:
+        head, tail = pattern.split(")", 1)  # all letters that matter stand in the first group
+        pattern = re.sub(r"[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", head) + ")" + tail
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return (f"SELECT rid, {number} AS k, '{rule.kind}' AS kind, {rule.min_chars} AS least, regexp_extract_all(x, {quoted}) AS m, "
+            f"regexp_extract_all(x, {quoted}, {rule.group}) AS g, string_split_regex(x, {quoted}) AS p FROM d WHERE regexp_matches(x, {quoted})")
+
+
+#: Positions from the lengths of the matches and of the pieces between them.
+OP6_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+found AS ({' UNION ALL '.join(_rule_sql(k, r) for k, r in enumerate(RULES))}),
+each AS (SELECT rid, k, kind, least, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM found),
+place AS (SELECT rid, k, kind, least, length(g[i]) AS n_group, length(m[i]) AS n,
+                 list_sum([length(z) for z in p[1:i]]) + coalesce(list_sum([length(z) for z in m[1:i - 1]]), 0) AS s FROM each),
+kept AS (SELECT rid, k, kind, s, kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + n AS BIGINT) AS VARCHAR) AS span
+         FROM place WHERE n_group >= least)
+SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+       count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (WHERE k < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY s, k), '') AS spans
+FROM d LEFT JOIN kept USING (rid) GROUP BY rid, doc_id
+"""
