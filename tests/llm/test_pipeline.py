@@ -51,7 +51,7 @@ def test_packing_round_trip(make_docs, odd_rows, length, block):
 
 
 def test_packing_repeated_rows_and_empty_table(make_docs):
-    packed = packing.pack(make_docs([(1, "same text"), (1, "same text"), (1, None)]))
+    packed = packing.pack(make_docs([(1, "same text"), (1, "same text"), (1, None)]).coalesce(1))
     (row,) = packed.collect()
     assert row["doc_ids"] == [1, 1, 1] and packing.pack(make_docs([])).count() == 0
 
