@@ -161,8 +161,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, containment: float
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the documents that hold an item (by doc_id)."""
-    bad = leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("__leak")).distinct()
+    """``docs`` without the documents that hold an item (by doc_id).  While the
+    leaks are few their ids are broadcast and no text is shuffled."""
+    bad = common.stash(leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    bad = common.broadcast_up_to(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__leak"]), "left_anti")
 
 

@@ -285,6 +285,7 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     gone = (rows.filter("root is not null").select("doc_id", "t").distinct()
             .join(stay.withColumnsRenamed({"doc_id": "i", "t": "u"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")), "left_anti")
             .select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")))
+    gone = common.broadcast_up_to(common.stash(gone, "jaccard-gone"))
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__t"]), "left_anti")
     if rows.groupBy("doc_id", "t").count().filter("count > 1").isEmpty():
         return kept
