@@ -230,7 +230,7 @@ def majority_label(train: DataFrame, label: str = "label"):
 
 # -- trainable text classifier (C9) --------------------------------------------
 def fit_text_classifier(train: DataFrame, text: str = "text", label_id: str = "label_id",
-                        num_features: int = 1 << 18, max_iter: int = 50, max_tokens: int | None = None,
+                        num_features: int = 1 << 16, max_iter: int = 50, max_tokens: int | None = None,
                         reg_params: tuple[float, ...] = (0.01,), seed: int = 42):
     """C9 re-aimed: words -> unigrams and bigrams -> hashed tf -> idf -> multinomial
     LR.  With several ``reg_params`` the one with the best weighted F1 on a fifth

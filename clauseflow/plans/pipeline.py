@@ -177,7 +177,7 @@ def build_corpus_index(lines: DataFrame, encode=None, sample_size: int | None =
     return rv.with_hashed_vector(corp, "clause", dim=dim)
 
 
-def train_and_evaluate(labelled: DataFrame, num_features: int = 1 << 18, max_iter: int = 50,
+def train_and_evaluate(labelled: DataFrame, num_features: int = 1 << 16, max_iter: int = 50,
                        reg_params: tuple[float, ...] = (0.001, 0.01, 0.1)) -> dict:
     """C7 encode -> C8 stratified split -> C9 fit with selection -> C10/C11
     metrics, plus the majority-class baseline (C13).  ``labels`` are the label
