@@ -2,9 +2,9 @@
 
 Lines are normalised to their words (lower case; what is neither letter nor
 digit separates them) and equal ones are one class with a 64-bit SimHash of its
-words.  Two hashes that differ in at most three bits agree on two of five
-blocks of the bits, so every pair of blocks is a join key; candidates within
-that distance are verified by the edit similarity of the normalised lines.
+distinct words, so that a few frequent ones don't make it.  Two hashes that differ in at most three bits agree on three of six
+blocks of the bits, so every three blocks are a join key; candidates within
+that distance are verified by the edit similarity of their word sequences.
 First each line of a bucket meets the bucket's smallest line only; other pairs
 of a bucket are made only between lines that are not linked by then, so a
 family of near-copies costs one pair a line.  Of each connected group the first
@@ -13,19 +13,24 @@ occurrence, by doc_id and line number, is kept.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from clauseflow.functions.textcols import with_computed
+
 from . import common
 
 #: What is dropped between words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bits from and to of the five blocks of a SimHash.
-BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+#: Bits from and to of the six blocks of a SimHash.
+BLOCKS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
 DISTANCE = 3
-#: The 64 counters of a SimHash are kept two to a long, 32 bits each.
-_LANES, _MASK = 32, 0x0000000100000001
+#: The 64 counters of a SimHash are kept eight to a (signed) long while a line is read, so
+#: lines of more distinct words are read in parts of this many and added up afterwards.
+_PART = 127
+_BYTES = 0x0101010101010101
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -33,85 +38,125 @@ def _lines(docs: DataFrame) -> DataFrame:
     the words) of every line that has a word."""
     split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("t"),
                         F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    return (split.withColumn("words", F.array_remove(F.split("line", GAP), "")).filter(F.size("words") > 0)
-            .withColumn("line", F.xxhash64("words")))
+    # a generator keeps the split from being repeated in the filters above it
+    return with_computed(split.drop("words"), {"words": F.array_remove(F.split("line", GAP), "")}) \
+        .filter(F.size("words") > 0).withColumn("line", F.xxhash64("words"))
+
+
+def _majority(count: Column, n: Column, width: int) -> Column:
+    """Of counters ``width`` bits apart, each of at most a quarter of its range:
+    the lowest bit of each is set where twice the counter is more than ``n``."""
+    ones = sum(1 << at for at in range(0, 64, width))
+    top = width - 2
+    spare = F.lit(ones << top) + n.cast("long") * F.lit(ones) - count * 2  # bit ``top`` of each: n - 2 count >= 0
+    return F.shiftrightunsigned(spare, top).bitwiseAND(F.lit(ones)).bitwiseXOR(F.lit(ones))
+
+
+def _any_bit(parts: list[Column]) -> Column:
+    while len(parts) > 1:
+        parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2])]
+    return parts[0]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, line_no, line, h: SimHash) of every line that has a word.
+    """(doc_id, t, line_no, line, n: words, h: SimHash) of every line that has a word.
 
     Words are summed in the task that read the line (map-side combine), which
-    leaves one slim row a line to shuffle."""
-    word = (_lines(docs).withColumn("n", F.size("words"))
-            .select("row", "doc_id", "t", "line_no", "line", "n", F.explode("words").alias("word"))
-            .withColumn("x", F.xxhash64("word")))
-    sums = [F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(_MASK))).alias(f"c{k}") for k in range(_LANES)]
-    summed = word.groupBy("row", "doc_id", "t", "line_no", "line", "n").agg(*sums)
-    bits = []
-    for k in range(_LANES):
-        for shift in (0, 32):
-            count = F.shiftrightunsigned(f"c{k}", shift).bitwiseAND(F.lit(0xFFFFFFFF))
-            bits.append(F.shiftleft((count * 2 > F.col("n")).cast("long"), k + shift))
-    while len(bits) > 1:
-        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2])]
-    return summed.select("doc_id", "t", "line_no", "line", bits[0].alias("h"))
+    leaves one slim row a line, or a part of a long one, to shuffle."""
+    line = with_computed(_lines(docs), {"unlike": F.array_distinct("words")})
+    word = (line.withColumn("n", F.size("words")).withColumn("m", F.size("unlike"))
+            .select("row", "doc_id", "t", "line_no", "line", "n", "m", F.posexplode_outer("unlike").alias("at", "word"))
+            .select("row", "doc_id", "t", "line_no", "line", "n", "m", (F.col("at") / _PART).cast("int").alias("part"), F.xxhash64("word").alias("x")))
+    sums = [F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(_BYTES))).alias(f"c{k}") for k in range(8)]
+    who = ["row", "doc_id", "t", "line_no", "line"]
+    summed = word.groupBy(*who, "part").agg(F.max("n").alias("n"), F.max("m").alias("m"), *sums)
+
+    def spread(k, shift, mask):  # every second or fourth counter of c<k>
+        return F.shiftrightunsigned(f"c{k}", shift).bitwiseAND(F.lit(mask))
+    bits = [F.shiftleft(_majority(spread(k, shift, 0x00FF00FF00FF00FF), F.col("m"), 16), k + shift) for k in range(8) for shift in (0, 8)]
+    short = summed.filter(F.col("m") <= _PART).select("doc_id", "t", "line_no", "line", "n", _any_bit(bits).alias("h"))
+    wide = [(k + shift, spread(k, shift, 0x000000FF000000FF)) for k in range(8) for shift in (0, 8, 16, 24)]
+    added = summed.filter(F.col("m") > _PART).groupBy(*who, "n", "m").agg(*[F.sum(c).alias(f"s{i}") for i, c in wide])
+    bits = [F.shiftleft(_majority(F.col(f"s{i}"), F.col("m"), 32), i) for i, _ in wide]
+    return short.unionByName(added.select("doc_id", "t", "line_no", "line", "n", _any_bit(bits).alias("h")))
 
 
 def _keys(h: Column) -> Column:
-    """Join keys: for each pair of blocks its number and the blocks' bits."""
-    def bits(block):
-        low, high = block
-        return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-    return F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(bits(a), 13).bitwiseOR(bits(b)))
-                     for k, (a, b) in enumerate(combinations(BLOCKS, 2))])
+    """Join keys: for each three blocks their number and bits (31 to 33), so that
+    unlike lines rarely meet."""
+    def key(k, blocks):
+        out = F.lit(k).cast("long")
+        for low, high in blocks:
+            out = F.shiftleft(out, high - low).bitwiseOR(F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1)))
+        return out
+    return F.array(*[key(k, blocks) for k, blocks in enumerate(combinations(BLOCKS, DISTANCE))])
+
+
+def _near(a: Column, b: Column, na: Column, nb: Column, similarity: float) -> Column:
+    """Hashes within the distance, of lines whose lengths alone don't rule them out."""
+    return (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE) & (F.abs(na - nb) <= _most(na, nb, similarity))
+
+
+def _most(na: Column, nb: Column, similarity: float) -> Column:
+    """Edits that two lines of so many words may be apart."""
+    return F.floor(F.greatest(na, nb) * (1 - similarity) + 1e-9).cast("int")
+
+
+def _code(words: Column) -> Column:
+    """A word sequence as a string of one character a word (20 bits of its hash),
+    so that edit distance counts words."""
+    character = F.transform(words, lambda w: F.lpad(F.hex(F.lit(1 << 16) + F.pmod(F.xxhash64(w), F.lit(1 << 20))), 8, "0"))
+    return F.decode(F.unhex(F.array_join(character, "")), "UTF-32")
 
 
-def _near(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
+#: Lines of more words than this lose what both start or end with before the edit
+#: distance, which stays the same, is taken; compared in pieces of that length.
+_PIECE = 256
 
 
-def _similar(a: Column, b: Column, similarity: float) -> Column:
-    """1 - edit distance / longer length is at least ``similarity``, for lines
-    as words joined by spaces.  Words that both lines start or end with are cut
-    off first, which leaves the distance and spares most of its cost."""
-    most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - similarity) + 1e-9)
-    wa, wb = F.split(a, " "), F.split(b, " ")
+def _same_start(a: Column, b: Column) -> Column:
+    """Pieces that both strings start with."""
+    def piece(x, i):
+        return F.substr(x, i * _PIECE + 1, F.lit(_PIECE))
+    whole = F.floor(F.least(F.length(a), F.length(b)) / _PIECE).cast("int")
+    equal = F.transform(F.sequence(F.lit(0), whole - 1), lambda i: piece(a, i) == piece(b, i))
+    first = F.array_position(equal, F.lit(False)).cast("int")
+    return F.when(whole == 0, 0).when(first == 0, whole).otherwise(first - 1)
 
-    def same(x, y):  # leading words in common
-        at = F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), False)
-        return F.when(at == 0, F.size(x)).otherwise(at - 1).cast("int")
 
-    def rest(x, n):
-        return F.slice(x, n + 1, F.size(x))
-    head = same(wa, wb)
-    wa, wb = F.reverse(rest(wa, head)), F.reverse(rest(wb, head))
-    tail = same(wa, wb)
-    middle = F.levenshtein(F.array_join(F.reverse(rest(wa, tail)), " "), F.array_join(F.reverse(rest(wb, tail)), " "))
-    return F.when(F.abs(F.length(a) - F.length(b)) <= most, middle <= most).otherwise(F.lit(False))
+def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b, ca, cb)`` in which 1 - edits / words of the longer
+    line is at least ``similarity``, as (a, b)."""
+    pairs = pairs.withColumn("most", _most(F.length("ca"), F.length("cb"), similarity))
+    for _ in range(2):  # the start, then the end as the start of the reversed rest
+        cut = F.when(F.length("ca") > _PIECE, _same_start(F.col("ca"), F.col("cb"))).otherwise(0) * _PIECE
+        pairs = with_computed(pairs, {"cut": cut})
+        pairs = pairs.select("a", "b", "most", *[F.reverse(F.substr(c, F.col("cut") + 1)).alias(c) for c in ("ca", "cb")])
+    # more edits than the bound give -1
+    return pairs.filter(F.call_function("levenshtein", "ca", "cb", "most") >= 0).select("a", "b")
 
 
-def _texts(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text) of the lines ``wanted(line)``, each from one occurrence:
-    only the documents of these are split."""
+def _codes(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, code) of the lines ``wanted(line)``, each from one occurrence: only
+    the documents of these are split, and where they are few no text is shuffled."""
     place = (found.join(wanted, "line").groupBy("line").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("p"))
-             .select("line", "p.*"))
-    place = common.stash(place.withColumnsRenamed({"doc_id": "i", "t": "u", "line_no": "k", "line": "want"}), "line-places")
-    ids = place.select("i").distinct()
+             .select(F.col("line").alias("want"), F.col("p.doc_id").alias("i"), F.col("p.t").alias("u"), F.col("p.line_no").alias("k")))
+    place = common.stash(place, "line-places")
+    ids = common.broadcast_up_to(place.select("i").distinct())
     some = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["i"]), "left_semi")
     at = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")) & (F.col("line_no") == F.col("k"))
-    lines = _lines(some).select("doc_id", "t", "line_no", F.array_join("words", " ").alias("text"))
-    return lines.join(place, at).select(F.col("want").alias("line"), "text").dropDuplicates(["line"])
+    lines = _lines(some).join(common.broadcast_up_to(place), at)
+    return lines.select(F.col("want").alias("line"), _code(F.col("words")).alias("code")).dropDuplicates(["line"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose lines are similar enough."""
     pairs = common.stash(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    texts = common.stash(_texts(docs, found, wanted), "line-texts")
-    one = texts.select(F.col("line").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("line").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b").filter(_similar(F.col("ta"), F.col("tb"), similarity))
-    return common.stash(both.select("a", "b"), "line-links")
+    codes = common.stash(_codes(docs, found, wanted), "line-codes")
+    one = codes.select(F.col("line").alias("a"), F.col("code").alias("ca"))
+    two = codes.select(F.col("line").alias("b"), F.col("code").alias("cb"))
+    return common.stash(_similar(pairs.join(one, "a").join(two, "b"), similarity), "line-links")
 
 
 def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -121,29 +166,37 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     Lines end with a line feed.  Null and empty texts and lines without words
     have no row and are never removed.  In rows that repeat a doc_id, all
     occurrences at the first one's doc_id and line number are kept.  A null
-    doc_id comes first.  Lines are told apart by 64-bit hashes."""
+    doc_id comes first.  Lines are told apart by 64-bit hashes, words within a
+    compared pair by 20 bits."""
     found = common.stash(occurrences(docs), "line-occurrences")
-    classes = common.stash(found.groupBy("line").agg(F.min("h").alias("h")), "line-classes")
+    # a line of n words may differ from its like in n (1 - similarity) words, rounded down: shorter ones have no like
+    least = next(n for n in range(1, 1 << 20) if math.floor((n + 1) * (1 - similarity) + 1e-9) >= 1) if similarity < 1 else 1 << 30
+    classes = found.filter(F.col("n") >= least).groupBy("line").agg(F.min("h").alias("h"), F.min("n").alias("n"))
 
-    # buckets of several lines; each line with the smallest one
+    # buckets of several lines, with their smallest one.  The many rows are only
+    # probed against the few keys that several lines have, not sorted
     keyed = classes.select("line", F.explode(_keys(F.col("h"))).alias("key")).repartition("key")
-    head = (keyed.groupBy("key").agg(F.min("line").alias("head"), F.max("line").alias("last")).filter("head < last")
-            .select("key", "head"))
-    bucket = common.stash(keyed.join(head, "key").join(classes, "line"), "line-buckets")
-    heads = classes.select(F.col("line").alias("head"), F.col("h").alias("head_h"))
-    stars = (bucket.filter("line <> head").select("line", "h", "head").distinct().join(heads, "head")
-             .filter(_near(F.col("h"), F.col("head_h"))).select(F.col("line").alias("a"), F.col("head").alias("b")))
+    head = (keyed.groupBy("key").agg(F.min("line").alias("head"), F.max("line").alias("last"), F.count("*").alias("lines"))
+            .filter("head < last").select("key", "head", "lines"))
+    bucket = common.stash(keyed.join(head.hint("shuffle_hash"), "key"), "line-keys")
+    heads = classes.select(F.col("line").alias("head"), F.col("h").alias("head_h"), F.col("n").alias("head_n"))
+    star = (F.col("line") != F.col("head")) & _near(F.col("h"), F.col("head_h"), F.col("n"), F.col("head_n"), similarity)
+    bucket = (bucket.join(classes, "line").join(heads, "head")
+              .select("key", "line", "h", "n", "head", "lines", star.alias("star")).filter("star or lines > 2"))
+    bucket = common.stash(bucket, "line-buckets")
+    stars = bucket.filter("star").select(F.col("line").alias("a"), F.col("head").alias("b")).distinct()
     links = _verified(stars, docs, found, similarity)
     parts = common.connected_components(links)
 
     # the other pairs of a bucket, between lines that are not linked yet
-    members = bucket.join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("part", F.coalesce("root", "line"))
+    parts = common.broadcast_up_to(parts.withColumnRenamed("node", "line"))
+    members = bucket.filter("lines > 2").join(parts, "line", "left").withColumn("part", F.coalesce("root", "line"))
     mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    members = common.stash(members.join(mixed, "key").select("key", "line", "h", "part", "head"), "line-members")
-    other = members.select("key", F.col("line").alias("b"), F.col("h").alias("hb"), F.col("part").alias("part_b"))
+    members = common.stash(members.join(mixed, "key").select("key", "line", "h", "n", "part", "head"), "line-members")
+    other = members.select("key", F.col("line").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("part").alias("part_b"))
     rest = (members.filter("line <> head").join(other, "key")
             .filter((F.col("line") > F.col("b")) & (F.col("part") != F.col("part_b")) & (F.col("b") != F.col("head")))
-            .filter(_near(F.col("h"), F.col("hb"))).select(F.col("line").alias("a"), "b").distinct())
+            .filter(_near(F.col("h"), F.col("hb"), F.col("n"), F.col("nb"), similarity)).select(F.col("line").alias("a"), "b").distinct())
     links = links.unionByName(_verified(rest, docs, found, similarity))
 
     roots = common.connected_components(links)

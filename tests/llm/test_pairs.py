@@ -206,7 +206,7 @@ def _line_groups(rows, similarity=0.8):
             if words:
                 found.append((d, k, words))
     distinct = sorted({w for *_, w in found})
-    hashes, union = [brute.simhash(w) for w in distinct], brute.Union()
+    hashes, union = [brute.simhash(set(w)) for w in distinct], brute.Union()
     for i, a in enumerate(distinct):
         for j in range(i):
             if bin(hashes[i] ^ hashes[j]).count("1") <= fuzzy_lines.DISTANCE:
