@@ -102,17 +102,6 @@ def word_count(col) -> Column:
     return F.coalesce(F.regexp_count(_c(col), F.lit(f"{U}[^{WS_CHARS}]+")), F.lit(0))
 
 
-def word_count_clean(col) -> Column:
-    """Word count of text already passed through ``clean_text`` (single spaces,
-    stripped): spaces + 1, no regex."""
-    c = _c(col)
-    return F.when(c == "", F.lit(0)).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
-
-
-def char_len(col) -> Column:
-    return F.length(_c(col))
-
-
 # -- T5 ----------------------------------------------------------------------
 QUOTED = r'"([^"]+)"'
 
@@ -154,10 +143,6 @@ def regex_count(col, pattern: str) -> Column:
 
 
 # -- T11 .. T14 --------------------------------------------------------------
-def prefix_chars(col, n: int = 150) -> Column:
-    return F.left(_c(col), F.lit(n))
-
-
 def join_list(col, sep: str = ", ") -> Column:
     return F.array_join(_c(col), sep)
 
