@@ -1,10 +1,12 @@
 """Fuzzy line dedup, in DataFrame functions only.
 
 Lines are normalised to their words (lower case; what is neither letter nor
-digit separates them) and equal ones are one class with a 64-bit SimHash of its
-distinct words, so that a few frequent ones don't make it.  Two hashes that differ in at most three bits agree on three of six
-blocks of the bits, so every three blocks are a join key; candidates within
-that distance are verified by the edit similarity of their word sequences.
+digit separates them) and equal ones are one class.  Two lines are similar when
+1 - edits / words of the longer one, in word edits, is at least the similarity.
+Every similar pair is found, by bounds that follow from it (``_sizes`` and
+``_grams``): similar lines share a run of words, and of the runs of that many
+words each line needs only those that come first in an order of all runs as
+join keys.  Candidates are verified by the edit distance of their word sequences.
 First each line of a bucket meets the bucket's smallest line only; other pairs
 of a bucket are made only between lines that are not linked by then, so a
 family of near-copies costs one pair a line.  Of each connected group the first
@@ -14,7 +16,7 @@ occurrence, by doc_id and line number, is kept.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,13 +26,10 @@ from . import common
 
 #: What is dropped between words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bits from and to of the six blocks of a SimHash.
-BLOCKS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
-DISTANCE = 3
-#: The 64 counters of a SimHash are kept eight to a (signed) long while a line is read, so
-#: lines of more distinct words are read in parts of this many and added up afterwards.
-_PART = 127
-_BYTES = 0x0101010101010101
+#: Bits in which the 64-bit SimHashes of a similar pair may differ: any; no hash stands before the edit distance.
+DISTANCE = 64
+#: Runs of more words than this are not made, however near 1 the similarity is.
+_LONGEST_RUN = 8
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -43,58 +42,54 @@ def _lines(docs: DataFrame) -> DataFrame:
         .filter(F.size("words") > 0).withColumn("line", F.xxhash64("words"))
 
 
-def _majority(count: Column, n: Column, width: int) -> Column:
-    """Of counters ``width`` bits apart, each of at most a quarter of its range:
-    the lowest bit of each is set where twice the counter is more than ``n``."""
-    ones = sum(1 << at for at in range(0, 64, width))
-    top = width - 2
-    spare = F.lit(ones << top) + n.cast("long") * F.lit(ones) - count * 2  # bit ``top`` of each: n - 2 count >= 0
-    return F.shiftrightunsigned(spare, top).bitwiseAND(F.lit(ones)).bitwiseXOR(F.lit(ones))
-
-
-def _any_bit(parts: list[Column]) -> Column:
-    while len(parts) > 1:
-        parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2])]
-    return parts[0]
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, line_no, line, n: words, h: SimHash) of every line that has a word.
-
-    Words are summed in the task that read the line (map-side combine), which
-    leaves one slim row a line, or a part of a long one, to shuffle."""
-    line = with_computed(_lines(docs), {"unlike": F.array_distinct("words")})
-    word = (line.withColumn("n", F.size("words")).withColumn("m", F.size("unlike"))
-            .select("row", "doc_id", "t", "line_no", "line", "n", "m", F.posexplode_outer("unlike").alias("at", "word"))
-            .select("row", "doc_id", "t", "line_no", "line", "n", "m", (F.col("at") / _PART).cast("int").alias("part"), F.xxhash64("word").alias("x")))
-    sums = [F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(_BYTES))).alias(f"c{k}") for k in range(8)]
-    who = ["row", "doc_id", "t", "line_no", "line"]
-    summed = word.groupBy(*who, "part").agg(F.max("n").alias("n"), F.max("m").alias("m"), *sums)
-
-    def spread(k, shift, mask):  # every second or fourth counter of c<k>
-        return F.shiftrightunsigned(f"c{k}", shift).bitwiseAND(F.lit(mask))
-    bits = [F.shiftleft(_majority(spread(k, shift, 0x00FF00FF00FF00FF), F.col("m"), 16), k + shift) for k in range(8) for shift in (0, 8)]
-    short = summed.filter(F.col("m") <= _PART).select("doc_id", "t", "line_no", "line", "n", _any_bit(bits).alias("h"))
-    wide = [(k + shift, spread(k, shift, 0x000000FF000000FF)) for k in range(8) for shift in (0, 8, 16, 24)]
-    added = summed.filter(F.col("m") > _PART).groupBy(*who, "n", "m").agg(*[F.sum(c).alias(f"s{i}") for i, c in wide])
-    bits = [F.shiftleft(_majority(F.col(f"s{i}"), F.col("m"), 32), i) for i, _ in wide]
-    return short.unionByName(added.select("doc_id", "t", "line_no", "line", "n", _any_bit(bits).alias("h")))
-
-
-def _keys(h: Column) -> Column:
-    """Join keys: for each three blocks their number and bits (31 to 33), so that
-    unlike lines rarely meet."""
-    def key(k, blocks):
-        out = F.lit(k).cast("long")
-        for low, high in blocks:
-            out = F.shiftleft(out, high - low).bitwiseOR(F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1)))
-        return out
-    return F.array(*[key(k, blocks) for k, blocks in enumerate(combinations(BLOCKS, DISTANCE))])
-
-
-def _near(a: Column, b: Column, na: Column, nb: Column, similarity: float) -> Column:
-    """Hashes within the distance, of lines whose lengths alone don't rule them out."""
-    return (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE) & (F.abs(na - nb) <= _most(na, nb, similarity))
+    """(row, doc_id, t, line_no, line, n: words) of every line that has a word."""
+    return _lines(docs).select("row", "doc_id", "t", "line_no", "line", F.size("words").alias("n"))
+
+
+def _sizes(similarity: float) -> list[tuple[int, int, int]]:
+    """(q, low, high): similar lines of which the longer one has ``low`` to
+    ``high`` words share a run of ``q`` words.
+
+    Of m words at most m (1 - s) are edited, so at least m s stay, in at most
+    m (1 - s) + 1 runs; one run has the mean length at least, which grows with m."""
+    def run(m):
+        return min(_LONGEST_RUN, math.ceil(m * similarity / (m * (1 - similarity) + 1) - 1e-9))
+    out, low = [], 1
+    most = math.ceil(_LONGEST_RUN / max(1e-6, 1 - similarity)) * 64  # the length does not change beyond
+    while low <= most:
+        high = next((m for m in range(low, most + 1) if run(m) != run(low)), 1 << 31) - 1
+        out.append((max(1, run(low)), low, high))
+        low = high + 1
+    return out
+
+
+def _grams(words: Column, n: Column, similarity: float) -> Column:
+    """Join keys of a line: of each size of run that its similar lines share,
+    the first ones in an order (more bytes first, as these are rarer).
+
+    An edit takes at most q of the runs of q words from a line, and one that
+    only makes the other line longer q - 1, so that of two similar lines each
+    lacks at most q (1 - s) n runs of the other.  Then the first common run in
+    any order is among the first q (1 - s) n + 1 distinct ones of both."""
+    keys = []
+    for q, low, high in _sizes(similarity):
+        def key(i):
+            taken = [F.get(words, i + k) for k in range(q)]
+            length = reduce(Column.__add__, [F.octet_length(w) for w in taken])
+            # the low bits stay 0, which makes the many rows smaller when they are compressed
+            hashed = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit(q), *taken), 24), 16)
+            return F.shiftleft(F.lit(127) - F.least(F.lit(127), length).cast("long"), 56).bitwiseOR(hashed)
+        run = F.transform(F.sequence(F.lit(0), n - q), key)
+        first = F.slice(F.sort_array(F.array_distinct(run)), 1, F.floor(n * (q * (1 - similarity)) + 1e-9).cast("int") + 1)
+        meets = (n >= q) & (n <= high) & (n >= math.ceil(low * similarity - 1e-9))
+        keys.append(F.when(meets, first).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*keys)
+
+
+def _near(na: Column, nb: Column, similarity: float) -> Column:
+    """Whether the lengths of two lines alone don't rule them out."""
+    return F.abs(na - nb) <= _most(na, nb, similarity)
 
 
 def _most(na: Column, nb: Column, similarity: float) -> Column:
@@ -171,18 +166,19 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     found = common.stash(occurrences(docs), "line-occurrences")
     # a line of n words may differ from its like in n (1 - similarity) words, rounded down: shorter ones have no like
     least = next(n for n in range(1, 1 << 20) if math.floor((n + 1) * (1 - similarity) + 1e-9) >= 1) if similarity < 1 else 1 << 30
-    classes = found.filter(F.col("n") >= least).groupBy("line").agg(F.min("h").alias("h"), F.min("n").alias("n"))
+    classes = found.filter(F.col("n") >= least).groupBy("line").agg(F.min("n").alias("n"))
 
     # buckets of several lines, with their smallest one.  The many rows are only
     # probed against the few keys that several lines have, not sorted
-    keyed = classes.select("line", F.explode(_keys(F.col("h"))).alias("key")).repartition("key")
+    keyed = _lines(docs).withColumn("n", F.size("words")).filter(F.col("n") >= least)
+    keyed = keyed.select("line", F.explode(_grams(F.col("words"), F.col("n"), similarity)).alias("key")).repartition("key")
     head = (keyed.groupBy("key").agg(F.min("line").alias("head"), F.max("line").alias("last"), F.count("*").alias("lines"))
             .filter("head < last").select("key", "head", "lines"))
-    bucket = common.stash(keyed.join(head.hint("shuffle_hash"), "key"), "line-keys")
-    heads = classes.select(F.col("line").alias("head"), F.col("h").alias("head_h"), F.col("n").alias("head_n"))
-    star = (F.col("line") != F.col("head")) & _near(F.col("h"), F.col("head_h"), F.col("n"), F.col("head_n"), similarity)
+    bucket = common.stash(keyed.join(head.hint("shuffle_hash"), "key").distinct(), "line-keys")
+    heads = classes.select(F.col("line").alias("head"), F.col("n").alias("head_n"))
+    star = (F.col("line") != F.col("head")) & _near(F.col("n"), F.col("head_n"), similarity)
     bucket = (bucket.join(classes, "line").join(heads, "head")
-              .select("key", "line", "h", "n", "head", "lines", star.alias("star")).filter("star or lines > 2"))
+              .select("key", "line", "n", "head", "lines", star.alias("star")).filter("star or lines > 2"))
     bucket = common.stash(bucket, "line-buckets")
     stars = bucket.filter("star").select(F.col("line").alias("a"), F.col("head").alias("b")).distinct()
     links = _verified(stars, docs, found, similarity)
@@ -192,11 +188,11 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     parts = common.broadcast_up_to(parts.withColumnRenamed("node", "line"))
     members = bucket.filter("lines > 2").join(parts, "line", "left").withColumn("part", F.coalesce("root", "line"))
     mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    members = common.stash(members.join(mixed, "key").select("key", "line", "h", "n", "part", "head"), "line-members")
-    other = members.select("key", F.col("line").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("part").alias("part_b"))
+    members = common.stash(members.join(mixed, "key").select("key", "line", "n", "part", "head"), "line-members")
+    other = members.select("key", F.col("line").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"))
     rest = (members.filter("line <> head").join(other, "key")
             .filter((F.col("line") > F.col("b")) & (F.col("part") != F.col("part_b")) & (F.col("b") != F.col("head")))
-            .filter(_near(F.col("h"), F.col("hb"), F.col("n"), F.col("nb"), similarity)).select(F.col("line").alias("a"), "b").distinct())
+            .filter(_near(F.col("n"), F.col("nb"), similarity)).select(F.col("line").alias("a"), "b").distinct())
     links = links.unionByName(_verified(rest, docs, found, similarity))
 
     roots = common.connected_components(links)

@@ -254,6 +254,31 @@ def test_fuzzy_lines_long_lines_and_cleaning(make_docs):
         [(1, long + "\nA b c\n\n"), (2, "x\nx y"), (3, None), (4, ""), (5, "\n \n"), (2, "x\nother")], key=str)
 
 
+def test_fuzzy_lines_finds_every_similar_pair(make_docs):
+    """Pairs of all lengths with as many spread edits as the similarity allows, and with one more."""
+    rng = random.Random(7)
+    rows, similar = [], []
+    for n in (5, 6, 9, 10, 12, 13, 14, 15, 16, 19, 20, 33, 52, 120):
+        for extra in (0, 1):
+            for kind in ("change", "drop", "add"):
+                words = [f"n{n}e{extra}{kind}{i}" for i in range(n)]
+                longer = n  # words of the longer line
+                edits = n // 5 + extra
+                if kind == "add":
+                    edits = max(k for k in range(n) if 5 * k <= n + k) + extra
+                    longer = n + edits
+                other = list(words)
+                for k in range(edits, 0, -1):  # evenly spread, so that no long run stays
+                    at = k * n // (edits + 1)
+                    other[at:at + 1] = {"change": [f"z{rng.random()}".replace(".", "")], "drop": [],
+                                        "add": [f"z{rng.random()}".replace(".", ""), words[at]]}[kind]
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+                similar.append(5 * brute.edit_distance(tuple(words), tuple(other)) <= longer)
+    kept = {r["doc_id"]: r["kept"] for r in fuzzy_lines.groups(make_docs(rows)).collect()}
+    assert [not kept[2 * i + 1] for i in range(len(similar))] == similar and all(kept[2 * i] for i in range(len(similar)))
+    assert sum(similar) == 42
+
+
 def test_fuzzy_lines_empty_table_and_plan(spark, make_docs):
     assert fuzzy_lines.groups(make_docs([])).count() == 0
     assert not re.search("Python|Pandas|Arrow", fuzzy_lines.op2(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString())
