@@ -1,7 +1,9 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Benchmark items are partitioned by their number of shingles (16, 32, 64, ...).
-For the items of up to ``m`` shingles every document is cut into windows of
+Items of up to 16 shingles are too small a part of any window and are looked up
+exactly: of their shingles so many are keys that a document that holds enough of
+the item holds one of these.  For the longer items of up to ``m`` shingles every document is cut into windows of
 ``2 m`` shingles with stride ``m``, so that a short item, which is a tiny part
 of a long document, is a large part of some window: a contained item has a
 Jaccard similarity of at least 0.19 with it.  One MinHash value in common (64
@@ -34,9 +36,9 @@ _SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, conta
 
 
 class Items:
-    """Shingle sets and, by size class and function, MinHash values of a block of items."""
+    """Shingle sets of a block of items, keys of the small ones and, by size class and function, MinHash values of the others."""
 
-    def __init__(self, item_ids: list, texts: list, n: int):
+    def __init__(self, item_ids: list, texts: list, n: int, containment: float):
         hashes, starts = wordhash.words(pa.array(texts, pa.string()), wordhash.ALNUM_WORDS)
         shingle, at = wordhash.shingles(hashes, starts, n)
         self.ids, self.sets = [], []
@@ -47,10 +49,21 @@ class Items:
                 self.sets.append(got)
         size = np.array([len(s) for s in self.sets], np.int64)
         blocks = 1 << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / BLOCK))).astype(np.int64)
+        keys, owners = [np.empty(0, _U)], [np.empty(0, np.int64)]
+        for i in np.flatnonzero(size <= BLOCK):
+            some = self.sets[i][:size[i] - max(1, int(np.ceil(containment * size[i] - 1e-9))) + 1]
+            keys.append(some)
+            owners.append(np.full(len(some), i))
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        order = keys.argsort()
+        seen = np.zeros(1 << 16, bool)
+        seen[keys >> _U(48)] = True
+        #: sorted keys of the small items, their items, and a filter of their top bits
+        self.small = (keys[order], owners[order], seen)
         #: class (blocks of an item) -> for each function: sorted values, their items, and a filter of their top bits
         self.classes = {}
-        for m in np.unique(blocks) if len(size) else []:
-            members = np.flatnonzero(blocks == m)
+        for m in np.unique(blocks[size > BLOCK]):
+            members = np.flatnonzero((blocks == m) & (size > BLOCK))
             low = np.array([[(self.sets[i] * a + b).min() for i in members] for a, b in zip(_A, _B)])
             order = low.argsort(axis=1)
             low = np.take_along_axis(low, order, 1)
@@ -61,7 +74,7 @@ class Items:
 
 
 def candidates(shingle: np.ndarray, at: np.ndarray, items: Items) -> np.ndarray:
-    """(row, item) pairs, as row * number of items + item, that share a MinHash value in some window."""
+    """(row, item) pairs, as row * number of items + item, that share a small item's key, or a MinHash value in some window."""
     n_rows, n_items = len(at) - 1, len(items.sets)
     size = np.diff(at)
     blocks = -(-size // BLOCK)
@@ -69,6 +82,14 @@ def candidates(shingle: np.ndarray, at: np.ndarray, items: Items) -> np.ndarray:
     found = [np.empty(0, np.int64)]
     if not block_at[-1] or not n_items:
         return found[0]
+    keys, owners, seen = items.small
+    near = np.flatnonzero(seen[shingle >> _U(48)])
+    lo = np.searchsorted(keys, shingle[near], "left")
+    n_same = np.searchsorted(keys, shingle[near], "right") - lo
+    k = np.repeat(lo - (np.cumsum(n_same) - n_same), n_same) + np.arange(n_same.sum())
+    found.append(np.repeat(np.searchsorted(at, near, "right") - 1, n_same) * np.int64(n_items) + owners[k])
+    if not items.classes:
+        return wordhash.distinct(found[1])
     row = np.repeat(np.arange(n_rows), blocks)
     first = at[row] + (np.arange(block_at[-1]) - block_at[row]) * BLOCK
     # one column per block; a row's last block repeats the row's last shingle
@@ -155,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, containment: float
                             names=["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
         return docs.mapInArrow(run, _SCHEMA)
 
-    found = [search(spark.sparkContext.broadcast(Items(ids, texts, n)))
+    found = [search(spark.sparkContext.broadcast(Items(ids, texts, n, containment)))
              for ids, texts in _blocks(benchmark, most_items, most_bytes)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _SCHEMA)
 

@@ -143,6 +143,21 @@ def test_leaks_against_plain_search(spark, make_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 7]
 
 
+def test_leaks_small_items_in_long_documents(spark, make_docs):
+    """Items of 5 to 24 words, whole and with as much missing as may, each inside a long document."""
+    texts = [" ".join(f"i{k}n{n}w{i}" for i in range(n)) for n in range(5, 25) for k in range(20)]
+    items = list(enumerate(texts))
+    rows = []
+    for i, text in items:
+        size = len(text.split()) - 4
+        whole = text.split()[:4 + -(-4 * size // 5)] if i % 2 else text.split()
+        far = [f"f{i}x{k}" for k in range(300)]
+        rows.append((i, " ".join(far + whole + far)))
+    want = {(i, i) for i, _ in items}
+    got = decontaminate.leaks(make_docs(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("most_items", [20_000, 7])
 def test_leaks_whole_table(spark, most_items):
     docs, items = common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")
