@@ -178,7 +178,7 @@ def coarse_centres(corpus: DataFrame, vec: str, n_cells: int, most_rows: int = 2
 
 
 def knn_cells(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, query_id: str = "query_id",
-              corpus_id: str = "clause_id", vec: str = "embedding", n_cells: int = 16, n_probe: int = 4,
+              corpus_id: str = "clause_id", vec: str = "embedding", n_cells: int = 16, n_probe: int = 12,
               block_rows: int = 4096) -> DataFrame:
     """V6: approximate neighbours for corpora past brute force.  The corpus is
     partitioned by nearest centre, a query visits its ``n_probe`` nearest cells,

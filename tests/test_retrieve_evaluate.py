@@ -1,9 +1,11 @@
 """V1-V6 and E1-E4."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from clauseflow.operators import evaluate as ev
 from clauseflow.operators import retrieve as rv
+from clauseflow.plans import registry
 
 
 def test_knn_exact_matches_numpy(spark):
@@ -97,3 +99,12 @@ def test_cell_search_recall_and_work(spark):
     q, c = q.withColumnRenamed("vec_id", "query_id"), c.withColumnRenamed("vec_id", "clause_id")
     exact = found(rv.knn_exact(q, c, 5))
     assert len(exact & found(rv.knn_cells(q, c, 5, n_cells=8, n_probe=6))) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_cell_search_recall(spark, sf):
+    """The registered query itself, against the registered exact search."""
+    def found(name):
+        return {(r["query_id"], r["clause_id"]) for r in registry.QUERIES[name](spark, f"/root/testdata/{sf}").collect()}
+    exact = found("knn_exact")
+    assert len(exact & found("knn_cells")) >= 0.9 * len(exact)
