@@ -32,7 +32,7 @@ _A = wordhash.mix(np.arange(1, FUNCTIONS + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)
 _B = wordhash.mix(np.arange(1, FUNCTIONS + 1, dtype=_U) * _U(0xA0761D6478BD642F))
 #: Shingles of a block, the unit of windows, and of the smallest size class.
 BLOCK = 16
-_SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
+_SCHEMA = "doc_id long, t long, item_id long, n_item_shingles long, n_shared long, containment double"
 
 
 class Items:
@@ -146,8 +146,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, containment: float
     in a document of the same words.  Null or wordless texts on either side
     match nothing.  Rows that repeat a doc_id or item_id are compared row by
     row; equal rows of the benchmark count once."""
+    return _leaks(docs, benchmark, n, containment, most_items, most_bytes).drop("t")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, containment: float = 0.8,
+           most_items: int = 20_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """``leaks`` with t, the hash of the document's text."""
     spark = docs.sparkSession
-    docs = docs.select(docs["doc_id"].cast("long"), docs["text"])
+    docs = docs.select(docs["doc_id"].cast("long"), docs["text"], F.xxhash64(docs["text"]).alias("t"))
 
     def search(block):
         def run(batches):
@@ -170,10 +176,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, containment: float
                                 rows[k].append(v)
                     if rows["row"]:
                         yield pa.RecordBatch.from_arrays(
-                            [part.column("doc_id").take(pa.array(rows["row"])), pa.array(rows["item"], pa.int64()),
+                            [part.column("doc_id").take(pa.array(rows["row"])), part.column("t").take(pa.array(rows["row"])), pa.array(rows["item"], pa.int64()),
                              pa.array(rows["size"], pa.int64()), pa.array(rows["shared"], pa.int64()),
                              pa.array([a / b for a, b in zip(rows["shared"], rows["size"])])],
-                            names=["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
+                            names=["doc_id", "t", "item_id", "n_item_shingles", "n_shared", "containment"])
         return docs.mapInArrow(run, _SCHEMA)
 
     found = [search(spark.sparkContext.broadcast(Items(ids, texts, n, containment)))
@@ -189,6 +195,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__leak"]), "left_anti")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """``docs`` without the rows that hold an item, told apart by doc_id and text:
+    clean rows of the same or no doc_id stay.  While the leaks are few their ids
+    are broadcast and no text is shuffled."""
+    bad = _leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("__leak"), F.col("t").alias("__t")).distinct()
+    bad = common.broadcast_up_to(common.stash(bad, "leaks"))
+    same = docs["doc_id"].eqNullSafe(bad["__leak"]) & (F.xxhash64(docs["text"]) == bad["__t"])
+    return docs.join(bad, same, "left_anti")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 

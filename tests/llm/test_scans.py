@@ -143,6 +143,17 @@ def test_leaks_against_plain_search(spark, make_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 7]
 
 
+def test_pipeline_stage_keeps_clean_rows_of_leaking_ids(spark, make_docs, tmp_path):
+    import corpus_pipeline
+    item = " ".join(f"q{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make_docs([(None, f"x {item}"), (None, "no id, clean"), (None, None), (1, item), (1, "clean text"), (2, "other")])
+    kept = corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(None, "no id, clean"), (None, None), (1, "clean text"), (2, "other")], key=str)
+
+
 def test_leaks_small_items_in_long_documents(spark, make_docs):
     """Items of 5 to 24 words, whole and with as much missing as may, each inside a long document."""
     texts = [" ".join(f"i{k}n{n}w{i}" for i in range(n)) for n in range(5, 25) for k in range(20)]
