@@ -132,6 +132,29 @@ def words(column: pa.Array, classes: np.ndarray = WHITESPACE_WORDS, fold: np.nda
     return np.concatenate(hashes), np.searchsorted(place, at, "left")
 
 
+def located(column: pa.Array, classes: np.ndarray = WHITESPACE_WORDS, fold: np.ndarray = LOWER_ASCII,
+            limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of a column in order, and the bytes of its buffer at
+    which each starts and ends (``classes``: 0 separates, 1 is a word byte)."""
+    buf, at = text_buffer(column)
+    values = _VALUES[fold]
+    found = [(np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for lo, hi in _pieces(buf, at, classes, limit):
+        part = buf[lo:hi]
+        real = np.zeros(len(part) + 2, bool)
+        real[1:-1] = classes[part] != 0
+        first, over = real[1:] & ~real[:-1], real[:-1] & ~real[1:]
+        inner = at[np.searchsorted(at, lo, "right"):np.searchsorted(at, hi, "left")] - lo
+        inner = inner[real[inner] & real[inner + 1]]  # a word ends with its row
+        first[inner] = over[inner] = True
+        start, stop = np.flatnonzero(first), np.flatnonzero(over)
+        power, inverse = _power_tables(len(part))
+        total = np.zeros(len(part) + 1, _U)
+        np.cumsum(values[part] * power[:len(part)], out=total[1:])
+        found.append((mix((total[stop] - total[start]) * inverse[start]), start + lo, stop + lo))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def shingles(hashes: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``n``-word shingles of each row in order, and where each
     row's shingles start (rows + 1).  A row of fewer words (but one at least)
