@@ -19,6 +19,7 @@ _TABLE = {
     "op8_quality": ("quality", "op8", None),
     "op9_weighted_fair_mix": ("mixing", "op9", "OP9_SQL"),
     "op10_jaccard_join": ("jaccard_join", "op10", "OP10_SQL"),
+    "op11_spelling_variants": ("spelling", "op11", None),
     "op12_collocations": ("collocations", "op12", "OP12_SQL"),
     "op13_personal_data": ("personal_data", "op13", "OP13_SQL"),
 }
