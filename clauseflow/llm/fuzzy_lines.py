@@ -1,12 +1,13 @@
 """Fuzzy line dedup, in DataFrame functions only.
 
 Lines are normalised to their words (lower case; what is neither letter nor
-digit separates them) and equal ones are one class.  Two lines are similar when
+digit separates them), and equal ones are one class.  Two lines are similar when
 1 - edits / words of the longer one, in word edits, is at least the similarity.
-Every similar pair is found, by bounds that follow from it (``_sizes`` and
-``_grams``): similar lines share a run of words, and of the runs of that many
-words each line needs only those that come first in an order of all runs as
-join keys.  Candidates are verified by the edit distance of their word sequences.
+A class has three independent 64-bit SimHashes of its words as often as they
+occur.  Two hashes that differ in at most four bits agree on two of six blocks
+of the bits, so every two blocks and a class of lengths are a join key.  Lines
+of one bucket that are within that distance in any hash are verified by the
+edit distance of their word sequences.
 First each line of a bucket meets the bucket's smallest line only; other pairs
 of a bucket are made only between lines that are not linked by then, so a
 family of near-copies costs one pair a line.  Of each connected group the first
@@ -16,7 +17,7 @@ occurrence, by doc_id and line number, is kept.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -26,10 +27,19 @@ from . import common
 
 #: What is dropped between words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bits in which the 64-bit SimHashes of a similar pair may differ: any; no hash stands before the edit distance.
-DISTANCE = 64
-#: Runs of more words than this are not made, however near 1 the similarity is.
-_LONGEST_RUN = 8
+#: Edits in words that lines may be apart, as a share of the longer one.
+SIMILARITY = 0.95
+#: SimHashes of a line, bits in which one of them may differ, and bits from and to of its blocks:
+#: ``DISTANCE`` differing bits leave two of the six blocks equal.
+HASHES, DISTANCE = 3, 4
+BLOCKS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
+_EQUAL = len(BLOCKS) - DISTANCE
+#: Lengths of one class differ by less than this factor.
+_STEP = 1.25
+#: The 64 counters of a SimHash are kept eight to a (signed) long while a line is read, so
+#: lines of more words are read in parts of this many and added up afterwards.
+_PART = 127
+_BYTES = 0x0101010101010101
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -47,46 +57,76 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return _lines(docs).select("row", "doc_id", "t", "line_no", "line", F.size("words").alias("n"))
 
 
-def _sizes(similarity: float) -> list[tuple[int, int, int]]:
-    """(q, low, high): similar lines of which the longer one has ``low`` to
-    ``high`` words share a run of ``q`` words.
-
-    Of m words at most m (1 - s) are edited, so at least m s stay, in at most
-    m (1 - s) + 1 runs; one run has the mean length at least, which grows with m."""
-    def run(m):
-        return min(_LONGEST_RUN, math.ceil(m * similarity / (m * (1 - similarity) + 1) - 1e-9))
-    out, low = [], 1
-    most = math.ceil(_LONGEST_RUN / max(1e-6, 1 - similarity)) * 64  # the length does not change beyond
-    while low <= most:
-        high = next((m for m in range(low, most + 1) if run(m) != run(low)), 1 << 31) - 1
-        out.append((max(1, run(low)), low, high))
-        low = high + 1
+def _majority(count: Column, n: Column, width: int) -> Column:
+    """Of counters ``width`` bits apart, each of at most a quarter of its range:
+    the lowest bit of each is set where twice the counter is more than ``n``."""
+    ones = sum(1 << at for at in range(0, 64, width))
+    top = width - 2
+    spare = F.lit(ones << top) + n.cast("long") * F.lit(ones) - count * 2  # bit ``top`` of each: n - 2 count >= 0
+    return F.shiftrightunsigned(spare, top).bitwiseAND(F.lit(ones)).bitwiseXOR(F.lit(ones))
+
+
+def _any_bit(parts: list[Column]) -> Column:
+    while len(parts) > 1:
+        parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2])]
+    return parts[0]
+
+
+def hashes(docs: DataFrame, least: int) -> DataFrame:
+    """(line, n, h0, h1, ...) of every class of lines of ``least`` words and more.
+
+    Words are summed in the task that read the line (map-side combine), which
+    leaves one slim row a line, or a part of a long one, to shuffle."""
+    which = range(HASHES)
+    line = _lines(docs).withColumn("n", F.size("words")).filter(F.col("n") >= least)
+    word = line.select("row", "line_no", "line", "n", F.posexplode("words").alias("at", "word"))
+    word = word.select("row", "line_no", "line", "n", (F.col("at") / _PART).cast("int").alias("part"),
+                       *[F.xxhash64("word", *[F.lit("#")] * h).alias(f"x{h}") for h in which])
+    sums = [F.sum(F.shiftrightunsigned(f"x{h}", k).bitwiseAND(F.lit(_BYTES))).alias(f"c{h}_{k}") for h in which for k in range(8)]
+    summed = word.groupBy("row", "line_no", "line", "n", "part").agg(*sums)
+
+    def spread(h, k, shift, mask):  # every second or fourth counter of c<h>_<k>
+        return F.shiftrightunsigned(f"c{h}_{k}", shift).bitwiseAND(F.lit(mask))
+
+    def bits(h):
+        return [F.shiftleft(_majority(spread(h, k, shift, 0x00FF00FF00FF00FF), F.col("n"), 16), k + shift) for k in range(8) for shift in (0, 8)]
+    short = summed.filter(F.col("n") <= _PART).select("line", "n", *[_any_bit(bits(h)).alias(f"h{h}") for h in which])
+    wide = [(h, k + shift, spread(h, k, shift, 0x000000FF000000FF)) for h in which for k in range(8) for shift in (0, 8, 16, 24)]
+    added = summed.filter(F.col("n") > _PART).groupBy("row", "line_no", "line", "n").agg(*[F.sum(c).alias(f"s{h}_{i}") for h, i, c in wide])
+    long = added.select("line", "n", *[_any_bit([F.shiftleft(_majority(F.col(f"s{g}_{i}"), F.col("n"), 32), i) for g, i, _ in wide if g == h])
+                                       .alias(f"h{h}") for h in which])
+    return short.unionByName(long).groupBy("line").agg(F.min("n").alias("n"), *[F.min(f"h{h}").alias(f"h{h}") for h in which])
+
+
+def _length_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(_STEP)).cast("long")
+
+
+def _keys(n: Column, similarity: float) -> Column:
+    """Join keys: number and bits of each two blocks of each hash (low bits
+    first, so that the many rows compress), and the class of each length that the
+    longer line of a similar pair may have."""
+    def key(k, h, blocks):
+        out = F.lit(k).cast("long")
+        for low, high in blocks:
+            out = F.shiftleft(out, high - low).bitwiseOR(F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1)))
+        return out
+    made = [key(len(BLOCKS) ** 2 * h + k, F.col(f"h{h}"), blocks)
+            for h in range(HASHES) for k, blocks in enumerate(combinations(BLOCKS, _EQUAL))]
+    longest = F.floor(n / similarity + 1e-9) if similarity > 0 else F.lit(1 << 30)
+    classes = F.sequence(_length_class(n), _length_class(longest))
+    return F.flatten(F.transform(classes, lambda c: F.transform(F.array(*made), lambda k: F.shiftleft(k, 16) + c)))
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether two lines are within the distance in one of their hashes."""
+    close = [F.bit_count(F.col(a + str(h)).bitwiseXOR(F.col(b + str(h)))) <= DISTANCE for h in range(HASHES)]
+    out = close[0]
+    for c in close[1:]:
+        out = out | c
     return out
 
 
-def _grams(words: Column, n: Column, similarity: float) -> Column:
-    """Join keys of a line: of each size of run that its similar lines share,
-    the first ones in an order (more bytes first, as these are rarer).
-
-    An edit takes at most q of the runs of q words from a line, and one that
-    only makes the other line longer q - 1, so that of two similar lines each
-    lacks at most q (1 - s) n runs of the other.  Then the first common run in
-    any order is among the first q (1 - s) n + 1 distinct ones of both."""
-    keys = []
-    for q, low, high in _sizes(similarity):
-        def key(i):
-            taken = [F.get(words, i + k) for k in range(q)]
-            length = reduce(Column.__add__, [F.octet_length(w) for w in taken])
-            # the low bits stay 0, which makes the many rows smaller when they are compressed
-            hashed = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit(q), *taken), 24), 16)
-            return F.shiftleft(F.lit(127) - F.least(F.lit(127), length).cast("long"), 56).bitwiseOR(hashed)
-        run = F.transform(F.sequence(F.lit(0), n - q), key)
-        first = F.slice(F.sort_array(F.array_distinct(run)), 1, F.floor(n * (q * (1 - similarity)) + 1e-9).cast("int") + 1)
-        meets = (n >= q) & (n <= high) & (n >= math.ceil(low * similarity - 1e-9))
-        keys.append(F.when(meets, first).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(*keys)
-
-
 def _near(na: Column, nb: Column, similarity: float) -> Column:
     """Whether the lengths of two lines alone don't rule them out."""
     return F.abs(na - nb) <= _most(na, nb, similarity)
@@ -154,7 +194,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, similarity: f
     return common.stash(_similar(pairs.join(one, "a").join(two, "b"), similarity), "line-links")
 
 
-def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per line that has a word: doc_id, t (hash of the text), line_no,
     first_doc_id and first_line_no (the group's first occurrence), kept.
 
@@ -162,23 +202,24 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     have no row and are never removed.  In rows that repeat a doc_id, all
     occurrences at the first one's doc_id and line number are kept.  A null
     doc_id comes first.  Lines are told apart by 64-bit hashes, words within a
-    compared pair by 20 bits."""
+    compared pair by 20 bits.  Lines too short for one edit within the
+    similarity (of fewer than 19 words at 0.95) can only be equal."""
     found = common.stash(occurrences(docs), "line-occurrences")
     # a line of n words may differ from its like in n (1 - similarity) words, rounded down: shorter ones have no like
     least = next(n for n in range(1, 1 << 20) if math.floor((n + 1) * (1 - similarity) + 1e-9) >= 1) if similarity < 1 else 1 << 30
-    classes = found.filter(F.col("n") >= least).groupBy("line").agg(F.min("n").alias("n"))
+    classes = common.stash(hashes(docs, least), "line-classes")
+    own = [f"h{h}" for h in range(HASHES)]
 
     # buckets of several lines, with their smallest one.  The many rows are only
     # probed against the few keys that several lines have, not sorted
-    keyed = _lines(docs).withColumn("n", F.size("words")).filter(F.col("n") >= least)
-    keyed = keyed.select("line", F.explode(_grams(F.col("words"), F.col("n"), similarity)).alias("key")).repartition("key")
+    keyed = classes.select("line", F.explode(_keys(F.col("n"), similarity)).alias("key")).repartition("key")
     head = (keyed.groupBy("key").agg(F.min("line").alias("head"), F.max("line").alias("last"), F.count("*").alias("lines"))
             .filter("head < last").select("key", "head", "lines"))
-    bucket = common.stash(keyed.join(head.hint("shuffle_hash"), "key").distinct(), "line-keys")
-    heads = classes.select(F.col("line").alias("head"), F.col("n").alias("head_n"))
-    star = (F.col("line") != F.col("head")) & _near(F.col("n"), F.col("head_n"), similarity)
+    bucket = common.stash(keyed.join(head.hint("shuffle_hash"), "key"), "line-keys")
+    heads = classes.select(F.col("line").alias("head"), F.col("n").alias("head_n"), *[F.col(h).alias(f"head_{h}") for h in own])
+    star = (F.col("line") != F.col("head")) & _near(F.col("n"), F.col("head_n"), similarity) & _alike("h", "head_h")
     bucket = (bucket.join(classes, "line").join(heads, "head")
-              .select("key", "line", "n", "head", "lines", star.alias("star")).filter("star or lines > 2"))
+              .select("key", "line", "n", *own, "head", "lines", star.alias("star")).filter("star or lines > 2"))
     bucket = common.stash(bucket, "line-buckets")
     stars = bucket.filter("star").select(F.col("line").alias("a"), F.col("head").alias("b")).distinct()
     links = _verified(stars, docs, found, similarity)
@@ -188,11 +229,12 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     parts = common.broadcast_up_to(parts.withColumnRenamed("node", "line"))
     members = bucket.filter("lines > 2").join(parts, "line", "left").withColumn("part", F.coalesce("root", "line"))
     mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    members = common.stash(members.join(mixed, "key").select("key", "line", "n", "part", "head"), "line-members")
-    other = members.select("key", F.col("line").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"))
+    members = common.stash(members.join(mixed, "key").select("key", "line", "n", *own, "part", "head"), "line-members")
+    other = members.select("key", F.col("line").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"),
+                           *[F.col(h).alias(f"b_{h}") for h in own])
     rest = (members.filter("line <> head").join(other, "key")
             .filter((F.col("line") > F.col("b")) & (F.col("part") != F.col("part_b")) & (F.col("b") != F.col("head")))
-            .filter(_near(F.col("n"), F.col("nb"), similarity)).select(F.col("line").alias("a"), "b").distinct())
+            .filter(_near(F.col("n"), F.col("nb"), similarity) & _alike("h", "b_h")).select(F.col("line").alias("a"), "b").distinct())
     links = links.unionByName(_verified(rest, docs, found, similarity))
 
     roots = common.connected_components(links)
