@@ -4,8 +4,10 @@ Exact kNN (V3) compares every query with every corpus vector, like a flat
 index: the cost is inherent to exact search.  Both sides are cut into blocks of
 a bounded size and a task compares one block of each with numpy; only the k best
 per query leave a task and a final group-limit keeps the global k.  No pair
-table is made and nothing is collected.  V6 partitions the corpus by nearest
-centre and sends each query to a few cells only, for corpora past brute force.
+table is made and nothing is collected.  V6 has two approximate forms: cells (a
+query visits the cells of its nearest centres only, for clustered vectors) and
+product-quantised codes (a vector is a few bytes, a query compares itself to all
+of them by looking up distances, and only the best are compared exactly).
 """
 
 from __future__ import annotations
@@ -112,19 +114,23 @@ def _tiled_knn(queries: DataFrame, corpus: DataFrame, k: int, round_decimals: in
     Both sides of a cell are cut into blocks of about ``block_rows`` by a hash of
     the id; a task compares one block of each.  Nothing passes through the
     driver; the number of blocks per cell comes from counts joined by cell."""
-    n_q = queries.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nq"))
-    n_c = corpus.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nc"))
+    q, c = _tiles(queries, corpus, block_rows, block_rows)
+    best = q.cogroup(c).applyInPandas(_best_in_tile(k, round_decimals), "query_id long, clause_id long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "clause_id")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _tiles(queries: DataFrame, corpus: DataFrame, query_rows: int, corpus_rows: int):
+    """Both sides grouped by tile: blocks of about so many rows of one cell."""
+    n_q = queries.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("_nq"))
+    n_c = corpus.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / corpus_rows).cast("int").alias("_nc"))
     blocks = n_q.join(n_c, "_cell")
 
     def dealt(df, own, other, mine, theirs):
         d = df.join(blocks, "_cell").withColumn(mine, F.pmod(F.xxhash64("_id"), F.col(own)).cast("int"))
         return d.select("_cell", "_id", "_v", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs))
     tile = ["_cell", "_bq", "_bc"]
-    q = dealt(queries, "_nq", "_nc", "_bq", "_bc").groupBy(*tile)
-    c = dealt(corpus, "_nc", "_nq", "_bc", "_bq").groupBy(*tile)
-    best = q.cogroup(c).applyInPandas(_best_in_tile(k, round_decimals), "query_id long, clause_id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "clause_id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (dealt(queries, "_nq", "_nc", "_bq", "_bc").groupBy(*tile), dealt(corpus, "_nc", "_nq", "_bc", "_bq").groupBy(*tile))
 
 
 def _side(df: DataFrame, id_col: str, vec: str, cell) -> DataFrame:
@@ -159,24 +165,34 @@ def assemble_hits(queries: DataFrame, hits: DataFrame, meta: DataFrame, query_id
 
 
 # -- V6 -------------------------------------------------------------------------------------
-def coarse_centres(corpus: DataFrame, vec: str, n_cells: int, most_rows: int = 20_000, rounds: int = 8, seed: int = 42) -> np.ndarray:
-    """Cell centres: k-means over a bounded sample (the first rows by a hash of
-    the vector)."""
+def _vector_sample(corpus: DataFrame, vec: str, most_rows: int) -> np.ndarray:
+    """At most ``most_rows`` vectors: the first ones by a hash of the vector."""
     got = corpus.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"))
-    rows = got.orderBy(F.xxhash64("v")).limit(min(most_rows, 64 * n_cells)).collect()
-    if not rows:
-        return np.empty((0, 0))
-    x = np.array([r["v"] for r in rows], float)
-    rng = np.random.default_rng(seed)
-    centres = x[rng.permutation(len(x))[:n_cells]]
+    rows = got.orderBy(F.xxhash64("v")).limit(most_rows).collect()
+    return np.array([r["v"] for r in rows], float) if rows else np.empty((0, 0))
+
+
+def _kmeans(x: np.ndarray, n: int, rounds: int, rng) -> np.ndarray:
+    centres = x[rng.permutation(len(x))[:n]]
     for _ in range(rounds):
-        near = ((x ** 2).sum(1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(1)).argmin(axis=1)
+        near = _nearest(x, centres)
         for c in range(len(centres)):
             if (near == c).any():
                 centres[c] = x[near == c].mean(axis=0)
     return centres
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x ** 2).sum(1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(1)).argmin(axis=1)
+
+
+def coarse_centres(corpus: DataFrame, vec: str, n_cells: int, most_rows: int = 20_000, rounds: int = 8, seed: int = 42) -> np.ndarray:
+    """Cell centres: k-means over a bounded sample (the first rows by a hash of
+    the vector)."""
+    x = _vector_sample(corpus, vec, min(most_rows, 64 * n_cells))
+    return _kmeans(x, n_cells, rounds, np.random.default_rng(seed)) if len(x) else x
+
+
 def knn_cells(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, query_id: str = "query_id",
               corpus_id: str = "clause_id", vec: str = "embedding", n_cells: int = 16, n_probe: int = 12,
               block_rows: int = 4096) -> DataFrame:
@@ -207,3 +223,77 @@ def knn_cells(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, qu
         return d.select(F.explode(nearest(n)("_v")).alias("_cell"), "_id", "_v")
     found = _tiled_knn(celled(queries, query_id, min(n_probe, len(centres))), celled(corpus, corpus_id, 1), k, None, block_rows)
     return found.withColumnsRenamed({"query_id": query_id, "clause_id": corpus_id})
+
+
+def code_books(corpus: DataFrame, vec: str, n_parts: int, n_centres: int = 256, most_rows: int = 20_000, rounds: int = 10,
+               seed: int = 42) -> list[np.ndarray]:
+    """One code book a part of the vector (``n_parts`` runs of components of about
+    the same length): at most 256 centres by k-means over a bounded sample."""
+    x = _vector_sample(corpus, vec, most_rows)
+    rng = np.random.default_rng(seed)
+    return [_kmeans(part, min(n_centres, 256), rounds, rng) for part in np.array_split(x, min(n_parts, x.shape[1]), axis=1)] if len(x) else []
+
+
+def _best_codes_in_tile(books: list[np.ndarray], most: int, chunk: int = 64):
+    """(queries, codes) of one tile -> the ``most`` best per query by looked-up distances."""
+    ends = np.cumsum([b.shape[1] for b in books])[:-1]
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "clause_id": pd.Series([], dtype="int64"),
+                                 "about": pd.Series([], dtype="float64")})
+        c = c.sort_values("_id", kind="stable")
+        codes = np.frombuffer(b"".join(c["_v"]), np.uint8).reshape(len(c), len(books))
+        vectors, ids, out = np.stack(q["_v"].to_numpy()).astype(np.float64), c["_id"].to_numpy(), []
+        kk = min(most, len(ids))
+        for at in range(0, len(vectors), chunk):
+            about = np.zeros((len(vectors[at:at + chunk]), len(ids)))
+            for j, (part, book) in enumerate(zip(np.split(vectors[at:at + chunk], ends, axis=1), books)):
+                table = (part ** 2).sum(1)[:, None] - 2 * part @ book.T + (book ** 2).sum(1)
+                about += table[:, codes[:, j]]
+            near = np.argpartition(about, kk - 1, axis=1)[:, :kk]
+            out.append(pd.DataFrame({"query_id": np.repeat(q["_id"].to_numpy()[at:at + chunk], kk), "clause_id": ids[near].ravel(),
+                                     "about": np.take_along_axis(about, near, axis=1).ravel()}))
+        return pd.concat(out)
+    return run
+
+
+def knn_codes(queries: DataFrame, corpus: DataFrame, k: int = lx.RETRIEVAL_K, query_id: str = "query_id",
+              corpus_id: str = "clause_id", vec: str = "embedding", n_parts: int = 12, rerank: int = 40,
+              query_rows: int = 1024, corpus_rows: int = 1 << 16) -> DataFrame:
+    """V6: approximate neighbours through product-quantised codes.
+
+    The corpus becomes ``n_parts`` bytes a vector; only these are dealt out to the
+    tiles.  A query makes a table of its distances to all centres once a tile, a
+    distance is the sum of ``n_parts`` entries.  The ``rerank`` best of each query are
+    joined to their vectors and ranked by exact squared L2, ties by id.  Per pair
+    the work is n_parts / dimension of an exact distance, plus rerank exact ones a
+    query; rerank >= corpus rows is exact.  Vectors are of one length; null
+    vectors take no part, queries and corpus ids are unique, an empty corpus has
+    no hits."""
+    spark = corpus.sparkSession
+    books = code_books(corpus, vec, n_parts)
+    if not books:
+        return knn_exact(queries, corpus, k, query_id, corpus_id, vec)
+    ends = np.cumsum([b.shape[1] for b in books])[:-1]
+    shared = spark.sparkContext.broadcast(books)
+
+    @F.pandas_udf("binary")
+    def encode(v: pd.Series) -> pd.Series:
+        if v.empty:
+            return pd.Series([], dtype=object)
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        codes = np.stack([_nearest(part, book) for part, book in zip(np.split(x, ends, axis=1), shared.value)], axis=1)
+        return pd.Series([row.tobytes() for row in codes.astype(np.uint8)])
+    q, c = _side(queries, query_id, vec, F.lit(0)), _side(corpus, corpus_id, vec, F.lit(0))
+    tiles = _tiles(q, c.select("_cell", "_id", encode("_v").alias("_v")), query_rows, corpus_rows)
+    best = tiles[0].cogroup(tiles[1]).applyInPandas(_best_codes_in_tile(books, rerank), "query_id long, clause_id long, about double")
+    near = Window.partitionBy("query_id").orderBy("about", "clause_id")
+    best = best.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= rerank).select("query_id", "clause_id")
+    pairs = (best.join(c.select(F.col("_id").alias("clause_id"), F.col("_v").alias("_c")), "clause_id")
+             .join(q.select(F.col("_id").alias("query_id"), F.col("_v").alias("_q")), "query_id"))
+    gaps = F.zip_with("_q", "_c", lambda a, b: (a - b) * (a - b))
+    pairs = pairs.select("query_id", "clause_id", F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x).alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", "clause_id")
+    found = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.select("query_id", "clause_id", "distance", "rank").withColumnsRenamed({"query_id": query_id, "clause_id": corpus_id})

@@ -823,6 +823,15 @@ def q_knn_cells(spark, sf):
     return rv.knn_cells(q, c, lx.RETRIEVAL_K).select("query_id", "rank", "clause_id", r6("distance").alias("distance"))
 
 
+@register("knn_codes")
+def q_knn_codes(spark, sf):
+    from clauseflow.operators import retrieve as rv
+    split = dd._ckpt(emb_split(spark, sf))
+    q = split.filter(F.col("split") == "test").select(F.col("vec_id").alias("query_id"), "embedding")
+    c = split.filter(F.col("split") == "train").select(F.col("vec_id").alias("clause_id"), "embedding")
+    return rv.knn_codes(q, c, lx.RETRIEVAL_K).select("query_id", "rank", "clause_id", r6("distance").alias("distance"))
+
+
 @register("nfkc_normalize")
 def q_nfkc_normalize(spark, sf):
     c = fx.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")

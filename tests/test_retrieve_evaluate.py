@@ -1,4 +1,6 @@
 """V1-V6 and E1-E4."""
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +110,34 @@ def test_registered_cell_search_recall(spark, sf):
         return {(r["query_id"], r["clause_id"]) for r in registry.QUERIES[name](spark, f"/root/testdata/{sf}").collect()}
     exact = found("knn_exact")
     assert len(exact & found("knn_cells")) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_code_search_recall_and_work(spark, sf):
+    """V6 by codes: the registered query against the registered exact search, and
+    its work per pair (table entries and re-ranked vectors) against exact distances."""
+    def found(name):
+        return {(r["query_id"], r["clause_id"]): r["distance"] for r in registry.QUERIES[name](spark, f"/root/testdata/{sf}").collect()}
+    exact, got = found("knn_exact"), found("knn_codes")
+    same = exact.keys() & got.keys()
+    assert len(got) == len(exact) and len(same) >= 0.9 * len(exact) and all(abs(exact[p] - got[p]) < 2e-6 for p in same)
+    settings = inspect.signature(rv.knn_codes).parameters
+    n = registry.emb_split(spark, f"/root/testdata/{sf}").filter("split = 'train'").count()
+    assert settings["n_parts"].default / 64 + settings["rerank"].default / n < 0.3
+
+
+def test_code_search_is_exact_where_all_are_ranked_again(spark):
+    """Several tiles, parts of unequal length, repeated and null vectors, fewer rows than k."""
+    rng = np.random.default_rng(5)
+    vectors = [v.tolist() for v in rng.normal(size=(300, 7))]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(1000 + i, vectors[7]) for i in range(4)] + [(2000, None)]
+    c = spark.createDataFrame(rows, "clause_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, vectors[i]) for i in range(20)] + [(99, None)], "query_id long, embedding array<double>")
+
+    def found(df):
+        return sorted((r["query_id"], r["rank"], r["clause_id"], round(r["distance"], 9)) for r in df.collect())
+    assert found(rv.knn_codes(q, c, 5, n_parts=3, rerank=1000, query_rows=8, corpus_rows=50)) == found(rv.knn_exact(q, c, 5))
+    assert found(rv.knn_codes(q, c, 5, n_parts=100, rerank=40, corpus_rows=50)) == found(rv.knn_exact(q, c, 5))  # a part a component
+    few = c.filter("clause_id < 3")
+    assert found(rv.knn_codes(q, few, 5)) == found(rv.knn_exact(q, few, 5)) and len(found(rv.knn_codes(q, few, 5))) == 60
+    assert rv.knn_codes(q, c.filter("false"), 5).count() == 0 and rv.knn_codes(q.filter("false"), c, 5).count() == 0
