@@ -14,8 +14,11 @@ contract) reaches the threshold.  Done in three distributed steps:
    (idf over the whole contract), candidate pairs only through *prefix* tokens —
    in a fixed token order (rarest first) a clause's prefix keeps every token
    except a tail whose L2 mass is below the threshold, so two unit vectors with
-   cosine >= t always share a prefix token (exact filter, no cap).  Candidates
-   are verified with the exact dot product.  Dense vectors (D3): the group is
+   cosine >= t always share a prefix token (exact filter, no cap).  From their
+   first shared token on, the cosine is at most the product of what is left of
+   the two vectors, which drops most pairs at the join (exact as well).  The rows
+   of a frequent token are cut into blocks that meet pairwise, so no task gets
+   all of them.  Candidates are verified with the exact dot product.  Dense vectors (D3): the group is
    cut into tiles; each tile pair is one task comparing two bounded blocks with
    numpy; only edges above the threshold are emitted.
 3. **Greedy resolution.**  A clause is dropped if some earlier neighbour is
@@ -31,6 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clauseflow.functions import lexicon as lx
 from clauseflow.functions import textcols as tc
@@ -102,36 +106,65 @@ def resolve_dropped(nodes: DataFrame, edges: DataFrame, gk: list[str]) -> DataFr
 # -- D2: TF-IDF ---------------------------------------------------------------------
 def tfidf_vectors(base: DataFrame, gk: list[str], threshold: float, norm: str = "_norm",
                   carry: list[str] | None = None) -> DataFrame:
-    """One row per clause: (gk..., id, carry..., vec array<struct<dfreq, tok, u, pre>>)
+    """One row per clause: (gk..., id, carry..., vec array<struct<tok, u, left, dfreq, pre>>)
     with u the L2-normalised tf-idf weight (idf = ln((1 + n) / (1 + df)) + 1, n and df
-    over the ``gk`` group), entries in rarest-first order, and ``pre`` marking the
-    prefix tokens (tail mass from the token on >= threshold^2).
+    over the ``gk`` group).  In rarest-first order, ``left`` is the L2 norm of the
+    vector from that token on, and ``pre`` marks the prefix tokens (left >= threshold).
 
-    Shuffles: df per (gk, tok) and its join back, then one regroup per clause.
+    Shuffles: df per (gk, tok) and its join back, then one regroup per clause,
+    which the running mass and the vector share.  All passes over a clause are
+    linear in its length.
     """
     carry = carry or []
     toks = tc.with_computed(base, {"_uni": tc.unigrams(norm)})
     toks = tc.with_computed(toks, {"_st": F.array_sort(F.concat("_uni", tc.bigrams_of("_uni")))})
-    toks = toks.withColumn("_rev", F.reverse("_st"))
-    pairs = F.transform(F.array_distinct("_st"), lambda t: F.struct(
-        t.alias("tok"),
-        (F.size("_st") - F.array_position(F.col("_rev"), t) - F.array_position(F.col("_st"), t) + 2).alias("tf")))
+    # where each run of equal tokens starts
+    starts = F.filter(F.transform("_st", lambda t, i: F.when((i == 0) | (t != F.get(F.col("_st"), i - 1)), i)), lambda i: i.isNotNull())
+    toks = tc.with_computed(toks, {"_at": starts})
+    pairs = F.transform("_at", lambda at, k: F.struct(
+        F.get(F.col("_st"), at).alias("tok"), (F.coalesce(F.get(F.col("_at"), k + 1), F.size("_st")) - at).alias("tf")))
     rows = toks.select(*gk, "id", *carry, F.explode(pairs).alias("p")).select(*gk, "id", *carry, "p.tok", "p.tf")
     dfreq = rows.groupBy(*gk, "tok").agg(F.count(F.lit(1)).alias("dfreq"))
     n = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("n_docs"))
     w = (rows.join(dfreq, [*gk, "tok"]).join(n, gk)
          .withColumn("w", F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("dfreq"))) + 1)))
+    clause = Window.partitionBy(*gk, "id")
+    mass = F.col("w") * F.col("w")
+    w = w.withColumn("_all", F.sum(mass).over(clause))
+    w = w.withColumn("_upto", F.sum(mass).over(clause.orderBy("dfreq", "tok").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    left = F.sqrt(F.greatest(F.col("_all") - F.col("_upto") + mass, F.lit(0.0)) / F.col("_all"))
+    entry = F.struct("tok", (F.col("w") / F.sqrt("_all")).alias("u"), left.alias("left"), "dfreq", (left >= threshold - EPS).alias("pre"))
     # carried columns depend on the clause only: grouping by them avoids a join back
-    per = (w.groupBy(*gk, "id", *carry)
-           .agg(F.array_sort(F.collect_list(F.struct("dfreq", "tok", "w"))).alias("_v")))
-    n2 = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-    per = per.withColumn("_n2", n2)
-    t2 = threshold * threshold - EPS
-    vec = F.transform("_v", lambda x, k: F.struct(
-        x["dfreq"].alias("dfreq"), x["tok"].alias("tok"), (x["w"] / F.sqrt(F.col("_n2"))).alias("u"),
-        (F.aggregate(F.slice(F.col("_v"), k + 1, F.size("_v") - k), F.lit(0.0),
-                     lambda a, y: a + y["w"] * y["w"]) / F.col("_n2") >= F.lit(t2)).alias("pre")))
-    return per.select(*gk, "id", *carry, vec.alias("vec"))
+    return w.groupBy(*gk, "id", *carry).agg(F.collect_list(entry).alias("vec"))
+
+
+def tfidf_candidates(vecs: DataFrame, cg: list[str], threshold: float, block_rows: int = 1024) -> DataFrame:
+    """Pairs (cg..., i, j), i earlier by ``_ok``, that share a prefix token and whose
+    vectors from there on can reach the threshold.
+
+    A token of many clauses has its rows in ceil(df / block_rows) blocks; block x
+    meets block y >= x in one tile, so a tile joins two bounded blocks."""
+    pre = (vecs.select(*cg, "id", "_ok", F.explode(F.filter("vec", lambda x: x["pre"])).alias("x"))
+           .select(*cg, "id", "_ok", F.col("x.tok").alias("tok"), F.col("x.left").alias("left"),
+                   F.ceil(F.col("x.dfreq") / block_rows).cast("int").alias("nb")))
+    pre = pre.withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    a = pre.withColumn("t1", F.col("b")).withColumn("t2", F.explode(F.sequence("b", F.col("nb") - 1)))
+    b = pre.withColumn("t1", F.explode(F.sequence(F.lit(0), "b"))).withColumn("t2", F.col("b"))
+    tile = [*cg, "tok", "t1", "t2"]
+    a, b = (x.select(*tile, F.struct("_ok", "id").alias(n), F.col("left").alias(f"{n}_left")) for x, n in ((a, "x"), (b, "y")))
+    near = F.col("x_left") * F.col("y_left") >= threshold - EPS
+    once = (F.col("t1") < F.col("t2")) | (F.col("x._ok") < F.col("y._ok"))  # within a block a pair meets in both orders
+    met = a.join(b, tile).filter(near & once & (F.col("x._ok") != F.col("y._ok")))
+    return met.select(*cg, F.least("x", "y")["id"].alias("i"), F.greatest("x", "y")["id"].alias("j")).distinct()
+
+
+def _dot(a: str, b: str) -> Column:
+    """Dot product of two sparse vectors array<struct<tok, u>>: equal tokens stand side by side once both are sorted together."""
+    start = F.struct(F.lit(None).cast("string").alias("tok"), F.lit(0.0).alias("u"), F.lit(0.0).alias("sum"))
+    both = F.array_sort(F.concat(a, b))
+    step = lambda acc, e: F.struct(e["tok"].alias("tok"), e["u"].alias("u"),
+                                   (acc["sum"] + F.when(acc["tok"] == e["tok"], acc["u"] * e["u"]).otherwise(0.0)).alias("sum"))
+    return F.aggregate(both, start, step, lambda acc: acc["sum"])
 
 
 def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: Column,
@@ -159,21 +192,15 @@ def semantic_dedup_tfidf(df: DataFrame, gk: list[str], id_col: str, order_key: C
     base = _ckpt(base.drop("_rep_id"))
     # 2. vectors (idf over every clause of the group), candidates through prefix tokens
     vecs = tfidf_vectors(base, gk, threshold, carry=["_label", "_ok", "st"])
-    vecs = _ckpt(vecs.filter(F.col("st") == "U"))
-    pre = vecs.select(*cg, "id", "_ok", F.explode(F.filter("vec", lambda x: x["pre"])).alias("x")) \
-              .select(*cg, "id", "_ok", F.col("x.tok").alias("tok"))
-    a, b = pre.alias("a"), pre.alias("b")
-    cand = (a.join(b, [*cg, "tok"]).filter(F.col("a._ok") < F.col("b._ok"))
-            .select(*cg, F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct())
-    vi = vecs.select(*gk, F.col("id").alias("i"),
-                     F.map_from_arrays(F.transform("vec", lambda x: x["tok"]),
-                                       F.transform("vec", lambda x: x["u"])).alias("mi"))
-    vj = vecs.select(*gk, F.col("id").alias("j"), F.col("vec").alias("vj"))
-    cos = F.aggregate("vj", F.lit(0.0),
-                      lambda acc, e: acc + e["u"] * F.coalesce(F.try_element_at(F.col("mi"), e["tok"]), F.lit(0.0)))
-    edges = cand.join(vi, [*gk, "i"]).join(vj, [*gk, "j"]).filter(cos >= F.lit(threshold)).select(*cg, "i", "j")
+    vecs, vecs_path = written(vecs.filter(F.col("st") == "U"), "dedup-vectors")
+    slim = F.transform("vec", lambda x: F.struct(x["tok"].alias("tok"), x["u"].alias("u")))
+    edges = (tfidf_candidates(vecs, cg, threshold)
+             .join(vecs.select(*gk, F.col("id").alias("i"), slim.alias("vi")), [*gk, "i"])
+             .join(vecs.select(*gk, F.col("id").alias("j"), slim.alias("vj")), [*gk, "j"])
+             .filter(_dot("vi", "vj") >= F.lit(threshold)).select(*cg, "i", "j"))
     # 3. greedy
     dropped = resolve_dropped(base.select(*cg, "id", "st"), edges, cg)
+    remove_written(src.sparkSession, vecs_path)  # the edges are written
     dropped = dropped.select(*gk, F.col("id").cast(src.schema[id_col].dataType).alias(id_col))
     return src.join(dropped, [*gk, id_col], "left_anti")
 
@@ -234,16 +261,77 @@ def dense_edges(df: DataFrame, gk: list[str], vec: str, order: list[str],
         lambda key, pdf: with_keys(key[:len(gk)], pdf), schema)
 
 
+def _ranked(nodes: DataFrame, gk: list[str], order: list[str]) -> DataFrame:
+    """``nodes`` with _rank, from 0 by ``order`` and id inside each group: a range
+    sort of all rows, whose partitions' sizes (one row a partition) give the offsets."""
+    by = [F.when(F.isnull(c) | F.isnan(F.col(c).cast("double")), F.lit(float("inf"))).otherwise(F.col(c).cast("double")) for c in order]
+    keys = [*[F.col(c) for c in gk], *by, F.col("id")]
+    placed = _ckpt(nodes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part, at = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, {}
+    for r in placed.groupBy(part.alias("p")).count().orderBy("p").collect():
+        offsets[r["p"]], before = before, before + r["count"]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in offsets.items() for x in kv]), part)
+    placed = placed.withColumn("_rank", offset + at)
+    return placed.join(placed.groupBy(*gk).agg(F.min("_rank").alias("_from")), gk).withColumn("_rank", F.col("_rank") - F.col("_from")).drop("_at", "_from")
+
+
+def _covered(rows: DataFrame, leaders: DataFrame, gk: list[str], vec: str, threshold: float, block_rows: int) -> DataFrame:
+    """(gk..., id) of the rows that have dot >= threshold with a leader of their
+    group; a task compares a block of rows with a block of leaders."""
+    blocks = (rows.groupBy(*gk).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nr"))
+              .join(leaders.groupBy(*gk).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nl")), gk))
+
+    def dealt(df, own, other, mine, theirs):
+        d = df.select(*gk, "id", F.col(vec).alias("_v")).join(blocks, gk).withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        return d.select(*gk, "id", "_v", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs)).groupBy(*gk, "_r", "_l")
+
+    def meet(r: pd.DataFrame, lead: pd.DataFrame) -> pd.DataFrame:
+        if r.empty or lead.empty:
+            return r[[*gk, "id"]].iloc[:0]
+        a, b = (np.stack(x["_v"].to_numpy()).astype(np.float64) for x in (r, lead))
+        return r.loc[(a @ b.T >= threshold).any(axis=1), [*gk, "id"]]
+    tiles = dealt(rows, "_nr", "_nl", "_r", "_l"), dealt(leaders, "_nl", "_nr", "_l", "_r")
+    return tiles[0].cogroup(tiles[1]).applyInPandas(meet, rows.select(*gk, "id").schema).distinct()
+
+
+def _leader_rounds(nodes: DataFrame, gk: list[str], vec: str, order: list[str], threshold: float, block_rows: int, first: int) -> DataFrame:
+    """(gk..., id) of the rows that the greedy rule keeps.  Round 0 takes the first
+    ``first`` rows of each group, round b as many as all rounds before it."""
+    block = F.when(F.col("_rank") < first, 0).otherwise(F.floor(F.log2(F.col("_rank") / first)) + 1).cast("int")
+    ranked = _ckpt(_ranked(nodes, gk, order).withColumn("_round", block))
+    leaders = None
+    for b in range(ranked.agg(F.max("_round")).head()[0] + 1):
+        rows = ranked.filter(F.col("_round") == b).drop("_rank", "_round")
+        if leaders is not None:
+            rows = _ckpt(rows.join(_covered(rows, leaders, gk, vec, threshold, block_rows), [*gk, "id"], "left_anti"))
+        dropped = resolve_dropped(rows.select(*gk, "id", F.lit("U").alias("st")), dense_edges(rows, gk, vec, order, threshold, block_rows), gk)
+        kept = _ckpt(rows.join(dropped, [*gk, "id"], "left_anti").select(*gk, "id", vec))
+        leaders = kept if leaders is None else leaders.unionByName(kept)
+    return leaders.select(*gk, "id")
+
+
 def semantic_dedup_embedding(df: DataFrame, gk: list[str], id_col: str, order: list[Column | str] | str,
                              vec: str = "embedding", threshold: float = lx.SEMANTIC_DEDUP_THRESHOLD,
-                             block_rows: int = 1024) -> DataFrame:
+                             block_rows: int = 1024, first: int = 4096) -> DataFrame:
     """D3: ordered greedy dedup on unit embeddings inside ``gk`` groups.  ``order``
-    are numeric columns, smaller first; rows that tie in all of them go by id."""
+    are numeric columns, smaller first; rows that tie in all of them go by id.
+    Groups of more than ``first`` rows go in rounds, with the same result; a row
+    with a null in ``gk`` is in no group and stays."""
     src = _ckpt(df)
     order = [F.col(c) if isinstance(c, str) else c for c in ([order] if isinstance(order, str) else order)]
     names = [f"_ord{k}" for k in range(len(order))]
     nodes = src.select(*gk, F.col(id_col).cast("long").alias("id"), *[c.alias(n) for c, n in zip(order, names)], vec)
-    edges = dense_edges(nodes, gk, vec, names, threshold, block_rows)
-    dropped = resolve_dropped(nodes.select(*gk, "id", F.lit("U").alias("st")), edges, gk)
+    in_group = F.lit(True)
+    for c in gk:
+        in_group = in_group & F.col(c).isNotNull()
+    largest = nodes.filter(in_group).groupBy(*gk).count().agg(F.max("count")).head()[0] or 0
+    if largest <= first:
+        edges = dense_edges(nodes, gk, vec, names, threshold, block_rows)
+        dropped = resolve_dropped(nodes.select(*gk, "id", F.lit("U").alias("st")), edges, gk)
+    else:
+        nodes = nodes.filter(in_group)
+        kept = _leader_rounds(nodes, gk, vec, names, threshold, block_rows, first)
+        dropped = nodes.select(*gk, "id").join(kept, [*gk, "id"], "left_anti")
     dropped = dropped.select(*gk, F.col("id").cast(src.schema[id_col].dataType).alias(id_col))
     return src.join(dropped, [*gk, id_col], "left_anti")

@@ -122,3 +122,52 @@ def test_exact_dedup_keeps_first(spark):
     df = spark.createDataFrame(rows, "text string, label string, pos int")
     got = sorted((r["text"], r["label"], r["pos"]) for r in dd.exact_dedup(df, ["text", "label"], ["pos"]).collect())
     assert got == [("t", "l", 1), ("t", "m", 2), ("u", "l", 5)]
+
+
+def _greedy(rows, threshold=0.30):
+    """rows (group, id, order, vector): ids that the ordered rule keeps."""
+    kept, compared = {}, 0
+    for g, i, _, v in sorted(rows, key=lambda r: (r[2] is None, r[2] if r[2] is not None else 0, r[1])):
+        mine = kept.setdefault(g, [])
+        compared += len(mine)
+        if not any(sum(x * y for x, y in zip(v, k)) >= threshold for _, k in mine):
+            mine.append((i, v))
+    return sorted((g, i) for g, ks in kept.items() for i, _ in ks), compared
+
+
+@pytest.mark.parametrize("first,block_rows", [(8, 5), (40, 16), (4096, 16)])
+def test_leader_rounds_give_the_greedy_result(spark, first, block_rows):
+    import random
+    rnd = random.Random(first)
+    rows = []
+    for i in range(260):
+        v = [rnd.gauss(0, 1) for _ in range(5)]
+        z = math.sqrt(sum(x * x for x in v))
+        rows.append((rnd.choice(["a", "a", "a", "b", None]), i * 7 % 260, rnd.choice([None, 0.25, 0.5, 0.5, rnd.random()]), [x / z for x in v]))
+    df = spark.createDataFrame(rows, "label string, vec_id long, o double, embedding array<double>").repartition(5)
+    out = dd.semantic_dedup_embedding(df, ["label"], "vec_id", "o", block_rows=block_rows, first=first, threshold=0.8)
+    want, _ = _greedy([r for r in rows if r[0] is not None], 0.8)
+    assert sorted((r["label"], r["vec_id"]) for r in out.filter("label is not null").collect()) == want
+    assert out.filter("label is null").count() == sum(r[0] is None for r in rows)
+
+
+def test_tfidf_blocks_of_frequent_tokens_and_bounds(spark):
+    """Blocks of a few rows and the whole token give the same candidates, which hold every similar pair and few others."""
+    import random
+    rnd = random.Random(8)
+    pool = [f"word{i}" for i in range(40)]
+    texts = [" ".join(["shall", *rnd.choices(pool, k=rnd.randrange(4, 12))]) for _ in range(70)]
+    rows = [(1, i, x, "x") for i, x in enumerate(texts)]
+    base = spark.createDataFrame(rows, "contract_id long, id long, _norm string, _label string").withColumn("_ok", F.struct("id"))
+    vecs = dd.tfidf_vectors(base, ["contract_id"], 0.30, carry=["_label", "_ok"])
+    pairs = {size: {(r["i"], r["j"]) for r in dd.tfidf_candidates(vecs, ["contract_id", "_label"], 0.30, block_rows=size).collect()}
+             for size in (3, 1024)}
+    vectors = {r["id"]: {e["tok"]: e["u"] for e in r["vec"]} for r in vecs.collect()}
+    assert all(abs(sum(u * u for u in v.values()) - 1) < 1e-9 for v in vectors.values())
+    similar = {(i, j) for i in vectors for j in vectors if i < j and sum(u * vectors[j].get(t, 0) for t, u in vectors[i].items()) >= 0.30}
+    assert pairs[3] == pairs[1024] >= similar and all(i < j for i, j in pairs[3])
+    shared = sum(1 for i in vectors for j in vectors if i < j and vectors[i].keys() & vectors[j].keys())
+    assert shared == 70 * 69 // 2 and len(pairs[3]) < shared
+    df = spark.createDataFrame(rows, "contract_id long, clause_idx int, text string, label string")
+    out = dd.semantic_dedup_tfidf(df, ["contract_id"], "clause_idx", F.struct(F.col("clause_idx")))
+    assert sorted(r["clause_idx"] for r in out.collect()) == brute_tfidf_keep(texts, ["x"] * 70)
