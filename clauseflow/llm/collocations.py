@@ -5,11 +5,12 @@
    ends there, as no longer phrase can be frequent.
 3. Prefixes are put in groups of about ``BUDGET`` suffixes; a prefix that is too
    large for its share of a group is extended to whole suffixes, which spreads it
-   over all groups.  Every suffix, cut at ``longest`` words or before the first
-   infrequent pair, goes to its prefix's group, equal ones as one row a task.
-4. Each group on its own sorts its suffixes, which is its subtree in depth-first
+   over all groups.  Suffixes are cut at ``longest`` words or before the first
+   infrequent pair; a task sends each group its prefixes' suffixes, equal ones
+   once, as one block.
+4. Each group on its own sorts its suffixes, which is its subtrees in depth-first
    order, and reads the count of every node off the totals of the leaves below
-   it.  The leaves stream by: a group is never held in memory.
+   it.  One group at a time is in memory.
 
 Which words and pairs are frequent reaches the tasks as bitmaps of a fixed
 size.  A bit that two of them share keeps a few suffixes too many, whose counts
@@ -132,11 +133,10 @@ def _has(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & 1 != 0
 
 
-def _counted(tuples, names, extra=()):
+def _counted(tuples, names):
     """Equal rows of the id columns ``tuples`` as one row with their number."""
-    key, first, n = np.unique(_key(*tuples), return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([*[_signed(x[first]) for x in tuples], *[pa.array(x[first]) for x in extra],
-                                       pa.array(n.astype(np.int64))], names=names)
+    _, first, n = np.unique(_key(*tuples), return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([*[_signed(x[first]) for x in tuples], pa.array(n.astype(np.int64))], names=names)
 
 
 def pairs(docs: DataFrame, frequent, least: int) -> DataFrame:
@@ -164,18 +164,25 @@ def pairs(docs: DataFrame, frequent, least: int) -> DataFrame:
             .mapInArrow(keyed, "i1 long, i2 long, n long, key long"))
 
 
-def suffixes(docs: DataFrame, frequent, large, longest: int) -> DataFrame:
-    """(i1 .. i<longest>, group, large, n): suffixes of three words and more, cut
-    before the first pair that is not ``frequent``; 0 after the last word."""
+def suffixes(docs: DataFrame, frequent, large, longest: int, groups: int) -> DataFrame:
+    """(group int, i1 .. i<longest>, n, large): blocks, as arrays of one entry a
+    suffix, of what a task has for each group: suffixes of three words and more up
+    to the first pair that is not ``frequent``, 0 after the last word."""
     ids = [f"i{k + 1}" for k in range(longest)]
-    names = [*ids, "group", "large", "n"]
+    names = ["group", *ids, "n", "large"]
 
     def made(held):
         columns = [np.concatenate(x) for x in zip(*held)]
+        whole, first, n = np.unique(_key(*columns), return_index=True, return_counts=True)
+        columns = [x[first] for x in columns]
         prefix = _key(*columns[:2])
         big = _has(large.value, prefix)
-        group = np.where(big, _key(*columns), prefix) >> _U(33)
-        return _counted(columns, names, (group.astype(np.int64), big))
+        group = ((np.where(big, whole, prefix) >> _U(32)) % _U(groups)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], group[order[1:]] != group[order[:-1]]]))
+        at = pa.array(np.append(begin, len(order)).astype(np.int32))
+        lists = [*[_signed(x[order]) for x in columns], pa.array(n[order].astype(np.int64)), pa.array(big[order])]
+        return pa.RecordBatch.from_arrays([pa.array(group[order[begin]]), *[pa.ListArray.from_arrays(at, x) for x in lists]], names=names)
 
     def cut(batches):
         held, size = [], 0
@@ -199,56 +206,47 @@ def suffixes(docs: DataFrame, frequent, large, longest: int) -> DataFrame:
                 held, size = [], 0
         if size:
             yield made(held)
-    return docs.select("lang", "text").mapInArrow(cut, "".join(f"{i} long, " for i in ids) + "group long, large boolean, n long")
+    return docs.select("lang", "text").mapInArrow(cut, "group int, " + "".join(f"{i} array<long>, " for i in [*ids, "n"]) + "large array<boolean>")
 
 
 def _nodes(longest: int, least: int):
-    """Counts of the nodes of a subtree from its leaves in depth-first order.
-    Below a large prefix, nodes above the leaves may go on in other groups."""
-    depths = range(3, longest + 1)
+    """Counts of the nodes of the subtrees, of blocks sorted by group.  Below a
+    large prefix, nodes above the leaves may go on in other groups."""
+    names = [*[f"i{k + 1}" for k in range(longest)], "n", "part"]
+
+    def entries(blocks):
+        columns = zip(*[[x.values for x in b] for b in blocks])
+        *ids, n, large = (pa.concat_arrays(x).to_numpy(zero_copy_only=False) for x in columns)
+        return np.stack(ids, axis=1), n, large
+
+    def nodes(ids, n, large):
+        order = np.lexsort(ids.T[::-1])
+        ids, n, large = ids[order], n[order], large[order]
+        differs = np.ones((len(ids), longest), bool)
+        differs[1:] = ids[1:] != ids[:-1]
+        differs = np.logical_or.accumulate(differs, axis=1)
+        found = []
+        for d in range(3, longest + 1):
+            begin = np.flatnonzero(differs[:, d - 1])
+            total, part = np.add.reduceat(n, begin), large[begin] & (d < longest)
+            node = ids[begin]
+            node[:, d:] = 0
+            keep = (node[:, d - 1] != 0) & (part | (total >= least))
+            found.append((node[keep], total[keep], part[keep]))
+        ids, n, part = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(ids[:, k])) for k in range(longest)], pa.array(n), pa.array(part)], names=names)
 
     def run(batches):
-        last, last_large, held = None, False, dict.fromkeys(depths, 0)
-
-        def out(rows):
-            ids, n, part = (np.concatenate(x) for x in zip(*rows))
-            return pa.RecordBatch.from_arrays([*[pa.array(ids[:, k]) for k in range(longest)], pa.array(n), pa.array(part)],
-                                              names=[*[f"i{k + 1}" for k in range(longest)], "n", "part"])
-
-        def node(ids, d, n, large):
-            ids = ids.copy()
-            ids[:, d:] = 0
-            part = large & (d < longest)
-            keep = (ids[:, d - 1] != 0) & (part | (n >= least))
-            return ids[keep], n[keep], part[keep]
+        group, blocks = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.stack([batch.column(k).to_numpy() for k in range(longest)], axis=1)
-            large = batch.column("large").to_numpy(zero_copy_only=False)
-            n = batch.column("n").to_numpy()
-            differs = np.ones((len(ids), longest), bool)
-            differs[1:] = ids[1:] != ids[:-1]
-            if last is not None:
-                differs[0] = ids[0] != last
-            differs = np.logical_or.accumulate(differs, axis=1)
-            rows = []
-            for d in depths:
-                begin = np.flatnonzero(differs[:, d - 1])
-                if last is not None and len(begin):  # the node that was open is complete
-                    open_n = held[d] + n[:begin[0]].sum()
-                    rows.append(node(last[None], d, np.array([open_n]), np.array([last_large])))
-                if not len(begin):
-                    held[d] += n.sum()
-                    continue
-                sums = np.add.reduceat(n, begin)
-                rows.append(node(ids[begin[:-1]], d, sums[:-1], large[begin[:-1]]))
-                held[d] = sums[-1]
-            last, last_large = ids[-1].copy(), large[-1]
-            if rows:
-                yield out(rows)
-        if last is not None:
-            yield out([node(last[None], d, np.array([held[d]]), np.array([last_large])) for d in depths])
+            for k in range(batch.num_rows):
+                if batch.column(0)[k].as_py() != group and blocks:
+                    yield nodes(*entries(blocks))
+                    blocks = []
+                group = batch.column(0)[k].as_py()
+                blocks.append([batch.column(c)[k] for c in range(1, longest + 3)])
+        if blocks:
+            yield nodes(*entries(blocks))
     return run
 
 
@@ -270,7 +268,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, budget: int = B
     large = context.broadcast(_bitmap(two.filter(F.col("n") > total / (4 * groups)).select("key"), PAIR_BITS))
 
     ids = [f"i{k + 1}" for k in range(longest)]
-    nodes = common.stash(suffixes(docs, pair_bits, large, longest).repartition(groups, "group").sortWithinPartitions(*ids)
+    nodes = common.stash(suffixes(docs, pair_bits, large, longest, groups).repartitionById(groups, "group").sortWithinPartitions("group")
                          .mapInArrow(_nodes(longest, least), "".join(f"{i} long, " for i in ids) + "n long, part boolean"),
                          "collocation-nodes")
     spread = nodes.filter("part").groupBy(*ids).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
