@@ -931,3 +931,6 @@ def q_scored_rewrites_roundtrip(spark, sf):
     path = _folder(spark, "scored-json")
     sk.write_scored_rewrites(ev.score_rewrites(rewrites(spark, sf)).drop("processed"), path)
     return rd.read_rewrites(spark, path).select("original", "rewritten", "scores.correctness", "scores.fairness", "scores.clarity")
+
+
+from clauseflow.plans import registry_more  # noqa: E402,F401  registers its queries in the tables above

@@ -72,9 +72,9 @@ def review_changes(uploads: DataFrame, out_dir: str, checkpoint: str, classifier
     ``changed/epoch_id=N`` and ``review/epoch_id=N`` under ``out_dir``."""
     from clauseflow.plans import pipeline as P
     review = review or P.review_contracts
+    spark = uploads.sparkSession  # a stateful query's own session has no adaptive execution
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
         path = os.path.join(out_dir, "changed", f"epoch_id={epoch_id}")
         batch.write.mode("overwrite").parquet(path)  # read back below, so the state is not run through again
         changed = spark.read.schema(batch.schema).parquet(path)
