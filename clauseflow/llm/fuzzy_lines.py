@@ -216,20 +216,18 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     head = (keyed.groupBy("key").agg(F.min("line").alias("head"), F.max("line").alias("last"), F.count("*").alias("lines"))
             .filter("head < last").select("key", "head", "lines"))
     bucket = common.stash(keyed.join(head.hint("shuffle_hash"), "key"), "line-keys")
-    heads = classes.select(F.col("line").alias("head"), F.col("n").alias("head_n"), *[F.col(h).alias(f"head_{h}") for h in own])
-    star = (F.col("line") != F.col("head")) & _near(F.col("n"), F.col("head_n"), similarity) & _alike("h", "head_h")
-    bucket = (bucket.join(classes, "line").join(heads, "head")
-              .select("key", "line", "n", *own, "head", "lines", star.alias("star")).filter("star or lines > 2"))
-    bucket = common.stash(bucket, "line-buckets")
-    stars = bucket.filter("star").select(F.col("line").alias("a"), F.col("head").alias("b")).distinct()
+    a, b = (classes.select(F.col("line").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *own)]) for x in ("a", "b"))
+    stars = bucket.filter("line <> head").select(F.col("line").alias("a"), F.col("head").alias("b")).distinct().join(a, "a").join(b, "b")
+    stars = stars.filter(_near(F.col("a_n"), F.col("b_n"), similarity) & _alike("a_h", "b_h")).select("a", "b")
     links = _verified(stars, docs, found, similarity)
     parts = common.connected_components(links)
 
     # the other pairs of a bucket, between lines that are not linked yet
     parts = common.broadcast_up_to(parts.withColumnRenamed("node", "line"))
-    members = bucket.filter("lines > 2").join(parts, "line", "left").withColumn("part", F.coalesce("root", "line"))
+    members = (bucket.filter("lines > 2").join(parts, "line", "left")
+               .select("key", "line", "head", F.coalesce("root", "line").alias("part")))
     mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    members = common.stash(members.join(mixed, "key").select("key", "line", "n", *own, "part", "head"), "line-members")
+    members = common.stash(members.join(mixed, "key").join(classes, "line").select("key", "line", "n", *own, "part", "head"), "line-members")
     other = members.select("key", F.col("line").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"),
                            *[F.col(h).alias(f"b_{h}") for h in own])
     rest = (members.filter("line <> head").join(other, "key")
