@@ -178,9 +178,10 @@ def unpack(packed: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY,
 def write_matrices(packed: DataFrame, folder: str, length: int = 2048, end_id: int = END_ID) -> DataFrame:
     """Write packed rows as ``.npy`` matrices, one file set per Arrow batch:
     <name>.ids.npy and <name>.positions.npy (rows x length), <name>.cu_seqlens.npy
-    (all rows' bounds one after the other) and <name>.bounds_at.npy (where each
-    row's bounds start).  Returns (name, n_rows, n_tokens), a written table that
-    lists the files of the attempts that counted."""
+    (all rows' bounds one after the other), <name>.bounds_at.npy (where each
+    row's bounds start), <name>.packs.npy, and per segment <name>.doc_ids.npy,
+    <name>.no_id.npy (null ids) and <name>.doc_parts.npy.  Returns (name, n_rows,
+    n_tokens), a written table that lists the files of the attempts that counted."""
     kind = id_type(end_id, length)
 
     def run(batches):
@@ -202,11 +203,44 @@ def write_matrices(packed: DataFrame, folder: str, length: int = 2048, end_id: i
             bounds = [np.array(x, np.int32) for x in batch.column("cu_seqlens").to_pylist()]
             save(f"{name}.cu_seqlens", np.concatenate(bounds))
             save(f"{name}.bounds_at", np.cumsum([0, *map(len, bounds)]))
+            save(f"{name}.packs", batch.column("pack").to_numpy(zero_copy_only=False))
+            segments = batch.column("doc_ids").flatten()
+            save(f"{name}.doc_ids", segments.fill_null(0).to_numpy(zero_copy_only=False))
+            save(f"{name}.no_id", segments.is_null().to_numpy(zero_copy_only=False))
+            save(f"{name}.doc_parts", batch.column("doc_parts").flatten().to_numpy(zero_copy_only=False))
             n = sum(batch.column("n_tokens").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([batch.num_rows]), pa.array([n], pa.int64())],
                                              names=["name", "n_rows", "n_tokens"])
     return common.stash(packed.mapInArrow(run, "name string, n_rows long, n_tokens long"), "matrices")
 
 
+def read_matrices(files: DataFrame, folder: str) -> DataFrame:
+    """The packed rows (as ``pack`` gives them) of the matrices that
+    ``files(name, ...)`` lists, read by as many tasks as there is room for."""
+    def run(batches):
+        where, root = warc._open(folder)
+
+        def load(name):
+            with where.open_input_file(f"{root}/{name}.npy") as f:
+                return np.load(io.BytesIO(f.read()))
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                ids, places, bounds, at, packs, docs, no_id, parts = (load(f"{name}.{what}") for what in (
+                    "ids", "positions", "cu_seqlens", "bounds_at", "packs", "doc_ids", "no_id", "doc_parts"))
+                at32 = pa.array(at.astype(np.int32))
+                segments = pa.array((at - np.arange(len(at))).astype(np.int32))  # one less than bounds a row
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(packs), pa.array(bounds[at[1:] - 1], pa.int32()),
+                     pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in places], pa.binary()),
+                     pa.ListArray.from_arrays(at32, pa.array(bounds, pa.int32())),
+                     pa.ListArray.from_arrays(segments, pa.array(docs, pa.int64(), mask=no_id)),
+                     pa.ListArray.from_arrays(segments, pa.array(parts, pa.int32()))],
+                    names=["pack", "n_tokens", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "doc_parts"])
+    tasks = 3 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("name").repartition(tasks, "name").mapInArrow(run, _SCHEMA)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents"))
+    """Writes the matrices of all documents to the shared folder and returns the rows read back from them."""
+    folder = common.shared_folder(spark, "matrices")
+    return read_matrices(write_matrices(pack(common.table(spark, sf_dir, "documents")), folder), folder)
