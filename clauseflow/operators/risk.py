@@ -35,6 +35,7 @@ def with_risk(df: DataFrame, text: str = "text", label: str = "label") -> DataFr
     risk = (F.when(F.col("_hi").isNotNull(), F.lit("HIGH"))
             .when(F.col("_med").isNotNull(), F.lit("MEDIUM"))
             .otherwise(tier))
+    # FIXED VALUES: the wording of the reasons
     base = (F.when(tier == "HIGH", F.concat(F.lit("High-risk label: '"), lab, F.lit("'")))
             .when(tier == "MEDIUM", F.concat(F.lit("Medium-risk label: '"), lab, F.lit("'")))
             .otherwise(F.concat(F.lit("Label '"), F.when(lab == "", F.lit("unknown")).otherwise(lab),
