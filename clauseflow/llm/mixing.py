@@ -7,13 +7,16 @@ The mix is the global order by finish time, cut where the running total would
 pass the budget.  Sources that run out leave the queue, which hands their share
 to the others by weight.
 
-All running totals are two-level: totals per bucket, offsets over the (small)
-bucket table, then a window inside each bucket, so a source that holds a third
-of all rows is spread over ``buckets`` keys.
+All running totals are two-level over a range sort of the rows: totals per
+range, offsets over the (small) table of ranges, then a window inside each
+range.  Ranges are cut by sampled quantiles of the order itself, so neither a
+source that holds a third of all rows, nor many rows without an id, nor finish
+times that lie close together fill one range.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -26,19 +29,34 @@ WEIGHTS = (5, 2, 1)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__size`` (words; 0 for null) and ``__key`` (order within the source)."""
+    """``docs`` with ``__size`` (words; 0 for null), ``__key`` (order within the
+    source) and ``__hash`` (order of rows with one id)."""
     return docs.withColumns({
         "__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-        "__key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+        "__key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "__hash": F.xxhash64("text")})
 
 
 def _order() -> Column:
-    return F.struct("__key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id"), "__size")
+    return F.struct("__key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id"), "__size", "__hash")
+
+
+def _running(rows: DataFrame, keys: list[str], by: list[str], most_rows: int) -> DataFrame:
+    """``rows``, a written table, with ``upto``: __size summed up in the order ``by`` inside each of ``keys``."""
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / most_rows))
+    order = [F.col(c) for c in (*keys, *by)]
+    placed = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = common.stash(placed, "mix-order").withColumn("__range", F.shiftrightunsigned("__at", 33))
+    totals = placed.groupBy(*keys, "__range").agg(F.sum("__size").alias("__sum"))
+    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    inside = W.partitionBy("__range", *keys).orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+    return (placed.withColumn("upto", F.sum("__size").over(inside)).join(totals, [*keys, "__range"])
+            .withColumn("upto", F.col("upto") + F.col("__before")).drop("__at", "__range", "__before"))
 
 
 @dataclass
 class Mix:
-    """sizes: doc_id, source, __size, __key of every row; sources: source, idx,
+    """sizes: doc_id, source, __size, __key, __hash of every row; sources: source, idx,
     weight, source_size, target, and cut_0, cut_1, ... (the last document of
     each epoch that the mix takes, null if none)."""
     sizes: DataFrame
@@ -56,17 +74,19 @@ class Mix:
                 .drop("__source", *[f"__cut_{e}" for e in range(self.max_epochs)]))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int = 3, buckets: int = 4096) -> Mix:
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int = 3, range_rows: int = 1_000_000) -> Mix:
     """Decide how often each document is taken.
 
     ``weights`` go to the sources in code point order (null last) and repeat.
+    ``range_rows``: slim rows that a task puts in order, about.
     ``share`` is the budget as a share of all words.  Null texts and texts
     without words have size 0: they are taken with their neighbours and add
-    nothing.  Rows that repeat a doc_id are rows of their own.  With no words
+    nothing.  Rows that repeat a doc_id are rows of their own, except that rows
+    with the same text as well are taken or left together.  With no words
     at all every target is 0.  The table of sources is an aggregate of one slim
     row per source."""
     n = max_epochs
-    sizes = common.stash(sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "__size", "__key"), "mix")
+    sizes = common.stash(sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "__size", "__key", "__hash"), "mix")
     per = sizes.groupBy("source").agg(F.sum("__size").alias("source_size"))
     everything = W.partitionBy()
     by_name = everything.orderBy(F.col("source").isNull(), "source")
@@ -86,31 +106,16 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int =
     budget = budget[0] if budget else 0.0
 
     # words of the source up to each document
-    rows = sizes.withColumn("bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
-    in_bucket = W.partitionBy("source", "bucket")
-    totals = rows.groupBy("source", "bucket").agg(F.sum("__size").alias("bucket_size"))
-    totals = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(
-        W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    o = _order()
-    placed = (rows.withColumn("upto", F.sum("__size").over(in_bucket.orderBy(o).rowsBetween(W.unboundedPreceding, 0)))
-              .join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-              .withColumn("upto", F.col("upto") + F.col("offset")).drop("s", "b", "offset", "bucket"))
     src = sources.select(F.col("source").alias("s"), "idx", "weight", "source_size")
-    queue = (placed.join(src, F.col("source").eqNullSafe(F.col("s")))
-             .withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(n)])))
-             .select("idx", "epoch", "__size", o.alias("o"),
+    rows = common.stash(sizes.join(src, F.col("source").eqNullSafe(F.col("s"))).select("idx", "weight", "source_size", "__size", _order().alias("o")), "mix-rows")
+    placed = _running(rows, ["idx"], ["o"], range_rows)
+    queue = (placed.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(n)])))
+             .select("idx", "epoch", "__size", "o",
                      ((F.col("epoch") * F.col("source_size") + F.col("upto")).cast("double") / F.col("weight")).alias("finish")))
     queue = common.stash(queue, "mix-queue")
 
     # the global order by finish time, cut at the budget
-    last = queue.agg(F.max("finish")).first()[0] or 0.0
-    queue = queue.withColumn("bucket", F.least(F.floor(F.col("finish") / F.lit(last or 1.0) * buckets), F.lit(buckets - 1)))
-    totals = queue.groupBy("bucket").agg(F.sum("__size").alias("bucket_size"))
-    totals = totals.select(F.col("bucket"), F.coalesce(F.sum("bucket_size").over(
-        W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    order = W.partitionBy("bucket").orderBy("finish", "idx", "epoch", "o").rowsBetween(W.unboundedPreceding, 0)
-    taken = (queue.withColumn("upto", F.sum("__size").over(order)).join(totals, "bucket")
-             .filter(F.col("upto") + F.col("offset") <= F.lit(budget)))
+    taken = _running(queue, [], ["finish", "idx", "epoch", "o"], range_rows).filter(F.col("upto") <= F.lit(budget))
     cuts = taken.groupBy("idx").agg(*[F.max(F.when(F.col("epoch") == e, F.col("o"))).alias(f"cut_{e}") for e in range(n)])
     return Mix(sizes, common.stash(sources.join(cuts, "idx", "left"), "mix-cuts"), n)
 

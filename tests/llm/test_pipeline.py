@@ -5,6 +5,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clauseflow.llm import common, mixing, packing, quality
@@ -100,6 +101,23 @@ def test_written_matrices(spark, make_docs):
     assert total == sum(f["n_tokens"] for f in files) == packed.selectExpr("sum(n_tokens)").first()[0]
 
 
+def test_matrices_read_back_are_the_packed_rows(spark, make_docs, odd_rows):
+    def rows(df):
+        return sorted(tuple(map(tuple, (x if isinstance(x, list) else [x] for x in r))) for r in df.collect())
+    for docs, length in ((odd_rows, 2048), ([(None, None), (3, "")], 16), ([], 16)):
+        packed = packing.pack(make_docs(docs).coalesce(1), length, block_ids=20_000)
+        folder = common.shared_folder(spark, "test-matrices")
+        got = packing.read_matrices(packing.write_matrices(packed, folder, length), folder)
+        assert rows(got) == rows(packed) and got.columns == packed.columns
+
+
+def test_registered_packing_reads_what_it_wrote(spark):
+    whole = packing.op1(spark, "/root/testdata/sf0.001")
+    want = packing.pack(common.table(spark, "/root/testdata/sf0.001", "documents"))
+    total = "sum(n_tokens)", "count(1)", "sum(hash(input_ids, position_ids, cu_seqlens, doc_ids, doc_parts))"
+    assert whole.selectExpr(*total).first() == want.selectExpr(*total).first()
+
+
 # --- op8 ---
 
 def test_quality_on_rows_kept_aside(spark):
@@ -169,13 +187,35 @@ def test_mixing_against_plain_queue(make_docs):
     assert repeated == sorted(d for d, _, _ in sizes for _ in range(got[d]["__copies"]))
 
 
+def test_mixing_orders_hot_keys_in_even_ranges(spark, make_docs):
+    """Rows without an id, one source with half the rows and many small ones."""
+    docs = make_docs([(None, f"w{i} " * (1 + i % 7), "hot") for i in range(3000)]
+                     + [(i, "a b c " * (1 + i % 3), f"s{i % 400}") for i in range(3000)])
+    m = mixing.plan(docs, range_rows=200)
+    rows = m.sizes.select("source", "__size", mixing._order().alias("o"))
+    for keys, by in ((["source"], ["o"]), ([], ["__size", "o"])):
+        placed = mixing._running(common.stash(rows, "test"), keys, by, 200)
+        upto, total = {}, 0
+        for r in placed.orderBy(*keys, *by).collect():
+            k = r["source"] if keys else None
+            upto[k] = upto.get(k, 0) + r["__size"]
+            assert r["upto"] == upto[k]
+            total += 1
+        assert total == 6000
+    ordered = rows.repartitionByRange(30, "source", "o").groupBy(F.spark_partition_id()).count().agg(F.max("count")).head()[0]
+    assert ordered < 3 * 6000 / 30
+    taken = {r["source"]: r["n"] for r in m.copies(m.sizes).groupBy("source").agg(F.sum(F.col("__size") * F.col("__copies")).alias("n")).collect()}
+    target = {r["source"]: r["target"] for r in m.sources.collect()}
+    assert all(abs(taken[s] - target[s]) <= 3 * 18 + 1 for s in taken)
+
+
 def test_mixing_odd_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows)
-    m = mixing.plan(docs, buckets=3)
+    m = mixing.plan(docs, range_rows=3)
     got = m.copies(m.sizes).collect()
     assert len(got) == len(odd_rows) and sum(r["__size"] * r["__copies"] for r in got) <= sum(r["__size"] for r in got)
     assert mixing.mixed(docs).columns == docs.columns
-    again = mixing.plan(docs, buckets=50)
+    again = mixing.plan(docs, range_rows=50)
     assert sorted(map(str, again.copies(again.sizes).collect())) == sorted(map(str, got))
 
 
