@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common, wordhash
 
@@ -287,10 +287,16 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
             .select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")))
     gone = common.broadcast_up_to(common.stash(gone, "jaccard-gone"))
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__t"]), "left_anti")
-    if rows.groupBy("doc_id", "t").count().filter("count > 1").isEmpty():
+    again = common.stash(rows.groupBy("doc_id", "t").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")), "jaccard-again")
+    if again.isEmpty():
         return kept
-    order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
+    # only rows that repeat are combined, in the tasks that read them first; the others are not moved
+    again = common.broadcast_up_to(again)
+    repeats = kept["doc_id"].eqNullSafe(again["__id"]) & (F.xxhash64(kept["text"]) == again["__t"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = (kept.join(again, repeats, "left_semi").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__t"))
+             .agg(F.min(F.struct(*columns)).alias("__row")).select(*[F.col(f"__row.`{c}`") for c in docs.columns]))
+    return kept.join(again, repeats, "left_anti").unionByName(first)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
