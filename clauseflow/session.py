@@ -10,11 +10,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Whether Spark deletes the shuffle files of an execution as soon as it has ended.
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -61,6 +65,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+@contextmanager
+def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
+    """Executions begun in this block delete their shuffle files when they end.
+
+    For writes of intermediate tables: later steps read the table, so the files
+    behind it would only hold disk until the driver collects their references."""
+    before = spark.conf.get(_CLEANUP_KEY)
+    spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP_KEY, before)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet in the shared folder and read back, and its path.
 
@@ -68,7 +86,8 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     checkpoint, a later reader takes only the columns it needs."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffle_files_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
