@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import clauseflow
-from clauseflow.session import ensure_checkpoint_dir
+from clauseflow.session import ensure_checkpoint_dir, shuffle_files_freed
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,10 +46,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
-    every later use reads only the columns it needs."""
+    every later use reads only the columns it needs.  The shuffle files behind
+    the table are deleted once it is written."""
     ship(df.sparkSession)
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffle_files_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
