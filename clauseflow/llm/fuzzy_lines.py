@@ -1,130 +1,211 @@
-"""Fuzzy line dedup, in DataFrame functions only.
+"""Fuzzy line dedup.
 
 Lines are normalised to their words (lower case; what is neither letter nor
 digit separates them), and equal ones are one class.  Two lines are similar when
 1 - edits / words of the longer one, in word edits, is at least the similarity.
-A class has three independent 64-bit SimHashes of its words as often as they
-occur.  Two hashes that differ in at most four bits agree on two of six blocks
-of the bits, so every two blocks and a class of lengths are a join key.  Lines
-of one bucket that are within that distance in any hash are verified by the
-edit distance of their word sequences.
-First each line of a bucket meets the bucket's smallest line only; other pairs
-of a bucket are made only between lines that are not linked by then, so a
-family of near-copies costs one pair a line.  Of each connected group the first
-occurrence, by doc_id and line number, is kept.
+A class has two independent 64-bit SimHashes of its words as often as they
+occur, each in four blocks of bits; a block and a class of lengths are a join
+key.  Lines that agree on a block of a hash and differ in at most six of its bits
+are verified by the edit distance of their word sequences.  By the pigeonhole
+principle three differing bits always leave a block equal; four, five and six
+bits do so in 91, 77 and 62 of 100 cases a hash (if they fall evenly).  Each hash
+is a pass of its own, which leaves only its pairs.
+Within a bucket, lines meet its leaders only (lines that no earlier leader is
+near); pairs of other lines of a bucket are made only between lines that are not
+linked by then, so a family of near-copies costs about one pair a line.  Of each
+connected group the first occurrence, by doc_id and line number, is kept.
+
+Words are hashed and counted, and buckets compared, by numpy on Arrow batches;
+Spark splits, shuffles, joins and verifies.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clauseflow.functions.textcols import with_computed
 
-from . import common
+from . import common, wordhash
+
+_U = np.uint64
 
 #: What is dropped between words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Edits in words that lines may be apart, as a share of the longer one.
 SIMILARITY = 0.95
-#: SimHashes of a line, bits in which one of them may differ, and bits from and to of its blocks:
-#: ``DISTANCE`` differing bits leave two of the six blocks equal.
-HASHES, DISTANCE = 3, 4
-BLOCKS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
-_EQUAL = len(BLOCKS) - DISTANCE
+#: SimHashes of a line, bits in which one of them may differ, and bits from and to of its blocks,
+#: one of which has to be equal.
+HASHES, DISTANCE = 2, 6
+BLOCKS = ((0, 16), (16, 32), (32, 48), (48, 64))
 #: Lengths of one class differ by less than this factor.
 _STEP = 1.25
-#: The 64 counters of a SimHash are kept eight to a (signed) long while a line is read, so
-#: lines of more words are read in parts of this many and added up afterwards.
-_PART = 127
-_BYTES = 0x0101010101010101
+#: Eight counters of a SimHash are kept in the bytes of a word, so lines of more
+#: words are counted in parts of this many, which are added up.
+_PART = 255
+_BYTES = _U(0x0101010101010101)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, t: hash of the text, line_no from 0, words, line: hash of
-    the words) of every line that has a word."""
-    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("t"),
-                        F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    # a generator keeps the split from being repeated in the filters above it
-    return with_computed(split.drop("words"), {"words": F.array_remove(F.split("line", GAP), "")}) \
-        .filter(F.size("words") > 0).withColumn("line", F.xxhash64("words"))
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, t, line_no, line, n: words) of every line that has a word."""
-    return _lines(docs).select("row", "doc_id", "t", "line_no", "line", F.size("words").alias("n"))
-
+    """(doc_id, t: hash of the text, line_no from 0, line: its text in lower case) of every line."""
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
 
-def _majority(count: Column, n: Column, width: int) -> Column:
-    """Of counters ``width`` bits apart, each of at most a quarter of its range:
-    the lowest bit of each is set where twice the counter is more than ``n``."""
-    ones = sum(1 << at for at in range(0, 64, width))
-    top = width - 2
-    spare = F.lit(ones << top) + n.cast("long") * F.lit(ones) - count * 2  # bit ``top`` of each: n - 2 count >= 0
-    return F.shiftrightunsigned(spare, top).bitwiseAND(F.lit(ones)).bitwiseXOR(F.lit(ones))
 
+def word_hashes(word: np.ndarray, number: int) -> np.ndarray:
+    """Hashes of words for the SimHash ``number``."""
+    return wordhash.mix(word + _U(number * 0xD1342543DE82EF95 % (1 << 64))) if number else word
 
-def _any_bit(parts: list[Column]) -> Column:
-    while len(parts) > 1:
-        parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2])]
-    return parts[0]
 
+def _simhashes(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each line of ``n`` (1 and more) of the word hashes in turn: a
+    bit is set where more than half of the words have it."""
+    out = np.zeros(len(n), _U)
+    if not len(n):
+        return out
+    parts = -(-n // _PART)
+    first = np.cumsum(parts) - parts
+    within = np.arange(parts.sum()) - np.repeat(first, parts)
+    starts = np.repeat(np.cumsum(n) - n, parts) + _PART * within
+    place = (np.arange(8) * 8).astype(_U)
+    for k in range(8):
+        lanes = np.add.reduceat(word >> _U(k) & _BYTES, starts).view(np.uint8).reshape(-1, 8)
+        count = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
+        out |= ((2 * count > n[:, None]).astype(_U) << (place + _U(k))).sum(axis=1, dtype=_U)
+    return out
 
-def hashes(docs: DataFrame, least: int) -> DataFrame:
-    """(line, n, h0, h1, ...) of every class of lines of ``least`` words and more.
-
-    Words are summed in the task that read the line (map-side combine), which
-    leaves one slim row a line, or a part of a long one, to shuffle."""
-    which = range(HASHES)
-    line = _lines(docs).withColumn("n", F.size("words")).filter(F.col("n") >= least)
-    word = line.select("row", "line_no", "line", "n", F.posexplode("words").alias("at", "word"))
-    word = word.select("row", "line_no", "line", "n", (F.col("at") / _PART).cast("int").alias("part"),
-                       *[F.xxhash64("word", *[F.lit("#")] * h).alias(f"x{h}") for h in which])
-    sums = [F.sum(F.shiftrightunsigned(f"x{h}", k).bitwiseAND(F.lit(_BYTES))).alias(f"c{h}_{k}") for h in which for k in range(8)]
-    summed = word.groupBy("row", "line_no", "line", "n", "part").agg(*sums)
-
-    def spread(h, k, shift, mask):  # every second or fourth counter of c<h>_<k>
-        return F.shiftrightunsigned(f"c{h}_{k}", shift).bitwiseAND(F.lit(mask))
 
-    def bits(h):
-        return [F.shiftleft(_majority(spread(h, k, shift, 0x00FF00FF00FF00FF), F.col("n"), 16), k + shift) for k in range(8) for shift in (0, 8)]
-    short = summed.filter(F.col("n") <= _PART).select("line", "n", *[_any_bit(bits(h)).alias(f"h{h}") for h in which])
-    wide = [(h, k + shift, spread(h, k, shift, 0x000000FF000000FF)) for h in which for k in range(8) for shift in (0, 8, 16, 24)]
-    added = summed.filter(F.col("n") > _PART).groupBy("row", "line_no", "line", "n").agg(*[F.sum(c).alias(f"s{h}_{i}") for h, i, c in wide])
-    long = added.select("line", "n", *[_any_bit([F.shiftleft(_majority(F.col(f"s{g}_{i}"), F.col("n"), 32), i) for g, i, _ in wide if g == h])
-                                       .alias(f"h{h}") for h in which])
-    return short.unionByName(long).groupBy("line").agg(F.min("n").alias("n"), *[F.min(f"h{h}").alias(f"h{h}") for h in which])
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, t, line_no, line: hash of the words, n: words, h0, h1, ...) of
+    every line that has a word; SimHashes of lines of ``least`` words and more,
+    else null.  One pass over the texts, without a shuffle."""
+    def run(batches):
+        for batch in batches:
+            for part in wordhash.slices(batch, "line"):
+                word, at = wordhash.words(part.column("line"), wordhash.ALNUM_WORDS, wordhash.KEEP_CASE)
+                full = np.flatnonzero(np.diff(at))
+                if not len(full):
+                    continue
+                start, n = at[:-1][full], np.diff(at)[full]
+                place = np.arange(len(word)) - np.repeat(start, n)
+                line = np.add.reduceat(wordhash.mix(word + wordhash.mix(place.astype(_U))), start)
+                many = n >= least
+                word = word[np.repeat(many, n)]
+                kept = part.select(["doc_id", "t", "line_no"]).take(pa.array(full))
+                made = {"line": pa.array(line.view(np.int64)), "n": pa.array(n.astype(np.int32))}
+                for h in range(HASHES):
+                    own = np.zeros(len(n), np.int64)
+                    own[many] = _simhashes(word_hashes(word, h), n[many]).view(np.int64)
+                    made[f"h{h}"] = pa.array(own, mask=~many)
+                yield pa.RecordBatch.from_arrays([*kept.columns, *made.values()], names=[*kept.schema.names, *made])
+
+    lines = _lines(docs)
+    common.ship(docs.sparkSession)
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    return lines.mapInArrow(run, f"doc_id {kind}, t long, line_no int, line long, n int, " + ", ".join(f"h{h} long" for h in range(HASHES)))
+
+
+def classes_of(found: DataFrame) -> DataFrame:
+    """(line, n, h0, h1, ...) of every class of lines that has SimHashes."""
+    return found.filter("h0 is not null").groupBy("line").agg(F.min("n").alias("n"), *[F.min(f"h{h}").alias(f"h{h}") for h in range(HASHES)])
 
 
 def _length_class(n: Column) -> Column:
     return F.floor(F.log(n) / math.log(_STEP)).cast("long")
 
 
-def _keys(n: Column, similarity: float) -> Column:
-    """Join keys: number and bits of each two blocks of each hash (low bits
-    first, so that the many rows compress), and the class of each length that the
-    longer line of a similar pair may have."""
-    def key(k, h, blocks):
-        out = F.lit(k).cast("long")
-        for low, high in blocks:
-            out = F.shiftleft(out, high - low).bitwiseOR(F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1)))
-        return out
-    made = [key(len(BLOCKS) ** 2 * h + k, F.col(f"h{h}"), blocks)
-            for h in range(HASHES) for k, blocks in enumerate(combinations(BLOCKS, _EQUAL))]
+def _keys(n: Column, similarity: float, number: int) -> Column:
+    """Join keys of the SimHash ``number``: number and bits of each block (low
+    bits first, so that the many rows compress), and the class of each length that
+    the longer line of a similar pair may have."""
+    made = []
+    for k, (low, high) in enumerate(BLOCKS):
+        bits = F.shiftrightunsigned(F.col(f"h{number}"), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+        made.append(F.shiftleft(F.lit((len(BLOCKS) * number + k) << (high - low)).cast("long").bitwiseOR(bits), 16))
     longest = F.floor(n / similarity + 1e-9) if similarity > 0 else F.lit(1 << 30)
     classes = F.sequence(_length_class(n), _length_class(longest))
-    return F.flatten(F.transform(classes, lambda c: F.transform(F.array(*made), lambda k: F.shiftleft(k, 16) + c)))
+    return F.flatten(F.transform(classes, lambda c: F.transform(F.array(*made), lambda k: k + c)))
+
+
+def _met(keyed: DataFrame, similarity: float) -> DataFrame:
+    """(key, a, b, lead) from ``keyed(key, line, n, h)``, the rows of a key in one
+    partition and in order: pairs (a, b) of a line and a leader before it that is
+    near it (key null), and lines a (b null, lead: it is a leader) that may have
+    such like in their bucket as have not met them.
+
+    Buckets stream by; of a bucket that goes on in the next batch, its leaders
+    are kept."""
+    def near(h, n, i, j):
+        most = np.floor(np.maximum(n[i], n[j]) * (1 - similarity) + 1e-9)
+        return (np.bitwise_count(h[i] ^ h[j]) <= DISTANCE) & (np.abs(n[i] - n[j]) <= most)
+
+    def meet(key, line, n, h, known, some):
+        """``known``: rows at the start that are kept leaders, of a bucket with a
+        line that is none if ``some``."""
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        end = np.append(start[1:], len(key))
+        covered = np.zeros(len(key), bool)
+        pairs = []
+        lead, last = start.copy(), end
+        while True:
+            go = lead + 1 < last
+            lead, last = lead[go], last[go]
+            if not len(lead):
+                break
+            size = last - lead - 1
+            i = np.repeat(lead + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            j = np.repeat(lead, size)
+            hit = near(h, n, i, j)
+            i, j = i[hit], j[hit]
+            pairs.append((i, j))
+            covered[i] = True
+            lead = lead + 1
+            while len(skip := np.flatnonzero((lead < last) & covered[np.minimum(lead, last - 1)])):
+                lead[skip] += 1
+        at = np.where(covered, np.arange(len(key)), len(key))
+        first = np.minimum.reduceat(at, start)  # the first line of a bucket that is no leader
+        if some:
+            first[0] = 0
+        late = np.arange(len(key)) >= np.repeat(first, end - start)
+        late[:known] = False
+        i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
+        fresh = i >= known
+        tail = np.arange(start[-1], len(key))
+        return line[i[fresh]], line[j[fresh]], np.flatnonzero(late), covered, tail[~covered[tail]], bool(first[-1] < len(key))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        kept, some = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, line, n, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "n", "h"))
+            h, known = h.view(_U), 0
+            if kept is not None and kept[0][0] == key[0]:
+                known = len(kept[0])
+                key, line, n, h = (np.concatenate(x) for x in zip(kept, (key, line, n, h)))
+            a, b, late, covered, tail, more = meet(key, line, n, h, known, some and known > 0)
+            kept, some = (key[tail], line[tail], n[tail], h[tail]), more
+            blank = len(a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(np.zeros(blank, np.int64), key[late]), mask=np.arange(blank + len(late)) < blank),
+                 pa.array(np.append(a, line[late])),
+                 pa.array(np.append(b, np.zeros(len(late), np.int64)), mask=np.arange(blank + len(late)) >= blank),
+                 pa.array(np.append(np.zeros(blank, bool), ~covered[late]))], names=["key", "a", "b", "lead"])
+
+    return keyed.select("key", "line", "n", "h").mapInArrow(run, "key long, a long, b long, lead boolean")
 
 
 def _alike(a: str, b: str) -> Column:
-    """Whether two lines are within the distance in one of their hashes."""
-    close = [F.bit_count(F.col(a + str(h)).bitwiseXOR(F.col(b + str(h)))) <= DISTANCE for h in range(HASHES)]
-    out = close[0]
-    for c in close[1:]:
-        out = out | c
-    return out
+    """Whether two lines are within the distance and agree on a block in one of their hashes."""
+    def close(h):
+        differ = F.col(a + str(h)).bitwiseXOR(F.col(b + str(h)))
+        blocks = [F.shiftrightunsigned(differ, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) == 0 for low, high in BLOCKS]
+        return (F.bit_count(differ) <= DISTANCE) & reduce(Column.__or__, blocks)
+    return reduce(Column.__or__, [close(h) for h in range(HASHES)])
 
 
 def _near(na: Column, nb: Column, similarity: float) -> Column:
@@ -181,7 +262,8 @@ def _codes(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
     some = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["i"]), "left_semi")
     at = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")) & (F.col("line_no") == F.col("k"))
     lines = _lines(some).join(common.broadcast_up_to(place), at)
-    return lines.select(F.col("want").alias("line"), _code(F.col("words")).alias("code")).dropDuplicates(["line"])
+    words = F.array_remove(F.split(lines["line"], GAP), "")
+    return lines.select(F.col("want").alias("line"), _code(words).alias("code")).dropDuplicates(["line"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
@@ -204,34 +286,31 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     doc_id comes first.  Lines are told apart by 64-bit hashes, words within a
     compared pair by 20 bits.  Lines too short for one edit within the
     similarity (of fewer than 19 words at 0.95) can only be equal."""
-    found = common.stash(occurrences(docs), "line-occurrences")
+    own = [f"h{h}" for h in range(HASHES)]
     # a line of n words may differ from its like in n (1 - similarity) words, rounded down: shorter ones have no like
     least = next(n for n in range(1, 1 << 20) if math.floor((n + 1) * (1 - similarity) + 1e-9) >= 1) if similarity < 1 else 1 << 30
-    classes = common.stash(hashes(docs, least), "line-classes")
-    own = [f"h{h}" for h in range(HASHES)]
-
-    # buckets of several lines, with their smallest one.  The many rows are only
-    # probed against the few keys that several lines have, not sorted
-    keyed = classes.select("line", F.explode(_keys(F.col("n"), similarity)).alias("key")).repartition("key")
-    head = (keyed.groupBy("key").agg(F.min("line").alias("head"), F.max("line").alias("last"), F.count("*").alias("lines"))
-            .filter("head < last").select("key", "head", "lines"))
-    bucket = common.stash(keyed.join(head.hint("shuffle_hash"), "key"), "line-keys")
-    a, b = (classes.select(F.col("line").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *own)]) for x in ("a", "b"))
-    stars = bucket.filter("line <> head").select(F.col("line").alias("a"), F.col("head").alias("b")).distinct().join(a, "a").join(b, "b")
-    stars = stars.filter(_near(F.col("a_n"), F.col("b_n"), similarity) & _alike("a_h", "b_h")).select("a", "b")
-    links = _verified(stars, docs, found, similarity)
+    found = common.stash(occurrences(docs, least), "line-occurrences")
+    classes = common.stash(classes_of(found), "line-classes")
+    found = found.drop(*own)
+
+    met = []
+    for h in range(HASHES):
+        keyed = classes.select(F.explode(_keys(F.col("n"), similarity, h)).alias("key"), "line", "n", F.col(f"h{h}").alias("h"))
+        met.append(common.stash(_met(keyed.repartition("key").sortWithinPartitions("key", "line"), similarity), "line-met"))
+    met = reduce(DataFrame.unionByName, met)
+    links = _verified(met.filter("key is null").select("a", "b").distinct(), docs, found, similarity)
     parts = common.connected_components(links)
 
     # the other pairs of a bucket, between lines that are not linked yet
     parts = common.broadcast_up_to(parts.withColumnRenamed("node", "line"))
-    members = (bucket.filter("lines > 2").join(parts, "line", "left")
-               .select("key", "line", "head", F.coalesce("root", "line").alias("part")))
+    members = (met.filter("key is not null").withColumnRenamed("a", "line").join(parts, "line", "left")
+               .select("key", "line", "lead", F.coalesce("root", "line").alias("part")))
     mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    members = common.stash(members.join(mixed, "key").join(classes, "line").select("key", "line", "n", *own, "part", "head"), "line-members")
-    other = members.select("key", F.col("line").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"),
+    members = common.stash(members.join(mixed, "key").join(classes, "line").select("key", "line", "n", *own, "part", "lead"), "line-members")
+    other = members.select("key", F.col("line").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"), F.col("lead").alias("lead_b"),
                            *[F.col(h).alias(f"b_{h}") for h in own])
-    rest = (members.filter("line <> head").join(other, "key")
-            .filter((F.col("line") > F.col("b")) & (F.col("part") != F.col("part_b")) & (F.col("b") != F.col("head")))
+    rest = (members.join(other, "key")
+            .filter((F.col("line") > F.col("b")) & (F.col("part") != F.col("part_b")) & ~(F.col("lead") & F.col("lead_b")))
             .filter(_near(F.col("n"), F.col("nb"), similarity) & _alike("h", "b_h")).select(F.col("line").alias("a"), "b").distinct())
     links = links.unionByName(_verified(rest, docs, found, similarity))
 

@@ -102,11 +102,12 @@ def mix(rows, weights=(5, 2, 1), epochs=3):
 
 
 def simhash(words, number=0):
-    """SimHash of words as often as they occur; each next one hashes the hash of a word once more."""
-    import xxhash
-    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
-    for _ in range(number):
-        hashes = [xxhash.xxh64(b"#", seed=h).intdigest() for h in hashes]
+    """SimHash number ``number`` of words as often as they occur."""
+    import numpy as np
+    import pyarrow as pa
+    from clauseflow.llm import fuzzy_lines, wordhash
+    seen, _ = wordhash.words(pa.array([" ".join(words)]), wordhash.ALNUM_WORDS, wordhash.KEEP_CASE)
+    hashes = [int(h) for h in fuzzy_lines.word_hashes(np.asarray(seen), number)]
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(words))
 
 
