@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clauseflow.session import sort_join
+
 
 def top_labels(df: DataFrame, n: int = 10, label: str = "label", pos: str = "_pos") -> DataFrame:
     """A2: the n most frequent labels, ties by first appearance.  The ranking
@@ -24,7 +26,9 @@ def contract_report(contracts: DataFrame, clauses: DataFrame, important: DataFra
                                        F.countDistinct("label").alias("important_labels"))
     n_os = one_sided.groupBy(key).agg(F.count(F.lit(1)).alias("one_sided_count"))
     base = contracts.select(key, F.length("text").cast("int").alias("text_chars"))
-    out = base.join(n_cl, key, "left").join(n_imp, key, "left").join(n_os, key, "left")
+    out = base
+    for counts in (n_cl, n_imp, n_os):
+        out = sort_join(out, counts, key, "left")
     return out.select(key, "text_chars",
                       *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                         for c in ["n_clauses", "important_count", "important_labels", "one_sided_count"]])
@@ -47,7 +51,8 @@ def full_report(contracts: DataFrame, clauses: DataFrame, important: DataFrame,
     fields = ["clause_idx", "text", "label", "confidence", "risk", "bias_score", "reason"]
     rows = (one_sided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("one_sided_high_risk_clauses")))
     grouped = grouped_important(important, key)
-    out = contract_report(contracts, clauses, important, one_sided, key).join(grouped, key, "left").join(rows, key, "left")
+    out = sort_join(contract_report(contracts, clauses, important, one_sided, key), grouped, key, "left")
+    out = sort_join(out, rows, key, "left")
     empty_map = F.from_json(F.lit("{}"), grouped.schema["important_clauses_grouped"].dataType.simpleString())
     empty_list = F.array().cast(rows.schema["one_sided_high_risk_clauses"].dataType)
     return (out.withColumn("important_clauses_grouped", F.coalesce("important_clauses_grouped", empty_map))
