@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from clauseflow.session import sort_join
+
 #: How long the text of a contract is remembered after its last upload.
 KEEP_MS = 30 * 24 * 3600 * 1000
 
@@ -79,7 +81,8 @@ def review_changes(uploads: DataFrame, out_dir: str, checkpoint: str, classifier
         batch.write.mode("overwrite").parquet(path)  # read back below, so the state is not run through again
         changed = spark.read.schema(batch.schema).parquet(path)
         rows = review(changed.drop("version"), classifier)
-        rows = rows.join(changed.select(F.col("contract_id").alias("_id"), "version"), F.col("contract_id").eqNullSafe(F.col("_id"))).drop("_id")
+        versions = changed.select(F.col("contract_id").alias("_id"), "version")
+        rows = sort_join(rows, versions, F.col("contract_id").eqNullSafe(F.col("_id"))).drop("_id")
         rows.write.mode("overwrite").parquet(os.path.join(out_dir, "review", f"epoch_id={epoch_id}"))
 
     return start_available(changed_contracts(uploads, order, keep_ms).writeStream.foreachBatch(each_batch)
@@ -93,4 +96,4 @@ def current_review(spark: SparkSession, out_dir: str) -> DataFrame:
             .agg(F.max("version").alias("_version")))
     rows = spark.read.parquet(os.path.join(out_dir, "review"))
     same = F.col("contract_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    return rows.join(last, same, "left_semi").drop("epoch_id")
+    return sort_join(rows, last, same, "left_semi").drop("epoch_id")
