@@ -64,7 +64,12 @@ def run_review_stream(spark: SparkSession, sf_dir: str, to_contracts, classifier
     base = ensure_checkpoint_dir(spark)
     run = f"{base.rstrip('/')}/stream-review-{uuid.uuid4().hex}"
     out_dir, ckpt = f"{run}/out", f"{run}/checkpoint"
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    q = review_stream(spark, sf_dir, out_dir, ckpt, to_contracts, classifier, glob=f"{table}.parquet", schema=schema)
+    source = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(source).schema
+    # a table is one file or, as Spark writes it, a folder of files
+    where = spark._jvm.org.apache.hadoop.fs.Path(source)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    source_dir, glob = (source, "*") if folder else (sf_dir, f"{table}.parquet")
+    q = review_stream(spark, source_dir, out_dir, ckpt, to_contracts, classifier, glob=glob, schema=schema)
     q.awaitTermination()
     return spark.read.parquet(out_dir)
