@@ -228,26 +228,58 @@ def _tile_edges(threshold: float, n_order: int):
     return fn
 
 
+def _bundle_edges(gk: list[str], threshold: float, n_order: int):
+    """Edges of many whole groups; rows of a group are ordered by (_o0, _o1, ..., id)."""
+    order = [*[f"_o{k}" for k in range(n_order)], "id"]
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = pdf.groupby(gk, sort=False, dropna=False).ngroup().to_numpy()
+        keys = [group, *[pdf[c].to_numpy() if c == "id" else pdf[c].fillna(np.inf).to_numpy() for c in order]]
+        place = np.lexsort(keys[::-1])
+        keys = [k[place] for k in keys]
+        rank = np.cumsum(np.append(False, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+        vectors = np.stack(pdf["_v"].to_numpy()[place]).astype(np.float64)
+        starts = np.flatnonzero(np.append(True, keys[0][1:] != keys[0][:-1]))
+        first, second = [], []
+        for at, end in zip(starts, np.append(starts[1:], len(place))):
+            a, b = np.nonzero(vectors[at:end] @ vectors[at:end].T >= threshold)
+            later = rank[at + a] < rank[at + b]
+            first.append(at + a[later])
+            second.append(at + b[later])
+        i, j = np.concatenate(first), np.concatenate(second)
+        return pdf[gk].iloc[place[i]].assign(i=keys[-1][i], j=keys[-1][j]).drop_duplicates()
+    return fn
+
+
 def dense_edges(df: DataFrame, gk: list[str], vec: str, order: list[str],
                 threshold: float = lx.SEMANTIC_DEDUP_THRESHOLD, block_rows: int = 1024) -> DataFrame:
     """Pairs (i earlier than j by ``order``, ties by id) in the same ``gk`` group
     with dot >= threshold.  ``order`` are numeric columns; nulls come last.
 
-    Rows are hashed into ceil(n_group / block_rows) blocks; tile (b1, b2), b1 <= b2,
-    is one applyInPandas group holding at most 2 * block_rows vectors.
+    Rows of a larger group are hashed into ceil(n_group / block_rows) blocks; tile
+    (b1, b2), b1 <= b2, is one applyInPandas group holding at most 2 * block_rows
+    vectors.  Groups of at most block_rows rows are bundled, about block_rows rows
+    to an applyInPandas group; a row alone in its group has no pair.
     """
-    sizes = df.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = _ckpt(df.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    small = F.when(F.col("_n") <= block_rows, F.col("_n"))
+    total = sizes.agg(F.ceil(F.sum(small) / block_rows).alias("bundles"), F.max("_n").alias("largest")).head()
     d = (group_join(df, sizes, gk)
          .withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int"))
          .withColumn("_b", F.pmod(F.xxhash64(F.col("id")), F.col("_nb")).cast("int")))
     base = [*gk, "id", F.col(vec).alias("_v"), *[F.col(c).cast("double").alias(f"_o{k}") for k, c in enumerate(order)]]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*gk).schema.fields]
+                       + ["i long", "j long"])
+    bundles = d.filter("_nb = 1").select(*base, F.pmod(F.xxhash64(*gk), F.lit(total["bundles"] or 1)).alias("_bundle"))
+    found = bundles.groupBy("_bundle").applyInPandas(_bundle_edges(gk, threshold, len(order)), schema)
+    if (total["largest"] or 0) <= block_rows:
+        return found
+    d = d.filter("_nb > 1")
     as_left = d.select(*base, F.col("_b").alias("_t1"), F.explode(F.sequence(F.col("_b"), F.col("_nb") - 1)).alias("_t2"),
                        F.lit("L").alias("_side"))
     as_right = d.select(*base, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_t1"), F.col("_b").alias("_t2"),
                         F.lit("R").alias("_side"))
     tiles = as_left.unionByName(as_right)
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*gk).schema.fields]
-                       + ["i long", "j long"])
     fn = _tile_edges(threshold, len(order))
 
     def with_keys(key, pdf):
@@ -256,8 +288,8 @@ def dense_edges(df: DataFrame, gk: list[str], vec: str, order: list[str],
             out[name] = val
         return out[[*gk, "i", "j"]]
 
-    return tiles.groupBy(*gk, "_t1", "_t2").applyInPandas(
-        lambda key, pdf: with_keys(key[:len(gk)], pdf), schema)
+    return found.unionByName(tiles.groupBy(*gk, "_t1", "_t2").applyInPandas(
+        lambda key, pdf: with_keys(key[:len(gk)], pdf), schema))
 
 
 def _ranked(nodes: DataFrame, gk: list[str], order: list[str]) -> DataFrame:

@@ -60,7 +60,8 @@ def dedup_clauses(candidates: DataFrame, order: list[Column], method: str = "tfi
     if method != "embedding":
         raise ValueError(f"unknown dedup method {method!r}")
     from clauseflow.operators import retrieve as rv
-    normal = candidates.withColumn("_norm", tc.similarity_norm(F.col("text")))
+    # written once: both halves read it
+    normal = dd._ckpt(candidates.withColumn("_norm", tc.similarity_norm(F.col("text"))))
     has_words = F.size(tc.unigrams("_norm")) > 0
     texts, blank = normal.filter(has_words), normal.filter(~has_words)
     vectors = (rv.encode_with_model(texts, encode, text="_norm", out="_vec") if encode is not None

@@ -3,8 +3,10 @@
 import os
 import shutil
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from clauseflow.operators import dedup as dd
 from clauseflow.sources import fixtures as fx
 from clauseflow.streaming import stream as st
 
@@ -23,3 +25,23 @@ def test_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
     shutil.copy(f"{tmp_path}/one/{part}", f"{tmp_path}/b/documents.parquet")
     same = st.run_review_stream(spark, f"{tmp_path}/b", fx.contracts_from_documents, fx.rule_classifier)
     assert found.count() > 0 and found.exceptAll(same).isEmpty() and same.exceptAll(found).isEmpty()
+
+
+def test_small_groups_are_bundled_and_single_rows_left_out(spark):
+    rng = np.random.default_rng(1)
+    rows, expect = [], set()
+    for g in range(60):
+        size = (1, 3, 12)[g % 3]
+        base = rng.normal(size=(size, 8))
+        base[size // 2:] = base[0] + rng.normal(scale=0.1, size=(size - size // 2, 8))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        order = rng.permutation(size) / 10
+        rows += [(g, g * 100 + k, float(order[k]), [float(x) for x in base[k]]) for k in range(size)]
+        expect |= {(g, g * 100 + int(a), g * 100 + int(b)) for a in range(size) for b in range(size)
+                   if order[a] < order[b] and base[a] @ base[b] >= 0.9}
+    df = spark.createDataFrame(rows, "g int, id long, o double, v array<double>")
+    for block in (1024, 6):  # 6: the groups of 12 rows meet in tiles, the others in bundles
+        edges = dd.dense_edges(df, ["g"], "v", ["o"], 0.9, block_rows=block)
+        assert {(r["g"], r["i"], r["j"]) for r in edges.distinct().collect()} == expect
+    text = plan(dd.dense_edges(df, ["g"], "v", ["o"], 0.9))
+    assert "_bundle" in text
