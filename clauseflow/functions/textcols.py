@@ -187,18 +187,19 @@ def word_count_stripped(s) -> Column:
     return word_count(s)
 
 
-def is_valid_clause(col, stripped: bool = False) -> Column:
+def is_valid_clause(col, stripped: bool = False, lowered=None) -> Column:
     """5..120 words, first character upper case, a modal/obligation keyword.
 
     Conjuncts are ordered cheapest first (substring tests before the word-count
     split) and short-circuit; pass ``stripped=True`` for text that is already
-    stripped (inside array lambdas there is no common-subexpression reuse).
+    stripped (inside array lambdas there is no common-subexpression reuse), and in
+    ``lowered`` its lower-cased form, else every keyword lowers the text anew.
     """
     s = _c(col) if stripped else strip_ws(col)
     wc = word_count_stripped(s)
     return (
         (s != "")
-        & any_phrase(F.lower(s), lx.CLAUSE_KEYWORDS)
+        & any_phrase(F.lower(s) if lowered is None else lowered, lx.CLAUSE_KEYWORDS)
         & F.substring(s, 1, 1).rlike(r"^\p{IsUppercase}")
         & (wc >= lx.CLAUSE_MIN_WORDS) & (wc <= lx.CLAUSE_MAX_WORDS)
     )

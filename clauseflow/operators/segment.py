@@ -35,7 +35,14 @@ def sections_array(text) -> Column:
     """G1: numbered sections in order; text before the first number is dropped;
     no number at all -> the whole stripped text; '' -> no sections."""
     t = tc._c(text)
-    parts = F.split(F.regexp_replace(t, SECTION_OPEN, MARK + "$1"), MARK)
+    return _sections(t, _marked_parts(t))
+
+
+def _marked_parts(t: Column) -> Column:
+    return F.split(F.regexp_replace(t, SECTION_OPEN, MARK + "$1"), MARK)
+
+
+def _sections(t: Column, parts: Column) -> Column:
     numbered = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), _section_text)
     return (F.when(t.isNull() | (t == ""), F.array().cast("array<string>"))
             .when(F.size(parts) > 1, numbered)
@@ -49,7 +56,10 @@ def clause_parts(section) -> Column:
 
 def clause_structs(text) -> Column:
     """All clause candidates of a contract as array<struct<section_idx, part_idx, text>>."""
-    secs = sections_array(text)
+    return _structs(sections_array(text))
+
+
+def _structs(secs: Column) -> Column:
     return F.flatten(F.transform(
         secs,
         lambda s, i: F.transform(
@@ -59,7 +69,13 @@ def clause_structs(text) -> Column:
 
 def valid_clause_structs(text) -> Column:
     """Candidates that pass G3, in document order."""
-    return F.filter(clause_structs(text), lambda x: tc.is_valid_clause(x["text"], stripped=True))
+    return _valid(clause_structs(text))
+
+
+def _valid(structs: Column) -> Column:
+    # each candidate carries its lower-cased text to the keyword test
+    low = F.transform(structs, lambda x: F.struct(x.alias("c"), F.lower(x["text"]).alias("low")))
+    return F.transform(F.filter(low, lambda x: tc.is_valid_clause(x["c"]["text"], stripped=True, lowered=x["low"])), lambda x: x["c"])
 
 
 def split_by_section_numbers(text) -> Column:
@@ -68,9 +84,15 @@ def split_by_section_numbers(text) -> Column:
 
 
 # -- DataFrame forms ----------------------------------------------------------
+def _with_sections(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """(keep..., _secs): the text is cut at its section numbers once, not for every use of the parts."""
+    d = tc.with_computed(df.select(*keep, F.col(text).alias("_t")), {"_parts": _marked_parts(F.col("_t"))})
+    return d.select(*keep, _sections(F.col("_t"), F.col("_parts")).alias("_secs"))
+
+
 def split_sections(df: DataFrame, key: str = "contract_id", text: str = "text") -> DataFrame:
     """sections(contract_id, section_idx, section_no, section_text)."""
-    out = df.select(key, F.posexplode(sections_array(text)).alias("section_idx", "section_text"))
+    out = _with_sections(df, [key], text).select(key, F.posexplode("_secs").alias("section_idx", "section_text"))
     return out.withColumn(
         "section_no",
         F.nullif(F.regexp_extract("section_text", f"^({D}+\\.{D}+) ", 1), F.lit("")),
@@ -79,7 +101,7 @@ def split_sections(df: DataFrame, key: str = "contract_id", text: str = "text")
 
 def split_clause_parts(df: DataFrame, key: str = "contract_id", text: str = "text") -> DataFrame:
     """Every non-blank clause candidate with positions and its validity flag."""
-    out = df.select(key, F.explode(clause_structs(text)).alias("c"))
+    out = _with_sections(df, [key], text).select(key, F.explode(_structs(F.col("_secs"))).alias("c"))
     return out.select(key, "c.section_idx", "c.part_idx", F.col("c.text").alias("text"),
                       tc.is_valid_clause(F.col("c.text"), stripped=True).alias("is_valid"))
 
@@ -89,7 +111,8 @@ def split_into_clauses(df: DataFrame, key: str = "contract_id", text: str = "tex
     """clauses(contract_id, clause_idx, section_idx, part_idx, text); clause_idx is
     the 0-based position among the contract's valid clauses."""
     keep = keep or []
-    out = df.select(key, *keep, F.posexplode(valid_clause_structs(text)).alias("clause_idx", "c"))
+    cut = _with_sections(df, [key, *keep], text)
+    out = cut.select(key, *keep, F.posexplode(_valid(_structs(F.col("_secs")))).alias("clause_idx", "c"))
     return out.select(key, *keep, "clause_idx", "c.section_idx", "c.part_idx",
                       F.col("c.text").alias("text"))
 

@@ -213,5 +213,6 @@ def score_rewrites_file(spark, path: str, out_path: str | None = None, similarit
     from clauseflow.sources import sinks as sk
     scored = ev.score_rewrites(rd.read_rewrites(spark, path), similarity)
     if out_path:
+        scored = dd._ckpt(scored)  # scored once for the file and the summary
         sk.write_scored_rewrites(scored.drop("processed"), out_path)
     return ev.rewrite_summary(scored)

@@ -595,7 +595,7 @@ def q_admission_check(spark, sf):
 # Rewrite scoring (E2-E4, K7) over derived rewrites: original = a clause, rewrite = the next one
 # =============================================================================================
 def rewrites(spark, sf):
-    c = clauses(spark, sf)
+    c = dd._ckpt(clauses(spark, sf))  # both sides read it
     nxt = c.select("contract_id", (F.col("clause_idx") - 1).alias("clause_idx"), F.col("text").alias("rewritten"))
     r = c.select("contract_id", "clause_idx", F.col("text").alias("original"))
     r = sort_join(r, nxt, ["contract_id", "clause_idx"], "left")

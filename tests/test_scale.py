@@ -7,6 +7,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from clauseflow.operators import dedup as dd
+from clauseflow.operators import evaluate as ev
+from clauseflow.operators import segment as sg
+from clauseflow.plans import pipeline as P
+from clauseflow.plans import registry as R
 from clauseflow.sources import fixtures as fx
 from clauseflow.streaming import stream as st
 
@@ -45,3 +49,34 @@ def test_small_groups_are_bundled_and_single_rows_left_out(spark):
         assert {(r["g"], r["i"], r["j"]) for r in edges.distinct().collect()} == expect
     text = plan(dd.dense_edges(df, ["g"], "v", ["o"], 0.9))
     assert "_bundle" in text
+
+
+def test_rewrite_scores_lower_each_text_once(spark):
+    rows = spark.createDataFrame([(" A shall be Mutual \n", "Both Parties act", None), ("x", " ", None)],
+                                 "original string, rewritten string, scores struct<correctness:int,fairness:int,clarity:int>")
+    scored = ev.score_rewrites(rows)
+    assert scored.columns == ["original", "rewritten", "scores", "processed"]
+    assert [r["processed"] for r in scored.collect()] == [True, False]
+    assert plan(scored).count("lower(") == 2
+
+
+def test_a_rewrite_file_is_scored_once(spark, tmp_path):
+    spark.createDataFrame([("a shall pay", "both parties pay")], "original string, rewritten string").write.json(f"{tmp_path}/in")
+    summary = P.score_rewrites_file(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert "Scan json" not in plan(summary) and "FileScan json" not in plan(summary)
+    assert summary.head()["processed"] == 1
+
+
+def test_rewrites_read_written_clauses(spark):
+    assert "regexp_replace" not in plan(R.rewrites(spark, "/root/testdata/sf0.001"))
+
+
+def test_texts_are_cut_and_candidates_lowered_once(spark):
+    rows = spark.createDataFrame([(1, "Buyer SHALL pay each invoice now. too short. Seller must deliver the goods on time"), (2, None), (3, "")],
+                                 "contract_id long, text string")
+    got = sg.split_into_clauses(rows)
+    assert [(r["contract_id"], r["clause_idx"], r["part_idx"], r["text"]) for r in got.collect()] == [
+        (1, 0, 0, "Buyer SHALL pay each invoice now"), (1, 1, 2, "Seller must deliver the goods on time")]
+    assert "instr(lower(" not in plan(got)
+    for d in (got, sg.split_clause_parts(rows), sg.split_sections(rows)):
+        assert plan(d).count(sg.SECTION_OPEN) == 1
