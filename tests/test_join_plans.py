@@ -15,10 +15,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def table(spark, rows, schema):
+    """Rows in a written table, whose files Spark takes for its size."""
+    return dd._ckpt(spark.createDataFrame(rows, schema))
+
+
 def clause_rows(spark):
     texts = ["Buyer shall pay each invoice now", "Buyer shall pay each invoice now", "Seller must deliver the goods on time"]
-    return spark.createDataFrame([(c, i, t, "Audit Rights") for c in (1, 2) for i, t in enumerate(texts)],
-                                 "contract_id long, clause_idx int, text string, label string")
+    return table(spark, [(c, i, t, "Audit Rights") for c in (1, 2) for i, t in enumerate(texts)],
+                 "contract_id long, clause_idx int, text string, label string")
 
 
 def test_tfidf_dedup_joins_sort(spark):
@@ -53,7 +58,7 @@ def test_fragments_join_sorts(spark):
 
 def test_report_joins_sort(spark):
     rows = clause_rows(spark).withColumns({"risk": F.lit("HIGH"), "confidence": F.lit(0.9), "reason": F.lit(""), "bias_score": F.lit(2)})
-    contracts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "contract_id long, text string")
+    contracts = table(spark, [(1, "a"), (2, "b"), (3, "c")], "contract_id long, text string")
     for report in (rp.contract_report(contracts, rows, rows, rows), rp.full_report(contracts, rows, rows, rows)):
         assert "BroadcastHashJoin" not in plan(report)
         assert sorted((r["contract_id"], r["n_clauses"]) for r in report.collect()) == [(1, 3), (2, 3), (3, 0)]
@@ -61,9 +66,9 @@ def test_report_joins_sort(spark):
 
 def test_hit_and_review_joins_sort(spark):
     rows = clause_rows(spark).withColumn("risk", F.lit("HIGH"))
-    hits = spark.createDataFrame([(1, 1, 7, 0.5)], "query_id long, rank int, clause_id long, distance double")
-    meta = spark.createDataFrame([(7, "c", ["x"])], "clause_id long, clause string, label array<string>")
-    queries = spark.createDataFrame([(1, 1, 0), (2, 2, 0)], "query_id long, contract_id long, clause_idx int")
+    hits = table(spark, [(1, 1, 7, 0.5)], "query_id long, rank int, clause_id long, distance double")
+    meta = table(spark, [(7, "c", ["x"])], "clause_id long, clause string, label array<string>")
+    queries = table(spark, [(1, 1, 0), (2, 2, 0)], "query_id long, contract_id long, clause_idx int")
     packed = rv.assemble_hits(queries.select("query_id"), hits, meta)
     assert "BroadcastHashJoin" not in plan(packed) and packed.filter("size(hits) = 1").count() == 1
     review = rw.build_review(rows, packed.withColumn("contract_id", F.col("query_id")).withColumn("clause_idx", F.lit(0)).drop("query_id"))
