@@ -3,37 +3,35 @@
 Lines are normalised to their words (lower case; what is neither letter nor
 digit separates them), and equal ones are one class.  Two lines are similar when
 1 - edits / words of the longer one, in word edits, is at least the similarity.
-A class has two independent 64-bit SimHashes of its words as often as they
-occur, each in four blocks of bits; a block and a class of lengths are a join
-key.  Lines that agree on a block of a hash and differ in at most six of its bits
-are verified by the edit distance of their word sequences.  By the pigeonhole
-principle three differing bits always leave a block equal; four, five and six
-bits do so in 91, 77 and 62 of 100 cases a hash (if they fall evenly).  Each hash
-is a pass of its own, which leaves only its pairs.
-Within a bucket, lines meet its leaders only (lines that no earlier leader is
-near); pairs of other lines of a bucket are made only between lines that are not
-linked by then, so a family of near-copies costs about one pair a line.  Of each
-connected group the first occurrence, by doc_id and line number, is kept.
-
-Words are hashed and counted, and buckets compared, by numpy on Arrow batches;
-Spark splits, shuffles, joins and verifies.
+A class has three independent 64-bit SimHashes of its words as often as they
+occur, each in four blocks of bits.  A block, the smallest hash of two words in a
+row (another one for each block) and a class of lengths are a join key: blocks
+alone are so few that their buckets would grow with the table, and unlike lines
+seldom share the two words as well.  Lines that share a key, agree on a block of a
+hash and differ in at most six of its bits are verified by the edit distance of
+their word sequences.  By the pigeonhole principle three differing bits always
+leave a block equal; four, five and six bits do so in 91, 77 and 62 of 100 cases a
+hash (if they fall evenly).  Before that, lines are dropped that differ in too many
+parities of their words: an edit changes two of them at most, so no similar pair is
+lost.  Each hash is a pass of its own, which leaves only the buckets of several lines.
+Within a bucket, lines meet its smallest one; pairs of other lines of a bucket are
+made only between lines that are not linked by then, so a family of near-copies
+costs about one pair a line.  Of each connected group the first occurrence, by
+doc_id and line number, is kept.
+
+All steps are DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clauseflow.functions.textcols import with_computed
 
-from . import common, wordhash
-
-_U = np.uint64
+from . import common
 
 #: What is dropped between words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -41,14 +39,16 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIMILARITY = 0.95
 #: SimHashes of a line, bits in which one of them may differ, and bits from and to of its blocks,
 #: one of which has to be equal.
-HASHES, DISTANCE = 2, 6
+HASHES, DISTANCE = 3, 6
 BLOCKS = ((0, 16), (16, 32), (32, 48), (48, 64))
 #: Lengths of one class differ by less than this factor.
 _STEP = 1.25
-#: Eight counters of a SimHash are kept in the bytes of a word, so lines of more
-#: words are counted in parts of this many, which are added up.
-_PART = 255
-_BYTES = _U(0x0101010101010101)
+#: The counts of a SimHash's bits k and k + 32 are the two halves of a long.
+_LANES = 1 << 32 | 1
+#: Longs of a line's parities: each word flips one of their bits.
+_PARITIES = 4
+#: What tells whether two lines may be similar.
+_OWN = ("n", *[f"h{h}" for h in range(HASHES)], *[f"p{k}" for k in range(_PARITIES)])
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -56,62 +56,48 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
 
 
-def word_hashes(word: np.ndarray, number: int) -> np.ndarray:
-    """Hashes of words for the SimHash ``number``."""
-    return wordhash.mix(word + _U(number * 0xD1342543DE82EF95 % (1 << 64))) if number else word
+def _word(code: Column, number: int) -> Column:
+    """Hash of a word for the SimHash ``number``."""
+    return F.xxhash64(code, F.lit(number))
 
 
-def _simhashes(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """SimHash of each line of ``n`` (1 and more) of the word hashes in turn: a
-    bit is set where more than half of the words have it."""
-    out = np.zeros(len(n), _U)
-    if not len(n):
-        return out
-    parts = -(-n // _PART)
-    first = np.cumsum(parts) - parts
-    within = np.arange(parts.sum()) - np.repeat(first, parts)
-    starts = np.repeat(np.cumsum(n) - n, parts) + _PART * within
-    place = (np.arange(8) * 8).astype(_U)
-    for k in range(8):
-        lanes = np.add.reduceat(word >> _U(k) & _BYTES, starts).view(np.uint8).reshape(-1, 8)
-        count = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
-        out |= ((2 * count > n[:, None]).astype(_U) << (place + _U(k))).sum(axis=1, dtype=_U)
-    return out
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, t, line_no, line: hash of the words, n: words, code: 32 bits of
+    the hash of each word) of every line that has a word; ``code`` is null for
+    lines of fewer than ``least`` words.  One pass over the texts, without a shuffle."""
+    lines = with_computed(_lines(docs), {"line": F.array_remove(F.split("line", GAP), "")}).filter(F.size("line") > 0)
+    code = F.when(F.size("line") >= least, F.transform("line", lambda w: F.hash(w)))
+    return lines.select("doc_id", "t", "line_no", F.xxhash64("line").alias("line"), F.size("line").alias("n"), code.alias("code"))
 
 
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, t, line_no, line: hash of the words, n: words, h0, h1, ...) of
-    every line that has a word; SimHashes of lines of ``least`` words and more,
-    else null.  One pass over the texts, without a shuffle."""
-    def run(batches):
-        for batch in batches:
-            for part in wordhash.slices(batch, "line"):
-                word, at = wordhash.words(part.column("line"), wordhash.ALNUM_WORDS, wordhash.KEEP_CASE)
-                full = np.flatnonzero(np.diff(at))
-                if not len(full):
-                    continue
-                start, n = at[:-1][full], np.diff(at)[full]
-                place = np.arange(len(word)) - np.repeat(start, n)
-                line = np.add.reduceat(wordhash.mix(word + wordhash.mix(place.astype(_U))), start)
-                many = n >= least
-                word = word[np.repeat(many, n)]
-                kept = part.select(["doc_id", "t", "line_no"]).take(pa.array(full))
-                made = {"line": pa.array(line.view(np.int64)), "n": pa.array(n.astype(np.int32))}
-                for h in range(HASHES):
-                    own = np.zeros(len(n), np.int64)
-                    own[many] = _simhashes(word_hashes(word, h), n[many]).view(np.int64)
-                    made[f"h{h}"] = pa.array(own, mask=~many)
-                yield pa.RecordBatch.from_arrays([*kept.columns, *made.values()], names=[*kept.schema.names, *made])
-
-    lines = _lines(docs)
-    common.ship(docs.sparkSession)
-    kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.mapInArrow(run, f"doc_id {kind}, t long, line_no int, line long, n int, " + ", ".join(f"h{h} long" for h in range(HASHES)))
+def _rotated(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
 
 
 def classes_of(found: DataFrame) -> DataFrame:
-    """(line, n, h0, h1, ...) of every class of lines that has SimHashes."""
-    return found.filter("h0 is not null").groupBy("line").agg(F.min("n").alias("n"), *[F.min(f"h{h}").alias(f"h{h}") for h in range(HASHES)])
+    """(line, n, code, h0, h1, ...: its SimHashes, m0, m1, ...: for each block of a
+    hash the least of the hashes of two words in a row, p0, p1, ...: parities of its
+    words) of every class of lines that has codes.  A class is counted where its codes have been brought together."""
+    classes = found.filter("code is not null").select("line", "code").dropDuplicates(["line"])
+    word = classes.select("line", F.inline(F.arrays_zip(F.col("code").alias("word"), F.slice("code", 2, F.size("code")).alias("next"))))
+    flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("word").bitwiseAND(F.lit(63)))
+    which = F.pmod(F.shiftright("word", 6), F.lit(_PARITIES))
+    made = [F.bit_xor(F.when(which == k, flip).otherwise(0)).alias(f"p{k}") for k in range(_PARITIES)]
+    for h in range(HASHES):
+        two = F.xxhash64("word", "next", F.lit(h))  # the last word stands alone
+        made += [F.sum(F.shiftrightunsigned(_word(F.col("word"), h), k).bitwiseAND(F.lit(_LANES))).alias(f"s{h}_{k}") for k in range(32)]
+        made += [F.min(_rotated(two, low)).alias(f"m{h}_{low}") for low, _ in BLOCKS]
+    counted = word.groupBy("line").agg(F.count("*").alias("n"), *made)
+    # bit 30 of a half is set where its count is more than half of n
+    least = (F.lit(1 << 30) - 1 - F.floor(F.col("n") / 2)) * F.lit(_LANES)
+    own = [f"p{k}" for k in range(_PARITIES)]
+    for h in range(HASHES):
+        most = [(F.col(f"s{h}_{k}") + F.col("least")).bitwiseAND(F.lit(_LANES << 30)) for k in range(32)]
+        bits = [F.shiftrightunsigned(x, 30 - k) if k <= 30 else F.shiftleft(x, 1) for k, x in enumerate(most)]
+        own.append(reduce(Column.bitwiseOR, bits).alias(f"h{h}"))
+        own.append(F.array(*[F.hash(f"m{h}_{low}") for low, _ in BLOCKS]).alias(f"m{h}"))
+    counted = counted.withColumn("least", least).select("line", F.col("n").cast("int").alias("n"), *own)
+    return counted.join(classes.hint("merge"), "line")
 
 
 def _length_class(n: Column) -> Column:
@@ -119,84 +105,23 @@ def _length_class(n: Column) -> Column:
 
 
 def _keys(n: Column, similarity: float, number: int) -> Column:
-    """Join keys of the SimHash ``number``: number and bits of each block (low
-    bits first, so that the many rows compress), and the class of each length that
-    the longer line of a similar pair may have."""
+    """Join keys of the SimHash ``number``: hashes of number and bits of each block,
+    the block's pair of words and the class of each length that the longer line of a
+    similar pair may have."""
     made = []
     for k, (low, high) in enumerate(BLOCKS):
         bits = F.shiftrightunsigned(F.col(f"h{number}"), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-        made.append(F.shiftleft(F.lit((len(BLOCKS) * number + k) << (high - low)).cast("long").bitwiseOR(bits), 16))
+        made.append((F.lit(len(BLOCKS) * number + k), bits, F.col(f"m{number}")[k]))
     longest = F.floor(n / similarity + 1e-9) if similarity > 0 else F.lit(1 << 30)
     classes = F.sequence(_length_class(n), _length_class(longest))
-    return F.flatten(F.transform(classes, lambda c: F.transform(F.array(*made), lambda k: k + c)))
-
-
-def _met(keyed: DataFrame, similarity: float) -> DataFrame:
-    """(key, a, b, lead) from ``keyed(key, line, n, h)``, the rows of a key in one
-    partition and in order: pairs (a, b) of a line and a leader before it that is
-    near it (key null), and lines a (b null, lead: it is a leader) that may have
-    such like in their bucket as have not met them.
-
-    Buckets stream by; of a bucket that goes on in the next batch, its leaders
-    are kept."""
-    def near(h, n, i, j):
-        most = np.floor(np.maximum(n[i], n[j]) * (1 - similarity) + 1e-9)
-        return (np.bitwise_count(h[i] ^ h[j]) <= DISTANCE) & (np.abs(n[i] - n[j]) <= most)
-
-    def meet(key, line, n, h, known, some):
-        """``known``: rows at the start that are kept leaders, of a bucket with a
-        line that is none if ``some``."""
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        end = np.append(start[1:], len(key))
-        covered = np.zeros(len(key), bool)
-        pairs = []
-        lead, last = start.copy(), end
-        while True:
-            go = lead + 1 < last
-            lead, last = lead[go], last[go]
-            if not len(lead):
-                break
-            size = last - lead - 1
-            i = np.repeat(lead + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            j = np.repeat(lead, size)
-            hit = near(h, n, i, j)
-            i, j = i[hit], j[hit]
-            pairs.append((i, j))
-            covered[i] = True
-            lead = lead + 1
-            while len(skip := np.flatnonzero((lead < last) & covered[np.minimum(lead, last - 1)])):
-                lead[skip] += 1
-        at = np.where(covered, np.arange(len(key)), len(key))
-        first = np.minimum.reduceat(at, start)  # the first line of a bucket that is no leader
-        if some:
-            first[0] = 0
-        late = np.arange(len(key)) >= np.repeat(first, end - start)
-        late[:known] = False
-        i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
-        fresh = i >= known
-        tail = np.arange(start[-1], len(key))
-        return line[i[fresh]], line[j[fresh]], np.flatnonzero(late), covered, tail[~covered[tail]], bool(first[-1] < len(key))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        kept, some = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, line, n, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "n", "h"))
-            h, known = h.view(_U), 0
-            if kept is not None and kept[0][0] == key[0]:
-                known = len(kept[0])
-                key, line, n, h = (np.concatenate(x) for x in zip(kept, (key, line, n, h)))
-            a, b, late, covered, tail, more = meet(key, line, n, h, known, some and known > 0)
-            kept, some = (key[tail], line[tail], n[tail], h[tail]), more
-            blank = len(a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(np.zeros(blank, np.int64), key[late]), mask=np.arange(blank + len(late)) < blank),
-                 pa.array(np.append(a, line[late])),
-                 pa.array(np.append(b, np.zeros(len(late), np.int64)), mask=np.arange(blank + len(late)) >= blank),
-                 pa.array(np.append(np.zeros(blank, bool), ~covered[late]))], names=["key", "a", "b", "lead"])
-
-    return keyed.select("key", "line", "n", "h").mapInArrow(run, "key long, a long, b long, lead boolean")
+    return F.flatten(F.transform(classes, lambda c: F.array(*[F.xxhash64(*m, c) for m in made])))
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """(key, a, b) from ``keyed(key, line)``: each line a of a bucket with the
+    bucket's smallest one b."""
+    return (keyed.select("key", F.col("line").alias("a"), F.min("line").over(Window.partitionBy("key")).alias("b"))
+            .filter("a <> b"))
 
 
 def _alike(a: str, b: str) -> Column:
@@ -208,9 +133,12 @@ def _alike(a: str, b: str) -> Column:
     return reduce(Column.__or__, [close(h) for h in range(HASHES)])
 
 
-def _near(na: Column, nb: Column, similarity: float) -> Column:
-    """Whether the lengths of two lines alone don't rule them out."""
-    return F.abs(na - nb) <= _most(na, nb, similarity)
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether the lengths and parities of two lines alone don't rule them out."""
+    na, nb = F.col(a + "n"), F.col(b + "n")
+    flips = [F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(_PARITIES)]
+    most = _most(na, nb, similarity)
+    return (F.abs(na - nb) <= most) & (reduce(Column.__add__, flips) <= 2 * most)
 
 
 def _most(na: Column, nb: Column, similarity: float) -> Column:
@@ -218,10 +146,10 @@ def _most(na: Column, nb: Column, similarity: float) -> Column:
     return F.floor(F.greatest(na, nb) * (1 - similarity) + 1e-9).cast("int")
 
 
-def _code(words: Column) -> Column:
-    """A word sequence as a string of one character a word (20 bits of its hash),
-    so that edit distance counts words."""
-    character = F.transform(words, lambda w: F.lpad(F.hex(F.lit(1 << 16) + F.pmod(F.xxhash64(w), F.lit(1 << 20))), 8, "0"))
+def _text(code: Column) -> Column:
+    """The codes of a line's words as a string of one character a word (20 bits of
+    its hash), so that edit distance counts words."""
+    character = F.transform(code, lambda w: F.lpad(F.hex(F.lit(1 << 16) + F.pmod(w, F.lit(1 << 20))), 8, "0"))
     return F.decode(F.unhex(F.array_join(character, "")), "UTF-32")
 
 
@@ -252,28 +180,15 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter(F.call_function("levenshtein", "ca", "cb", "most") >= 0).select("a", "b")
 
 
-def _codes(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, code) of the lines ``wanted(line)``, each from one occurrence: only
-    the documents of these are split, and where they are few no text is shuffled."""
-    place = (found.join(wanted, "line").groupBy("line").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("p"))
-             .select(F.col("line").alias("want"), F.col("p.doc_id").alias("i"), F.col("p.t").alias("u"), F.col("p.line_no").alias("k")))
-    place = common.stash(place, "line-places")
-    ids = common.broadcast_up_to(place.select("i").distinct())
-    some = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["i"]), "left_semi")
-    at = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")) & (F.col("line_no") == F.col("k"))
-    lines = _lines(some).join(common.broadcast_up_to(place), at)
-    words = F.array_remove(F.split(lines["line"], GAP), "")
-    return lines.select(F.col("want").alias("line"), _code(words).alias("code")).dropDuplicates(["line"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose lines are similar enough."""
+def _verified(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose lines are near by their hashes and similar enough."""
     pairs = common.stash(pairs, "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    codes = common.stash(_codes(docs, found, wanted), "line-codes")
-    one = codes.select(F.col("line").alias("a"), F.col("code").alias("ca"))
-    two = codes.select(F.col("line").alias("b"), F.col("code").alias("cb"))
-    return common.stash(_similar(pairs.join(one, "a").join(two, "b"), similarity), "line-links")
+    wanted = common.broadcast_up_to(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
+    codes = common.stash(classes.join(wanted, "line", "left_semi").select("line", *_OWN, _text(F.col("code")).alias("c")), "line-codes")
+    for x in ("a", "b"):
+        pairs = pairs.join(codes.select(F.col("line").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in (*_OWN, "c")]), x)
+    near = pairs.filter(_near("a_", "b_", similarity) & _alike("a_h", "b_h"))
+    return common.stash(_similar(near.select("a", "b", F.col("a_c").alias("ca"), F.col("b_c").alias("cb")), similarity), "line-links")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -286,33 +201,31 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     doc_id comes first.  Lines are told apart by 64-bit hashes, words within a
     compared pair by 20 bits.  Lines too short for one edit within the
     similarity (of fewer than 19 words at 0.95) can only be equal."""
-    own = [f"h{h}" for h in range(HASHES)]
     # a line of n words may differ from its like in n (1 - similarity) words, rounded down: shorter ones have no like
     least = next(n for n in range(1, 1 << 20) if math.floor((n + 1) * (1 - similarity) + 1e-9) >= 1) if similarity < 1 else 1 << 30
     found = common.stash(occurrences(docs, least), "line-occurrences")
     classes = common.stash(classes_of(found), "line-classes")
-    found = found.drop(*own)
+    found = found.drop("n", "code")
 
     met = []
     for h in range(HASHES):
-        keyed = classes.select(F.explode(_keys(F.col("n"), similarity, h)).alias("key"), "line", "n", F.col(f"h{h}").alias("h"))
-        met.append(common.stash(_met(keyed.repartition("key").sortWithinPartitions("key", "line"), similarity), "line-met"))
+        keyed = classes.select(F.explode(_keys(F.col("n"), similarity, h)).alias("key"), "line")
+        met.append(common.stash(_met(keyed), "line-met"))
     met = reduce(DataFrame.unionByName, met)
-    links = _verified(met.filter("key is null").select("a", "b").distinct(), docs, found, similarity)
+    links = _verified(met.select("a", "b").distinct(), classes, similarity)
     parts = common.connected_components(links)
 
     # the other pairs of a bucket, between lines that are not linked yet
     parts = common.broadcast_up_to(parts.withColumnRenamed("node", "line"))
-    members = (met.filter("key is not null").withColumnRenamed("a", "line").join(parts, "line", "left")
-               .select("key", "line", "lead", F.coalesce("root", "line").alias("part")))
+    members = (met.withColumnRenamed("a", "line").join(parts, "line", "left")
+               .select("key", "line", F.coalesce("root", "line").alias("part")))
     mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    members = common.stash(members.join(mixed, "key").join(classes, "line").select("key", "line", "n", *own, "part", "lead"), "line-members")
-    other = members.select("key", F.col("line").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"), F.col("lead").alias("lead_b"),
-                           *[F.col(h).alias(f"b_{h}") for h in own])
+    members = common.stash(members.join(mixed, "key").join(classes, "line").select("key", "line", "part", *_OWN), "line-members")
+    other = members.select("key", F.col("line").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("part", *_OWN)])
     rest = (members.join(other, "key")
-            .filter((F.col("line") > F.col("b")) & (F.col("part") != F.col("part_b")) & ~(F.col("lead") & F.col("lead_b")))
-            .filter(_near(F.col("n"), F.col("nb"), similarity) & _alike("h", "b_h")).select(F.col("line").alias("a"), "b").distinct())
-    links = links.unionByName(_verified(rest, docs, found, similarity))
+            .filter((F.col("line") > F.col("b")) & (F.col("part") != F.col("b_part")))
+            .filter(_near("", "b_", similarity) & _alike("h", "b_h")).select(F.col("line").alias("a"), "b").distinct())
+    links = links.unionByName(_verified(rest, classes, similarity))
 
     roots = common.connected_components(links)
     found = found.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))

@@ -103,14 +103,37 @@ def mix(rows, weights=(5, 2, 1), epochs=3):
 
 def simhash(words, number=0):
     """SimHash number ``number`` of words as often as they occur."""
-    import numpy as np
-    import pyarrow as pa
-    from clauseflow.llm import fuzzy_lines, wordhash
-    seen, _ = wordhash.words(pa.array([" ".join(words)]), wordhash.ALNUM_WORDS, wordhash.KEEP_CASE)
-    hashes = [int(h) for h in fuzzy_lines.word_hashes(np.asarray(seen), number)]
+    hashes = [_simhash_word(w, number) for w in words]
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(words))
 
 
+def _simhash_word(word, number):
+    """Spark's xxhash64 of (its hash of the word, number)."""
+    x = 42
+    for i in (murmur3(word.encode()), number):
+        x = ((x + 0x27D4EB2F165667C5 + 4) ^ i * 0x9E3779B185EBCA87) % (1 << 64)
+        x = ((x << 23 | x >> 41) * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) % (1 << 64)
+        x = (x ^ x >> 33) * 0xC2B2AE3D27D4EB4F % (1 << 64)
+        x = (x ^ x >> 29) * 0x165667B19E3779F9 % (1 << 64)
+        x ^= x >> 32
+    return x
+
+
+def murmur3(data):
+    """Spark's hash of a string, as 32 bits without a sign."""
+    m = (1 << 32) - 1
+    full = len(data) // 4 * 4
+    h = 42
+    for k in [int.from_bytes(data[i:i + 4], "little") for i in range(0, full, 4)] + [b - 256 * (b > 127) & m for b in data[full:]]:
+        k = k * 0xCC9E2D51 & m
+        h ^= (k << 15 | k >> 17) * 0x1B873593 & m
+        h = (h << 13 | h >> 19) * 5 + 0xE6546B64 & m
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    return h ^ h >> 16
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -296,6 +296,54 @@ def test_fuzzy_lines_that_share_a_run_make_few_pairs(make_docs):
     assert fuzzy_lines.groups(make_docs(rows)).filter("not kept").count() == 0
 
 
+def test_fuzzy_lines_hashes(make_docs):
+    """SimHashes and parities against plain Python; words of more than a byte's count."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["a", "bc", "d4e", "é", "fünfzig", "w" * 50, "İx", f"u{rng.randrange(99)}"]) for _ in range(n)))
+            for i, n in enumerate([19, 20, 31, 64, 255, 256, 700, 3000])]
+    got = {r["n"]: r for r in fuzzy_lines.classes_of(fuzzy_lines.occurrences(make_docs(rows + rows[:2]), 19)).collect()}
+    assert len(got) == len(rows)
+    for _, text in rows:
+        words = [w for w in re.split(fuzzy_lines.GAP, text.replace("İ", "i̇")) if w]
+        r = got[len(words)]
+        assert [r[f"h{h}"] % (1 << 64) for h in range(fuzzy_lines.HASHES)] == [brute.simhash(words, h) for h in range(fuzzy_lines.HASHES)]
+        flips = [0] * fuzzy_lines._PARITIES
+        for x in map(brute.murmur3, (w.encode() for w in words)):
+            flips[(x >> 6) % fuzzy_lines._PARITIES] ^= 1 << x % 64
+        assert [r[f"p{k}"] % (1 << 64) for k in range(fuzzy_lines._PARITIES)] == flips
+
+
+def test_fuzzy_lines_runs_no_python(spark, make_docs):
+    docs = make_docs([(1, " ".join(f"w{i}" for i in range(30)))])
+    classes = fuzzy_lines.classes_of(fuzzy_lines.occurrences(docs, 19))
+    keyed = classes.select(F.explode(fuzzy_lines._keys(F.col("n"), fuzzy_lines.SIMILARITY, 0)).alias("key"), "line")
+    plan = fuzzy_lines._met(keyed)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_fuzzy_lines_of_a_wide_family_make_few_pairs(make_docs, monkeypatch):
+    """Lines of one bucket that are too far apart to be linked are not handed on as pairs."""
+    rng = random.Random(6)
+    base = [f"t{k}" for k in range(87)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for k in rng.sample(range(87), rng.choice([0, 1, 2, 5, 6, 7, 8])):
+            words[k] = f"n{rng.randrange(100_000)}"
+        rows.append((i, " ".join(words)))
+    handed = []
+    similar = fuzzy_lines._similar
+
+    def counted(pairs, similarity):
+        handed.append(pairs.count())
+        return similar(pairs, similarity)
+
+    monkeypatch.setattr(fuzzy_lines, "_similar", counted)
+    got = _grouped(fuzzy_lines.groups(make_docs(rows)))
+    assert got == _line_groups(rows) and len({g[2:4] for g in got}) > 20
+    assert sum(handed) < 8 * len(rows), handed
+
+
 def test_fuzzy_lines_empty_table_and_blank_rows(spark, make_docs):
     assert fuzzy_lines.groups(make_docs([])).count() == 0
     blank = make_docs([(None, None), (1, ""), (2, " \n--\n"), (3, "one")])
