@@ -43,8 +43,9 @@ HASHES, DISTANCE = 3, 6
 BLOCKS = ((0, 16), (16, 32), (32, 48), (48, 64))
 #: Lengths of one class differ by less than this factor.
 _STEP = 1.25
-#: The counts of a SimHash's bits k and k + 32 are the two halves of a long.
-_LANES = 1 << 32 | 1
+#: The counts of a SimHash's bits k, k + 16, k + 32 and k + 48 are the quarters of a long for
+#: up to 2^14 words, those of the bits k and k + 32 its halves for all of a line's words.
+_QUARTERS, _LANES = 0x0001000100010001, 1 << 32 | 1
 #: Longs of a line's parities: each word flips one of their bits.
 _PARITIES = 4
 #: What tells whether two lines may be similar.
@@ -74,30 +75,45 @@ def _rotated(x: Column, by: int) -> Column:
     return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
 
 
+def _hashed(classes: DataFrame, number: int) -> DataFrame:
+    """(line, h: the SimHash ``number``, m: its pairs of words; with the first, n and
+    the parities) of ``classes(line, code)``."""
+    both = F.arrays_zip(F.col("code").alias("word"), F.slice("code", 2, F.size("code")).alias("next"))
+    word = (classes.select("line", F.posexplode(both).alias("pos", "at"))
+            .select("line", F.shiftright("pos", 14).alias("part"), "at.word", "at.next"))
+    own = _word(F.col("word"), number)
+    two = F.xxhash64("word", "next", F.lit(number))  # the last word stands alone
+    part = [F.count("*").alias("n"), *[F.min(_rotated(two, low)).alias(f"m{low}") for low, _ in BLOCKS],
+            *[F.sum(F.shiftrightunsigned(own, k).bitwiseAND(F.lit(_QUARTERS))).alias(f"s{k}") for k in range(16)]]
+    whole = [F.sum("n").alias("n"), *[F.min(f"m{low}").alias(f"m{low}") for low, _ in BLOCKS],
+             *[F.sum(F.shiftrightunsigned(f"s{k % 16}", k // 16 * 16).bitwiseAND(F.lit(_LANES * 0xFFFF))).alias(f"s{k}") for k in range(32)]]
+    first = []
+    if number == 0:
+        flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("word").bitwiseAND(F.lit(63)))
+        which = F.pmod(F.shiftright("word", 6), F.lit(_PARITIES))
+        part += [F.bit_xor(F.when(which == k, flip).otherwise(0)).alias(f"p{k}") for k in range(_PARITIES)]
+        whole += [F.bit_xor(f"p{k}").alias(f"p{k}") for k in range(_PARITIES)]
+        first = [F.col("n").cast("int").alias("n"), *[f"p{k}" for k in range(_PARITIES)]]
+    counted = word.groupBy("line", "part").agg(*part).groupBy("line").agg(*whole)
+    # bit 30 of a half is set where its count is more than half of n
+    counted = counted.withColumn("least", (F.lit(1 << 30) - 1 - F.floor(F.col("n") / 2)) * F.lit(_LANES))
+    most = [(F.col(f"s{k}") + F.col("least")).bitwiseAND(F.lit(_LANES << 30)) for k in range(32)]
+    bits = [F.shiftrightunsigned(x, 30 - k) if k <= 30 else F.shiftleft(x, 1) for k, x in enumerate(most)]
+    return counted.select("line", *first, reduce(Column.bitwiseOR, bits).alias(f"h{number}"),
+                          F.array(*[F.hash(f"m{low}") for low, _ in BLOCKS]).alias(f"m{number}"))
+
+
 def classes_of(found: DataFrame) -> DataFrame:
     """(line, n, code, h0, h1, ...: its SimHashes, m0, m1, ...: for each block of a
     hash the least of the hashes of two words in a row, p0, p1, ...: parities of its
-    words) of every class of lines that has codes.  A class is counted where its codes have been brought together."""
+    words) of every class of lines that has codes.  A class is counted where its
+    codes have been brought together, once for each hash: an aggregation of all of
+    them at once is slower."""
     classes = found.filter("code is not null").select("line", "code").dropDuplicates(["line"])
-    word = classes.select("line", F.inline(F.arrays_zip(F.col("code").alias("word"), F.slice("code", 2, F.size("code")).alias("next"))))
-    flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("word").bitwiseAND(F.lit(63)))
-    which = F.pmod(F.shiftright("word", 6), F.lit(_PARITIES))
-    made = [F.bit_xor(F.when(which == k, flip).otherwise(0)).alias(f"p{k}") for k in range(_PARITIES)]
-    for h in range(HASHES):
-        two = F.xxhash64("word", "next", F.lit(h))  # the last word stands alone
-        made += [F.sum(F.shiftrightunsigned(_word(F.col("word"), h), k).bitwiseAND(F.lit(_LANES))).alias(f"s{h}_{k}") for k in range(32)]
-        made += [F.min(_rotated(two, low)).alias(f"m{h}_{low}") for low, _ in BLOCKS]
-    counted = word.groupBy("line").agg(F.count("*").alias("n"), *made)
-    # bit 30 of a half is set where its count is more than half of n
-    least = (F.lit(1 << 30) - 1 - F.floor(F.col("n") / 2)) * F.lit(_LANES)
-    own = [f"p{k}" for k in range(_PARITIES)]
     for h in range(HASHES):
-        most = [(F.col(f"s{h}_{k}") + F.col("least")).bitwiseAND(F.lit(_LANES << 30)) for k in range(32)]
-        bits = [F.shiftrightunsigned(x, 30 - k) if k <= 30 else F.shiftleft(x, 1) for k, x in enumerate(most)]
-        own.append(reduce(Column.bitwiseOR, bits).alias(f"h{h}"))
-        own.append(F.array(*[F.hash(f"m{h}_{low}") for low, _ in BLOCKS]).alias(f"m{h}"))
-    counted = counted.withColumn("least", least).select("line", F.col("n").cast("int").alias("n"), *own)
-    return counted.join(classes.hint("merge"), "line")
+        hashed = _hashed(found.filter("code is not null").select("line", "code").dropDuplicates(["line"]), h)
+        classes = classes.join(hashed.hint("merge"), "line")
+    return classes
 
 
 def _length_class(n: Column) -> Column:
