@@ -28,6 +28,17 @@ from clauseflow.session import sort_join
 KEEP_MS = 30 * 24 * 3600 * 1000
 
 
+def _last_upload(order: str):
+    """The last row of one contract's frames by ``order``, ties by text; nulls first.
+    (Nested, so that it travels to workers that do not have this package.)"""
+    def last_upload(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        frames = [f for f in frames if len(f)]
+        if len(frames) == 1 and len(frames[0]) == 1:  # most contracts come once in a batch
+            return frames[0]
+        return pd.concat(frames).sort_values([order, "text"], kind="stable", na_position="first").iloc[[-1]]
+    return last_upload
+
+
 def changed_contracts(contracts: DataFrame, order: str, keep_ms: int = KEEP_MS) -> DataFrame:
     """Streaming (contract_id, text, ..., version long) of the contracts whose text
     is not the one seen last.
@@ -36,13 +47,13 @@ def changed_contracts(contracts: DataFrame, order: str, keep_ms: int = KEEP_MS)
     by text) counts.  A null text is a text of its own; rows with a null
     contract_id are uploads of one contract."""
     schema = T.StructType([*contracts.schema.fields, T.StructField("version", T.LongType())])
+    last_upload = _last_upload(order)
 
     def latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames))
-        last = rows.sort_values([order, "text"], kind="stable", na_position="first").iloc[[-1]]
+        last = last_upload(frames)
         text = last["text"].iloc[0]
         seen = "null" if text is None else hashlib.sha256(text.encode()).hexdigest()
         before, version = state.get if state.exists else (None, 0)
